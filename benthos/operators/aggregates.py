@@ -116,7 +116,7 @@ def benjamini_hochberg(p: DataFrame, family: list[str], value: str = "p") -> Dat
     w = Window.partitionBy(*family, F.col(value).isNull())
     o = w.orderBy(F.col(value), F.col("contrast"))
     raw = F.col(value) * F.count("*").over(w) / F.row_number().over(o)
-    return p.withColumn("__r", raw).withColumn("q_bh", F.least(F.lit(1.0), F.min("__r").over(o.rowsBetween(0, Window.unboundedFollowing)))).drop("__r")
+    return p.withColumn("__r", raw).withColumn("q_bh", F.when(F.col(value).isNotNull(), F.least(F.lit(1.0), F.min("__r").over(o.rowsBetween(0, Window.unboundedFollowing))))).drop("__r")
 
 
 def cluster_bootstrap(cells: DataFrame, replicates: int, seed: int) -> DataFrame:

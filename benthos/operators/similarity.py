@@ -20,8 +20,11 @@ def pack(bits: Column, width: int) -> Column:
 
 def gram_bits(text: Column, width: int, longest: int = 3) -> Column:
     """Bit positions of a text's distinct character n-grams (n = 1..longest), placed by MD5."""
-    none = F.array().cast("array<string>")
-    grams = F.flatten(F.array(*[F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i, n=n: F.substring(text, i, F.lit(n)))).otherwise(none) for n in range(1, longest + 1)]))
+    def of_length(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
+        return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    grams = F.flatten(F.array(*[of_length(n) for n in range(1, longest + 1)]))
     return F.array_sort(F.array_distinct(F.transform(F.array_distinct(grams), lambda g: (F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("bigint") % width).cast("int"))))
 
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from benthos.plans import join_queries, rule_queries  # noqa: F401
-from benthos.plans.registry import QUERIES, SQL
+from benthos.plans import evidence_queries, join_queries, rule_queries, split_queries  # noqa: F401
+from benthos.plans.registry import QUERIES, SQL, Tables
 
 
 def queries() -> dict:
@@ -17,4 +17,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Star join, unit rule, log target, merge and robust spread in one plan."""
+    return split_queries.slice_query(Tables(spark, sf_dir))
