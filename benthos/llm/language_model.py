@@ -59,7 +59,7 @@ def _bigrams(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
     before = np.empty_like(h)
     before[1:] = h[:-1]
     before[np.concatenate(([0], ends[:-1]))] = START
-    return combine(before, h)
+    return combine(mix(before + np.uint64(0x632BE59BD9B4E019)), h)  # the pair's order counts
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], spec: LmSpec) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -200,7 +200,8 @@ def mixture_weights(cells: pd.DataFrame, v: int, rounds: int) -> np.ndarray:
     """Weights (bigram, word, uniform) per context bucket by expectation-maximisation.
 
     Bucket 0 holds contexts never seen, whose bigram part is nothing. A bucket without
-    held-out tokens takes the weights of the next lower one.
+    held-out tokens takes the weights of the next lower one. No part falls below 1e-6, so an
+    event that no held-out token showed keeps some probability.
     """
     weights = np.zeros((64, 3))
     weights[0] = (0.0, 0.0, 1.0)
