@@ -29,7 +29,7 @@ def test_strict_number(spark):
 
 def test_unit_texts(spark):
     df = column(spark, ["µg/L", "μg/L", " MG  per  Litre", "NR", None, "AI mg/L"])
-    assert run(df, T.unit_text(F.col("v"))) == ["ug/l", "ug/l", "mg per liter", "nr", "", "ai mg/l"]
+    assert run(df, T.unit_text(F.col("v"))) == ["ug/l", "ug/l", "mg / liter", "nr", "", "ai mg/l"]
     assert run(df, T.raw_unit_text(F.col("v"))) == ["µg/l", "ug/l", "mg per litre", "", "", "ai mg/l"]
 
 
