@@ -24,7 +24,7 @@ def duck():
 
 def rows(df):
     def cell(v):
-        if v is None or v != v or type(v).__name__ in ("NAType", "NaTType"):
+        if v is None or type(v).__name__ in ("NAType", "NaTType") or v != v:
             return "-"
         if isinstance(v, bool) or type(v).__name__ == "bool_":
             return str(bool(v))
