@@ -10,7 +10,8 @@ copies cost one row. Bands of registers then make buckets of representatives:
 1. each bucket links its members to its smallest one (a star, never all pairs);
 2. buckets whose members still lie in several components get a second star, around another
    member, and
-3. what remains open is compared across components only.
+3. documents of buckets that remain open meet across components where they share a rare
+   shingle early enough to reach the threshold at all (prefix and position bounds, exact).
 
 Candidates must pass the collision-corrected Jaccard estimate (with six standard errors of
 slack) and are then confirmed on full sets. The bands' size is chosen so that a pair at the
@@ -163,6 +164,37 @@ def _verify(pairs: DataFrame, texts: DataFrame, spec: NearDedup) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _rare_shingle_pairs(docs: DataFrame, texts: DataFrame, spec: NearDedup) -> DataFrame:
+    """(a, b), a < b, of ``docs`` (doc_id, label) with different labels that may reach the threshold.
+
+    Shingles are put in the order of their frequency among these documents, rarest first.
+    With t the threshold, the larger set of a qualifying pair has a common shingle among its
+    first n - ceil(t n) + 1, the smaller one among its first n - ceil(2t/(1+t) n) + 1, and the
+    shingles from the first common one on must suffice for the overlap t/(1+t) (n_a + n_b).
+    """
+    t = spec.threshold / 100
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, labels = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for i, s in enumerate(shingle_sets(*utf8(batch.column(2)), spec.shingle)):
+                n = len(s)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, ids[i])), pa.array(np.full(n, labels[i])), pa.array(np.full(n, n, np.int32)), pa.array(s.view(np.int64))], names=["doc_id", "label", "n", "h"])
+
+    rows = docs.join(texts, "doc_id").select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label long, n int, h long")
+    rows = materialize(rows, "near-shingles")
+    counted = rows.join(rows.groupBy("h").agg(F.count("*").alias("df")), "h")
+    sorted_ = counted.groupBy("doc_id", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
+    length = (F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int")
+    prefix = sorted_.select("doc_id", "label", "n", F.posexplode(F.slice("s", F.lit(1), length)).alias("at", "x")).select("doc_id", "label", "n", "at", "x.h")
+    prefix = materialize(prefix, "near-prefixes")
+    big = prefix.select("h", F.col("doc_id").alias("p"), F.col("label").alias("lp"), F.col("n").alias("np"), F.col("at").alias("ap"))
+    small = prefix.where(F.col("at") < F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t)) - 1e-9) + 1).select("h", F.col("doc_id").alias("q"), F.col("label").alias("lq"), F.col("n").alias("nq"), F.col("at").alias("aq"))
+    need = (F.col("np") + F.col("nq")) * (t / (1 + t)) - 1e-9
+    fits = (F.col("np") >= F.col("nq")) & (F.col("p") != F.col("q")) & (F.col("lp") != F.col("lq")) & (F.col("nq") >= F.col("np") * t - 1e-9) & (F.least(F.col("np") - F.col("ap"), F.col("nq") - F.col("aq")) >= need)
+    return big.join(small, "h").where(fits).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, spec: NearDedup = NearDedup()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
@@ -188,12 +220,10 @@ def near_duplicates(docs: DataFrame, spec: NearDedup = NearDedup()) -> DataFrame
     links = materialize(_verify(_estimate(tested, reps, spec), texts, spec), "near-links")
     for last in (False, True):
         label = connected_components(links, "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
-        marked = members.select("bucket", "doc_id").join(label, "doc_id", "left").select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+        marked = materialize(members.select("bucket", "doc_id").join(label, "doc_id", "left").select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label")), "near-marked")
         still = marked.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct(F.xxhash64("doc_id").alias("k"), F.col("doc_id").alias("hub"), "label")).alias("other")).where("x != y")
         if last:
-            marked = materialize(marked.join(still.select("bucket"), "bucket", "left_semi"), "near-open")
-            other = marked.select("bucket", F.col("doc_id").alias("e"), F.col("label").alias("other"))
-            pairs = marked.join(other, "bucket").where("label != other and doc_id < e").select(F.col("doc_id").alias("a"), F.col("e").alias("b"))
+            pairs = _rare_shingle_pairs(marked.join(still.select("bucket"), "bucket", "left_semi").select("doc_id", "label").distinct(), texts, spec)
         else:
             hub = still.select("bucket", "other.hub", F.col("other.label").alias("hub_label"))
             pairs = marked.join(hub, "bucket").where("label != hub_label").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
