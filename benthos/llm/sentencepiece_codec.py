@@ -138,6 +138,8 @@ class Codec:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         self.tokenizer, self.most, self.kept, self.pattern = build(model), most, {}, None
+        self.strip = model.add_dummy_prefix
+        self.raw = [bytes([int(p[1:-1], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() if kind == NORMAL else None for p, _, kind in model.pieces]
         if model.words_stay_apart() and not (model.charsmap or model.remove_extra_whitespaces) and model.escape_whitespaces and not any(kind == USER_DEFINED for *_, kind in model.pieces):
             alone = model.byte_fallback and not any("\n" in p for p, _, kind in model.pieces if kind == NORMAL)
             line, other = ("\n|", "\n") if alone else ("", "")
@@ -158,7 +160,15 @@ class Codec:
         return [list(chain.from_iterable(map(get, words))) for words in cut]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        """Bytes of the pieces, joined; the library decodes what is not plain pieces in valid UTF-8."""
+        out, get = [], self.raw.__getitem__
+        for own in ids:
+            try:
+                text = b"".join(map(get, own)).decode()
+                out.append(text[1:] if self.strip and text[:1] == " " else text)
+            except (TypeError, UnicodeDecodeError):
+                out.append(self.tokenizer.decode(own, skip_special_tokens=False))
+        return out
 
 
 @functools.lru_cache(2)
