@@ -14,7 +14,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    """Rows whose doc_id is kept, null for null; rows that share a doc_id stay or go together."""
+    ids = ids.select(F.col("doc_id").alias("kept_id"))
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
