@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from benthos.functions.text_rules import recency_weight
+from benthos.operators.splits import global_rank, hash_key
 
 
 def null_safe_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -127,8 +128,8 @@ def cluster_bootstrap(cells: DataFrame, replicates: int, seed: int) -> DataFrame
     where a head has no drawn row.
     """
     clusters = cells.select("cluster").distinct()
-    # numbers 0..P-1 by sorted position: counts per range of the sorted ids, no single-task sort of rows
-    numbered = clusters.withColumn("number", F.row_number().over(Window.orderBy("cluster")) - 1)
+    # numbers 0..P-1 in hash order, ranked in buckets
+    numbered = global_rank(clusters.withColumn("__k", hash_key(seed, "cluster")), "__k").select("cluster", F.col("rank").alias("number"))
     size = clusters.agg(F.count("*").alias("p"))
     draws = cells.sparkSession.range(replicates).withColumnRenamed("id", "replicate").crossJoin(F.broadcast(size))
     draws = draws.select("replicate", "p", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("j"))

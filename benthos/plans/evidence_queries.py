@@ -146,7 +146,7 @@ def _(t):
 
 
 CELLS = PRED + """, c AS (SELECT canonical_parent AS cluster, model_head AS head, count(*) AS n, sum(abs(pred_a - target) - abs(pred_b - target)) AS s FROM p WHERE NOT is_censored AND pred_a IS NOT NULL AND pred_b IS NOT NULL GROUP BY 1, 2)"""
-BOOT = CELLS + """, k AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS num, count(*) OVER () AS P FROM (SELECT DISTINCT cluster FROM c)),
+BOOT = CELLS + """, k AS (SELECT cluster, row_number() OVER (ORDER BY sha256('7|' || cluster)) - 1 AS num, count(*) OVER () AS P FROM (SELECT DISTINCT cluster FROM c)),
 d AS (SELECT r.r AS replicate, j.j, CAST(('0x' || substr(sha256('7|' || r.r || '|' || j.j), 1, 8)) AS UBIGINT)::BIGINT % (SELECT max(P) FROM k) AS num FROM range(200) r(r), (SELECT num AS j FROM k) j),
 w AS (SELECT replicate, num, count(*) AS m FROM d GROUP BY 1, 2), x AS (SELECT replicate, head, sum(m * n) AS n, sum(m * s) AS s FROM w JOIN k USING (num) JOIN c USING (cluster) GROUP BY 1, 2)
 , b AS (SELECT replicate, sum(s) / sum(n) AS delta_pooled, CASE WHEN count(*) = (SELECT count(DISTINCT head) FROM c) THEN avg(s / n) END AS delta_macro FROM x GROUP BY 1)"""
