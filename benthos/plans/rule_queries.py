@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from benthos.functions import curation, evidence_rules as E, features, text_rules as T
+from benthos.functions import curation, evidence_rules as E, features, habitat, text_rules as T
 from benthos.plans.inputs import OBSERVATIONS, RESULTS
 from benthos.plans.registry import pick, query, values
 
@@ -304,3 +304,8 @@ def _(t):
 
 for _name, (_f, _sql) in features.QUERIES.items():
     query(_name, _sql)(_f)
+
+
+@query("b27_habitat_taxonomy", habitat.SQL)
+def _(t):
+    return habitat.habitat_by_taxonomy(t.sql(habitat.INPUT)).select("p_partkey", "habitat_rule", "habitat", "habitat_labels", "habitat_confidence", "habitat_status")

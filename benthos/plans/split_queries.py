@@ -219,3 +219,15 @@ def slice_query(t):
     v, _, _, _ = concentration(F.col("l_extendedprice").cast("string"), unit)
     x = d.select("p_type", "o_orderpriority", (-F.log10(v / 1000 / F.col("p_retailprice"))).alias("x"))
     return robust_stats(x, ["p_type", "o_orderpriority"], "x").select("p_type", "o_orderpriority", F.col("qc_n").alias("n"), F.round("qc_median", 6).alias("median_target"), F.round("qc_mean", 6).alias("mean_target"), F.round("qc_mad", 6).alias("mad"))
+
+
+@query("m04_applicability_domain")
+def _(t):
+    """Leverage and the taxonomic prefix as one report with a four-state label."""
+    from benthos.functions.features import domain_label
+    from benthos.operators.joins import prefix_similarity
+
+    c = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).withColumns({"id": F.col("c_custkey"), "train": F.col("c_custkey") % 4 != 0, "size": F.col("c_custkey") % 17 * 1.0})
+    h = M.leverage(c, ["c_acctbal", "size"])
+    p = prefix_similarity(c, c.where("train"), ["n_regionkey", "c_nationkey", "c_mktsegment"]).select("id", "max_prefix")
+    return h.join(p, "id").select("id", "h", "max_prefix", domain_label(~F.col("outside"), F.col("max_prefix") == 1).alias("label"))
