@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from benthos.functions.text_rules import hash_share
 from benthos.operators.graph import connected_components
+from benthos.session import materialize
 
 PARTS = ("train", "valid", "test")
 
@@ -33,6 +34,22 @@ def global_rank(df: DataFrame, key: str, digits: int = 3) -> DataFrame:
     return b.join(F.broadcast(offsets), "__b").withColumn("rank", F.col("__o") + inner - 1).drop("__b", "__o")
 
 
+def range_rank(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds ``rank`` from 0 in the stated order, over any number of rows and without one task for all.
+
+    Rows are dealt into ranges of the order and written, since the sampled borders may differ
+    when they are drawn again; sizes of ranges are summed up to offsets, and ranks are taken
+    inside ranges. Only rows that are equal in the whole order must share a range.
+    """
+    k = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(df.repartitionByRange(k, *order).withColumn("__p", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("__p", F.coalesce(before, F.lit(0)).alias("__o"))  # one row per range
+    inner = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    return dealt.join(F.broadcast(offsets), "__p").withColumn("rank", F.col("__o") + inner - 1).drop("__p", "__o")
+
+
 def random_split(df: DataFrame, key: str, seed: int, fractions: tuple[float, ...], names: tuple[str, ...]) -> DataFrame:
     """Adds split_part: parts of exactly floor(n f) rows in hash order, the remainder in the last."""
     total = df.agg(F.count("*").alias("__total"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from benthos.operators import joins as J
+from benthos.operators import splits as P
 from benthos.plans.inputs import PREDICTIONS
 from benthos.plans.registry import Tables, pick, query
 from benthos.sources import tables as S
@@ -234,12 +235,20 @@ def _(t):
 IDS = pick("o_orderkey", ["x", "10", "9", "b2", "007"])
 
 
+def natural_order(d):
+    """Positions from 1 of all (o_orderkey, i): numbers before text."""
+    order = [F.asc_nulls_last(F.col("i").try_cast("bigint")), F.col("i").asc(), F.col("o_orderkey").asc()]
+    return P.range_rank(d, order).select("o_orderkey", (F.col("rank") + 1).alias("pos"))
+
+
 @query("f06_natural_sort", f"SELECT o_orderkey, row_number() OVER (ORDER BY TRY_CAST(i AS BIGINT) NULLS LAST, i, o_orderkey) AS pos FROM (SELECT o_orderkey, {IDS} AS i FROM orders ORDER BY o_orderkey LIMIT 200)")
 def _(t):
-    d = t.sql(f"SELECT o_orderkey, {IDS} AS i FROM orders ORDER BY o_orderkey LIMIT 200")
-    from pyspark.sql import Window
+    return natural_order(t.sql(f"SELECT o_orderkey, {IDS} AS i FROM orders ORDER BY o_orderkey LIMIT 200"))
 
-    return d.select("o_orderkey", F.row_number().over(Window.orderBy(F.asc_nulls_last(F.col("i").try_cast("bigint")), "i", "o_orderkey")).alias("pos"))
+
+@query("f06_natural_sort_all", f"SELECT o_orderkey, row_number() OVER (ORDER BY TRY_CAST(i AS BIGINT) NULLS LAST, i, o_orderkey) AS pos FROM (SELECT o_orderkey, {IDS} AS i FROM orders)")
+def _(t):
+    return natural_order(t("orders").select("o_orderkey", F.expr(IDS).alias("i")))
 
 
 # ---- set operations -----------------------------------------------------------------------

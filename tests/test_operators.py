@@ -62,6 +62,23 @@ def test_random_split_has_exact_sizes(spark):
     assert {r.split_part: r["count"] for r in got} == {"train": 70, "valid": 10, "test": 21}
 
 
+def test_range_rank_numbers_all_rows(spark):
+    d = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, F.lit("x")).otherwise((F.col("id") * 7919 % 500).cast("string")).alias("i"))
+    order = [F.asc_nulls_last(F.col("i").try_cast("bigint")), F.col("i").asc(), F.col("id").asc()]
+    got = {r.id: r["rank"] for r in P.range_rank(d, order).collect()}
+    key = lambda k: (1, 0, "x", k) if k % 3 == 0 else (0, k * 7919 % 500, "", k)
+    assert [got[k] for k in sorted(range(5000), key=key)] == list(range(5000))
+    assert P.range_rank(d.where("false"), order).count() == 0
+
+
+def test_natural_sort_keeps_every_order(spark):
+    from benthos.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    pos = sorted(r.pos for r in catalog.queries()["f06_natural_sort_all"](spark, sf).collect())
+    assert pos == list(range(1, spark.read.parquet(f"{sf}/orders.parquet").count() + 1)) and len(pos) > 200
+
+
 def test_missing_group_is_one_group(spark):
     df = spark.createDataFrame([(i, None if i % 2 else f"g{i}") for i in range(40)], "k int, g string")
     got = P.group_split(df, ["g"], 3, (0.5, 0.5), ("a", "b"))
