@@ -11,6 +11,7 @@ cells are padded to their column's width.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -21,7 +22,15 @@ from pyspark.sql import functions as F
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template title noscript datalist iframe noembed noframes object audio video canvas svg math textarea select".split())
+HIDDEN = frozenset("head script style template title noscript datalist iframe noembed noframes object audio video canvas".split())
+# what may stand in a head; anything else ends it
+IN_HEAD = frozenset("head html base basefont bgsound link meta title noscript noframes style script template".split())
+# SVG and MathML: text is drawn in these only, and never inside those
+DRAWN = {"svg": frozenset("text tspan textpath tref a".split()), "math": frozenset("mi mo mn ms mtext".split())}
+UNDRAWN = {"svg": frozenset("title desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter style script".split()), "math": frozenset("annotation annotation-xml mphantom".split())}
+# elements of SVG and MathML whose content is HTML again, and HTML elements that end an open svg or math
+INNER = {"svg": frozenset("foreignobject desc title".split()), "math": frozenset("mi mo mn ms mtext annotation-xml".split())}
+OUTER = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote figure table fieldset hr".split())
 BLOCK = SPACED | frozenset("html body address article aside center dd details dialog dir div dt figcaption footer form header legend li main menu nav section summary caption tbody thead tfoot tr optgroup option".split())
 CLOSES_P = BLOCK - frozenset("html body caption tbody thead tfoot tr dd dt li option optgroup legend".split()) | frozenset(["li", "dd", "dt"])
@@ -42,74 +51,133 @@ IMPLIED["thead"] = IMPLIED["tfoot"] = IMPLIED["tbody"]
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_DECLARATION = re.compile(r"(?:[^;\"'(]++|\"[^\"]*+\"|'[^']*+'|\([^)]*+\)|[\"'(])+")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
+def _style(style: str) -> dict[str, str]:
+    """The last value of each property that can hide an element, the important ones first."""
+    found: dict[str, tuple[str, bool]] = {}
+    if "display" in (low := style.lower()) or "visibility" in low:
+        for declaration in _DECLARATION.findall(_COMMENT.sub("", low)):
+            name, _, value = declaration.partition(":")
+            value, _, flag = value.partition("!")
+            name, value, strong = name.strip(), value.strip(), flag.strip() == "important"
+            if name in ("display", "visibility", "content-visibility") and value and (strong or not found.get(name, ("", False))[1]):
+                found[name] = (value, strong)
+    return {name: value for name, (value, _) in found.items()}
+
+
 class Node:
-    __slots__ = ("tag", "attributes", "children", "hidden")
+    """``kind`` is svg or math inside those; ``unseen`` is inherited visibility, ``hidden`` ends the whole branch."""
+
+    __slots__ = ("tag", "attributes", "children", "hidden", "unseen", "kind")
 
-    def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.children, self.hidden, self.attributes = tag, [], tag in HIDDEN, {}
+    def __init__(self, tag: str, attributes: str = "", unseen: bool = False, kind: str = ""):
+        self.tag, self.children, self.kind, self.unseen, self.attributes = tag, [], kind, unseen, {}
+        self.hidden = tag in UNDRAWN[kind] if kind else tag in HIDDEN
         if attributes and not attributes.isspace():
             for name, *value in _ATTRIBUTE.findall(attributes):
                 self.attributes.setdefault(name.lower(), unescape("".join(value)))
             a = self.attributes
-            self.hidden |= "hidden" in a or ("style" in a and bool(_UNSEEN.search(a["style"]))) or (tag == "dialog" and "open" not in a)
+            style = _style(a["style"]) if "style" in a else {}
+            if kind == "svg":
+                style = {k: a[k].strip().lower() for k in ("display", "visibility") if k in a} | style
+            display = style.get("display", "block" if tag in BLOCK else "inline")
+            skipped = style.get("content-visibility") == "hidden" and display not in ("inline", "contents") and not display.startswith("table-") and tag not in ("tbody", "thead", "tfoot", "tr")
+            self.hidden |= ("hidden" in a and not kind) or display == "none" or skipped or (tag == "dialog" and "open" not in a)
+            if (shown := style.get("visibility")) in ("visible", "initial", "hidden", "collapse"):
+                self.unseen = shown in ("hidden", "collapse")
+
+    @property
+    def inner(self) -> bool:
+        """Whether HTML starts again inside this element of SVG or MathML."""
+        return bool(self.kind) and self.tag in INNER[self.kind]
+
+    def add_text(self, text: str) -> None:
+        if not self.unseen and (not self.kind or self.tag in DRAWN[self.kind] or self.inner):
+            self.children.append(text)
 
 
 def parse(html: str) -> Node:
     """The element tree; text nodes are strings."""
     root = Node("#root")
     path, at, n = [root], 0, len(html)
+    opened: Counter[str] = Counter()
+
+    def push(node: Node) -> None:
+        path.append(node)
+        opened[node.tag] += 1
+
+    def cut(i: int) -> None:
+        for x in path[i:]:
+            opened[x.tag] -= 1
+        del path[i:]
 
     def close(tags: frozenset, borders: frozenset) -> None:
         """End the open elements down to the outermost of ``tags`` that no border hides."""
+        left, last = sum(opened[t] for t in tags), 0
         for i in range(len(path) - 1, 0, -1):
-            if path[i].tag in borders:
-                return
+            if not left or path[i].tag in borders or path[i].inner:
+                break
             if path[i].tag in tags:
-                del path[i:]
-                if not any(x.tag in tags for x in path[max(1, i - 8) : i]):
-                    return
+                left, last = left - 1, i
+        if last:
+            cut(last)
 
     while at < n:
         m = _TOKEN.match(html, at)
         at = m.end()
         closing, tag, attributes, text = m.groups()
         if text is not None:
-            path[-1].children.append(unescape(text) if "&" in text else text)
+            if path[-1].tag == "head" and not text.isspace():
+                cut(len(path) - 1)
+            path[-1].add_text(unescape(text) if "&" in text else text)
         elif tag is not None:
             tag = tag.lower()
+            if path[-1].tag == "head" and (tag == "br" if closing else tag not in IN_HEAD):
+                cut(len(path) - 1)
             if closing:
                 if tag == "br":
                     path[-1].children.append(Node("br"))
                     continue
                 wall = frozenset(["table"]) if tag not in ("table", "body", "html") else frozenset()
-                for i in range(len(path) - 1, 0, -1):
+                for i in range(len(path) - 1, 0, -1) if opened[tag] else ():
                     if path[i].tag == tag:
-                        del path[i:]
+                        cut(i)
                         break
-                    if path[i].tag in wall:
+                    if path[i].tag in wall or path[i].inner:
                         break
                 continue
-            if tag in CLOSES_P:
+            if path[-1].kind and not path[-1].inner and (tag in OUTER or tag == "font" and re.search(r"\b(?:color|face|size)\s*=", attributes, re.I)):
+                while path[-1].kind and not path[-1].inner:
+                    cut(len(path) - 1)
+            kind = tag if tag in ("svg", "math") else "" if path[-1].inner else path[-1].kind
+            if path[-1].kind == "math" and tag in ("mglyph", "malignmark"):
+                kind = "math"
+            if not kind and tag in CLOSES_P:
                 close(frozenset(["p"]), frozenset(["table", "td", "th", "li", "div", "article", "section", "body"]))
-            if tag in IMPLIED:
+            if not kind and tag in IMPLIED:
                 close(*IMPLIED[tag])
-            if tag in ("td", "th") and path[-1].tag in ("table", "tbody", "thead", "tfoot"):
-                path[-1].children.append(row := Node("tr"))
-                path.append(row)
-            node = Node(tag, attributes)
+            if not kind and tag in ("td", "th") and path[-1].tag in ("table", "tbody", "thead", "tfoot"):
+                row = Node("tr", unseen=path[-1].unseen)
+                path[-1].children.append(row)
+                push(row)
+            node = Node(tag, attributes, path[-1].unseen, kind)
             path[-1].children.append(node)
-            if tag in RAW:
+            if kind:
+                if not attributes.endswith("/"):
+                    push(node)
+            elif tag in RAW:
                 stop = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-                node.children.append(html[at : stop.start() if stop else n])
+                inside = html[at : stop.start() if stop else n]
+                node.add_text(unescape(inside) if tag == "textarea" else inside)
                 at = stop.end() if stop else n
             elif tag not in VOID and not attributes.endswith("/"):
-                path.append(node)
+                push(node)
             elif tag not in VOID and tag in BLOCK:
-                path.append(node)
+                push(node)
     return root
 
 
@@ -180,6 +248,14 @@ def _table(rows: list[list[list[str]]]) -> list[str]:
     return out
 
 
+def _drawn_apart(node: Node, flow: _Flow) -> None:
+    """Texts of a drawing and rows of a formula are lines; what a formula sets apart gets a space."""
+    if node.tag in ("text", "foreignobject", "mtr", "mlabeledtr") or node.tag == "math" and node.attributes.get("display", "").lower() == "block":
+        flow.end()
+    elif node.tag in ("mtd", "mfrac"):
+        flow.space |= bool(flow.line)
+
+
 def render(root: Node) -> str:
     flows, tables, lists = [_Flow()], [], []
     keep = 0
@@ -211,11 +287,24 @@ def render(root: Node) -> str:
             elif tag in ("blockquote", "dd"):
                 flow.end(tag == "blockquote")
                 flow.indent -= 2
+            elif tag == "textarea":
+                keep -= 1
+            elif node.kind:
+                _drawn_apart(node, flow)
             elif tag in BLOCK:
                 flow.end(tag in SPACED)
             continue
         if node.hidden:
             continue
+        if node.kind:
+            _drawn_apart(node, flow)
+            todo.append((node, True))
+            token = node.kind == "math" and tag in DRAWN["math"]
+            inside = [_SPACE.sub(" ", x).strip(" ") if token and isinstance(x, str) else x for x in node.children]
+            if tag == "mfrac":  # numerator and denominator are drawn apart
+                inside = [y for x in inside for y in (x, " ")][:-1]
+            todo.extend((x, False) for x in reversed(inside))
+            continue
         if tag == "br":
             if flow.line:
                 flow.end()
@@ -225,7 +314,7 @@ def render(root: Node) -> str:
         if tag == "hr":
             flow.end(True)
             continue
-        if tag == "input" and node.attributes.get("type", "text").lower() in ("submit", "button", "reset"):
+        if tag == "input" and not node.unseen and node.attributes.get("type", "text").lower() in ("submit", "button", "reset"):
             flow.text(node.attributes.get("value", ""), False)
             continue
         if tag == "tr" and tables:
@@ -247,18 +336,28 @@ def render(root: Node) -> str:
         elif tag == "li":
             flow.end()
             if lists and lists[-1][0] == "ol":
-                flow.mark = f"{lists[-1][1]}. "
+                flow.mark = "" if node.unseen else f"{lists[-1][1]}. "
                 lists[-1][1] += 1
             elif lists:
-                flow.mark = "- "
+                flow.mark = "" if node.unseen else "- "
         elif tag == "pre":
             flow.end(True)
             keep += 1
         elif tag in ("blockquote", "dd"):
             flow.end(tag == "blockquote")
             flow.indent += 2
+        elif tag == "textarea":
+            if flow.space:
+                flow._put(" ")
+                flow.space = False
+            keep += 1
+            node.children = [x.replace("\r\n", "\n").removeprefix("\n").rstrip("\n") for x in node.children]
         elif tag in BLOCK:
             flow.end(tag in SPACED)
+        if tag in ("option", "optgroup") and not node.unseen and (label := node.attributes.get("label")):
+            flow.text(label, False)
+            if tag == "option":  # its label is shown in place of its text
+                node.children = []
         todo.append((node, True))
         todo.extend((x, False) for x in reversed(node.children))
     return "\n".join(flows[0].done()).strip("\n")

@@ -341,6 +341,35 @@ def test_html(html, text):
     assert html_text.extract(html).rstrip() == text or html_text.extract(html) == text.strip("\n")
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        # a head ends where its end tag is left out
+        ("<head><title>t</title><p>Hello <b>you</b>", "Hello you"),
+        ("<html><head><meta charset=utf-8><script>1</script> \n text <p>more", "text\n\nmore"),
+        ("<head><template><p>no</p></template><style>p{}</style></head>x", "x"),
+        # whole declarations
+        ("<p style='backface-visibility:hidden'>a<p style='x-display:none'>b", "a\n\nb"),
+        ("<p style=\"background:url('a;display:none')\">a<p style='display:none;display:block'>b", "a\n\nb"),
+        ("<p style='COLOR:red;Display : none !important;display:block'>no<p style='/*;*/visibility:hidden'>no<p>yes", "yes"),
+        ("<div style='visibility:hidden'>no<p style='visibility:visible'>yes</div>", "yes"),
+        ("<div style='content-visibility:hidden'>no</div>x", "x"),
+        ("<ul><li style='visibility:hidden'>no</ul>x", "x"),
+        # forms, drawings, formulas
+        ("Say: <textarea>\na &lt;b&gt;\n  c\n</textarea> end", "Say: a <b>\n  c end"),
+        ("<select><option>one<optgroup label=Two><option>three<option label=four>no</select>x", "one\nTwo\nthree\nfour\nx"),
+        ("a<svg><title>no</title><style/><defs><text>no</text></defs>no<g><text>A<tspan>B</tspan></text></g></svg>c", "a\nAB\nc"),
+        ("<p>a<svg><foreignObject><div>b</div></foreignObject></svg>c", "a\nb\nc"),
+        ("<svg><g><p>out", "out"),
+        ("so <math><mi> x </mi> <mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math>.", "so x= 1 2 ."),
+        # an implied end far up
+        ("<table><tr>" + "<div>" * 20 + "<td>a<tr><td>b</table>", "a\nb"),
+    ],
+)
+def test_html_all_visible_text(html, text):
+    assert html_text.extract(html) == text
+
+
 def test_html_depth_and_nulls(spark):
     deep = "<div>" * 5000 + "x" + "</div>" * 5000
     df = spark.createDataFrame([(1, deep, "u"), (2, None, "u"), (None, "<p>a", "u"), (2, "<table>" * 50 + "q", "u")], "page_id long, html string, text string")
