@@ -465,6 +465,32 @@ def test_merkle_tree_covers_the_text_and_locates_edits():
     assert fingerprints.likeness(a, fingerprints.MerkleTree("nothing alike")) == 0
 
 
+def test_leaves_are_cut_by_content(monkeypatch):
+    rng = random.Random(5)
+    words = " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(400))
+    unspaced = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(2000))
+    for text in (words, unspaced, "-=" * 2000, "abcde fghij " * 200):
+        a, at = fingerprints.MerkleTree(text), 300
+        for changed in (text[:at] + "new " + text[at:], text[:at] + text[at + 5 :]):  # an insertion, a deletion
+            b = fingerprints.MerkleTree(changed)
+            gone = fingerprints.differences(b, a)
+            assert a.root != b.root and fingerprints.likeness(a, b) > 0.9
+            # the last piece of a repetition is as long as is left
+            assert all(at - 150 <= lo and (hi <= at + 200 or text[:2] == "-=" and lo > len(changed) - 150) for lo, hi in gone)
+        assert max(x[1] for s in a.sections for p in s[2] for x in p[2]) <= 160
+    half = fingerprints.MerkleTree(fingerprints.edited(unspaced, words))
+    assert fingerprints.likeness(fingerprints.MerkleTree(unspaced), half) > 0.45
+    short = "one short sentence of less than four hundred characters without an end"
+    assert fingerprints.likeness(fingerprints.MerkleTree(short), fingerprints.MerkleTree(fingerprints.edited(short, "Z" * 80))) > 0.2
+    # a paragraph's pieces do not depend on its neighbours, nor on how much is read at once
+    p = words[:300] + "\n"
+    alone, inside = fingerprints.MerkleTree(p), fingerprints.MerkleTree("x\n\n" + p + unspaced)
+    assert alone.sections[0][2][0] in [q for s in inside.sections for q in s[2]]
+    whole = [fingerprints.MerkleTree(t).root for t in (words, unspaced, p * 3)]
+    monkeypatch.setattr(fingerprints, "BLOCK", 37)
+    assert [fingerprints.MerkleTree(t).root for t in (words, unspaced, p * 3)] == whole
+
+
 # ---- pipeline -----------------------------------------------------------------------------
 
 
