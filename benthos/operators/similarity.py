@@ -49,6 +49,34 @@ def best_tanimoto(queries: DataFrame, references: DataFrame) -> DataFrame:
     return queries.join(best, "words", "left").select("query_id", F.coalesce("max_similarity", F.lit(0.0)).alias("max_similarity"))
 
 
+def best_other_tanimoto(queries: DataFrame, references: DataFrame) -> DataFrame:
+    """(query_id, max_similarity): a stated query set against all rows with other ids.
+
+    queries (query_id, words), references (id, words); 0/0 counts as 0, and a query without any
+    other row is left out. References are reduced to distinct words with their smallest and
+    largest id, which tell whether a row equal to the query has another id.
+    """
+    r = references.groupBy(F.col("words").alias("ref")).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).withColumn("rn", popcount(F.col("ref")))
+    q = queries.select("words").distinct().withColumn("qn", popcount(F.col("words")))
+    both = q.crossJoin(r).where("words <> ref").withColumn("n", shared(F.col("words"), F.col("ref")))
+    best = both.groupBy("words").agg(F.max(F.col("n") / (F.col("qn") + F.col("rn") - F.col("n"))).alias("other"))  # unequal words: no empty union
+    own = queries.join(r.withColumnRenamed("ref", "words"), "words", "left").join(best, "words", "left")
+    equal = F.when((F.col("lo") != F.col("query_id")) | (F.col("hi") != F.col("query_id")), F.when(F.col("rn") > 0, 1.0).otherwise(0.0))
+    return own.select("query_id", F.greatest(equal, "other").alias("max_similarity")).where("max_similarity is not null")
+
+
+def nearest_other(queries: DataFrame, references: DataFrame) -> DataFrame:
+    """(id, distance): Euclidean distance to the nearest row with another id, for rows (id, u, v).
+
+    A query without any other row is left out. References are reduced to distinct points with
+    their smallest and largest id, as above.
+    """
+    r = references.groupBy(F.col("u").alias("x"), F.col("v").alias("y")).agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    other = (F.col("lo") != F.col("id")) | (F.col("hi") != F.col("id"))
+    d = F.sqrt((F.col("u") - F.col("x")) * (F.col("u") - F.col("x")) + (F.col("v") - F.col("y")) * (F.col("v") - F.col("y")))
+    return queries.crossJoin(r).where(other).groupBy("id").agg(F.min(d).alias("distance"))
+
+
 def similar_pairs(fps: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity), a < b: pairs of (id, bits) with Tanimoto at the threshold or above.
 

@@ -145,6 +145,13 @@ def _(t):
     return Y.best_tanimoto(q, r).select("query_id", F.round("max_similarity", 9).alias("max_similarity"))
 
 
+@query("c12_best_tanimoto_all", f"WITH b AS (SELECT vec_id AS id, {BITS} AS x FROM embeddings) SELECT q.id AS query_id, round(max(len(list_intersect(q.x, r.x)) / len(list_distinct(list_concat(q.x, r.x)))), 9) AS max_similarity FROM b q, b r WHERE q.id % 20 = 0 AND r.id <> q.id GROUP BY 1")
+def _(t):
+    d = sign_bits(t).select("id", Y.pack(F.col("bits"), 64).alias("words"))
+    q = d.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    return Y.best_other_tanimoto(q, d).select("query_id", F.round("max_similarity", 9).alias("max_similarity"))
+
+
 @query("h11_similar_pairs", f"WITH b AS (SELECT vec_id AS id, {BITS} AS x FROM embeddings), p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.x, b.x)) / len(list_distinct(list_concat(a.x, b.x))) AS s FROM b a JOIN b b ON a.id < b.id) SELECT a, b, round(s, 9) AS similarity FROM p WHERE s >= 0.65 - 1e-12")
 def _(t):
     return Y.similar_pairs(sign_bits(t), 0.65).select("a", "b", F.round("similarity", 9).alias("similarity"))
@@ -167,6 +174,15 @@ def _(t):
     return a.crossJoin(b).groupBy("p_partkey").agg(F.round(F.min(d), 6).alias("distance"))  # a stated query set against all
 
 
+@query("c14_standardized_distance_all", """WITH s AS (SELECT avg(p_size) AS m1, stddev_pop(p_size) AS s1, avg(p_retailprice) AS m2, stddev_pop(p_retailprice) AS s2 FROM part), z AS (SELECT p_partkey, (p_size - m1) / s1 AS u, (p_retailprice - m2) / s2 AS v FROM part, s)
+SELECT a.p_partkey, round(min(sqrt((a.u - b.u) * (a.u - b.u) + (a.v - b.v) * (a.v - b.v))), 6) AS distance FROM z a, z b WHERE a.p_partkey % 20 = 0 AND b.p_partkey <> a.p_partkey GROUP BY 1""")
+def _(t):
+    p = t("part")
+    s = p.agg(F.avg("p_size").alias("m1"), F.stddev_pop("p_size").alias("s1"), F.avg("p_retailprice").alias("m2"), F.stddev_pop("p_retailprice").alias("s2"))
+    z = p.crossJoin(F.broadcast(s)).select(F.col("p_partkey").alias("id"), ((F.col("p_size") - F.col("m1")) / F.col("s1")).alias("u"), ((F.col("p_retailprice") - F.col("m2")) / F.col("s2")).alias("v"))
+    return Y.nearest_other(z.where("id % 20 = 0"), z).select(F.col("id").alias("p_partkey"), F.round("distance", 6).alias("distance"))
+
+
 # ---- modelling operators that stay --------------------------------------------------------
 
 

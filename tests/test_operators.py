@@ -95,6 +95,16 @@ def test_similar_pairs_against_brute_force(spark):
     assert got == want
 
 
+def test_search_against_all_other_rows(spark):
+    d = spark.createDataFrame([(20, [7]), (40, [7]), (60, [1]), (3, [3]), (80, [0]), (81, [0])], "id long, words array<long>")
+    q = d.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    got = {r.query_id: r.max_similarity for r in Y.best_other_tanimoto(q, d).collect()}
+    assert got == {20: 1.0, 40: 1.0, 60: 0.5, 80: 0.0}  # equal rows with ids divisible by 20 are found
+    assert Y.best_other_tanimoto(q.where("query_id = 20"), d.where("id = 20")).count() == 0
+    p = spark.createDataFrame([(20, 0.0, 0.0), (40, 0.0, 0.0), (60, 3.0, 4.0), (1, 9.0, 4.0)], "id long, u double, v double")
+    assert {r.id: r.distance for r in Y.nearest_other(p.where("id % 20 = 0"), p).collect()} == {20: 0.0, 40: 0.0, 60: 5.0}
+
+
 def test_butina_against_sequential(spark):
     rnd = random.Random(9)
     pairs = sorted({tuple(sorted(rnd.sample(range(30), 2))) for _ in range(45)})
