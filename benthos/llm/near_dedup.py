@@ -14,7 +14,7 @@ copies cost one row. Bands of registers then make buckets of representatives:
    shingle early enough to reach the threshold at all (prefix and position bounds, exact).
 
 Candidates must pass the collision-corrected Jaccard estimate (with six standard errors of
-slack) and are then confirmed on full sets. The bands' size is chosen so that a pair at the
+slack) and are then confirmed on full sets of real shingles, words compared byte by byte. The bands' size is chosen so that a pair at the
 threshold is missed with probability below ``miss``.
 """
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from benthos.llm.text import mix, shingle_sets, utf8
+from benthos.llm.text import chunks, mix, shared_shingles, shingle_sets, utf8
 from benthos.operators.graph import connected_components
 from benthos.session import materialize
 
@@ -154,12 +154,14 @@ def _verify(pairs: DataFrame, texts: DataFrame, spec: NearDedup) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(shingle_sets(*utf8(batch.column(2)), spec.shingle), shingle_sets(*utf8(batch.column(3)), spec.shingle)):
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                union = len(x) + len(y) - shared
-                keep.append(union > 0 and 100 * shared >= spec.threshold * union)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            n = batch.num_rows
+            order = pa.array(np.arange(2 * n).reshape(2, n).T.reshape(-1))  # a0, b0, a1, b1, ...
+            data, off = utf8(pa.concat_arrays([batch.column(2).cast(pa.large_string()), batch.column(3).cast(pa.large_string())]).take(order))
+            for lo, hi in chunks(off[::2]):
+                sizes, shared = shared_shingles(data, off[2 * lo : 2 * hi + 1], spec.shingle)
+                union = sizes[::2] + sizes[1::2] - shared
+                keep = (union > 0) & (100 * shared >= spec.threshold * union)
+                yield batch.slice(lo, hi - lo).select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
 

@@ -2,11 +2,12 @@
 
 An example asks for a vector: tokens, one segment, loss-bearing tokens. The open sequence
 has a vector of what is left under its three limits. Of a window of waiting examples the one
-with the largest dot product of the two (each divided by the limits) is placed next; if it
-is longer than what is left it is cut, and its rest waits on. A sequence is closed when any
-limit is reached. What a task has left at the end is cut into sequences of powers of two,
-largest first, which need no padding. Tasks pack what they read: nothing is shuffled, and a
-task holds one Arrow batch, its cache of words and the window.
+with the largest dot product of the two (each divided by the limits) is placed next. What
+does not fit is cut off and waits on: an example is cut where the tokens or the loss-bearing
+tokens run out, so a prompt may still fill a sequence that can bear no more loss. A sequence
+is closed when nothing that waits fits. What a task has left at the end is cut into sequences
+of powers of two, largest first, which need no padding. Tasks pack what they read: nothing is
+shuffled, and a task holds one Arrow batch, its cache of words and the window.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,63 +35,107 @@ class Limits:
     window: int = 128
 
 
+def splits_at_space(tokenizer) -> bool:
+    """Whether the tokenizer drops ASCII white space before it forms tokens, so that words can go one by one.
+
+    Tried on its normaliser and pre-tokenizer: each white space character, single and double,
+    between letters, digits and punctuation must lie in no pre-token.
+    """
+    if tokenizer.pre_tokenizer is None:
+        return False
+    for space in (c * n for c in " \t\n\x0b\x0c\r" for n in (1, 2)):
+        for left in "a1.'é":
+            for right in "b2,'s中":
+                text = left + space + right
+                plain = tokenizer.normalizer.normalize_str(text) if tokenizer.normalizer else text
+                if any(any(plain[i].isspace() for i in range(*span)) for _, span in tokenizer.pre_tokenizer.pre_tokenize_str(plain)):
+                    return False
+    return True
+
+
 class WordTokens:
-    """Ids of texts under a tokenizer that never joins text across ASCII white space.
+    """Ids of texts, and where in the text each id's token starts (in code points).
 
-    The tokenizer drops white space before it splits, so the ids of a text are those of its
-    white-space-separated words in order, and each distinct word is encoded once. Words are
-    told apart by 64-bit hashes. The cache is emptied when it holds ``most`` words.
+    Where the tokenizer drops white space before it splits, the ids of a text are those of its
+    white-space-separated words in order, and each distinct word is encoded once; words are
+    told apart by their bytes. The cache is emptied when it holds ``most`` words. Other
+    tokenizers encode whole texts.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, with_starts: bool = False, most: int = 1_000_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.with_starts, self.most = Tokenizer.from_file(path), with_starts, most
+        self.by_word = splits_at_space(self.tokenizer)
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
-
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for x in got for i in x), np.uint32, int(size.sum()))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        at = self.used + np.cumsum(size) - size
-        self.used += len(flat)
-        where = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.size = np.insert(self.keys, where, keys), np.insert(self.at, where, at), np.insert(self.size, where, size)
-
-    def encode(self, data: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
+        self.number: dict[bytes, int] = {}
+        self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.ids, self.starts, self.used = np.zeros(1 << 20, np.uint32), np.zeros(1 << 20, np.int32), 0
+
+    def _learn(self, words: list[bytes]) -> None:
+        encode = self.tokenizer.encode_batch if self.with_starts else self.tokenizer.encode_batch_fast  # the latter leaves offsets out
+        got = encode([w.decode() for w in words], add_special_tokens=False)
+        size = np.fromiter((len(e.ids) for e in got), np.int64, len(got))
+        more, first = int(size.sum()), len(self.number)
+        while self.used + more > len(self.ids):
+            self.ids, self.starts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.ids, self.starts))
+        while first + len(words) > len(self.at):
+            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+        self.ids[self.used : self.used + more] = np.fromiter((i for e in got for i in e.ids), np.uint32, more)
+        if self.with_starts:
+            self.starts[self.used : self.used + more] = np.fromiter((a for e in got for a, _ in e.offsets), np.int32, more)
+        self.at[first : first + len(words)] = self.used + np.cumsum(size) - size
+        self.size[first : first + len(words)] = size
+        self.used += more
+        self.number.update(zip(words, range(first, first + len(words))))
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+        """(ids, token starts if asked for) of each row."""
+        if not self.by_word:
+            for a, z in zip(off[:-1].tolist(), off[1:].tolist()):
+                e = self.tokenizer.encode(data[a:z].tobytes().decode(), add_special_tokens=False)
+                yield np.array(e.ids, np.uint32), np.array([x for x, _ in e.offsets], np.int64) if self.with_starts else None
+            return
         for lo, hi in chunks(off):
             w = Words(data, off[lo : hi + 1], lower=False)
-            keys, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
-            if len(self.keys) > self.most:
+            first, back = w.distinct()
+            if len(self.number) > self.most:
                 self._clear()
-            have = np.searchsorted(self.keys, keys)
-            known = (have < len(self.keys)) & (self.keys[np.minimum(have, len(self.keys) - 1)] == keys) if len(self.keys) else np.zeros(len(keys), bool)
-            if not known.all():
-                raw = w.bytes.tobytes()
-                new = first[~known]
-                self._learn(keys[~known], [raw[a:z].decode() for a, z in zip(w.start[new].tolist(), w.end[new].tolist())])
-            have = np.searchsorted(self.keys, keys)
-            at, size = self.at[have][back], self.size[have][back]
+            raw = w.bytes.tobytes()
+            words = [raw[a:z] for a, z in zip(w.start[first].tolist(), w.end[first].tolist())]
+            if new := [x for x in words if x not in self.number]:
+                self._learn(new)
+            number = np.fromiter((self.number[x] for x in words), np.int64, len(words))[back]
+            at, size = self.at[number], self.size[number]
             total = np.concatenate(([0], np.cumsum(size)))
-            flat = self.ids[np.repeat(at - total[:-1], size) + np.arange(total[-1])] if total[-1] else np.zeros(0, np.uint32)
-            cut = total[w.bounds()]
-            for a, z in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                yield flat[a:z]
+            take = np.repeat(at - total[:-1], size) + np.arange(total[-1])
+            flat, where = self.ids[take], None
+            cut = total[w.bounds()].tolist()
+            if self.with_starts:
+                chars = np.concatenate(([0], np.cumsum((w.bytes & 0xC0) != 0x80)))
+                begin = chars[w.start] - chars[w.off[w.row]]
+                where = np.repeat(begin, size) + self.starts[take]
+            for a, z in zip(cut[:-1], cut[1:]):
+                yield flat[a:z], where[a:z] if self.with_starts else None
 
 
 @functools.lru_cache(1)
-def word_tokens(path: str) -> WordTokens:
-    return WordTokens(path)
+def word_tokens(path: str, with_starts: bool) -> WordTokens:
+    return WordTokens(path, with_starts)
+
+
+def _loss_before(starts: np.ndarray, spans: list[tuple[int, int]] | None, chars: int) -> np.ndarray:
+    """Loss-bearing tokens before each token, the end id after the text included, and in all."""
+    at = np.concatenate([starts, [chars - 1]])
+    mask = np.zeros(len(at), bool)
+    for a, z in spans or ():
+        mask |= (at >= a) & (at < z)
+    return np.concatenate(([0], np.cumsum(mask)))
 
 
 class _Packer:
@@ -97,7 +143,9 @@ class _Packer:
 
     def __init__(self, limits: Limits, base: int):
         self.limits, self.next_id = limits, base
-        self.waiting: list[list] = []  # [doc_id, ids, start, doc_tokens]
+        self.per = 1 / np.array([limits.tokens, limits.segments, limits.loss_tokens], float) ** 2
+        self.waiting: list[list] = []  # [doc_id, ids, start, loss before each token]
+        self.rest = np.zeros((0, 2), np.int64)  # of each: tokens, loss-bearing tokens
         self.out: list[tuple] = []
         self._open()
 
@@ -105,82 +153,126 @@ class _Packer:
         self.left = np.array([self.limits.tokens, self.limits.segments, self.limits.loss_tokens], np.int64)
         self.offset, self.placed = 0, []
 
-    def _place(self, i: int, most: int) -> None:
-        doc, ids, start, total = self.waiting[i]
-        n = min(len(ids) - start, most)
-        self.placed.append((doc, ids[: start + n], start, total))
+    def _demands(self, room: int) -> np.ndarray:
+        """What each waiting example could place now: tokens and loss-bearing tokens."""
+        n, loss = self.rest[:, 0], self.rest[:, 1]
+        fits = np.minimum(n, room)
+        if (loss == n).all():  # every token bears loss
+            fits = np.minimum(fits, self.left[2])
+            return np.stack([fits, fits], axis=1)
+        out = np.stack([fits, np.minimum(loss, fits)], axis=1)
+        for i in np.flatnonzero((fits < n) | (loss > self.left[2])).tolist():
+            _, _, start, before = self.waiting[i]
+            stop = min(start + int(fits[i]), int(np.searchsorted(before, before[start] + self.left[2], "right")) - 1)
+            out[i] = stop - start, before[stop] - before[start]
+        return out
+
+    def _step(self, tokens: int) -> bool:
+        """Place the example whose demand has the largest dot product with what is left; whether one fitted."""
+        demand = self._demands(min(tokens, int(self.left[0])))
+        gain = self.per[0] * self.left[0] * demand[:, 0] + self.per[1] * self.left[1] + self.per[2] * self.left[2] * demand[:, 1]
+        gain[demand[:, 0] <= 0] = -1
+        i = int(np.argmax(gain))
+        n, loss = demand[i].tolist()
+        if n <= 0:
+            return False
+        doc, ids, start, before = self.waiting[i]
+        self.placed.append((doc, ids[: start + n], start, before))
         self.offset += n
-        self.left -= (n, 1, n)
+        self.left -= (n, 1, loss)
+        self.rest[i] -= (n, loss)
         if start + n == len(ids):
             self.waiting[i] = self.waiting[-1]
+            self.rest[i] = self.rest[-1]
             self.waiting.pop()
+            self.rest = self.rest[:-1]
         else:
             self.waiting[i][2] = start + n
+        if self.left[:2].min() <= 0 or (self.left[2] <= 0 and not len(self.waiting)):
+            self._close()
+        return True
 
     def _close(self) -> None:
         at = 0
-        for doc, ids, start, total in self.placed:
-            self.out.append((doc, start, len(ids) - start, zlib.crc32(ids[start:].astype("<u4").tobytes()), total, self.next_id, at))
-            at += len(ids) - start
+        for doc, ids, start, before in self.placed:
+            n = len(ids) - start
+            self.out.append((doc, start, n, zlib.crc32(ids[start:].astype("<u4").tobytes()), len(before) - 1, self.next_id, at, int(before[start + n] - before[start])))
+            at += n
         self.next_id += 1
         self._open()
 
-    def _step(self, tokens: int) -> None:
-        """Place one example, at most ``tokens`` long, where the dot product is largest."""
-        lim = (self.limits.tokens, self.limits.segments, self.limits.loss_tokens)
-        room = min(tokens, int(self.left[0]), int(self.left[2]))
-        size = np.minimum(np.fromiter((len(x[1]) - x[2] for x in self.waiting), float, len(self.waiting)), room)
-        gain = size * (self.left[0] / lim[0] ** 2 + self.left[2] / lim[2] ** 2) + self.left[1] / lim[1] ** 2
-        self._place(int(np.argmax(gain)), room)
-        if self.left.min() <= 0:
-            self._close()
+    def add(self, doc: int | None, ids: np.ndarray, before: np.ndarray, start: int = 0) -> None:
+        self.waiting.append([doc, ids, start, before])
+        self.rest = np.concatenate([self.rest, [[len(ids) - start, before[len(ids)] - before[start]]]])
 
-    def add(self, doc: int | None, ids: np.ndarray) -> None:
-        self.waiting.append([doc, ids, 0, len(ids)])
+    def drain(self) -> None:
+        """Place examples until the window has room again."""
         while len(self.waiting) > self.limits.window:
-            self._step(self.limits.tokens)
+            if not self._step(self.limits.tokens):
+                self._close()
 
     def finish(self) -> None:
         """Deal out what is left, the open sequence's pieces with it."""
-        self.waiting += [list(x) for x in self.placed]
+        placed = self.placed
         self._open()
-        full = min(self.limits.tokens, self.limits.loss_tokens)
+        for doc, ids, start, before in placed:
+            self.add(doc, ids, before, start)
         while self.waiting:
-            rest = sum(len(x[1]) - x[2] for x in self.waiting)
-            goal = full if rest >= full else 1 << (rest.bit_length() - 1)
+            rest = int(self.rest[:, 0].sum())
+            goal = self.limits.tokens if rest >= self.limits.tokens else 1 << (rest.bit_length() - 1)
             now = self.next_id
-            while self.next_id == now and self.offset < goal:
-                self._step(goal - self.offset)
-            if self.next_id == now:
+            while self.next_id == now and self.offset < goal and self.waiting:
+                if not self._step(goal - self.offset):
+                    break
+            if self.next_id == now and self.placed:
                 self._close()
 
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, limits: Limits = Limits()) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, limits: Limits = Limits(), loss: str | None = None) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
 
     A document's ids are those of its whole text without special tokens, then ``end_id``; a
-    null or empty text has the end id alone. All its tokens bear loss. Each id lies in one
-    piece; pieces of a sequence lie side by side from offset 0. sequence_id is the task's
-    number times 2^32 plus the count in the task. Repeated rows are packed as often as they
-    occur, a null doc_id stays null, and other columns are not read. Empty in, empty out.
+    null or empty text has the end id alone. ``loss`` names a column of code point ranges,
+    array<struct<start, stop>>: a token bears loss where its first character is in one, the
+    end id where the text's last character is; null and empty lists bear none. Without it all
+    tokens bear loss. Each id lies in one piece; pieces of a sequence lie side by side from
+    offset 0, and no sequence exceeds a limit. sequence_id is the task's number times 2^32 plus
+    the count in the task. Repeated rows are packed as often as they occur, a null doc_id
+    stays null, and other columns are not read. Empty in, empty out.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    spans = F.lit(None).cast("array<struct<start:long,stop:long>>")
+    if loss:
+        spans = F.transform(loss, lambda x: F.struct(x["start"].cast("long").alias("start"), x["stop"].cast("long").alias("stop")))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), spans.alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, tokens = _Packer(limits, TaskContext.get().partitionId() << 32), word_tokens(tokenizer)
+        packer, tokens = _Packer(limits, TaskContext.get().partitionId() << 32), word_tokens(tokenizer, bool(loss))
+        names = [f.split()[0] for f in SCHEMA.split(", ")]
+        counted = np.arange(1 << 16)
 
         def flush() -> pa.RecordBatch:
-            cols = list(zip(*packer.out)) if packer.out else [[]] * 7
+            cols = list(zip(*packer.out)) if packer.out else [[]] * len(names)
             packer.out = []
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], names=names)
 
         tail = np.array([end_id], np.uint32)
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), tokens.encode(*utf8(batch.column(1)))):
-                packer.add(doc, np.concatenate([ids, tail]))
+            texts = batch.column(1)
+            marks = batch.column(2).to_pylist() if loss else [None] * batch.num_rows
+            chars = pc.utf8_length(texts).fill_null(0).to_pylist() if loss else marks
+            for doc, (ids, starts), mark, size in zip(batch.column(0).to_pylist(), tokens.encode(*utf8(texts)), marks, chars):
+                ids = np.concatenate([ids, tail])
+                if loss:
+                    before = _loss_before(starts, [(x["start"], x["stop"]) for x in mark or ()], size)
+                else:
+                    while len(ids) >= len(counted):
+                        counted = np.arange(2 * len(counted))
+                    before = counted[: len(ids) + 1]
+                packer.add(doc, ids, before)
+                packer.drain()
                 if len(packer.out) > 10_000:
                     yield flush()
         packer.finish()

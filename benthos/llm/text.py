@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INV = pow(_P, -1, 1 << 64)
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_ODD, _KEY = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x2545F4914F6CDD1D)
+#: Words beyond this many bytes are hashed one by one with a cryptographic hash.
+LONG_WORD = 64
+#: The lowest i bytes of a lane of eight.
+_MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: dict[str, np.ndarray] = {}
 CHUNK_BYTES = 1 << 20
 
 
@@ -25,18 +28,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _table(base: int, n: int, name: str) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        have = np.full(size, base % (1 << 64), np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if size <= 8 * CHUNK_BYTES:
-            _powers[name] = have
-    return have
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column; null counts as empty."""
     column = column.fill_null("").cast(pa.large_string())
@@ -55,7 +46,13 @@ def chunks(off: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]
 
 
 class Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of some rows: byte spans, row of each, 64-bit hash."""
+    """Words ``[^\\x20\\x09-\\x0D]+`` of some rows: byte spans, row of each, 64-bit hash.
+
+    The hash mixes eight bytes at a time through a permutation that is not linear, so no two
+    words of up to eight bytes and one length share a hash, and no structure of longer words
+    makes them collide; words beyond LONG_WORD bytes take a keyed blake2b. ``distinct`` tells
+    words apart by their bytes, whatever their hashes are.
+    """
 
     def __init__(self, data: np.ndarray, off: np.ndarray, lower: bool = True):
         b = data[off[0] : off[-1]]
@@ -75,10 +72,64 @@ class Words:
         self.start = np.flatnonzero(~space & (before | first[:n]))
         self.end = np.flatnonzero(~space & (after | first[1:])) + 1
         self.row = np.searchsorted(off, self.start, "right") - 1
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _table(_P, n, "up")[:n], out=total[1:])
-        raw = (total[self.end] - total[self.start]) * _table(_P_INV, n + 1, "down")[self.start]
-        self.hash = mix(raw + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        self._padded = np.concatenate([b, np.zeros(8, np.uint8)])
+        self.hash = self._hashes()
+
+    def _lane(self, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Eight bytes from each position, those beyond ``left`` cleared."""
+        eight = np.ndarray(len(self._padded) - 7, "<u8", self._padded, strides=(1,))
+        return eight[at] & _MASK[np.minimum(left, 8)]
+
+    def _hashes(self) -> np.ndarray:
+        size = self.end - self.start
+        h = mix(size.astype(np.uint64) * _ODD + _KEY)
+        live, at, left = slice(None), self.start, size
+        for _ in range(LONG_WORD // 8):
+            h[live] = mix((h[live] ^ self._lane(at, left)) * _ODD + _KEY)
+            more = left > 8
+            if not more.any():
+                return h
+            live = np.flatnonzero(more) if isinstance(live, slice) else live[more]
+            at, left = at[more] + 8, left[more] - 8
+        for i in live.tolist():  # the few words beyond LONG_WORD bytes
+            h[i] = int.from_bytes(blake2b(self.bytes[self.start[i] : self.end[i]].tobytes(), digest_size=8, key=b"words").digest(), "little")
+        return h
+
+    def text(self, i: int) -> bytes:
+        return self.bytes[self.start[i] : self.end[i]].tobytes()
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first, back): an occurrence of each distinct word, and each occurrence's number among them.
+
+        Words are grouped by hash and then compared with the group's first word byte by byte;
+        words of one hash that differ are numbered apart.
+        """
+        _, first, back = np.unique(self.hash, return_index=True, return_inverse=True)
+        own, other = np.arange(len(back)), first[back]
+        size = self.end - self.start
+        odd = size != size[other]
+        live = np.flatnonzero(~odd & (own != other))
+        at = 0
+        while len(live):
+            left = size[live] - at
+            differs = self._lane(self.start[live] + at, left) != self._lane(self.start[other[live]] + at, left)
+            odd[live[differs]] = True
+            live = live[~differs & (left > 8)]
+            at += 8
+            if at >= LONG_WORD:
+                for i in live.tolist():
+                    odd[i] = self.text(i) != self.text(int(other[i]))
+                break
+        if odd.any():
+            known: dict[bytes, int] = {}
+            extra = []
+            for i in np.flatnonzero(odd).tolist():
+                if (w := self.text(i)) not in known:
+                    known[w] = len(first) + len(extra)
+                    extra.append(i)
+                back[i] = known[w]
+            first = np.concatenate([first, np.array(extra, first.dtype)])
+        return first, back
 
     def bounds(self) -> np.ndarray:
         """Index of each row's first word, and the end."""
@@ -86,7 +137,7 @@ class Words:
 
 
 def combine(acc: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return mix((acc ^ h) * np.uint64(0xFF51AFD7ED558CCD) + np.uint64(0x2545F4914F6CDD1D))
+    return mix((acc ^ h) * _ODD + _KEY)
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -112,3 +163,33 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> Iterator[np.ndarr
                 yield one
             else:
                 yield np.zeros(0, np.uint64)
+
+
+def shared_shingles(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the k-word shingle sets of all rows, and the overlaps of rows 0 and 1, 2 and 3, and so on.
+
+    No hash decides here: words are told apart by their bytes, and a shingle is the exact
+    sequence of its words' numbers. Rows of fewer words are one shingle, those without, none.
+    """
+    w = Words(data, off)
+    _, ids = w.distinct()
+    at = w.bounds()
+    count = np.diff(at)
+    known = int(ids.max()) + 1 if len(ids) else 1
+    m = max(0, len(ids) - k + 1)
+    seq = ids[:m].astype(np.int64)
+    for j in range(1, k):  # numbers of the distinct prefixes of j + 1 words
+        _, seq = np.unique(seq * known + ids[j : j + m], return_inverse=True)
+    inside = np.flatnonzero(w.row[:m] == w.row[k - 1 : k - 1 + m])
+    rows, seq, most = w.row[inside].astype(np.int64), seq[inside].astype(np.int64), len(ids) + 1
+    short: dict[tuple, int] = {}
+    less = np.flatnonzero((count > 0) & (count < k))
+    few = [short.setdefault(tuple(ids[at[r] : at[r] + count[r]].tolist()), most + len(short)) for r in less.tolist()]
+    rows, seq = np.concatenate([rows, less.astype(np.int64)]), np.concatenate([seq, np.array(few, np.int64)])
+    span = most + len(short) + 1
+    cells = np.unique(rows * span + seq)
+    rows, seq = cells // span, cells % span
+    sizes = np.bincount(rows, minlength=w.rows)
+    both = np.sort((rows // 2) * span + seq)
+    twice = both[1:][both[1:] == both[:-1]] // span
+    return sizes, np.bincount(twice, minlength=w.rows // 2)
