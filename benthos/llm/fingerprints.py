@@ -7,8 +7,9 @@ of the last four characters is larger than at any of the eight characters before
 so a piece has 17 characters on average in any script, with blanks or without, and an edit
 moves cuts only within a dozen characters. Text that repeats itself has no such place; there,
 pieces of 64 characters or a little more end where the hash is as large as any near it.
-Every cut keeps its characters: the leaves' texts, in order, are the whole text. Hashes go up from pieces to paragraphs, sections and the root, which is the
-fingerprint: equal roots mean equal texts. Two trees are compared from the root down;
+Every cut keeps its characters: the leaves' texts, in order, are the whole text. Hashes go up
+from pieces to paragraphs, sections and the root, which is the fingerprint: equal roots mean
+equal texts. Two trees are compared from the root down;
 equal branches are skipped and what differs locates an edit.
 """
 
@@ -19,11 +20,13 @@ from collections.abc import Iterator
 from hashlib import blake2b, sha256
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from benthos.session import materialize
+
 #: Characters that a hash covers, that a cut looks at on each side, and that are read at once.
 LAST, REACH, BLOCK = 4, 8, 1 << 20
 #: Pieces beyond LONG characters are cut again at LEAST or more.
@@ -157,38 +160,52 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
-#: Most buckets of neighbouring ids; beyond PER_BUCKET * MAX_BUCKETS rows the buckets grow instead.
-PER_BUCKET, MAX_BUCKETS = 20_000, 20_000
-
-
-def with_next(docs: DataFrame) -> DataFrame:
-    """Rows dealt into buckets of neighbouring doc_ids, each with the row that follows its last.
-
-    (bucket, guest, doc_id, text): guest 1 marks the following bucket's first row, which is
-    only there to be read; the last bucket's guest is the first row of all. Borders are
-    quantiles of the ids; the driver gets one row per bucket, MAX_BUCKETS at most.
-    """
-    n = docs.count()
-    k = min(MAX_BUCKETS, -(-n // PER_BUCKET))
-    borders = np.array(sorted({int(x) for x in docs.approxQuantile("doc_id", [i / k for i in range(1, k)], 1e-4)}) if k > 1 else [], np.int64)
-
-    @F.pandas_udf("int")
-    def bucket_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(borders, ids.to_numpy(), "right").astype(np.int32))
-
-    first = sorted((r[0], r[1]) for r in docs.select("doc_id").withColumn("bucket", bucket_of("doc_id")).groupBy("bucket").agg(F.min("doc_id")).collect())
-    host = pd.Series({doc: first[i - 1][0] for i, (_, doc) in enumerate(first)}, dtype="int64")
-
-    @F.pandas_udf("array<int>")
-    def seats(ids: pd.Series) -> pd.Series:
-        own = np.searchsorted(borders, ids.to_numpy(), "right")
-        guest = ids.map(host).fillna(-1).astype(int)
-        return pd.Series([[o] if g < 0 else [o, g] for o, g in zip(own.tolist(), guest.tolist())])
-
-    return docs.select("doc_id", "text", F.posexplode(seats("doc_id")).alias("guest", "bucket")).select("bucket", "guest", "doc_id", "text")
-
+#: Bytes of text that one task takes.
+PART_BYTES = 16 << 20
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edit_start long, edit_stop long"
+_EDGES = SCHEMA + ", part int, edge int, text string"
+
+
+def _compared(doc: int | None, text: str, tree: MerkleTree, following: str, following_tree: MerkleTree) -> tuple:
+    """The row of a document that is followed by another."""
+    new = edited(text, following)
+    new_tree = MerkleTree(new)
+    gone = differences(new_tree, tree)
+    return (
+        doc, len(text), sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), tree.fingerprint, new_tree.fingerprint,
+        likeness(tree, new_tree), likeness(tree, following_tree), gone[0][0] if gone else None, gone[-1][1] if gone else None,
+    )
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+    fields = [f.split() for f in schema.split(", ")]
+    cols = list(zip(*rows)) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[k]) for c, (_, k) in zip(cols, fields)], names=[n for n, _ in fields])
+
+
+def _within_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of all documents but each part's last; the part's first and last document as edges 1 and 2."""
+    part, before, ready = TaskContext.get().partitionId(), None, []
+    nothing = (None,) * 8
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            tree = MerkleTree(text)
+            ready.append((*_compared(*before, text, tree), None, None, None) if before else (doc, *nothing, part, 1, text))
+            before = doc, text, tree
+            if len(ready) >= 5000:
+                yield _batch(ready, _EDGES)
+                ready = []
+    if before:
+        ready.append((before[0], *nothing, part, 2, before[1]))
+    yield _batch(ready, _EDGES)
+
+
+def _across_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc, text, following in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            yield _batch([_compared(doc, text, MerkleTree(text), following, MerkleTree(following))], SCHEMA)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -196,36 +213,26 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The next document is the one that follows in ascending doc_id; after the last comes the
     first, and a lone document follows itself. Null text counts as empty. Rows that share a
-    doc_id follow one another in order of text; rows with null doc_id come before all others.
-    edit_start and edit_stop bound what the trees show as changed in the edited text (null if
-    nothing). Two empty texts have likeness 1. Other columns are not read. Empty in, empty out.
+    doc_id follow one another in order of their texts' hashes; rows with null doc_id come before
+    all others, in the same order. edit_start and edit_stop bound what the trees show as changed
+    in the edited text (null if nothing). Two empty texts have likeness 1. Other columns are not
+    read. Empty in, empty out.
+
+    Rows are dealt by ranges of that order, about PART_BYTES of text a part, so a doc_id that
+    repeats without end is spread as well. Each part compares its rows; only the last row of a
+    part and the first of the next meet in a second, small step.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "text")
-    seated = with_next(docs)
-    dealt = seated.repartition("bucket").sortWithinPartitions("bucket", "guest", "doc_id", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, ready = None, []
-
-        def flush() -> pa.RecordBatch:
-            cols = list(zip(*ready)) if ready else [[]] * 9
-            ready.clear()
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edit_start", "edit_stop"])
-
-        for batch in batches:
-            for bucket, guest, doc, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                tree = MerkleTree(text)
-                if before and before[0] == bucket:
-                    _, was, own, own_tree = before
-                    new = edited(own, text)
-                    new_tree = MerkleTree(new)
-                    gone = differences(new_tree, own_tree)
-                    ready.append((None if was == -(2**63) else was, len(own), sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), own_tree.fingerprint, new_tree.fingerprint, likeness(own_tree, new_tree), likeness(own_tree, tree), gone[0][0] if gone else None, gone[-1][1] if gone else None))
-                    if len(ready) >= 5000:
-                        yield flush()
-                before = None if guest else (bucket, doc, text, tree)
-        yield flush()
-
-    return dealt.mapInArrow(run, SCHEMA)
+    size = docs.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc(), F.col("seat").asc()]
+    placed = docs.withColumns({"tie": F.xxhash64("text"), "seat": F.monotonically_increasing_id()})  # the seat tells equal rows apart
+    dealt = placed.repartitionByRange(max(1, -(-size // PART_BYTES)), *order).sortWithinPartitions(*order).select("doc_id", "text")
+    made = materialize(dealt.mapInArrow(_within_parts, _EDGES), "fingerprints")
+
+    edges = made.where("edge is not null").select("part", "edge", "doc_id", "text")
+    parts = edges.where("edge = 1").select("part")  # a number per part
+    following = F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy()))
+    first = edges.where("edge = 1").select(F.col("part").alias("next"), F.col("text").alias("following"))
+    last = edges.where("edge = 2").select("part", "doc_id", "text").join(parts.select("part", following.alias("next")), "part").join(first, "next")
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
+    return made.where("edge is null").select(*names).unionByName(last.select("doc_id", "text", "following").mapInArrow(_across_parts, SCHEMA))

@@ -11,9 +11,11 @@ cells are padded to their column's width.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from unicodedata import combining, east_asian_width
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,11 +51,17 @@ IMPLIED = {
 }
 IMPLIED["thead"] = IMPLIED["tfoot"] = IMPLIED["tbody"]
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?|([^<]+|<)", re.S)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _DECLARATION = re.compile(r"(?:[^;\"'(]++|\"[^\"]*+\"|'[^']*+'|\([^)]*+\)|[\"'(])+")
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
+_NUMBER = re.compile(r"\s*([+-]?\d{1,8})")
+# inputs whose value a browser shows: as the label of a button, or as text
+BUTTONS = frozenset("submit button reset".split())
+UNREAD = frozenset("hidden password checkbox radio file color range image".split())
+#: Columns and rows that a cell may span.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 
 def _style(style: str) -> dict[str, str]:
@@ -230,21 +238,72 @@ class _Flow:
         return self.lines
 
 
-def _table(rows: list[list[list[str]]]) -> list[str]:
-    """Rows of cells (lines each) as text lines with aligned columns."""
-    rows = [r for r in rows if any(any(c) for c in r)]
-    width: list[int] = []
+def _width(s: str) -> int:
+    """Places that a text takes in a monospaced line: wide characters two, combining ones none."""
+    if s.isascii():
+        return len(s)
+    return sum(0 if combining(c) else 2 if east_asian_width(c) in "WF" else 1 for c in s)
+
+
+def _integer(node: Node, name: str, default: int) -> int:
+    m = _NUMBER.match(node.attributes.get(name, ""))
+    return int(m[1]) if m else default
+
+
+class _Cell:
+    __slots__ = ("lines", "columns", "rows")
+
+    def __init__(self, node: Node):
+        self.lines: list[str] = []
+        self.columns = min(MOST_COLUMNS, max(1, _integer(node, "colspan", 1)))
+        rows = _integer(node, "rowspan", 1)
+        self.rows = MOST_ROWS if rows == 0 else min(MOST_ROWS, max(1, rows))
+
+
+def _table(rows: list[list[_Cell]]) -> list[str]:
+    """Rows of cells as text lines with aligned columns; a cell that spans several is put in its first row and column."""
+    placed: list[list[tuple[int, _Cell]]] = []
+    taken: dict[int, int] = {}  # column: rows that a cell from above still takes
     for r in rows:
-        for i, c in enumerate(r):
-            w = max(map(len, c), default=0)
-            if i < len(width):
-                width[i] = max(width[i], w)
+        at, own, new = 0, [], []
+        for cell in r:
+            while at in taken:
+                at += 1
+            own.append((at, cell))
+            if cell.rows > 1:
+                new.append((at, cell))
+            at += cell.columns
+        taken = {c: k - 1 for c, k in taken.items() if k > 1}
+        for start, cell in new:
+            taken |= dict.fromkeys(range(start, start + cell.columns), cell.rows - 1)
+        placed.append(own)
+    placed = [r for r in placed if any(any(c.lines) for _, c in r)]
+    starts = sorted({at for r in placed for at, _ in r})  # columns in which no cell starts are not drawn
+    number = {at: i for i, at in enumerate(starts)}
+    end_of = lambda at, cell: bisect_left(starts, at + cell.columns)
+    width = [0] * len(starts)
+    spread = []
+    for r in placed:
+        for at, cell in r:
+            w, i, j = max(map(_width, cell.lines), default=0), number[at], end_of(at, cell)
+            if j - i > 1:
+                spread.append((j - i, i, j, w))
             else:
-                width.append(w)
+                width[i] = max(width[i], w)
+    for _, i, j, w in sorted(spread):
+        width[j - 1] += max(0, w - sum(width[i:j]) - 3 * (j - i - 1))
     out = []
-    for r in rows:
-        for k in range(max(map(len, r), default=0)):
-            out.append(" | ".join((c[k] if k < len(c) else "").ljust(width[i]) for i, c in enumerate(r)).rstrip(" "))
+    for r in placed:
+        for k in range(max(len(c.lines) for _, c in r)):
+            line, i = [], 0
+            for at, cell in r:
+                while i < number[at]:
+                    line.append(" " * width[i])
+                    i += 1
+                text, j = cell.lines[k] if k < len(cell.lines) else "", end_of(at, cell)
+                line.append(text + " " * (sum(width[i:j]) + 3 * (j - i - 1) - _width(text)))
+                i = j
+            out.append(" | ".join(line).rstrip(" "))
     return out
 
 
@@ -269,8 +328,12 @@ def render(root: Node) -> str:
         tag = node.tag
         if leaving:
             if tag in ("td", "th"):
-                cell = flows.pop().done()
-                tables[-1][-1].append(cell) if tables and tables[-1] else flows[-1].lines.extend(cell)
+                lines = flows.pop().done()
+                if tables and tables[-1]:
+                    tables[-1][-1].append(cell := _Cell(node))
+                    cell.lines = [x for x in lines if x] or [""]  # a cell keeps its lines together
+                else:
+                    flows[-1].lines.extend(lines)
             elif tag == "table":
                 flow = flows[-1]
                 for line in _table(tables.pop()):
@@ -314,9 +377,13 @@ def render(root: Node) -> str:
         if tag == "hr":
             flow.end(True)
             continue
-        if tag == "input" and not node.unseen and node.attributes.get("type", "text").lower() in ("submit", "button", "reset"):
-            flow.text(node.attributes.get("value", ""), False)
+        if tag == "input":
+            kind = node.attributes.get("type", "text").strip().lower()
+            if not node.unseen and kind not in UNREAD:
+                flow.text(node.attributes.get("value", "") or ("" if kind in BUTTONS else node.attributes.get("placeholder", "")), False)
             continue
+        if tag == "details" and "open" not in node.attributes:  # closed: its summary only
+            node.children = [x for x in node.children if isinstance(x, Node) and x.tag == "summary"][:1]
         if tag == "tr" and tables:
             tables[-1].append([])
         elif tag in ("td", "th") and tables:
@@ -330,14 +397,16 @@ def render(root: Node) -> str:
             tables.append([])
         elif tag in ("ul", "ol", "menu", "dir"):
             flow.end(not lists)
-            start = node.attributes.get("start", "1")
-            lists.append([tag, int(start) if start.isdigit() and len(start) < 9 else 1])
+            down = tag == "ol" and "reversed" in node.attributes
+            items = sum(isinstance(x, Node) and x.tag == "li" for x in node.children) if down else 1
+            lists.append([tag, _integer(node, "start", items), -1 if down else 1])
             flow.indent += 2 if tag != "ol" else 3
         elif tag == "li":
             flow.end()
             if lists and lists[-1][0] == "ol":
+                lists[-1][1] = _integer(node, "value", lists[-1][1])
                 flow.mark = "" if node.unseen else f"{lists[-1][1]}. "
-                lists[-1][1] += 1
+                lists[-1][1] += lists[-1][2]
             elif lists:
                 flow.mark = "" if node.unseen else "- "
         elif tag == "pre":

@@ -1,14 +1,17 @@
 """License scan with MinHash over overlapping windows (DataFrame operations only).
 
 Texts and templates become lower-case words of letters and digits and hashed shingles of
-five words. A window is four shingles in a row (fewer for a template that has fewer), one
-starting at every word. Its MinHash values under two orders, the smallest and the largest
-hash, are two bands of one row. A template has a window at every shingle too. A text that
-contains 80 % of a template's T shingles lacks T/5 of them at most, fewer than the T/4
-windows that do not overlap, so four in a row are whole somewhere; the text's window there
-has the same shingles and collides with certainty, and one with Jaccard J does with
-probability 1 - (1 - J)^2. Templates that
-are retrieved so are verified by exact containment of their shingles in the whole text.
+five words. A window is two shingles in a row (one for a template that has one), one starting
+at every word. Its MinHash values under two orders, the smallest and the largest hash, are
+two bands of one row. A template has a window at every shingle too. A text that contains the
+share ``threshold`` of a template's T shingles lacks ``T - ceil(threshold T)`` of them at
+most. From 0.8 up that is fewer than the floor(T / 2) windows that do not overlap, so two in
+a row are whole somewhere: the text's window there has the same shingles and collides with
+certainty. A window with Jaccard J collides with probability 1 - (1 - J)^2. Templates that are
+retrieved so are verified by exact containment of their shingles in the whole text.
+
+Templates are a parameter: license texts by name, such as the full texts of a collection.
+Their shingle hashes travel in the plan, 8 bytes each.
 """
 
 from __future__ import annotations
@@ -16,20 +19,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Wording of widely used license notices.
+# Wording of widely used license notices and of short licenses.
 TEMPLATES: dict[str, str] = {
     "apache-2.0-short": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "mit-short": "Released under the MIT License.",
     "mit-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
+    "mit-conditions": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "gpl-3.0-short": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "epl-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
     "bsd-notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "bsd-2-conditions": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-3-condition": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "cc-by-nc-4.0-short": "Licensed under CC BY-NC 4.0.",
     "cc-by-4.0-short": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-4.0-short": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc0-1.0-short": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
 
-SHINGLE, PROBE = 5, 4
+SHINGLE, PROBE = 5, 2
 
 
 def _shingled(rows: DataFrame, text: Column, *keep: str) -> DataFrame:
@@ -42,22 +59,19 @@ def _shingled(rows: DataFrame, text: Column, *keep: str) -> DataFrame:
     return words.select(*keep, F.when(F.size("words") >= SHINGLE, grams).otherwise(F.array().cast("array<bigint>")).alias("h"))
 
 
-def _bands(h: Column, width: int) -> Column:
-    """Band keys of all windows of ``width`` shingles."""
-    starts = F.when(F.size(h) >= width, F.sequence(F.lit(1), F.size(h) - (width - 1))).otherwise(F.array().cast("array<int>"))
-    if width == 1:
-        return h
-    return F.concat(F.transform(starts, lambda i: F.array_min(F.slice(h, i, width))), F.transform(starts, lambda i: F.array_max(F.slice(h, i, width))))
+def _bands(h: Column) -> Column:
+    """Band keys of all windows of two shingles: the smaller hash and the larger one."""
+    after = F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0)))
+    own = F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0)))
+    return F.concat(F.zip_with(own, after, lambda x, y: F.least(x, y)), F.zip_with(own, after, lambda x, y: F.greatest(x, y)))
 
 
 def license_templates(spark: SparkSession, templates: dict[str, str] | None = None) -> DataFrame:
     """(template, shingles, width, keys) of each template: a row per license text."""
-    rows = spark.createDataFrame(list((templates or TEMPLATES).items()), "template string, notice string")
-    h = _shingled(rows, F.col("notice"), "template").select("template", F.array_distinct("h").alias("shingles")).where(F.size("shingles") > 0).withColumn("width", F.least(F.size("shingles"), F.lit(PROBE)))
-    keys = F.when(F.col("width") == PROBE, _bands(F.col("shingles"), PROBE))
-    for w in range(1, PROBE):
-        keys = keys.when(F.col("width") == w, _bands(F.col("shingles"), w))
-    return h.withColumn("keys", F.array_distinct(keys))
+    rows = spark.createDataFrame(list((TEMPLATES if templates is None else templates).items()), "template string, notice string")
+    h = _shingled(rows, F.col("notice"), "template").select("template", "h", F.array_distinct("h").alias("shingles")).where(F.size("h") > 0)
+    h = h.withColumn("width", F.least(F.size("h"), F.lit(PROBE)))
+    return h.select("template", "shingles", "width", F.array_distinct(F.when(F.col("width") == PROBE, _bands(F.col("h"))).otherwise(F.col("h"))).alias("keys"))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
@@ -68,18 +82,22 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     doc_id and text are not read. Templates under five words are not looked for. Rows of a
     document come once per template. Empty in, empty out.
     """
+    if threshold < 0.8:
+        raise ValueError("two shingles in a row are certain to be whole from a threshold of 0.8 up only")
     known = license_templates(docs.sparkSession, templates).collect()  # one row per template, a parameter
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = _shingled(docs, F.coalesce("text", F.lit("")), "doc_id")
-    by_width: dict[int, set[int]] = {}
-    for t in known:
-        by_width.setdefault(t["width"], set()).update(t["keys"])
     longs = lambda x: F.array(*[F.lit(v) for v in x]).cast("array<bigint>")
-    hits = F.concat(*[F.array_intersect(_bands(F.col("h"), w), longs(sorted(k))) for w, k in sorted(by_width.items())]) if by_width else longs([])
-    found = texts.withColumn("hits", hits)
-    table = F.array(*[F.struct(F.lit(t["template"]).alias("template"), longs(t["shingles"]).alias("shingles"), longs(t["keys"]).alias("keys")) for t in known]) if known else None
-    if table is None:
+    if not known:
         return docs.sparkSession.createDataFrame([], "doc_id long, template string, n_shingles long, n_found long, containment double")
-    pairs = found.select("doc_id", "h", F.explode(F.filter(table, lambda t: F.arrays_overlap(t["keys"], F.col("hits")))).alias("t"))
+    hits = longs([])
+    for width, bands in ((1, F.col("h")), (PROBE, _bands(F.col("h")))):
+        keys = sorted({k for t in known if t["width"] == width for k in t["keys"]})
+        if keys:
+            hits = F.concat(hits, F.filter(bands, lambda x: x.isin(keys)))  # noqa: B023
+    found = texts.withColumn("hits", F.array_distinct(hits))
+    table = F.array(*[F.struct(F.lit(t["template"]).alias("template"), longs(t["shingles"]).alias("shingles"), longs(t["keys"]).alias("keys")) for t in known])
+    candidates = F.when(F.size("hits") > 0, F.filter(table, lambda t: F.arrays_overlap(t["keys"], F.col("hits"))))
+    pairs = found.select("doc_id", "h", F.explode(candidates).alias("t"))
     counted = pairs.select("doc_id", "t.template", F.size("t.shingles").cast("long").alias("n_shingles"), F.size(F.array_intersect("t.shingles", "h")).cast("long").alias("n_found"))
     return counted.where(F.col("n_found") >= threshold * F.col("n_shingles") - 1e-9).withColumn("containment", F.col("n_found") / F.col("n_shingles"))

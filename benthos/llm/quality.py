@@ -1,10 +1,11 @@
 """Quality classifier on supervised subword embeddings.
 
-A text's features are its words, whether each word repeats the one before, and the character
-n-grams of its bytes, hashed into one table of learned vectors. Their average goes through a softmax layer. Vectors and layer are
-trained together by stochastic gradient descent in numpy on a bounded sample of labelled
-rows. Scoring uses that the logit is linear in the average: each table row is reduced to
-its own logit once, so a text's score is the average of one number per feature.
+A text's features are its words, its pairs of neighbouring words and the n-grams of its
+characters (code points, across words), hashed into one table of learned vectors. Their average
+goes through a softmax layer. Vectors and layer are trained together by stochastic gradient
+descent in numpy on a bounded sample of labelled rows. Scoring uses that the logit is linear
+in the average: each table row is reduced to its own logit once, so a text's score is the
+average of one number per feature.
 """
 
 from __future__ import annotations
@@ -18,19 +19,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from benthos.llm.text import Words, chunks, utf8
+from benthos.llm.text import Words, chunks, combine, mix, utf8
 
 
 @dataclass(frozen=True)
 class QualitySpec:
     """sample: labelled rows used per class at most (picked by hash of doc_id); they are what reaches the driver."""
 
-    buckets: int = 1 << 16
+    buckets: int = 1 << 18
     dim: int = 8
-    grams: tuple[int, ...] = (3,)
+    words: int = 2
+    grams: tuple[int, ...] = (3, 4)
     sample: int = 1500
-    epochs: int = 12
-    rate: float = 0.5
+    epochs: int = 8
+    rate: float = 4.0
     seed: int = 7
 
 
@@ -45,31 +47,25 @@ class QualityModel:
         return (self.vectors @ (self.weights[:, 1] - self.weights[:, 0])).astype(np.float32)
 
 
-def features(data: np.ndarray, off: np.ndarray, spec: QualitySpec) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Per chunk of rows: feature buckets, row of each (ascending within a kind), rows."""
+def features(data: np.ndarray, off: np.ndarray, spec: QualitySpec) -> Iterator[tuple[list, list, int]]:
+    """Per chunk of rows: feature buckets of each kind, row of each (ascending within a kind), rows."""
     shift = np.uint64(64 - spec.buckets.bit_length() + 1)
     for lo, hi in chunks(off):
         w = Words(data, off[lo : hi + 1], lower=False)
-        ids = [((w.hash * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int32)]
-        rows = [w.row]
-        # word pairs: one feature where a word follows itself, another where it does not
-        low = Words(data, off[lo : hi + 1]).hash
-        pair = w.row[1:] == w.row[:-1]
-        ids.append(np.where(low[1:] == low[:-1], 0, 1).astype(np.int32)[pair])
-        rows.append(w.row[1:][pair])
-        b = w.bytes.astype(np.uint32)
-        row_of = np.repeat(np.arange(w.rows, dtype=np.int32), np.diff(w.off))
-        for n in spec.grams:
-            m = max(0, len(b) - n + 1)
-            g = np.zeros(m, np.uint32)
-            for j in range(n):
-                g |= b[j : j + m] << np.uint32(8 * j)
-            g = (g + np.uint32(n * 0x3C6EF372 & 0xFFFFFFFF)) * np.uint32(0x9E3779B1)
-            g ^= g >> np.uint32(15)
-            g *= np.uint32(0x85EBCA77)
-            inside = row_of[:m] == row_of[n - 1 : n - 1 + m]
-            ids.append((g >> np.uint32(32 - spec.buckets.bit_length() + 1)).astype(np.int32)[inside])
-            rows.append(row_of[:m][inside])
+        chars = np.frombuffer(w.bytes.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4").astype(np.uint64)
+        ends = np.concatenate(([0], np.cumsum((w.bytes & 0xC0) != 0x80)))[w.off]
+        row_of = np.repeat(np.arange(w.rows), np.diff(ends))
+        ids, rows = [], []
+        for longest, units, row in ((spec.words, w.hash, w.row), (max(spec.grams, default=0), mix(chars + np.uint64(1)), row_of)):
+            wanted = range(1, longest + 1) if units is w.hash else spec.grams
+            h = units
+            for n in range(1, longest + 1):
+                if n > 1:
+                    h = combine(h[: max(0, len(units) - n + 1)], units[n - 1 :])
+                if n in wanted:
+                    inside = row[: len(h)] == row[n - 1 : n - 1 + len(h)]
+                    ids.append((mix(h + np.uint64(n)) >> shift).astype(np.int64)[inside])
+                    rows.append(row[: len(h)][inside])
         yield ids, rows, w.rows
 
 
@@ -89,7 +85,8 @@ def train(docs: DataFrame, labels: DataFrame, spec: QualitySpec = QualitySpec(),
     """Fit on at most ``spec.sample`` labelled documents of each class.
 
     Labels other than 0 and 1 and rows with null ids are left out; a doc_id with several
-    labels counts with the lowest. Without any labelled document all scores are 0.5. Class
+    labels counts with the lowest, one that several rows share with the least of their texts.
+    Without any labelled document all scores are 0.5. Class
     weights bring the sample back to the labels' own proportions.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.min("y").alias("y"))
@@ -97,6 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, spec: QualitySpec = QualitySpec(),
     order = F.xxhash64("doc_id", F.lit(spec.seed))
     picked = known.where("y = 0").orderBy(order).limit(spec.sample).unionByName(known.where("y = 1").orderBy(order).limit(spec.sample))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    texts = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # one row per id, so the bound holds where ids repeat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,7 +128,7 @@ def fit(keys: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, share:
             p /= p.sum()
             p[int(y[i])] -= 1
             if n:
-                vectors[k] -= rate * np.outer(c / c.max(), weights @ p)
+                vectors[k] -= rate * np.outer(c / n, weights @ p)
             weights -= rate * np.outer(mean, p)
     return QualityModel(vectors.astype(np.float32), weights.astype(np.float32), bias.astype(np.float32), spec)
 

@@ -92,6 +92,11 @@ def test_sentencepiece_parity(spark, texts, docs, empty):
     broken = [[300, 229], [229, 132, 300], [1, 300, 2], [], [259]]
     assert codec.decode(broken) == codec.tokenizer.decode_batch(broken, skip_special_tokens=False)
     assert sentencepiece_codec.encode(empty, path).count() == 0
+    from benthos.llm import queries
+
+    table_rows = {r.doc_id: r for r in sentencepiece_codec.round_trips(own.unionByName(own.where("doc_id = 3")), path).collect()}
+    assert set(table_rows) == set(all_texts) and sentencepiece_codec.round_trips(own, path).count() == len(all_texts)
+    assert queries.op1_sentencepiece.__doc__
 
 
 def test_unigram_model_is_rebuilt(tmp_path):
@@ -153,6 +158,30 @@ def test_chat_template_that_rewrites_history():
     assert rewrites == [2, 3]
 
 
+def test_chat_windows_give_what_prefixes_give(spark):
+    def numbered(turns, open_role=None):
+        return "BOS" + "".join(f"{i}{r}:{t};" for i, (r, t) in enumerate(turns)) + (f"{len(turns)}{open_role}:" if open_role is not None else "")
+
+    def last_marked(turns, open_role=None):
+        return "".join(f"{r}:{t}{'!' if i == len(turns) - 1 else ';'}" for i, (r, t) in enumerate(turns)) + (f"{open_role}:" if open_role is not None else "")
+
+    def nine(turns, open_role=None):
+        return "".join(f"{r}:{t};" for r, t in turns[-9:]) + (f"{open_role}:" if open_role is not None else "")
+
+    rnd = random.Random(1)
+    for n in (0, 1, 3, 7, 30):
+        turns = [(rnd.choice(["user", "assistant"]), rnd.choice(["", "</s>x", "a b", "\\"])) for _ in range(n)]
+        for template in (chat.default_template, numbered, last_marked, nine):
+            assert chat.spans(turns, template) == chat.prefix_spans(turns, template)
+    # a long conversation takes work in proportion to its turns
+    calls = []
+    chat.spans([("user", "x")] * 3000, lambda turns, role=None: calls.append(len(turns)) or chat.default_template(turns, role))
+    assert sum(calls) < 100_000
+    rows = [(1, i, "user", "long " * 200_000 if i == 1 else "x") for i in range(40)]
+    made = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+    assert made.n_turns == 40 and not made.rewrites and len(made.formatted) > 1_000_000
+
+
 # ---- 3 ------------------------------------------------------------------------------------
 
 
@@ -273,6 +302,13 @@ def test_quality_learns_and_scores_all(spark):
     assert got[900].score == got[901].score == pytest.approx(134 / 202, abs=0.01)
     kept = {r.doc_id for r in quality.select_kept(docs, model).collect()}
     assert kept == {i for i, r in got.items() if r.predicted}
+    # ids that repeat a hundred times send one row each to the driver
+    import unittest.mock
+
+    with unittest.mock.patch.object(quality, "fit", side_effect=lambda keys, *_: len(keys)):
+        again = docs.where("doc_id < 4").crossJoin(spark.range(100).select(F.lit(1).alias("again")))
+        assert quality.train(again, labels.where("doc_id < 4"), quality.QualitySpec(sample=2)) == 4
+    assert quality.score(docs.where("false"), model).count() == 0 and quality.select_kept(docs.where("false"), model).count() == 0
     untaught = quality.train(docs, labels.where("false"), spec)
     assert {r.score for r in quality.score(docs, untaught).collect()} == {0.5}
 
@@ -420,6 +456,19 @@ def test_html(html, text):
         ("<p>a<svg><foreignObject><div>b</div></foreignObject></svg>c", "a\nb\nc"),
         ("<svg><g><p>out", "out"),
         ("so <math><mi> x </mi> <mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math>.", "so x= 1 2 ."),
+        # comments that end at once
+        ("a<!-->b<!--->c<!-- x --!>d", "abcd"),
+        # cells that span columns and rows, tables in cells, wide characters
+        ("<table><tr><td colspan=2>wide cell here<td>z<tr><td>a<td>b<td>c</table>", "wide cell here | z\na | b          | c"),
+        ("<table><tr><td rowspan=2>r<td>1<tr><td>2<tr><td>x<td>y</table>", "r | 1\n  | 2\nx | y"),
+        ("<table><tr><td>x<table><tr><td>in<td>q</table><td>y</table>", "x      | y\nin | q |"),
+        ("<table><tr><td>中文<td>b<tr><td>abcdef<td>c</table>", "中文   | b\nabcdef | c"),
+        ("<table><tr><td colspan=999999999>a<tr><td rowspan=0>b<td>c<tr><td>d</table>", "a\nb | c\n  | d"),
+        # what is folded away, list numbers, inputs
+        ("<details>no<summary>S</summary>no</details><details open><summary>T</summary>yes</details>", "S\nT\nyes"),
+        ("<ol reversed><li>a<li>b<li value=7>c</ol>", "3. a\n2. b\n7. c"),
+        ("<ol start=-2><li>a<li>b</ol>", "-2. a\n-1. b"),
+        ("a <input value=v> <input type=hidden value=n> <input placeholder=ph> <input type=submit value=Go>", "a v ph Go"),
         # an implied end far up
         ("<table><tr>" + "<div>" * 20 + "<td>a<tr><td>b</table>", "a\nb"),
     ],
@@ -428,6 +477,42 @@ def test_html_all_visible_text(html, text):
     assert html_text.extract(html) == text
 
 
+def test_html_against_a_page_that_knows_its_text():
+    """Random pages are written together with the lines a reader should see."""
+    rnd = random.Random(11)
+
+    def block(depth):
+        """(html, lines) of one block; list marks and table bars are left out of the lines."""
+        word = lambda: "".join(rnd.choice("abcdé&<") for _ in range(rnd.randint(1, 5)))
+        shown = lambda s: s.replace("&", "&amp;").replace("<", "&lt;")
+        kind = rnd.choice(["p", "inline", "hidden", "ul", "table", "div", "pre"] if depth else ["p", "inline", "hidden"])
+        if kind in ("p", "inline"):
+            ws = [word() for _ in range(rnd.randint(1, 6))]
+            marked = [rnd.choice(["{}", "<b>{}</b>", "<a href='x>y'>{}</a>", "<span><i>{}</i></span>", "{}<!-- c -->", "{}<script>if (a<b) '</p>'</script>"]).format(shown(w)) for w in ws]
+            inside = rnd.choice([" ", "\n  "]).join(marked)
+            return (f"<p>{inside}" + rnd.choice(["", "</p>"]) if kind == "p" else f"<div>{inside}</div>"), [" ".join(ws)]
+        if kind == "hidden":
+            return rnd.choice(["<div hidden>{}</div>", "<p style='display:none'>{}</p>", "<style>{}</style>", "<template>{}</template>", "<!-- {} -->"]).format("secret"), []
+        parts = [block(depth - 1) for _ in range(rnd.randint(1, 3))]
+        if kind == "ul":
+            parts = [([word()], None) for _ in parts]
+            end = rnd.choice(["", "</li>"])
+            return "<ul>" + "".join(f"<li>{shown(w[0])}{end}" for w, _ in parts) + "</ul>", [w[0] for w, _ in parts]
+        if kind == "table":
+            cells = [[word() for _ in range(2)] for _ in parts]
+            return "<table>" + "".join("<tr>" + "".join(f"<td>{shown(w)}" for w in r) for r in cells) + "</table>", [" ".join(r) for r in cells]
+        if kind == "pre":
+            rows = [word() for _ in parts]
+            return "<pre>" + "\n".join(map(shown, rows)) + "</pre>", rows
+        return "<div>" + "".join(h for h, _ in parts) + "</div>", [x for _, ls in parts for x in ls]
+
+    for _ in range(300):
+        made = [block(3) for _ in range(rnd.randint(1, 5))]
+        got = html_text.extract("<html><head><title>t</title></head><body>" + "".join(h for h, _ in made) + "</body></html>")
+        lines = [re.sub(r"\s*\|\s*", " ", re.sub(r"^ *- ", "", x)).strip() for x in got.split("\n")]
+        assert [x for x in lines if x] == [x for _, ls in made for x in ls]
+
+
 def test_html_depth_and_nulls(spark):
     deep = "<div>" * 5000 + "x" + "</div>" * 5000
     df = spark.createDataFrame([(1, deep, "u"), (2, None, "u"), (None, "<p>a", "u"), (2, "<table>" * 50 + "q", "u")], "page_id long, html string, text string")
@@ -527,36 +612,79 @@ def test_license_scan(spark, empty):
     mit, gpl = licenses.TEMPLATES["mit-notice"], licenses.TEMPLATES["gpl-3.0-notice"]
     filler = " ".join(f"w{i}" for i in range(200))
     rows = [(1, f"{filler} {mit} {filler}"), (2, f"x {gpl.replace('either version 3', 'version three').upper()} y"), (3, "Released under the MIT License."), (4, None), (5, ""), (6, "four words only here"), (7, filler), (8, mit[: len(mit) // 2]), (None, "released UNDER\nthe mit license")]
-    got = {(r.doc_id, r.template): r.containment for r in licenses.scan_licenses(docs_frame(spark, rows)).collect()}
+    # templates of five to fifteen shingles that lack as many as they may, in the worst places
+    short = {f"t{n}": " ".join(f"t{n}x{i}" for i in range(n + 4)) for n in range(1, 17)}
+    for n in range(1, 17):
+        words = short[f"t{n}"].split()
+        for place in range(len(words)):
+            rows.append((100 * n + place, "see " + " ".join([*words[:place], "other", *words[place + 1 :]]) + " there"))
+        rows.append((100 * n + 50, " ".join([*words, "and", *words, "again"])))
+    templates = licenses.TEMPLATES | short
+    got = {(r.doc_id, r.template): r.containment for r in licenses.scan_licenses(docs_frame(spark, rows), templates).collect()}
     norm = lambda s: [w for w in re.split(r"[^\w]+|_", s.lower()) if w]
     grams = lambda s: {tuple(w[i : i + 5]) for w in [norm(s)] for i in range(len(w) - 4)}
     want = {}
     for i, t in rows:
-        for name, notice in licenses.TEMPLATES.items():
+        for name, notice in templates.items():
             c = len(grams(notice) & grams(t or "")) / len(grams(notice))
             if c >= 0.8:
                 want[i, name] = pytest.approx(c)
     assert got == want and (2, "gpl-3.0-notice") in want and (None, "mit-short") in want
-    assert licenses.scan_licenses(empty).count() == 0
+    twice = docs_frame(spark, [(1, mit), (1, mit), (None, mit), (2, "x " * 100_000 + mit)])
+    assert [(r.doc_id, r.n_found == r.n_shingles) for r in licenses.scan_licenses(twice).orderBy("doc_id").collect()] == [(None, True), (1, True), (1, True), (2, True)]
+    assert licenses.scan_licenses(empty).count() == 0 and licenses.scan_licenses(twice, {}).count() == 0
 
 
 # ---- 10 -----------------------------------------------------------------------------------
 
 
-def test_fingerprints(texts, docs, empty, monkeypatch):
-    monkeypatch.setattr(fingerprints, "PER_BUCKET", 7)  # several buckets, with guests across borders
-    got = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
-    order = [t or "" for _, t in texts]
-    assert len(got) == len(texts)
-    for i, t in enumerate(order):
-        nxt = order[(i + 1) % len(order)]
+def fingerprint_rows(rows):
+    """What fingerprints() should say of (doc_id, text) rows in their order, from plain lists of leaves."""
+    out = []
+    for n, (doc, t) in enumerate(rows):
+        t, nxt = t or "", rows[(n + 1) % len(rows)][1] or ""
         k = len(t) // 2
         new = t[: len(t) - k] + nxt[:k]
-        assert (got[i].n_chars, got[i].edited_sha256) == (len(t), sha256(new.encode()).hexdigest())
-        assert got[i].fingerprint == fingerprints.MerkleTree(t).fingerprint and got[i].edited_fingerprint == fingerprints.MerkleTree(new).fingerprint
-        assert (got[i].fingerprint == got[i].edited_fingerprint) == (t == new)
-        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+
+        def likeness(a, b):
+            if a == b:
+                return 1.0
+            if not a and not b:
+                return 1.0
+            trees, common = [fingerprints.MerkleTree(a), fingerprints.MerkleTree(b)], 0
+            left, right = ([(s[0], s[1], s[2]) for s in x.sections] for x in trees)
+            for level in range(3):
+                for x in list(left):
+                    same = [y for y in right if y[0] == x[0]]
+                    if same:
+                        common += x[1]
+                        left.remove(x)
+                        right.remove(same[0])
+                if level < 2:
+                    left, right = ([y for x in side for y in x[2]] for side in (left, right))
+            return 2 * common / (len(a) + len(b))
+
+        out.append((doc, len(t), sha256(new.encode()).hexdigest(), fingerprints.MerkleTree(t).fingerprint, fingerprints.MerkleTree(new).fingerprint, round(likeness(t, new), 9), round(likeness(t, nxt), 9)))
+    return out
+
+
+def told(df):
+    return [(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in df.collect()]
+
+
+def test_fingerprints(spark, texts, docs, empty, monkeypatch):
+    monkeypatch.setattr(fingerprints, "PART_BYTES", 3000)  # several parts, whose borders are crossed
+    usual = [(i, t) for i, t in texts if len(t or "") < 10_000]
+    assert sorted(told(fingerprints.fingerprints(docs.where(F.coalesce(F.length("text"), F.lit(0)) < 10_000)))) == sorted(fingerprint_rows(usual))
     assert fingerprints.fingerprints(empty).count() == 0
+    edge = [(-(2**63), "first"), (-(2**63) + 1, "x"), (2**53 + 1, "y"), (2**53 + 2, None), (2**63 - 2, "a b"), (2**63 - 1, "last")]
+    assert sorted(told(fingerprints.fingerprints(docs_frame(spark, edge)))) == sorted(fingerprint_rows(edge))
+    monkeypatch.setattr(fingerprints, "PART_BYTES", 300)
+    rows = docs_frame(spark, [(7, f"text {i % 9}") for i in range(60)] + [(None, "n"), (None, "n"), (None, None), (9, "z")])
+    order = [(r.doc_id, r.text) for r in rows.withColumn("tie", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy(F.asc_nulls_first("doc_id"), "tie").collect()]
+    assert sorted(told(fingerprints.fingerprints(rows)), key=str) == sorted(fingerprint_rows(order), key=str)
+    lone = told(fingerprints.fingerprints(docs_frame(spark, [(3, "alone here")])))
+    assert lone == fingerprint_rows([(3, "alone here")])
 
 
 def test_merkle_tree_covers_the_text_and_locates_edits():
@@ -600,6 +728,20 @@ def test_leaves_are_cut_by_content(monkeypatch):
 # ---- pipeline -----------------------------------------------------------------------------
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept_id long, keep_id int, component_id string, bucket int, __p int"
+    rows = [(1, "a b c d e f", "en", None, 11, 9, 9, "x", 1, 1)] * 2 + [(2, "a  b c d e f", "en", None, 12, 9, 9, "x", 1, 1), (None, None, None, None, None, None, None, None, None, None), (3, "", None, None, 0, 1, 1, "", 0, 0)]
+    odd = spark.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd, sf).count() >= 0
+        assert stage(spark, odd.where("false"), sf).count() == 0
+    kept = corpus_pipeline.exact_stage(spark, odd, sf)
+    assert kept.columns == corpus_pipeline.COLUMNS and sorted(r.doc_id or 0 for r in kept.collect()) == [2, 3]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
