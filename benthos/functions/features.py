@@ -1,8 +1,8 @@
-"""Model features, bins, qualifiers and report labels as Column functions, with their queries."""
+"""Model features, bins, qualifiers and report labels as Column functions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,33 +29,130 @@ def effect_features(level: Column, masked: frozenset[str] = frozenset()) -> dict
 def toxicity_bin(value: Column, bins: list[tuple[str, float | None, float | None]]) -> Column:
     """Name of the bin with low <= value < high (None: open)."""
     out = F.lit(None).cast("string")
-    for name, low, high in bins:
+    for name, low, high in reversed(bins):
         inside = value.isNotNull() & (F.lit(True) if low is None else value >= low) & (F.lit(True) if high is None else value < high)
-        out = F.coalesce(out, F.when(inside, name))
+        out = F.when(inside, name).otherwise(out)
     return out
 
 
+def assign_toxicity_bin(family: Column, value: Column, weight: Column, scheme: dict[str, dict], unsupported: tuple[str, ...] = (), multiplier: float = 1.0, tolerance: float = 0.0) -> dict[str, Column]:
+    """label, status, standard_value, conversion and boundary_flag by the rule of the row's unit family.
+
+    ``scheme`` has per family: enabled, bins (name, low, high) and needs_weight, whether the value is
+    in mol and is brought to mass by the molecular weight. The first reason that applies is the
+    status: no rule, a rule that is off, no value, no weight, a value that is not positive, no
+    bin; else active. boundary_flag: within a relative ``tolerance`` of a bound, for active rows.
+    """
+    inf = float("inf")
+    label = standard = conversion = status = F.lit(None)
+    near = F.lit(False)
+    for name, rule in scheme.items():
+        own = family == name
+        mass = rule.get("needs_weight", False)
+        v = F.when((weight > 0) & (weight < inf), value * weight * 1000) if mass else value
+        bins = [(n, None if a is None else a * multiplier, None if b is None else b * multiplier) for n, a, b in rule["bins"]]
+        found = toxicity_bin(v, bins)
+        close = F.lit(False)
+        for bound in sorted({x for _, a, b in bins for x in (a, b) if x}):
+            close = close | (F.abs(v - bound) <= tolerance * bound)
+        if not rule.get("enabled", True):
+            status = F.when(own, "disabled_for_aux_loss").otherwise(status)
+            continue
+        why = F.when(value.isNull() | F.isnan(value), "missing_standard_value")
+        why = why.when(v.isNull(), "missing_molecular_weight") if mass else why
+        why = why.when((v <= 0) | (v == inf), "non_positive_or_invalid_standard_value").when(found.isNull(), "no_matching_bin").otherwise("active")
+        status, standard = F.when(own, why).otherwise(status), F.when(own, v).otherwise(standard)
+        label, near = F.when(own & (why == "active"), found).otherwise(label), (own & (why == "active") & close) | near
+        conversion = F.when(own, "mol_to_mass" if mass else "none").otherwise(conversion)
+    status = F.when(family.isin(*unsupported), F.lit(None)).otherwise(status) if unsupported else status
+    return {"label": F.when(status == "active", label), "status": F.coalesce(status, F.lit("no_authoritative_threshold")), "standard_value": standard, "conversion": conversion, "boundary_flag": F.coalesce(near, F.lit(False)) & F.coalesce(status == "active", F.lit(False))}
+
+
+def short_hours(value: Column, unit: Column) -> Column:
+    """Hours of a duration in h, d or min; null for other units."""
+    key = F.lower(F.trim(unit))
+    factor = F.lit(None).cast("double")
+    for name, f in SHORT_HOURS.items():
+        factor = F.when(key == name, f).otherwise(factor)
+    return value * factor
+
+
+def log_hours(value: Column, unit: Column) -> Column:
+    """log1p of the hours of a short duration."""
+    return F.log1p(short_hours(value, unit))
+
+
 def censor_operator(*ops: Column) -> Column:
     """The first inequality among the qualifiers."""
     return F.coalesce(*[F.when(F.trim(o).isin("<", ">", "<=", ">="), F.trim(o)) for o in ops])
 
 
+def censor_direction(op: Column) -> Column:
+    """left for an upper limit of the concentration (<, <=), right for a lower one; null without an inequality."""
+    return F.when(op.isin("<", "<="), "left").when(op.isin(">", ">="), "right")
+
+
 def exact_reason(op: Column, value: Column) -> Column:
     """Why a row is no strict point; NULL if it is one."""
     q = F.trim(F.coalesce(op, F.lit("")))
     return F.when(value.isNull(), "missing_value").when(q.isin("", "=", "=="), None).when(q == "~", "approximate").when(q.isin("<", ">", "<=", ">="), "censored").otherwise("unknown_qualifier")
 
 
-def condition_key(values: Column) -> Column:
-    """Sorted distinct exact values as a JSON list; UNKNOWN for none, the value's text for one."""
-    v = F.array_sort(F.array_distinct(F.array_compact(values)))
-    return F.when(F.size(v) == 0, "UNKNOWN").when(F.size(v) == 1, F.get(v, F.lit(0)).cast("string")).otherwise(F.to_json(v))
-
-
-def back_transform(pred: Column, weight: Column, rmse: float) -> dict[str, Column]:
-    """mol/L and mg/L of a prediction of -log10(mol/L), with bounds of 1.96 errors."""
-    mol = lambda p: F.pow(F.lit(10.0), -p)
-    return {"mol_l": mol(pred), "mg_l": mol(pred) * weight * 1000, "mg_l_low": mol(pred + 1.96 * rmse) * weight * 1000, "mg_l_high": mol(pred - 1.96 * rmse) * weight * 1000}
+def condition_key(values: Column, exact: bool = False, applies: Column | None = None) -> Column:
+    """Sorted distinct values: the value's text for one, a JSON list for several, UNKNOWN for none.
+
+    ``exact``: numbers are keyed by the text of their double, also in the list, so equal keys are
+    equal bits. Where ``applies`` is false the condition does not exist: NA.
+    """
+    v = F.array_sort(F.array_distinct(F.array_compact(F.transform(values, lambda x: x.cast("double")) if exact else values)))
+    text = F.transform(v, lambda x: x.cast("string"))
+    key = F.when(F.size(v) == 0, "UNKNOWN").when(F.size(v) == 1, F.get(text, F.lit(0))).otherwise(F.to_json(text if exact else v))
+    key = F.coalesce(key, F.lit("UNKNOWN"))
+    return key if applies is None else F.when(applies, key).otherwise("NA")
+
+
+def route_head(head: Column, family: Column, mode: str) -> Column:
+    """The head itself, or with the target family (``head__family``); a missing family leaves the head alone."""
+    if mode == "task_head":
+        return head
+    if mode == "task_head_target_family":
+        return F.concat_ws("__", head, F.nullif(F.trim(family), F.lit("")))
+    raise ValueError(f"unknown head mode {mode}")
+
+
+def stage_contract(contract: Column, actual: dict[str, Column], legacy: tuple[str, ...] = ()) -> dict[str, Column]:
+    """(contract map, mismatches, state) of a ``k=v|k=v`` text against the row's own values.
+
+    mismatches: the keys whose value differs or is missing, in order. state: ok, legacy (only
+    ``legacy`` keys differ: such rows are dropped and counted) or mismatch (an error for the caller).
+    """
+    said = F.str_to_map(F.coalesce(contract, F.lit("")), F.lit("\\|"), F.lit("="))
+    wrong = F.array_compact(F.array(*[F.when(~F.coalesce(said[k] == v.cast("string"), F.lit(False)), k) for k, v in actual.items()]))
+    state = F.when(F.size(wrong) == 0, "ok").when(F.size(F.array_except(wrong, F.array(*map(F.lit, legacy)) if legacy else F.array().cast("array<string>"))) == 0, "legacy").otherwise("mismatch")
+    return {"contract": said, "mismatches": wrong, "state": state}
+
+
+def molar_shift(target: Column, weight: Column) -> Column:
+    """-log10 of mol/kg from -log10 of mg/kg: 3 + log10(molecular weight) more."""
+    return target + 3 + F.log10(weight)
+
+
+def back_transform(pred: Column, family: Column, weight: Column, rmse: float, most: float = 1e12) -> dict[str, Column]:
+    """mol_l, mg_l and mg_kg of a prediction, each with _low and _high at 1.96 errors; null where a unit does not apply.
+
+    Water families predict -log10(mol/L) or -log10(mg/L), soil -log10(mol/kg) or -log10(mg/kg), oral
+    -log10(mg/kg/d). Mass and moles need a positive weight. Values are clamped to at most ``most``.
+    """
+    sides = {"": F.lit(0.0), "_low": F.lit(1.96 * rmse), "_high": F.lit(-1.96 * rmse)}
+    w = F.when(weight > 0, weight)
+    out: dict[str, Column] = {}
+    clamp = lambda x: F.when(x.isNotNull(), F.least(F.lit(most), x))
+    for name, shift in sides.items():
+        raw = F.pow(F.lit(10.0), -(pred + shift))
+        mol, mg = F.when(family == "water_mol_l", raw).when(family == "water_mg_l", raw / (1000 * w)), F.when(family == "water_mg_l", raw).when(family == "water_mol_l", raw * w * 1000)
+        kg = F.when(family.isin("soil_mg_kg", "oral_mg_kg_d"), raw).when(family == "soil_mol_kg", raw * w * 1000)
+        out |= {f"mol_l{name}": clamp(mol), f"mg_l{name}": clamp(mg), f"mg_kg{name}": clamp(kg)}
+    return out
 
 
 def domain_label(chem: Column, species: Column) -> Column:
@@ -71,50 +168,50 @@ def durations_agree(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= F.greatest(F.lit(0.05), 0.002 * F.greatest(F.abs(a), F.abs(b)))
 
 
-def confidence_label(support: Column, chem: Column, species: Column) -> Column:
-    return F.when((support >= 0.70) & chem & species, "high").when((support >= 0.45) & (chem | species), "medium").otherwise("low")
-
-
-def medium_rule(text: Column) -> Column:
-    """train or test by medium words: whole tokens first, then substrings, else unknown."""
-    tokens = F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+")
-    train, test = F.array(F.lit("water"), F.lit("aquatic")), F.array(F.lit("soil"), F.lit("sediment"))
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.when(F.arrays_overlap(tokens, train), "train").when(F.arrays_overlap(tokens, test), "test").when(low.contains("aqua"), "train").when(low.contains("soil"), "test").otherwise("unknown")
-
-
-_BINS = [("very_toxic", None, 10.0), ("toxic", 10.0, 40.0), ("harmful", 40.0, 80.0), ("low", 80.0, None)]
-_RBF = ", ".join(f"round(exp(-0.35 * pow(ln(1 + l_quantity) - ln(1 + {c}.0), 2)), 9) AS duration_rbf_{c}h" for c in CENTERS)
-_ID = ["l_orderkey", "l_linenumber"]
-
-QUERIES = {
-    "b29_duration_features": (lambda t: t("lineitem").select(*_ID, *[F.round(v, 9).alias(k) for k, v in duration_features(F.col("l_quantity")).items()]),
-        f"SELECT l_orderkey, l_linenumber, round(ln(1 + l_quantity), 9) AS duration_log1p_h, round(sqrt(l_quantity), 9) AS duration_sqrt_h, round(1 / (1 + ln(1 + l_quantity)), 9) AS duration_inv_log1p_h, {_RBF} FROM lineitem"),
-    "b30_effect_features": (lambda t: t("lineitem").select(*_ID, *[F.round(v, 9).alias(k) for k, v in effect_features(F.when(F.col("l_linenumber") % 2 == 1, F.col("l_quantity")), frozenset(["effect_share"])).items()]),
-        "SELECT l_orderkey, l_linenumber, x AS effect_level, CAST(0 AS DOUBLE) AS effect_share, round(ln(1 + x), 9) AS effect_log1p, CAST(l_linenumber % 2 AS DOUBLE) AS effect_present FROM (SELECT *, CAST(CASE WHEN l_linenumber % 2 = 1 THEN l_quantity ELSE 0 END AS DOUBLE) AS x FROM lineitem)"),
-    "b31_toxicity_bin": (lambda t: t("lineitem").select(*_ID, toxicity_bin(F.col("l_extendedprice") / 1000, _BINS).alias("bin"), (F.col("l_extendedprice") / 1000).isin(10.0, 40.0, 80.0).alias("on_boundary")),
-        "SELECT l_orderkey, l_linenumber, CASE WHEN v < 10 THEN 'very_toxic' WHEN v < 40 THEN 'toxic' WHEN v < 80 THEN 'harmful' ELSE 'low' END AS bin, v IN (10, 40, 80) AS on_boundary FROM (SELECT *, l_extendedprice / 1000 AS v FROM lineitem)"),
-    "b32_censor_operator": (lambda t: t.sql("SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN ' < ' WHEN 'R' THEN '~' END AS a, CASE WHEN l_linestatus = 'O' THEN '>=' END AS b FROM lineitem").select(*_ID, censor_operator(F.col("a"), F.col("b")).alias("op"), F.when(censor_operator(F.col("a"), F.col("b")).startswith("<"), "left").when(censor_operator(F.col("a"), F.col("b")).isNotNull(), "right").alias("direction")),
-        "SELECT l_orderkey, l_linenumber, op, CASE WHEN op LIKE '<%' THEN 'left' WHEN op IS NOT NULL THEN 'right' END AS direction FROM (SELECT *, CASE WHEN l_returnflag = 'A' THEN '<' WHEN l_linestatus = 'O' THEN '>=' END AS op FROM lineitem)"),
-    "b37_exact_qualifier": (lambda t: t.sql("SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN '<' WHEN 'R' THEN '~' ELSE CASE WHEN l_linenumber = 2 THEN '??' END END AS op, CASE WHEN l_linenumber <> 3 THEN l_quantity END AS v FROM lineitem").select(*_ID, exact_reason(F.col("op"), F.col("v")).alias("reason")),
-        "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN 'missing_value' WHEN l_returnflag = 'A' THEN 'censored' WHEN l_returnflag = 'R' THEN 'approximate' WHEN l_linenumber = 2 THEN 'unknown_qualifier' END AS reason FROM lineitem"),
-    "b41_condition_key": (lambda t: t("lineitem").groupBy("l_orderkey").agg(condition_key(F.collect_list(F.when(F.col("l_quantity") > 10, F.col("l_quantity").cast("int")))).alias("condition_key")),
-        "SELECT l_orderkey, CASE WHEN len(v) = 0 THEN 'UNKNOWN' WHEN len(v) = 1 THEN CAST(v[1] AS VARCHAR) ELSE CAST(to_json(v) AS VARCHAR) END AS condition_key FROM (SELECT l_orderkey, coalesce(list_sort(list(DISTINCT CAST(l_quantity AS INTEGER)) FILTER (WHERE l_quantity > 10)), []) AS v FROM lineitem GROUP BY l_orderkey)"),
-    "b42_head_routing": (lambda t: t("part").select("p_partkey", F.concat_ws("__", "p_type", "p_brand").alias("route_head")), "SELECT p_partkey, p_type || '__' || p_brand AS route_head FROM part"),
-    "b43_stage_contract": (lambda t: t("part").select("p_partkey", F.str_to_map(F.concat(F.lit("brand="), F.col("p_brand"), F.lit("|size="), F.col("p_size")), F.lit("\\|"), F.lit("=")).alias("m")).select("p_partkey", F.col("m")["size"].cast("int").alias("size"), (F.col("m")["brand"] == "Brand#11").alias("matches")),
-        "SELECT p_partkey, p_size AS size, p_brand = 'Brand#11' AS matches FROM part"),
-    "b44_single_target_dimension": (lambda t: t("lineitem").groupBy("l_orderkey").agg(F.countDistinct("l_returnflag").alias("dimensions"), (F.countDistinct("l_returnflag") <= 1).alias("single")), "SELECT l_orderkey, count(DISTINCT l_returnflag) AS dimensions, count(DISTINCT l_returnflag) <= 1 AS single FROM lineitem GROUP BY l_orderkey"),
-    "b45_medium_transfer": (lambda t: t.sql("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'Fresh Water' WHEN 1 THEN 'aquaculture' WHEN 2 THEN 'Soil/dry' WHEN 3 THEN 'topsoil' WHEN 4 THEN NULL ELSE 'air' END AS m FROM events").select("event_id", medium_rule(F.col("m")).alias("split_part")),
-        "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'train' WHEN 1 THEN 'train' WHEN 2 THEN 'test' WHEN 3 THEN 'test' ELSE 'unknown' END AS split_part FROM events"),
-    "b48_molar_shift": (lambda t: t("part").select("p_partkey", F.round(-F.log10(F.col("p_retailprice") / 7) + 3 + F.log10("p_retailprice"), 9).alias("molar")), "SELECT p_partkey, round(-log10(p_retailprice / 7) + 3 + log10(p_retailprice), 9) AS molar FROM part"),
-    "b49_back_transform": (lambda t: t("part").select("p_partkey", *[F.round(v, 9).alias(k) for k, v in back_transform(F.log10("p_retailprice"), F.col("p_size").cast("double"), 0.5).items()]),
-        "SELECT p_partkey, round(pow(10, -log10(p_retailprice)), 9) AS mol_l, round(pow(10, -log10(p_retailprice)) * p_size * 1000, 9) AS mg_l, round(pow(10, -(log10(p_retailprice) + 0.98)) * p_size * 1000, 9) AS mg_l_low, round(pow(10, -(log10(p_retailprice) - 0.98)) * p_size * 1000, 9) AS mg_l_high FROM part"),
-    "b50_domain_label": (lambda t: t("customer").select("c_custkey", domain_label(F.col("c_acctbal") > 0, F.col("c_nationkey") > 12).alias("label")),
-        "SELECT c_custkey, CASE WHEN c_acctbal > 0 AND c_nationkey > 12 THEN 'in_domain' WHEN c_acctbal > 0 THEN 'species_out_of_domain' WHEN c_nationkey > 12 THEN 'chemical_out_of_domain' ELSE 'out_of_domain' END AS label FROM customer"),
-    "b51_level_label": (lambda t: t("part").select("p_partkey", level_label(F.when(F.col("p_size") % 3 != 0, F.col("p_size") / 2)).alias("label")),
-        "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'none' WHEN p_size % 2 = 0 THEN CAST(p_size // 2 AS VARCHAR) ELSE CAST(p_size // 2 AS VARCHAR) || '.5' END AS label FROM part"),
-    "b52_duration_tolerance": (lambda t: t("lineitem").select(*_ID, durations_agree(F.col("l_quantity"), F.col("l_quantity") + F.col("l_discount")).alias("agree")),
-        "SELECT l_orderkey, l_linenumber, abs(l_quantity - (l_quantity + l_discount)) <= greatest(0.05, 0.002 * greatest(abs(l_quantity), abs(l_quantity + l_discount))) AS agree FROM lineitem"),
-    "b54_confidence_label": (lambda t: t("customer").select("c_custkey", confidence_label(F.col("c_nationkey") / 25, F.col("c_acctbal") > 0, F.col("c_custkey") % 2 == 0).alias("label")),
-        "SELECT c_custkey, CASE WHEN c_nationkey / 25.0 >= 0.7 AND c_acctbal > 0 AND c_custkey % 2 = 0 THEN 'high' WHEN c_nationkey / 25.0 >= 0.45 AND (c_acctbal > 0 OR c_custkey % 2 = 0) THEN 'medium' ELSE 'low' END AS label FROM customer"),
-}
+def join_durations(a: DataFrame, b: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
+    """Pairs of rows with equal keys whose durations agree, joined on keys and a cell of the duration.
+
+    Cells are half of an hour up to 50 h and half a percent wide beyond, wider than any tolerance,
+    so a row meets its own cell and the two beside it only.
+    """
+    size = lambda c: F.abs(F.col(c))
+    cell = lambda c: (F.when(size(c) < 50, F.floor(size(c) * 2)).otherwise(100 + F.floor(F.log(size(c) / 50) / 0.005)) * F.signum(F.col(c)) * 1.0).cast("long")
+    spread = b.where(F.col(right).isNotNull()).withColumn("__c", F.explode(F.array(cell(right) - 1, cell(right), cell(right) + 1)))
+    met = a.where(F.col(left).isNotNull()).withColumn("__c", cell(left)).join(spread, [*keys, "__c"])
+    return met.where(durations_agree(F.col(left), F.col(right))).drop("__c")
+
+
+def confidence_label(support: Column, chem: Column, species: Column, task_seen: Column) -> Column:
+    """high, medium or low by support and domain; without a support by the domain alone."""
+    inside = chem & species
+    known = F.when((support >= 0.70) & inside & task_seen, "high").when(support >= 0.45, "medium").otherwise("low")
+    return F.when(support.isNotNull(), known).when(inside & task_seen, "high").when(inside, "medium").otherwise("low")
+
+
+def domain_warning(chem: Column, species: Column, task_seen: Column) -> Column:
+    """One of five states of extrapolation."""
+    return F.when(chem & species & task_seen, "in_domain").when(chem & species, "task_extrapolation").when(~chem & ~species, "chemical_and_species_extrapolation").when(~chem, "chemical_extrapolation").otherwise("species_extrapolation")
+
+
+def medium_text(curated: Column, *others: Column) -> Column:
+    """The curated domain alone where it is a known one, else all that is there, in lower case and joined by blanks."""
+    low = F.lower(F.trim(curated))
+    parts = [F.nullif(F.lower(F.trim(c)), F.lit("")) for c in others]
+    return F.when(low.isin("aquatic", "soil", "sediment", "solid", "terrestrial_nonsoil"), low).otherwise(F.concat_ws(" ", *parts))
+
+
+def medium_part(text: Column, train: tuple[str, ...], test: tuple[str, ...], unknown: str = "excluded") -> Column:
+    """train or test by medium words: whole tokens (test first), then substrings, then common words, else ``unknown``.
+
+    Tokens are split at blanks, underscores counting as hyphens, and also at ``:`` and before ``/``.
+    """
+    if unknown not in ("train", "valid", "test", "excluded"):
+        raise ValueError("unknown must be train, valid, test or excluded")
+    t = F.coalesce(text, F.lit(""))
+    hyphen = F.replace(t, F.lit("_"), F.lit("-"))
+    tokens = F.array_union(F.split(hyphen, r"\s+"), F.split(F.replace(F.replace(hyphen, F.lit(":"), F.lit(" ")), F.lit("/"), F.lit(" /")), r"\s+"))
+    words = lambda names: F.array(*[F.lit(n.lower()) for n in names])
+    inside = lambda names: F.exists(words(names), lambda n: F.contains(t, n))
+    part = F.when(t == "", unknown).when(F.arrays_overlap(tokens, words(test)), "test").when(F.arrays_overlap(tokens, words(train)), "train")
+    part = part.when(inside(test), "test").when(inside(train), "train")
+    return part.when(t.contains("water") | t.contains("aquatic"), "train").when(t.contains("soil") | t.contains("sediment"), "test").otherwise(unknown)

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from benthos.plans.registry import pick
-
 # Fixed values, in the order tried: rule, medium, labels, confidence, accepted,
 # then what it looks for: words in the group; phyla; classes; families; orders; word anywhere.
 # An order narrows the rule; all others widen it.
@@ -32,6 +30,10 @@ RULES = [
     ("aquatic_insect_order", "aquatic", "aquatic;amphibious", 0.70, False, "insects/spiders", "", "insecta arachnida entognatha diplopoda chilopoda", "", "ephemeroptera plecoptera trichoptera odonata", ""),
     ("arthropod_broad_terrestrial", "terrestrial", "terrestrial", 0.64, False, "insects/spiders", "", "insecta arachnida entognatha diplopoda chilopoda", "", "", ""),
 ]
+# Voted habitats and their media, in the order of ties; of a vote (tests at least,
+# share at least, confidence: base, slope by share, most; status).
+VOTED = {"Water": "aquatic", "Soil": "soil", "Non-Soil": "terrestrial"}
+VOTE_BANDS = ((5, 0.70, 0.74, 0.20, 0.95, "accepted"), (2, 0.60, 0.60, 0.18, 0.82, "review_recommended"))
 COLUMNS = ("ecotox_group", "phylum_division", "class", "family", "tax_order")
 
 
@@ -59,25 +61,42 @@ def habitat_by_taxonomy(df: DataFrame) -> DataFrame:
     return out.drop(*[c for c in out.columns if c.startswith("__")])
 
 
-_GROUPS = ["Fish", "Algae, moss", None, "Crustaceans", "Flowers, Trees, Shrubs, Ferns", "Birds", "Insects/Spiders", "Worms", "Mammals", "", "Amphibians", "Reptiles", "Fungi"]
-_PHYLA = ["Cnidaria", None, "Rotifera", "Nematoda", "Arthropoda", "Mollusca", "Annelida", "Chordata", "Ascomycota"]
-_CLASSES = ["Bivalvia", "Errantia", None, "Insecta", "Clitellata", "Cephalopoda", "Scaphopoda", "Aves", "Polychaeta", "Odd", "Arachnida"]
-_FAMILIES = ["Chironomidae", None, "Lumbricidae", "Other", "Tubificidae"]
-_ORDERS = ["Odonata", None, "Diptera"]
-INPUT = f"SELECT p_partkey, {pick('p_partkey', _GROUPS)} AS ecotox_group, {pick('p_partkey * 5 + p_size', _PHYLA)} AS phylum_division, {pick('p_partkey * 3 + p_size', _CLASSES)} AS class, CASE WHEN p_size % 6 = 0 THEN {pick('p_partkey', _FAMILIES)} END AS family, {pick('p_size', _ORDERS)} AS tax_order FROM part"
+def habitat_vote(tests: DataFrame, species: str, habitat: str) -> DataFrame:
+    """(species, habitat, share, total, confidence, status): the medium of most tests, ties in the order Water, Soil, Non-Soil.
+
+    Five tests with a share of 0.70 are accepted, two with 0.60 are for review; less is no
+    evidence: habitat, confidence and status are null. Tests without one of the three habitats
+    do not vote; a species without votes has no row.
+    """
+    votes = tests.groupBy(species).agg(*[F.count_if(F.col(habitat) == h).alias(f"__{i}") for i, h in enumerate(VOTED)])
+    total, top = sum((F.col(f"__{i}") for i in range(1, len(VOTED))), F.col("__0")), F.greatest(*[f"__{i}" for i in range(len(VOTED))])
+    medium = F.coalesce(*[F.when(F.col(f"__{i}") == top, m) for i, m in enumerate(VOTED.values())])
+    d = votes.select(species, medium.alias("__m"), total.alias("total"), top.alias("__top")).where("total > 0").withColumn("share", F.col("__top") / F.col("total"))
+    confidence, status = F.lit(None).cast("double"), F.lit(None).cast("string")
+    for least, share, base, slope, most, name in reversed(VOTE_BANDS):
+        hit = (F.col("total") >= least) & (F.col("share") >= share)
+        confidence = F.when(hit, F.round(F.least(F.lit(most), base + F.col("share") * slope), 3)).otherwise(confidence)
+        status = F.when(hit, name).otherwise(status)
+    return d.select(species, F.when(confidence.isNotNull(), F.col("__m")).alias("habitat"), "share", "total", confidence.alias("confidence"), status.alias("status"))
 
 
-def _case() -> str:
-    inside = lambda c, members: f"{c} IN ({', '.join(repr(m) for m in members.split())})"
-    out = []
-    for i, (*_, group, phyla, classes, families, orders, word) in enumerate(RULES):
-        any_of = [inside(c, m) for c, m in (("ph", phyla), ("cl", classes), ("fm", families)) if m] + ([f"contains(gr, '{group}')"] if group else []) + ([f"contains(al, '{word}')"] if word else [])
-        out.append(f"WHEN ({' OR '.join(any_of)})" + (f" AND {inside('od', orders)}" if orders else "") + f" THEN {i}")
-    return "CASE " + " ".join(out) + " END"
+def habitat_decision(all_species: DataFrame, species: str, vote: DataFrame, taxonomy: DataFrame, external: DataFrame, threshold: float) -> DataFrame:
+    """(species, habitat, confidence, source, total): the vote, else taxonomy, else nothing known (unresolved).
+
+    External evidence replaces what is less sure than ``threshold``, if it is at least as sure.
+    Each source has (species, habitat, confidence), one row per species at most; the vote also
+    has total. total is the number of votes, 0 without any.
+    """
+    d = all_species.select(species)
+    for name, source in (("v", vote), ("t", taxonomy), ("e", external)):
+        d = d.join(source.select(species, F.col("habitat").alias(f"__{name}"), F.col("confidence").alias(f"__{name}c"), *(["total"] if name == "v" else [])), species, "left")
+    first, sure = F.coalesce("__v", "__t"), F.when(F.col("__v").isNotNull(), F.col("__vc")).otherwise(F.col("__tc"))
+    source = F.when(F.col("__v").isNotNull(), "vote").when(F.col("__t").isNotNull(), "taxonomy").otherwise("unresolved")
+    known = F.coalesce(sure, F.lit(0.0))
+    outside = F.col("__e").isNotNull() & (known < threshold) & (F.col("__ec") >= known)
+    return d.select(species, F.when(outside, F.col("__e")).otherwise(first).alias("habitat"), F.when(outside, F.col("__ec")).otherwise(sure).alias("confidence"), F.when(outside, "external").otherwise(source).alias("source"), F.coalesce("total", F.lit(0)).alias("total"))
 
 
-_LIST = lambda j: "[" + ", ".join(repr(r[j]) for r in RULES) + "]"
-SQL = f"""WITH i AS ({INPUT}), l AS (SELECT p_partkey, lower(coalesce(ecotox_group, '')) AS gr, lower(coalesce(phylum_division, '')) AS ph, lower(coalesce(class, '')) AS cl, lower(coalesce(family, '')) AS fm, lower(coalesce(tax_order, '')) AS od FROM i),
-a AS (SELECT *, gr || ' ' || ph || ' ' || cl || ' ' || fm || ' ' || od AS al FROM l), w AS (SELECT p_partkey, {_case()} AS w FROM a)
-SELECT p_partkey, coalesce({_LIST(0)}[w + 1], 'unknown_no_reliable_evidence') AS habitat_rule, coalesce({_LIST(1)}[w + 1], 'unknown') AS habitat, coalesce({_LIST(2)}[w + 1], 'unknown') AS habitat_labels, CAST(coalesce({_LIST(3)}[w + 1], 0) AS DOUBLE) AS habitat_confidence,
- CASE WHEN w IS NULL THEN 'needs_external_review' WHEN {_LIST(4)}[w + 1] THEN 'accepted' ELSE 'review_recommended' END AS habitat_status FROM w"""
+def decision_report(decided: DataFrame) -> DataFrame:
+    """(source, habitat, n, mean_confidence) of decisions."""
+    return decided.groupBy("source", "habitat").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"))

@@ -126,15 +126,25 @@ def recency_weight(year: Column, latest: Column, decay: float = 0.8, least: floa
     return F.when(year.isNull() | latest.isNull(), least).otherwise(F.greatest(F.lit(least), F.least(F.lit(1.0), F.pow(F.lit(decay), older / 5.0))))
 
 
-def duration_bin(hours: Column) -> tuple[Column, Column]:
-    """(bin, rule): half hours from 24 h, tenths from 1 h, hundredths below; ties go to the even digit.
+def round_binary(x: Column, digits: int) -> Column:
+    """A non-negative double rounded to decimals by its exact binary value; a tie goes to the even digit.
 
-    Halves of a double are exact. Tenths and hundredths are rounded on the decimal text of
-    the double, where a tie may differ from rounding the binary value.
+    Which side of the half a value lies on is decided without rounding: the double is split in
+    two halves of 26 bits, whose products with the power of ten are exact.
     """
+    scale = float(10**digits)
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    k = F.floor(x * scale).cast("double")
+    side = (high * scale - (k + 0.5)) + (x - high) * scale
+    return F.when(side > 0, k + 1).when(side < 0, k).otherwise(k + k % 2) / scale
+
+
+def duration_bin(hours: Column) -> tuple[Column, Column]:
+    """(bin, rule): half hours from 24 h, tenths from 1 h, hundredths below; exact ties go to the even digit."""
     size = F.abs(hours)
     rule = F.when(hours.isNull(), "missing_duration").when(size >= 24, "round_0.5h_ge_24h").when(size >= 1, "round_0.1h_1_to_24h").otherwise("round_0.01h_lt_1h")
-    return F.when(size >= 24, F.bround(hours * 2, 0) / 2).when(size >= 1, F.bround(hours, 1)).otherwise(F.bround(hours, 2)), rule
+    sign = F.when(hours < 0, -1.0).otherwise(1.0)
+    return F.when(size >= 24, F.bround(hours * 2, 0) / 2).when(size >= 1, sign * round_binary(size, 1)).otherwise(sign * round_binary(size, 2)), rule
 
 
 def stable_id(prefix: str, *parts: Column) -> Column:

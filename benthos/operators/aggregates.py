@@ -6,31 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from benthos.functions.text_rules import recency_weight
-from benthos.operators.splits import global_rank, hash_key
-
-
-def null_safe_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join on keys where null equals null; b's keys are dropped."""
-    other = b.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in b.columns if c not in keys])
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return a.join(other, on, "left").drop(*[f"__{k}" for k in keys])
+from benthos.operators.ranks import global_rank, null_safe_join, quantiles
+from benthos.operators.splits import hash_key
+from benthos.session import materialize
 
 
 def strict_merge(rows: DataFrame, keys: list[str], value: str, ids: str) -> DataFrame:
     """Rows equal in every key (null equals null) as one: median, mean, sample deviation (0 for one row), count, range, ids."""
-    return rows.groupBy(*keys).agg(
-        F.percentile(value, 0.5).alias("target_median"), F.avg(value).alias("target_mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("target_std"),
+    return quantiles(
+        rows, keys, value, {"target_median": 0.5}, F.avg(value).alias("target_mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("target_std"),
         F.count(value).alias("target_count"), F.min(value).alias("target_min"), F.max(value).alias("target_max"), F.array_sort(F.collect_list(ids)).alias("result_ids"),
-    )
+    )  # the id list is the result asked for: as long as the rows that are equal in all keys
 
 
 def robust_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Per group: n, median, median absolute deviation, mean, population deviation."""
-    first = rows.groupBy(*keys).agg(F.count(value).alias("qc_n"), F.percentile(value, 0.5).alias("qc_median"), F.avg(value).alias("qc_mean"), F.stddev_pop(value).alias("qc_std"))
-    spread = null_safe_join(rows, first, keys).groupBy(*keys).agg(F.percentile(F.abs(F.col(value) - F.col("qc_median")), 0.5).alias("qc_mad"))
-    return null_safe_join(first, spread, keys)
+    rows = materialize(rows.select(*keys, value), "robust")  # read three times below
+    first = quantiles(rows, keys, value, {"qc_median": 0.5}, F.count(value).alias("qc_n"), F.avg(value).alias("qc_mean"), F.stddev_pop(value).alias("qc_std"))
+    first = materialize(first, "robust-median")
+    off = null_safe_join(rows, first.select(*keys, "qc_median"), keys).withColumn("__off", F.abs(F.col(value) - F.col("qc_median")))
+    return null_safe_join(first, quantiles(off, keys, "__off", {"qc_mad": 0.5}), keys)
 
 
 def robust_screen(rows: DataFrame, keys: list[str], value: str, min_n: int = 50, limit: float = 4.0, stats: DataFrame | None = None) -> DataFrame:
@@ -56,7 +51,8 @@ def recency_weights(rows: DataFrame, keys: list[str], year: str) -> DataFrame:
 
 def reference_merge(rows: DataFrame, keys: list[str], value: str, reference: str, test: str, conflict_above: float = 0.3) -> DataFrame:
     """Two levels: median per (reference, test), then weighted mean, deviation, range and conflict flag per key."""
-    raw = rows.groupBy(*keys).agg(F.count(value).alias("n_rows"), F.percentile(value, 0.5).alias("unweighted_median"), F.countDistinct(reference).alias("n_references"), F.countDistinct(test).alias("n_tests"))
+    rows = materialize(rows.select(*keys, value, reference, test, "reference_weight"), "merge")  # read three times below
+    raw = quantiles(rows, keys, value, {"unweighted_median": 0.5}, F.count(value).alias("n_rows"), F.countDistinct(reference).alias("n_references"), F.countDistinct(test).alias("n_tests"))
     unit_keys = [*keys, reference, test]
     units = rows.groupBy(*unit_keys).agg(F.percentile(value, 0.5).alias("u"), F.avg("reference_weight").alias("w"))
     total, plain = F.sum("w"), F.avg("u")
@@ -130,10 +126,9 @@ def cluster_bootstrap(cells: DataFrame, replicates: int, seed: int) -> DataFrame
     clusters = cells.select("cluster").distinct()
     # numbers 0..P-1 in hash order, ranked in buckets
     numbered = global_rank(clusters.withColumn("__k", hash_key(seed, "cluster")), "__k").select("cluster", F.col("rank").alias("number"))
-    size = clusters.agg(F.count("*").alias("p"))
-    draws = cells.sparkSession.range(replicates).withColumnRenamed("id", "replicate").crossJoin(F.broadcast(size))
-    draws = draws.select("replicate", "p", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("j"))
-    pick = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "replicate", "j"), 256), 1, 8), 16, 10).cast("bigint") % F.col("p")
+    p = clusters.count()
+    draws = cells.sparkSession.range(replicates * p).select(F.expr(f"id div {p}").alias("replicate"), (F.col("id") % p).alias("j"))  # over many tasks
+    pick = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "replicate", "j"), 256), 1, 8), 16, 10).cast("bigint") % p
     weights = draws.groupBy("replicate", pick.alias("number")).agg(F.count("*").alias("m")).join(numbered, "number")
     heads = cells.select("head").distinct().agg(F.count("*").alias("h"))
     per = weights.join(cells, "cluster").groupBy("replicate", "head").agg(F.sum(F.col("m") * F.col("n")).alias("n"), F.sum(F.col("m") * F.col("s")).alias("s"))

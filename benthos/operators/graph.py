@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from benthos.session import materialize
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(node, component)`` for every node on an edge; component is the smallest node reachable.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014): each round is
@@ -24,13 +24,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         "components",
     )
     state = _state(now)
-    for _ in range(max_rounds):
+    while True:
         now = materialize(_small_star(_large_star(now)), "components")
         state, before = _state(now), state
         if state == before:
             break
-    else:
-        raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,40 +11,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _moments(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """n and all pairwise sums of products of 1 and the columns, per key: what least squares needs."""
-    terms = [F.lit(1.0), *[F.col(c) for c in columns]]
-    sums = [F.sum(terms[i] * terms[j]).alias(f"s_{i}_{j}") for i in range(len(terms)) for j in range(i, len(terms))]
-    return rows.groupBy(*keys).agg(*sums) if keys else rows.agg(*sums)
+def _gram(rows: DataFrame, columns: list[str]) -> np.ndarray:
+    """Sums of products of (1, columns...) over all rows; each task sends one matrix, entry by entry."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(columns) + 1,) * 2)
+        for pdf in batches:
+            x = np.column_stack([np.ones(len(pdf)), pdf.to_numpy(float)])
+            total += x.T @ x
+        i, j = np.indices(total.shape)
+        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s": total.ravel()})
 
-def _matrix(row: dict, k: int) -> np.ndarray:
-    m = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            m[i, j] = m[j, i] = row[f"s_{i}_{j}"]
-    return m
+    cells = rows.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop().mapInPandas(run, "i int, j int, s double")
+    out = np.zeros((len(columns) + 1,) * 2)
+    for r in cells.groupBy("i", "j").agg(F.sum("s").alias("s")).collect():  # columns squared
+        out[r["i"], r["j"]] = r["s"]
+    return out
 
 
 def linear_baselines(rows: DataFrame, features: list[str], min_train: int = 50, ridge: float = 1e-6) -> DataFrame:
     """(head, status, n_test, mae, rmse): ridge regression per head, fitted on sums of products.
 
-    The sums are one row per head, so every head is solved on the driver from a table of
-    heads times features squared; rows never leave the executors. Heads with fewer training
-    rows are skipped with a reason.
+    Rows never leave their tasks: sums of products are one row per head, and each head is solved
+    where its sums are. Heads with fewer training rows are skipped with a reason.
     """
     p = len(features) + 1
-    fitted = []
-    for r in (x.asDict() for x in _moments(rows.where("split_part = 'train'"), ["head"], [*features, "target"]).collect()):
-        if r["s_0_0"] < min_train:
-            fitted.append((r["head"], f"train_samples_lt_{min_train}", None))
-            continue
-        m = _matrix(r, p + 1)
-        w = np.linalg.solve(m[:p, :p] + ridge * np.eye(p), m[:p, p])
-        fitted.append((r["head"], "fitted", [float(x) for x in w]))
-    spark = rows.sparkSession
-    weights = spark.createDataFrame(fitted, "head string, status string, w array<double>")
-    test = rows.where("split_part = 'test'").join(F.broadcast(weights), "head", "right")
+    terms = [F.lit(1.0), *[F.col(c) for c in [*features, "target"]]]
+    pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+    sums = rows.where("split_part = 'train'").groupBy("head").agg(F.array(*[F.sum(terms[i] * terms[j]) for i, j in pairs]).alias("sums"))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for head, s in zip(pdf["head"], pdf["sums"]):
+                m = np.zeros((p + 1, p + 1))
+                for (i, j), v in zip(pairs, s):
+                    m[i, j] = m[j, i] = v
+                few = m[0, 0] < min_train
+                w = None if few else np.linalg.solve(m[:p, :p] + ridge * np.eye(p), m[:p, p]).tolist()
+                out.append((head, f"train_samples_lt_{min_train}" if few else "fitted", w))
+            yield pd.DataFrame(out, columns=["head", "status", "w"])
+
+    weights = sums.mapInPandas(solve, f"head {dict(rows.dtypes)['head']}, status string, w array<double>")
+    test = rows.where("split_part = 'test'").join(weights, "head", "right")
     pred = F.col("w")[0]
     for i, c in enumerate(features):
         pred = pred + F.col("w")[i + 1] * F.col(c)
@@ -51,22 +61,66 @@ def linear_baselines(rows: DataFrame, features: list[str], min_train: int = 50,
     return test.groupBy("head", "status").agg(F.count(e).alias("n_test"), F.round(F.avg(F.abs(e)), 4).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 4).alias("rmse"))
 
 
-def leverage(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(id, h, cutoff, outside): x' (X'X)^+ x on standardized columns, X from the training rows, cutoff 3p/n."""
-    p = len(columns)
-    s = _moments(rows.where("train"), [], columns).first().asDict()
-    m = _matrix(s, p + 1)
-    n, mean = m[0, 0], m[0, 1:] / m[0, 0]
-    cov = m[1:, 1:] / n - np.outer(mean, mean)
+def tree_baselines(rows: DataFrame, features: str, learner: str = "forest", min_train: int = 50, seed: int = 7) -> DataFrame:
+    """(head, status, n_test, mae, rmse): a random forest, boosted trees or an elastic net per eligible head.
+
+    ``features`` is an array column. Heads are fitted one after another, each on all executors;
+    their list is a table of heads.
+    """
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+
+    makers = {
+        "forest": lambda: RandomForestRegressor(featuresCol="x", labelCol="target", numTrees=50, maxDepth=8, seed=seed),
+        "boosting": lambda: GBTRegressor(featuresCol="x", labelCol="target", maxIter=40, maxDepth=4, seed=seed),
+        "elastic_net": lambda: LinearRegression(featuresCol="x", labelCol="target", regParam=0.01, elasticNetParam=0.5),
+    }
+    d = rows.select("head", "target", "split_part", array_to_vector(features).alias("x"))
+    counts = d.groupBy("head").agg(F.count_if(F.col("split_part") == "train").alias("n")).orderBy("head").collect()  # a row per head
+    out = rows.sparkSession.createDataFrame([(r["head"], f"train_samples_lt_{min_train}") for r in counts if r["n"] < min_train], f"head {dict(rows.dtypes)['head']}, status string")
+    out = out.select("head", "status", F.lit(0).cast("long").alias("n_test"), *[F.lit(None).cast("double").alias(c) for c in ("mae", "rmse")])
+    for r in counts:
+        if r["n"] >= min_train:
+            own = d.where(F.col("head") == r["head"])
+            e = F.col("prediction") - F.col("target")
+            scored = makers[learner]().fit(own.where("split_part = 'train'")).transform(own.where("split_part = 'test'"))
+            out = out.unionByName(scored.agg(F.count(e).alias("n_test"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse")).select(F.lit(r["head"]).alias("head"), F.lit("fitted").alias("status"), "n_test", "mae", "rmse"))
+    return out
+
+
+def leverage(rows: DataFrame, columns: list[str], fingerprint: list[str] | None = None, components: int = 8) -> DataFrame:
+    """(id, h, cutoff, outside): x' (X'X)^+ x on standardized columns, X from the training rows, cutoff 3p/n.
+
+    ``fingerprint`` columns are standardized and replaced by their first principal components over
+    the training rows. Moments are summed over tasks; matrices as wide as the columns are
+    solved on the driver, and rows are scored where they are. A row with a missing value has
+    no leverage (null).
+    """
+    fingerprint = fingerprint or []
+    used = [*columns, *fingerprint]
+    m = _gram(rows.where("train"), used)
+    n, k = m[0, 0], len(columns)
+    mean = m[0, 1:] / max(n, 1)
+    cov = m[1:, 1:] / max(n, 1) - np.outer(mean, mean)
     sd = np.where(np.diag(cov) > 1e-12, np.sqrt(np.maximum(np.diag(cov), 0)), 1.0)
-    inverse = np.linalg.pinv(cov / np.outer(sd, sd) * n)
-    z = [(F.col(c) - float(mean[i])) / float(sd[i]) for i, c in enumerate(columns)]
-    h = F.lit(0.0)
-    for i in range(p):
-        for j in range(p):
-            h = h + z[i] * z[j] * float(inverse[i, j])
-    cutoff = 3.0 * p / n
-    return rows.select("id", F.round(h, 9).alias("h"), F.lit(round(cutoff, 9)).alias("cutoff"), (h > cutoff).alias("outside"))
+    corr = cov / np.outer(sd, sd)
+    turn = np.zeros((len(used), k + (min(components, len(fingerprint)))))
+    turn[:k, :k] = np.eye(k)
+    if fingerprint:
+        _, vectors = np.linalg.eigh(corr[k:, k:])
+        turn[k:, k:] = vectors[:, ::-1][:, : turn.shape[1] - k]
+    p = turn.shape[1]
+    inverse = np.linalg.pinv(turn.T @ corr @ turn * max(n, 1), hermitian=True, rcond=1e-10)
+    core, cutoff = turn @ inverse @ turn.T, 3.0 * p / max(n, 1)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            z = (pdf[used].to_numpy(float) - mean) / sd
+            h = np.einsum("ij,jk,ik->i", z, core, z)
+            yield pd.DataFrame({"id": pdf["id"], "h": np.round(h, 9), "cutoff": round(cutoff, 9), "outside": h > cutoff})
+
+    out = rows.select("id", *[F.col(c).cast("double").alias(c) for c in used]).mapInPandas(score, f"id {dict(rows.dtypes)['id']}, h double, cutoff double, outside boolean")
+    return out.withColumn("h", F.when(~F.isnan("h"), F.col("h")))
 
 
 def _log_ndtr(x: np.ndarray) -> np.ndarray:

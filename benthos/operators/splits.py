@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from benthos.functions.text_rules import hash_share
 from benthos.operators.graph import connected_components
+from benthos.operators.ranks import global_rank, range_rank  # noqa: F401
 from benthos.session import materialize
 
 PARTS = ("train", "valid", "test")
@@ -20,36 +21,6 @@ def hash_key(seed: int, *keys: str) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("<missing>")) for k in keys]), 256)
 
 
-def global_rank(df: DataFrame, key: str, digits: int = 3) -> DataFrame:
-    """Adds ``rank`` from 0 in the order of a hexadecimal hash, without sorting all rows in one task.
-
-    Rows are bucketed by the hash's first digits; bucket sizes are summed up to offsets, and
-    ranks are taken inside buckets.
-    """
-    b = df.withColumn("__b", F.substring(key, 1, digits))
-    sizes = b.groupBy("__b").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("__b", F.coalesce(before, F.lit(0)).alias("__o"))  # 16^digits rows at most
-    inner = F.row_number().over(Window.partitionBy("__b").orderBy(key))
-    return b.join(F.broadcast(offsets), "__b").withColumn("rank", F.col("__o") + inner - 1).drop("__b", "__o")
-
-
-def range_rank(df: DataFrame, order: list[Column]) -> DataFrame:
-    """Adds ``rank`` from 0 in the stated order, over any number of rows and without one task for all.
-
-    Rows are dealt into ranges of the order and written, since the sampled borders may differ
-    when they are drawn again; sizes of ranges are summed up to offsets, and ranks are taken
-    inside ranges. Only rows that are equal in the whole order must share a range.
-    """
-    k = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialize(df.repartitionByRange(k, *order).withColumn("__p", F.spark_partition_id()), "ranges")
-    sizes = dealt.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("__p", F.coalesce(before, F.lit(0)).alias("__o"))  # one row per range
-    inner = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    return dealt.join(F.broadcast(offsets), "__p").withColumn("rank", F.col("__o") + inner - 1).drop("__p", "__o")
-
-
 def random_split(df: DataFrame, key: str, seed: int, fractions: tuple[float, ...], names: tuple[str, ...]) -> DataFrame:
     """Adds split_part: parts of exactly floor(n f) rows in hash order, the remainder in the last."""
     total = df.agg(F.count("*").alias("__total"))
@@ -88,56 +59,304 @@ def inherit_parts(rows: DataFrame, known: DataFrame, group: str, seed: int) -> D
 def closure_groups(rows: DataFrame, record: str, keys: list[str], lists: list[str], scope: str | None = None) -> DataFrame:
     """(record, group_id): rows that share a key or a listed id, directly or through others, are one group.
 
-    Records and ids are nodes of a two-sided graph whose components are the groups. With a
-    ``scope`` column, such as the route, rows of different scopes are never joined.
+    Each key or id links the records that hold it to the smallest of them; the components of
+    these links are the groups, named by their smallest record. With a ``scope`` column, such as
+    the route, rows of different scopes are never joined; records are unique over all scopes.
+    """
+    # records by their own order; what they share by hash, with the scope in it
+    scoped = [F.col(scope).cast("string")] if scope else []
+    shared = [rows.select(F.col(record).alias("r"), F.sha2(F.to_json(F.array(F.lit(f"k{i}"), *scoped, F.col(k).cast("string"))), 256).alias("x")).where(F.col(k).isNotNull()) for i, k in enumerate(keys)]
+    shared += [rows.select(F.col(record).alias("r"), *[x.alias("__s") for x in scoped], F.explode(c).alias("v")).where("v is not null").select("r", F.sha2(F.to_json(F.array(F.lit(f"l{i}"), *([F.col("__s")] if scoped else []), F.col("v").cast("string"))), 256).alias("x")) for i, c in enumerate(lists)]
+    all_shared = shared[0]
+    for x in shared[1:]:
+        all_shared = all_shared.unionByName(x)
+    all_shared = materialize(all_shared.where("r is not null"), "closure")
+    # an id that many records share is a star around its smallest record: no pairs, no nodes for ids
+    least = all_shared.groupBy("x").agg(F.min("r").alias("first"), F.max("r").alias("last")).where("first != last")
+    edges = all_shared.join(least, "x").where("r != first").select(F.col("r").alias("src"), F.col("first").alias("dst"))
+    label = connected_components(edges)
+    return rows.select(record).distinct().join(label.withColumnRenamed("node", record), record, "left").select(record, F.coalesce("component", record).alias("group_id"))
+
+
+def _sha(*x: object) -> str:
+    return hashlib.sha256("|".join(map(str, x)).encode()).hexdigest()
+
+
+def deal_equal_steps(first: list[float], step: list[float], k: int, order: list) -> list[int]:
+    """How often each part is chosen when k times the part with the least value is, and its value then grows by its step.
+
+    The k least numbers of the progressions first[p], first[p] + step[p], ... (ties by
+    ``order``), found by halving a threshold and choosing the last few one by one.
     """
-    pre = F.concat(F.coalesce(F.col(scope).cast("string"), F.lit("")), F.lit("|")) if scope else F.lit("")
-    me = F.concat(F.lit("r:"), pre, F.col(record).cast("string"))
-    ends = [rows.select(me.alias("src"), F.concat(F.lit(f"k{i}:"), pre, F.col(k).cast("string")).alias("dst")) for i, k in enumerate(keys)]
-    ends += [rows.select(me.alias("src"), F.explode(c).alias("x")).select("src", F.concat(F.lit(f"l{i}:"), F.substring_index(F.substring("src", 3, 1 << 20), "|", 1) if scope else F.lit(""), F.lit("|"), F.col("x").cast("string")).alias("dst")) for i, c in enumerate(lists)]
-    edges = ends[0]
-    for e in ends[1:]:
-        edges = edges.unionByName(e)
-    label = connected_components(edges).withColumnRenamed("component", "__c")
-    named = rows.withColumn("node", me).join(label, "node", "left").withColumn("__c", F.coalesce("__c", "node"))
-    # a group is named by its smallest record
-    first = named.groupBy("__c").agg(F.min(record).alias("group_id"))
-    return named.join(first, "__c").select(record, "group_id")
-
-
-def balanced_assignment(groups: DataFrame, fractions: tuple[float, ...], seed: int, scope: str = "route") -> DataFrame:
-    """(scope, group_id, split_part): largest group first, to the part whose deviation per head grows least.
-
-    ``groups`` has one row per (scope, group_id, head) with n. The choice is sequential by
-    nature, so each scope is one task over its group counts, never over its rows.
+    taken = lambda x: [max(0, math.floor((x - a) / d) + 1) if x >= a else 0 for a, d in zip(first, step)]
+    low, high = min(first) - 1.0, min(first) + min(step) * (k + 1)
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(taken(middle)) <= k else (low, middle)
+    counts = taken(low)
+    for _ in range(k - sum(counts)):
+        best = min(range(len(first)), key=lambda p: (first[p] + counts[p] * step[p], order[p]))
+        counts[best] += 1
+    return counts
+
+
+def _deal(groups: DataFrame, keys: list[str], counts: DataFrame, names: list[str], seed: int) -> DataFrame:
+    """Groups of one kind (``keys``) to parts in hash order: the first counts[0] to the first part, and so on."""
+    ranked = global_rank(groups.withColumn("__k", hash_key(seed, "group_id")), "__k", keys).join(counts, keys)
+    part, upto = F.lit(None).cast("string"), F.lit(0)
+    bounds = []
+    for i in range(len(names)):
+        upto = upto + F.col("counts")[i]
+        bounds.append(upto)
+    for name, bound in reversed(list(zip(names, bounds))):
+        part = F.when(F.col("rank") < bound, name).otherwise(part)
+    return ranked.withColumn("split_part", part).drop("__k", "rank", "counts")
+
+
+def group_profiles(groups: DataFrame, scope: str) -> DataFrame:
+    """(scope, group_id, profile, size): each group's rows per head, heads in order."""
+    per = groups.groupBy(scope, "group_id").agg(F.array_sort(F.collect_list(F.struct("head", "n"))).alias("heads"), F.sum("n").alias("size"))
+    return per.withColumn("profile", F.sha2(F.to_json("heads"), 256))
+
+
+def balanced_assignment(groups: DataFrame, fractions: tuple[float, ...], seed: int, scope: str = "route", names: tuple[str, ...] = PARTS) -> DataFrame:
+    """(scope, group_id, split_part): largest group first, to the part whose squared deviation per head grows least.
+
+    ``groups`` has one row per (scope, group_id, head) with n. Groups of one profile (the same
+    rows per head) are alike to this rule, so Spark counts them, and the sequential choice runs
+    over the distinct profiles: sizes fall, ties go by the profile's hash, and all groups of a
+    profile are placed at once, since the k choices are the k least numbers of one arithmetic
+    progression per part. Heads that no group links have nothing to do with one another: each
+    connected set of heads is a task of its own. Within a profile, groups are dealt to the parts
+    by hash rank. A task holds the distinct profiles of its heads, never groups or rows.
     """
+    kind = dict(groups.dtypes)
     fractions = tuple(fractions)
+    per = materialize(group_profiles(groups, scope), "profiles")
+    kinds = materialize(per.groupBy(scope, "profile").agg(F.first("heads").alias("heads"), F.first("size").alias("size"), F.count("*").alias("k")), "profile-kinds")
+    links = kinds.select(scope, F.col("heads")[0]["head"].cast("string").alias("a"), F.explode(F.transform("heads", lambda h: h["head"].cast("string"))).alias("b")).distinct()
+
+    def join_heads(pdf: pd.DataFrame) -> pd.DataFrame:
+        up = {h: h for h in [*pdf["a"], *pdf["b"]]}
+
+        def find(x: str) -> str:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for x, y in zip(pdf["a"], pdf["b"]):
+            x, y = sorted((find(x), find(y)))
+            up[y] = x
+        return pd.DataFrame([(pdf[scope].iloc[0], h, find(h)) for h in up], columns=[scope, "head", "heads_of"])
 
-    def sha(*x: object) -> str:
-        return hashlib.sha256("|".join(map(str, x)).encode()).hexdigest()
+    # a row per pair of heads that meet in a profile: a table of heads
+    sets = links.groupBy(scope).applyInPandas(join_heads, f"{scope} {kind[scope]}, head string, heads_of string")
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        totals = pdf.groupby("head")["n"].sum().to_dict()
+        profiles = [(r["profile"], [(h["head"], h["n"]) for h in r["heads"]], r["size"], int(r["k"])) for r in pdf.to_dict("records")]
+        totals: dict = {}
+        for _, heads, _, k in profiles:
+            for h, n in heads:
+                totals[h] = totals.get(h, 0.0) + n * k
         have = {h: [0.0] * len(fractions) for h in totals}
-        profiles = {g: list(zip(x["head"], x["n"])) for g, x in pdf.groupby("group_id")}
         out = []
-        for g in sorted(profiles, key=lambda g: (-sum(n for _, n in profiles[g]), sha(seed, g))):
-            def growth(p: int) -> tuple[float, str]:
-                d = 0.0
-                for h, n in profiles[g]:
-                    goal = totals[h] * fractions[p]
-                    off = have[h][p] - goal
-                    d += ((off + n) ** 2 - off**2) / max(goal, 1.0)
-                return d, sha(seed, g, p)
-
-            best = min(range(len(fractions)), key=growth)
-            for h, n in profiles[g]:
-                have[h][best] += n
-            out.append((pdf[scope].iloc[0], g, PARTS[best]))
-        return pd.DataFrame(out, columns=[scope, "group_id", "split_part"])
+        for name, heads, _, k in sorted(profiles, key=lambda x: (-x[2], _sha(seed, x[0]))):
+            first, step = [0.0] * len(fractions), [0.0] * len(fractions)
+            for p, f in enumerate(fractions):
+                for h, n in heads:
+                    goal = totals[h] * f
+                    first[p] += n * (2 * (have[h][p] - goal) + n) / max(goal, 1.0)
+                    step[p] += 2 * n * n / max(goal, 1.0)
+            counts = deal_equal_steps(first, step, k, [_sha(seed, name, p) for p in range(len(fractions))])
+            for h, n in heads:
+                for p, c in enumerate(counts):
+                    have[h][p] += n * c
+            out.append((pdf[scope].iloc[0], name, counts))
+        return pd.DataFrame(out, columns=[scope, "profile", "counts"])
+
+    placed = kinds.join(sets, (kinds[scope] == sets[scope]) & (F.col("heads")[0]["head"].cast("string") == F.col("head"))).select(kinds[scope], "profile", "heads", "size", "k", "heads_of")
+    counts = placed.groupBy(scope, "heads_of").applyInPandas(assign, f"{scope} {kind[scope]}, profile string, counts array<long>")
+    return _deal(per.select(scope, "group_id", "profile"), [scope, "profile"], materialize(counts, "profile-parts"), list(names), seed).select(scope, "group_id", "split_part")
+
+
+def _by_size(groups: DataFrame, choose, names: list[str], seed: int) -> DataFrame:
+    """(group_id, n, split_part): ``choose`` gets the distinct sizes, largest first, with their counts, and gives counts per part."""
 
-    kind = dict(groups.dtypes)
-    return groups.groupBy(scope).applyInPandas(assign, f"{scope} {kind[scope]}, group_id {kind['group_id']}, split_part string")
+    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n", ascending=False)
+        return pd.DataFrame({"n": pdf["n"], "counts": choose(pdf["n"].tolist(), pdf["k"].astype(int).tolist())})
+
+    # distinct sizes: fewer than the square root of twice the rows
+    sizes = groups.groupBy("n").agg(F.count("*").alias("k"))
+    counts = sizes.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(assign, f"n {dict(groups.dtypes)['n']}, counts array<long>")
+    return _deal(groups.select("group_id", "n"), ["n"], materialize(counts, "sizes"), names, seed)
+
+
+def holdout_assignment(groups: DataFrame, test_fraction: float, seed: int) -> DataFrame:
+    """(group_id, n, split_part): largest group first, to test where that brings its rows no further from their target.
+
+    Groups of one size are taken in hash order. If none fits, the largest one is the test part.
+    """
+
+    def choose(sizes: list[float], counts: list[int]) -> list[list[int]]:
+        target, test, out = sum(n * k for n, k in zip(sizes, counts)) * test_fraction, 0.0, []
+        for n, k in zip(sizes, counts):
+            m = min(k, max(0, math.floor((target - test) / n + 0.5))) if test <= target else 0
+            test += m * n
+            out.append([m, k - m])
+        if out and not test:
+            out[0] = [1, counts[0] - 1]
+        return out
+
+    return _by_size(groups, choose, ["test", "train"], seed)
+
+
+def fold_assignment(groups: DataFrame, folds: int, seed: int) -> DataFrame:
+    """(group_id, n, split_part): largest group first, to the lightest fold (its number as text); ties by hash."""
+
+    def choose(sizes: list[float], counts: list[int]) -> list[list[int]]:
+        have, out = [0.0] * folds, []
+        for n, k in zip(sizes, counts):
+            dealt = deal_equal_steps(have, [n] * folds, k, [_sha(seed, n, p) for p in range(folds)])
+            have = [a + n * c for a, c in zip(have, dealt)]
+            out.append(dealt)
+        return out
+
+    return _by_size(groups, choose, [str(i) for i in range(folds)], seed)
+
+
+def fraction_assignment(groups: DataFrame, fractions: dict[str, float], seed: int) -> DataFrame:
+    """(group_id, n, split_part): largest group first, to the part that it brings closest to its target, relative to that.
+
+    Then the emptier part, then the name. Runs of groups of one size that one part keeps
+    winning are placed at once.
+    """
+    if len(fractions) < 2 or min(fractions.values()) <= 0 or abs(sum(fractions.values()) - 1) > 1e-9:
+        raise ValueError("fractions must be positive, two at least, and sum to 1")
+    if set(fractions) == {"train", "test"}:
+        return holdout_assignment(groups, fractions["test"], seed)
+    names = list(fractions)
+
+    def choose(sizes: list[float], counts: list[int]) -> list[list[int]]:
+        total = sum(n * k for n, k in zip(sizes, counts))
+        goal, have, out = {p: total * f for p, f in fractions.items()}, dict.fromkeys(names, 0.0), []
+        for n, k in zip(sizes, counts):
+            dealt = dict.fromkeys(names, 0)
+            while k:
+                best = min(names, key=lambda p: (abs(have[p] + n - goal[p]) / max(goal[p], 1.0), have[p] / max(goal[p], 1.0), p))
+                run = min(k, max(1, int((goal[best] - have[best]) // n)))  # short of its target it only gets closer
+                dealt[best] += run
+                have[best] += run * n
+                k -= run
+            out.append([dealt[p] for p in names])
+        return out
+
+    return _by_size(groups, choose, names, seed)
+
+
+def boundary_keys(rows: DataFrame, boundaries: dict[str, list[str]], single: tuple[str, ...] = (), labels: tuple[str, ...] = ("target", "split_part")) -> DataFrame:
+    """Adds a key per boundary: the hash of its columns as a JSON list of texts, missing ones as empty texts.
+
+    Label columns may not be part of a key. A boundary with a column of ``single`` is refused
+    (an error when it runs) for rows whose column holds a JSON list, so more than one value.
+    """
+    out = rows
+    for name, columns in boundaries.items():
+        if taken := sorted(set(columns) & set(labels)):
+            raise ValueError(f"boundary {name} uses label columns: {', '.join(taken)}")
+        texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+        key = F.sha2(F.to_json(F.array(*texts)), 256)
+        for c in set(columns) & set(single):
+            key = F.when(F.col(c).cast("string").startswith("["), F.raise_error(F.lit(f"boundary {name}: several values in {c}"))).otherwise(key)
+        out = out.withColumn(name, key)
+    return out
+
+
+def set_digest(rows: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """(by, n, digest): a hash of the set of rows that needs no sort: the sum of the rows' hashes, and their number."""
+    h = F.xxhash64(*columns).cast("decimal(38,0)")
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sha2(F.concat_ws("|", F.count("*"), F.sum(h)), 256).alias("digest"))
+
+
+def boundary_suite(rows: DataFrame, record: str, head: str, scope: str, boundaries: dict[str, tuple[list[str], list[str]]], fractions: tuple[float, ...], seed: int, minima: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+    """Parts under several boundaries, and their audit.
+
+    ``boundaries`` names for each the key columns and the id list columns that may not cross
+    parts. First frame: (boundary, scope, record, group_id, head, split_part). Second, per boundary and
+    part: rows, groups, ids that cross parts (an error when it runs, if any does), heads with
+    support in all parts, and a digest of the records.
+    """
+    done, audits = None, None
+    for name, (keys, lists) in boundaries.items():
+        groups = closure_groups(rows, record, keys, lists, scope=scope)
+        g = rows.join(groups, record).withColumnRenamed(head, "head")
+        parts = balanced_assignment(g.groupBy(scope, "group_id", "head").agg(F.count("*").cast("double").alias("n")), fractions, seed, scope)
+        placed = materialize(g.join(parts, [scope, "group_id"]), "boundary")
+        ids = [placed.select(scope, "split_part", F.concat(F.lit(f"{c}:"), F.col(c).cast("string")).alias("id")) for c in keys]
+        ids += [placed.select(scope, "split_part", F.explode(c).alias("id")).withColumn("id", F.concat(F.lit(f"{c}:"), F.col("id").cast("string"))) for c in lists]
+        every = ids[0]
+        for x in ids[1:]:
+            every = every.unionByName(x)
+        across = every.withColumn("id", F.concat_ws("|", scope, "id"))
+        n_cross = crossing(across, "id").select(F.when(F.col("n_crossing") > 0, F.raise_error(F.lit(f"{name}: ids cross parts"))).otherwise(F.col("n_crossing")).cast("long").alias("n_crossing"))
+        supported = support(placed.withColumn("__h", F.concat_ws("|", scope, "head")), "__h", minima).agg(F.count_if("eligible").alias("n_heads_supported"))
+        audit = placed.groupBy("split_part").agg(F.count("*").alias("n"), F.countDistinct(scope, "group_id").alias("n_groups"), F.countDistinct(scope, "head").alias("n_heads"))
+        audit = audit.join(set_digest(placed, [scope, record], ["split_part"]).select("split_part", "digest"), "split_part").crossJoin(n_cross).crossJoin(supported)  # one row each
+        placed, audit = (x.withColumn("boundary", F.lit(name)) for x in (placed.select(scope, record, "group_id", "head", "split_part"), audit))
+        done, audits = (placed, audit) if done is None else (done.unionByName(placed), audits.unionByName(audit))
+    return done, audits
+
+
+#: The experiment suite: code -> (name, kind, fractions or folds).
+SUITE = {
+    "A": ("A_random_adapt_7_2_1", "random", {"train": 0.7, "finetune": 0.2, "test": 0.1}),
+    "B": ("B_random_8_2", "random", {"train": 0.8, "test": 0.2}),
+    "C": ("C_chemical_holdout_8_2", "group", {"train": 0.8, "test": 0.2}),
+    "D": ("D_chemical_group_5fold", "group", 5),
+    "E": ("E_random_5fold", "random", 5),
+    "F": ("F_chemical_group_7_2_1", "group", {"train": 0.7, "finetune": 0.2, "test": 0.1}),
+}
+
+
+def split_suite(rows: DataFrame, record: str, group: str, seed: int, codes: str = "ABCDEF", min_rows: int = 0) -> DataFrame:
+    """(record, split_name, split_part) of the named experiment splits; a fold k gives a split of its own, ``_fold_k``.
+
+    Fewer rows than ``min_rows`` are an error. In a fold's split, its rows are test and all others train.
+    """
+    if unknown := sorted(set(codes) - set(SUITE)):
+        raise ValueError(f"unknown split codes: {', '.join(unknown)}")
+    if min_rows and (n := rows.count()) < min_rows:
+        raise ValueError(f"{n} rows, below the minimum of {min_rows}")
+    rows, out = rows.select(record, group), None
+    for code in codes:
+        name, kind, parts = SUITE[code]
+        if isinstance(parts, dict):
+            names, fractions = tuple(parts), tuple(parts.values())
+            got = random_split(rows, record, seed, fractions, names) if kind == "random" else group_split(rows, [group], seed, fractions, names)
+            got = got.select(record, F.lit(name).alias("split_name"), "split_part")
+        else:
+            folds = materialize(k_folds(rows, [record if kind == "random" else group], parts, seed).select(record, "fold"), "folds")
+            each = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("k")
+            got = folds.select(record, "fold", each).select(record, F.format_string(f"{name}_fold_%d", F.col("k") + 1).alias("split_name"), F.when(F.col("k") == F.col("fold"), "test").otherwise("train").alias("split_part"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def named_split(rows: DataFrame, split_type: str, record: str, seed: int, fractions: dict[str, float], chemical: str = "", species: str = "", medium: Column | None = None) -> DataFrame:
+    """(record, split_part, group_key) of one of five split types.
+
+    random_split, chemical_split, species_split, chemical_species_split (both as one group) and
+    medium_transfer_split, whose ``medium`` column holds the part already (see medium_part).
+    """
+    names, shares = tuple(fractions), tuple(fractions.values())
+    columns = {"chemical_split": [chemical], "species_split": [species], "chemical_species_split": [chemical, species]}
+    if split_type == "random_split":
+        return random_split(rows.select(record), record, seed, shares, names).select(record, "split_part", F.lit(None).cast("string").alias("group_key"))
+    if split_type in columns:
+        return group_split(rows.select(record, *columns[split_type]), columns[split_type], seed, shares, names).select(record, "split_part", "group_key")
+    if split_type == "medium_transfer_split" and medium is not None:
+        return rows.select(record, medium.alias("split_part"), F.lit(None).cast("string").alias("group_key"))
+    raise ValueError(f"unknown split type {split_type}")
 
 
 def crossing(assignments: DataFrame, ids: str, part: str = "split_part") -> DataFrame:

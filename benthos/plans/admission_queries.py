@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from benthos.functions import evidence_rules as E
+from benthos.functions import features as X
 from benthos.operators import admission as M
+from benthos.operators import fitting as B
+from benthos.operators import splits as P
+from benthos.operators.ranks import range_rank
 from benthos.plans.inputs import OBSERVATIONS, RESULTS
 from benthos.plans.registry import query
 from benthos.plans.rule_queries import EFFECT, ENDPOINT, UNITS_V2, unit_input
@@ -51,49 +54,78 @@ def _(t):
     return M.point_ledger(p, {"W00": 5, "M00": 150}).select("result_id", "admission_reason")
 
 
-@query("d36_tabular_encoder", """WITH m AS (SELECT quantile_cont(p_size, 0.5) AS md, count(*) AS n FROM part WHERE p_partkey % 4 <> 0), k AS (SELECT p_brand, count(*) AS k FROM part WHERE p_partkey % 4 <> 0 GROUP BY 1),
-l AS (SELECT p_brand, CASE WHEN k >= greatest(2, ceil(n * 0.01)) THEN p_brand ELSE '<rare>' END AS lv FROM k, m), a AS (SELECT list_sort(list(DISTINCT lv)) AS names FROM l)
-SELECT p_partkey, round(CASE WHEN p_size > 40 THEN md ELSE p_size END, 6) AS filled, coalesce(list_position(names, lv), 0)::BIGINT AS level FROM part LEFT JOIN l USING (p_brand), m, a""")
+@query("d36_tabular_encoder", """WITH m AS (SELECT quantile_cont(p_size, 0.5) FILTER (WHERE p_size <= 40) AS md, count(*) AS n FROM part WHERE p_partkey % 4 <> 0), k AS (SELECT p_brand, count(*) AS k FROM part WHERE p_partkey % 4 <> 0 GROUP BY 1),
+l AS (SELECT p_brand, CASE WHEN k >= greatest(2, ceil(n * 0.01)) THEN p_brand ELSE '<rare>' END AS lv FROM k, m)
+SELECT p_partkey, round(CASE WHEN p_size > 40 THEN md ELSE p_size END, 6) AS filled, CASE WHEN lv IS NULL THEN '' ELSE 'p_brand=' || lv END AS level, 'name#' || (CAST(('0x' || substr(md5(p_name || (p_partkey % 3)), 1, 8)) AS UBIGINT) % 16) AS bin FROM part LEFT JOIN l USING (p_brand), m""")
 def _(t):
-    # sizes above 40 stand for missing entries; the training median is over all sizes
-    p = t("part").select("p_partkey", F.when(F.col("p_size") <= 40, F.col("p_size")).alias("given"), "p_size", "p_brand")
-    e = M.tabular_encoding(p, F.col("p_partkey") % 4 != 0, ["p_size"], "p_brand", "p_partkey")
-    median = p.where("p_partkey % 4 <> 0").agg(F.percentile("p_size", 0.5).alias("md"))
-    j = e.join(p, "p_partkey").crossJoin(F.broadcast(median))
-    return j.select("p_partkey", F.round(F.coalesce("given", "md"), 6).alias("filled"), F.array_position(F.slice("features", F.lit(2), F.size("features") - 1), F.lit(1.0)).alias("level"))
+    # sizes above 40 stand for missing entries; brands are pooled below one in a hundred, names are hashed
+    p = t("part").select("p_partkey", F.when(F.col("p_size") <= 40, F.col("p_size")).alias("p_size"), F.lit(3).alias("same"), "p_brand", F.concat("p_name", F.col("p_partkey") % 3).alias("name"))
+    train = F.col("p_partkey") % 4 != 0
+    a, names = B.tabular_encoding(p, train, ["p_size", "same"], "p_brand", "p_partkey")
+    b, hashed = B.tabular_encoding(p, train, [], "name", "p_partkey", most_levels=30, bins=16)
+    shown = lambda names: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(len(names))), lambda i: F.when(F.element_at("features", i) == 1.0, F.element_at(F.array(*map(F.lit, names)), i)).otherwise("")), "")
+    left = a.select("p_partkey", F.round(F.element_at("features", 1), 6).alias("filled"), F.array_join(F.transform(F.sequence(F.lit(2), F.lit(len(names))), lambda i: F.when(F.element_at("features", i) == 1.0, F.element_at(F.array(*map(F.lit, names)), i)).otherwise("")), "").alias("level"))
+    return left.join(b.select("p_partkey", shown(hashed).alias("bin")), "p_partkey")
 
 
-@query("d39_similarity_weights", "SELECT l_orderkey, l_linenumber, round(greatest(0.8, least(1.2, (1 + 2 * l_discount) / avg(1 + 2 * l_discount) OVER ())), 6) AS weight FROM lineitem")
+@query("d39_similarity_weights", "SELECT l_orderkey, l_linenumber, round(greatest(0.8, least(1.2, (1 + 2 * l_discount) / avg(1 + 2 * l_discount) OVER ())), 6) AS weight, round(greatest(0.5, least(2, (1 + 0.5 * l_discount) * exp(-9 * l_tax) / avg((1 + 0.5 * l_discount) * exp(-9 * l_tax)) OVER ())), 6) AS both FROM lineitem")
 def _(t):
-    return M.similarity_weights(t("lineitem"), "l_discount", 2.0, 0.8, 1.2).select("l_orderkey", "l_linenumber", F.round("weight", 6).alias("weight"))
+    x = t("lineitem")
+    a = B.similarity_weights(x, 0.8, 1.2, similarity="l_discount", alpha=2.0).withColumnRenamed("weight", "one")
+    b = B.similarity_weights(a, 0.5, 2.0, similarity="l_discount", alpha=0.5, distance="l_tax", decay=9.0)
+    return b.select("l_orderkey", "l_linenumber", F.round("one", 6).alias("weight"), F.round("weight", 6).alias("both"))
 
 
-@query("e01_sequence_by_first_appearance", "SELECT p_type, row_number() OVER (ORDER BY min(p_partkey)) AS aggregate_id FROM part GROUP BY p_type")
+@query("e01_sequence_by_first_appearance", "SELECT p_name, p_type, row_number() OVER (ORDER BY min(p_partkey)) AS aggregate_id FROM part GROUP BY p_name, p_type")
 def _(t):
-    g = t("part").groupBy("p_type").agg(F.min("p_partkey").alias("first"))
-    return g.select("p_type", F.row_number().over(Window.orderBy("first")).alias("aggregate_id"))  # one row per group
+    g = t("part").groupBy("p_name", "p_type").agg(F.min("p_partkey").alias("first"))
+    return range_rank(g, [F.col("first").asc()]).select("p_name", "p_type", (F.col("rank") + 1).alias("aggregate_id"))
 
 
 @query("e04_stratified_anchor", "WITH n AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1), r AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY sha256('29|' || event_id)) AS i FROM events) SELECT event_id FROM r JOIN n USING (event_type) WHERE i <= greatest(1, CAST(floor(100 * n / (SELECT sum(n) FROM n)) AS BIGINT))")
 def _(t):
-    key = F.sha2(F.concat_ws("|", F.lit("29"), "event_id"), 256)
-    return M.stratified_anchor(t("events").select("event_id", "event_type"), "event_type", key, 100).select("event_id")
+    return B.stratified_anchor(t("events").select("event_id", "event_type"), "event_type", "event_id", 100, 29).select("event_id")
 
 
-@query("h05_named_splits", f"WITH a AS ({rank_sql('documents', 'doc_id', 13)}), g AS ({rank_sql('(SELECT DISTINCT lang AS group_key FROM documents)', 'group_key', 31)}) SELECT 'random' AS split_type, {CUT} AS split_part, count(*) AS n FROM a GROUP BY 2 UNION ALL SELECT 'group', {CUT}, count(*) FROM documents JOIN g ON group_key = lang GROUP BY 2")
+NAMED = [("chemical_split", "CAST(o_custkey AS VARCHAR)"), ("species_split", "o_orderpriority"), ("chemical_species_split", "CAST(o_custkey AS VARCHAR) || '|' || o_orderpriority")]
+
+
+@query("h05_named_splits", "WITH s AS (" + " UNION ALL ".join(f"SELECT '{kind}' AS split_type, o_orderkey, {CUT} AS split_part FROM orders JOIN ({rank_sql('(SELECT DISTINCT ' + key + ' AS group_key FROM orders)', 'group_key', 13)}) ON group_key = {key}" for kind, key in NAMED) + f" UNION ALL SELECT 'random_split', o_orderkey, {CUT} FROM ({rank_sql('orders', 'o_orderkey', 13)}) UNION ALL SELECT 'medium_transfer_split', o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'test' WHEN 1 THEN 'train' ELSE 'valid' END FROM orders) SELECT split_type, split_part, count(*) AS n, sum(o_orderkey)::BIGINT AS total FROM s GROUP BY 1, 2")
+def _(t):
+    parts = {"train": 0.7, "valid": 0.1, "test": 0.2}
+    d = t("orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("prio"), F.when(F.col("o_orderkey") % 3 == 0, "soil plot").when(F.col("o_orderkey") % 3 == 1, "pond water").alias("m"))
+    medium = X.medium_part(F.col("m"), ("aquatic",), ("soil",), "valid")
+    out = None
+    for kind in ("random_split", "chemical_split", "species_split", "chemical_species_split", "medium_transfer_split"):
+        s = P.named_split(d, kind, "o_orderkey", 13, parts, "o_custkey", "prio", medium).select(F.lit(kind).alias("split_type"), "o_orderkey", "split_part")
+        out = s if out is None else out.unionByName(s)
+    return out.groupBy("split_type", "split_part").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("total"))
+
+
+def matrix(t, masked):
+    """Publication year, two life stages and a vector of two, which every fifth structure lacks; targets scaled per task."""
+    d = t.sql(OBSERVATIONS).withColumn("vector", F.when(F.col("canonical_parent") % 5 != 0, F.array((F.col("canonical_parent") % 3).cast("double"), F.lit(2.0))))
+    return B.feature_matrix(d, F.col("test_id") % 3 != 0, "result_id", ["pub_year"], {"life_stage": ["A", "N"]}, "vector", 2, "x", F.col("task_head"), "per_task", masked)
+
+
+MATRIX = f"""WITH d AS ({OBSERVATIONS}), f AS (SELECT avg(pub_year) AS m, CASE WHEN stddev_pop(pub_year) > 1e-12 THEN stddev_pop(pub_year) ELSE 1 END AS sd FROM d WHERE test_id % 3 <> 0), g AS (SELECT task_head, avg(x) AS gm, stddev_pop(x) AS gs FROM d WHERE test_id % 3 <> 0 GROUP BY 1),
+o AS (SELECT result_id, life_stage, greatest(-6, least(6, coalesce((pub_year - m) / sd, 0))) AS z, CASE WHEN canonical_parent % 5 <> 0 THEN CAST(canonical_parent % 3 AS DOUBLE) ELSE 0 END AS v0, CASE WHEN canonical_parent % 5 <> 0 THEN 2.0 ELSE 0 END AS v1, (x - gm) / gs AS y FROM d JOIN g USING (task_head), f)"""
+
+
+@query("m05_feature_matrix", MATRIX + " SELECT result_id, round(z, 6) AS z_year, 0.0 AS stage_a, 0.0 AS stage_n, v0, v1, round(y, 6) AS scaled_target FROM o")
 def _(t):
-    from benthos.operators import splits as P
+    m = matrix(t, frozenset(["life_stage"]))
+    return m.select("result_id", *[F.round(F.element_at("features", i + 1), 6).alias(c) for i, c in enumerate(("z_year", "stage_a", "stage_n", "v0", "v1"))], F.round("scaled_target", 6).alias("scaled_target"))
+
 
-    parts, fractions = ("train", "valid", "test"), (0.7, 0.1, 0.2)
-    d = t("documents").select("doc_id", "lang")
-    a, b = P.random_split(d, "doc_id", 13, fractions, parts), P.group_split(d, ["lang"], 31, fractions, parts)
-    count = lambda x, n: x.groupBy("split_part").agg(F.count("*").alias("n")).select(F.lit(n).alias("split_type"), "split_part", "n")
-    return count(a, "random").unionByName(count(b, "group"))
+SETS = {"numeric": ["pub_year"], "species": ["life_stage"], "fingerprint": ["vector"]}
 
 
-@query("m05_feature_matrix", f"WITH d AS ({OBSERVATIONS}), s AS (SELECT avg(x) AS m, stddev_pop(x) AS sd FROM d WHERE test_id % 3 <> 0) SELECT result_id, round((x - m) / sd, 6) AS z, CAST(life_stage = 'A' AS INTEGER) AS stage_a, 0 AS masked FROM d, s")
+@query("m07_ablation_masks", MATRIX + " SELECT name AS ablation, round(sum(CASE WHEN name IN ('full', 'no_fingerprint', 'no_species_lifestage') THEN z ELSE 0 END), 4) AS numeric_sum, sum(CASE WHEN name NOT IN ('no_species_lifestage', 'no_context') AND life_stage IN ('A', 'N') THEN 1.0 ELSE 0 END) AS stage_sum, sum(CASE WHEN name = 'no_fingerprint' THEN 0 ELSE v0 + v1 END) AS vector_sum FROM o, (SELECT unnest(['full', 'no_fingerprint', 'no_species_lifestage', 'no_context']) AS name) GROUP BY 1")
 def _(t):
-    d = t.sql(OBSERVATIONS)
-    s = d.where("test_id % 3 <> 0").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("sd"))
-    j = d.crossJoin(F.broadcast(s))
-    return j.select("result_id", F.round((F.col("x") - F.col("m")) / F.col("sd"), 6).alias("z"), (F.col("life_stage") == "A").cast("int").alias("stage_a"), F.lit(0).alias("masked"))
+    out = None
+    for name in ("full", "no_fingerprint", "no_species_lifestage", "no_context"):
+        x = [F.sum(F.element_at("features", i)) for i in range(1, 6)]
+        s = matrix(t, B.ablation_masks(SETS, name)).agg(F.round(x[0], 4).alias("numeric_sum"), (x[1] + x[2]).alias("stage_sum"), (x[3] + x[4]).alias("vector_sum")).withColumn("ablation", F.lit(name))
+        out = s if out is None else out.unionByName(s)
+    return out

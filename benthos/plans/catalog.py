@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from benthos.plans import admission_queries, evidence_queries, join_queries, rule_queries, split_queries  # noqa: F401
+from benthos.plans import admission_queries, evidence_queries, feature_queries, join_queries, rule_queries, split_queries  # noqa: F401
 from benthos.plans.registry import QUERIES, SQL, Tables
 
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from benthos.functions import features as X
+from benthos.functions import habitat as H
 from benthos.operators import aggregates as A
+from benthos.operators import audits as U
+from benthos.operators import evaluation as V
+from benthos.operators import fitting as B
+from benthos.operators.ranks import range_rank
+from benthos.session import materialize
 from benthos.plans.inputs import OBSERVATIONS, PREDICTIONS
 from benthos.plans.join_queries import aligned_a
 from benthos.plans.registry import Tables, query
@@ -15,20 +21,21 @@ OBS, PRED = f"WITH d AS ({OBSERVATIONS})", f"WITH p AS ({PREDICTIONS})"
 R = lambda c, n=6: F.round(c, n)
 
 
-@query("d01_quality_report", "SELECT count(*) AS n_rows, count(DISTINCT l_orderkey) AS n_tests, count(*) FILTER (WHERE l_discount = 0) AS n_no_discount, count(*) FILTER (WHERE l_returnflag = 'A') AS n_censored FROM lineitem")
+@query("d01_quality_report", "SELECT count(*) AS n_rows, count(DISTINCT l_orderkey) AS n_l_orderkey, count(*) FILTER (WHERE l_discount = 0) AS n_no_discount, count(*) FILTER (WHERE l_returnflag = 'A') AS n_censored FROM lineitem")
 def _(t):
-    return t("lineitem").agg(F.count("*").alias("n_rows"), F.countDistinct("l_orderkey").alias("n_tests"), F.count_if(F.col("l_discount") == 0).alias("n_no_discount"), F.count_if(F.col("l_returnflag") == "A").alias("n_censored"))
+    flags = {"no_discount": F.col("l_discount") == 0, "censored": F.col("l_returnflag") == "A"}
+    return U.quality_report(t("lineitem"), ["l_orderkey"], flags)
 
 
-@query("d02_best_row_per_key", "SELECT l_partkey, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY CASE WHEN l_discount > 0.05 THEN 0 ELSE 1 END, l_orderkey, l_linenumber) = 1")
+@query("d02_best_row_per_key", "SELECT l_partkey, l_orderkey, l_linenumber, count(*) OVER w AS n_rows, (SELECT count(DISTINCT x.l_discount) FROM lineitem x WHERE x.l_partkey = lineitem.l_partkey AND x.l_discount > 0.05) AS n_values FROM lineitem WINDOW w AS (PARTITION BY l_partkey) QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY CASE WHEN l_discount > 0.05 THEN 0 ELSE 1 END, l_orderkey, l_linenumber) = 1")
 def _(t):
-    best = F.min_by(F.struct("l_orderkey", "l_linenumber"), F.struct(F.when(F.col("l_discount") > 0.05, 0).otherwise(1).alias("k"), "l_orderkey", "l_linenumber"))
-    return t("lineitem").groupBy("l_partkey").agg(best.alias("b")).select("l_partkey", "b.l_orderkey", "b.l_linenumber")
+    value = F.when(F.col("l_discount") > 0.05, F.col("l_discount"))
+    return U.best_row_per_key(t("lineitem"), "l_partkey", value, ["l_orderkey", "l_linenumber"], ["l_orderkey", "l_linenumber"])
 
 
 @query("d03_status_counters", "SELECT l_returnflag AS status, l_linestatus AS family, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def _(t):
-    return t("lineitem").groupBy(F.col("l_returnflag").alias("status"), F.col("l_linestatus").alias("family")).agg(F.count("*").alias("n"))
+    return U.count_by(t("lineitem"), status="l_returnflag", family="l_linestatus")
 
 
 @query("d04_strict_merge", OBS + " SELECT task_head, medium_domain, pub_year, round(quantile_cont(x, 0.5), 6) AS target_median, round(avg(x), 6) AS target_mean, round(coalesce(stddev_samp(x), 0), 6) AS target_std, count(x) AS target_count, round(min(x), 6) AS target_min, round(max(x), 6) AS target_max, count(*) AS n_ids FROM d GROUP BY 1, 2, 3")
@@ -82,19 +89,30 @@ def _(t):
     return kept.select(F.lit("train").alias("part")).unionByName(rest.select(F.lit("eval").alias("part"))).groupBy("part").agg(F.count("*").alias("n"))
 
 
-@query("d09_habitat_vote", """WITH v AS (SELECT c_custkey, count(*) FILTER (WHERE o_orderpriority LIKE '1%') AS w, count(*) FILTER (WHERE o_orderpriority LIKE '2%') AS s, count(*) FILTER (WHERE o_orderpriority LIKE '3%') AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)
-SELECT c_custkey, CASE WHEN w + s + n = 0 THEN NULL WHEN w >= s AND w >= n THEN 'Water' WHEN s >= n THEN 'Soil' ELSE 'Non-Soil' END AS habitat, round(greatest(w, s, n) / nullif(w + s + n, 0), 9) AS share FROM v""")
+HABITATS = {"1": "Water", "2": "Soil", "3": "Non-Soil"}
+VOTE = """WITH v AS (SELECT c_custkey, count(*) FILTER (WHERE o_orderpriority LIKE '1%') AS w, count(*) FILTER (WHERE o_orderpriority LIKE '2%') AS s, count(*) FILTER (WHERE o_orderpriority LIKE '3%') AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1),
+a AS (SELECT c_custkey, w + s + n AS total, CASE WHEN w >= s AND w >= n THEN 'aquatic' WHEN s >= n THEN 'soil' ELSE 'terrestrial' END AS top, greatest(w, s, n) / nullif(w + s + n, 0) AS share FROM v),
+b AS (SELECT *, CASE WHEN total >= 5 AND share >= 0.7 THEN round(least(0.95, 0.74 + share * 0.2), 3) WHEN total >= 2 AND share >= 0.6 THEN round(least(0.82, 0.6 + share * 0.18), 3) END AS confidence, CASE WHEN total >= 5 AND share >= 0.7 THEN 'accepted' WHEN total >= 2 AND share >= 0.6 THEN 'review_recommended' END AS status,
+ CASE WHEN total >= 2 AND share >= 0.6 THEN top END AS habitat FROM a)"""
+
+
+@query("d09_habitat_vote", VOTE + " SELECT c_custkey, habitat, round(share, 9) AS share, confidence, status FROM b")
 def _(t):
-    o = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(*[F.count_if(F.col("o_orderpriority").startswith(str(i))).alias(n) for i, n in ((1, "w"), (2, "s"), (3, "n"))])
-    d = t("customer").select("c_custkey").join(o, "c_custkey", "left").fillna(0)
-    total, top = F.col("w") + F.col("s") + F.col("n"), F.greatest("w", "s", "n")
-    habitat = F.when(total == 0, None).when(F.col("w") == top, "Water").when(F.col("s") == top, "Soil").otherwise("Non-Soil")
-    return d.select("c_custkey", habitat.alias("habitat"), R(F.when(total > 0, top / total), 9).alias("share"))
+    o = t("orders").select(F.col("o_custkey").alias("c_custkey"), F.element_at(F.create_map(*[F.lit(x) for kv in HABITATS.items() for x in kv]), F.substring("o_orderpriority", 1, 1)).alias("habitat"))
+    return H.habitat_vote(o, "c_custkey", "habitat").join(t("customer").select("c_custkey"), "c_custkey", "right").select("c_custkey", "habitat", R("share", 9).alias("share"), "confidence", "status")
 
 
-@query("d10_habitat_decision", "SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 5000 THEN 'vote' END, CASE WHEN c_nationkey < 10 THEN 'taxonomy' END, CASE WHEN c_custkey % 2 = 0 THEN 'external' END, 'unresolved') AS source FROM customer")
+@query("d10_habitat_decision", VOTE + """, x AS (SELECT c_custkey, CASE WHEN b.habitat IS NOT NULL THEN b.habitat WHEN c_nationkey < 10 THEN 'Water' WHEN c_nationkey < 20 THEN 'Soil' END AS h, CASE WHEN b.habitat IS NOT NULL THEN b.confidence WHEN c_nationkey < 20 THEN 0.5 + c_nationkey / 50 END AS cf,
+ CASE WHEN b.habitat IS NOT NULL THEN 'vote' WHEN c_nationkey < 20 THEN 'taxonomy' END AS src, b.total, CASE WHEN c_custkey % 2 = 0 THEN 0.6 + (c_custkey % 7) / 20 END AS ext FROM customer JOIN b USING (c_custkey)),
+y AS (SELECT *, ext IS NOT NULL AND (cf IS NULL OR cf < 0.75) AND ext >= coalesce(cf, 0) AS outside FROM x)
+SELECT c_custkey, CASE WHEN outside THEN 'Non-Soil' ELSE h END AS habitat, round(CASE WHEN outside THEN ext ELSE cf END, 9) AS confidence, CASE WHEN outside THEN 'external' ELSE coalesce(src, 'unresolved') END AS source, total FROM y""")
 def _(t):
-    return t("customer").select("c_custkey", F.coalesce(F.when(F.col("c_acctbal") > 5000, "vote"), F.when(F.col("c_nationkey") < 10, "taxonomy"), F.when(F.col("c_custkey") % 2 == 0, "external"), F.lit("unresolved")).alias("source"))
+    o = t("orders").select(F.col("o_custkey").alias("c_custkey"), F.element_at(F.create_map(*[F.lit(x) for kv in HABITATS.items() for x in kv]), F.substring("o_orderpriority", 1, 1)).alias("habitat"))
+    vote = H.habitat_vote(o, "c_custkey", "habitat")
+    c = t("customer").select("c_custkey", "c_nationkey")
+    taxonomy = c.where("c_nationkey < 20").select("c_custkey", F.when(F.col("c_nationkey") < 10, "Water").otherwise("Soil").alias("habitat"), (0.5 + F.col("c_nationkey") / 50).alias("confidence"))
+    external = c.where("c_custkey % 2 = 0").select("c_custkey", F.lit("Non-Soil").alias("habitat"), (F.lit(0.6) + F.col("c_custkey") % 7 / 20).alias("confidence"))
+    return H.habitat_decision(c, "c_custkey", vote, taxonomy, external, 0.75).select("c_custkey", "habitat", R("confidence", 9).alias("confidence"), "source", "total")
 
 
 MET = "count(e) AS n, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(CASE WHEN count(e) >= 2 AND var_pop(y) > 0 THEN 1 - sum(e * e) / (var_pop(y) * count(y)) END, 6) AS r2"
@@ -115,9 +133,7 @@ def _(t):
 
 @query("d13_within_task_r2", SC + ", h AS (SELECT model_head, sum(e * e) AS sse, var_pop(y) * count(y) AS sst FROM s GROUP BY 1) SELECT round(1 - sum(sse) / sum(sst), 6) AS within_r2 FROM h")
 def _(t):
-    e = F.col("prediction") - F.col("target")
-    h = aligned_a(t).where("scored").groupBy("model_head").agg(F.sum(e * e).alias("sse"), (F.var_pop("target") * F.count("target")).alias("sst"))
-    return h.agg(R(1 - F.sum("sse") / F.sum("sst")).alias("within_r2"))
+    return V.within_task_r2(aligned_a(t).where("scored"), "model_head", "target", "prediction").select(R("within_r2").alias("within_r2"))
 
 
 @query("d14_cohort_evaluation", SC + """, h AS (SELECT model_head, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, 1 - sum(e * e) / (var_pop(y) * count(y)) AS r2 FROM s GROUP BY 1),
@@ -140,9 +156,13 @@ def _(t):
     return A.seed_ensemble(members(t), 3).select("stable_record_id", "members", R("prediction").alias("prediction"), R("sd").alias("sd"))
 
 
-@query("d16_ensemble_replay", ENS + " SELECT stable_record_id, members, round(mean, 6) AS prediction FROM g")
+@query("d16_ensemble_replay", ENS + " SELECT stable_record_id, members, round(mean, 6) AS prediction, CASE WHEN stable_record_id % 9 = 0 THEN 'missing' WHEN mean IS NOT NULL AND stable_record_id % 7 = 0 THEN 'differs' ELSE 'same' END AS state FROM g")
 def _(t):
-    return A.seed_ensemble(members(t), 3, require_all=False).select("stable_record_id", "members", R("prediction").alias("prediction"))
+    # the stored table has rounded means, one in seven of them off and one in nine left out
+    stored = A.seed_ensemble(members(t), 3, require_all=False)
+    i = F.col("stable_record_id")
+    stored = stored.where(i % 9 != 0).select(i, (F.round("prediction", 4) + F.when(i % 7 == 0, 0.5).otherwise(0.0)).alias("prediction"))
+    return V.replay_ensemble(members(t), stored, 3, 1e-3).select("stable_record_id", "members", R("prediction").alias("prediction"), "state")
 
 
 CELLS = PRED + """, c AS (SELECT canonical_parent AS cluster, model_head AS head, count(*) AS n, sum(abs(pred_a - target) - abs(pred_b - target)) AS s FROM p WHERE NOT is_censored AND pred_a IS NOT NULL AND pred_b IS NOT NULL GROUP BY 1, 2)"""
@@ -163,11 +183,10 @@ def _(t):
     return A.cluster_bootstrap(cells(t), 200, 7).select("replicate", R("delta_pooled").alias("delta_pooled"), R("delta_macro").alias("delta_macro"))
 
 
-@query("e14_bootstrap_p", BOOT + " SELECT count(delta_pooled) AS valid, round(quantile_cont(delta_pooled, 0.025), 6) AS low, round(quantile_cont(delta_pooled, 0.975), 6) AS high, round(least(1.0, 2 * (least(count(*) FILTER (WHERE delta_pooled <= 0), count(*) FILTER (WHERE delta_pooled >= 0)) + 1) / (count(delta_pooled) + 1)), 9) AS p FROM b")
+@query("e14_bootstrap_p", BOOT + ", z AS (SELECT count(delta_pooled) AS valid, quantile_cont(delta_pooled, 0.025) AS low, quantile_cont(delta_pooled, 0.975) AS high, least(1.0, 2 * (least(count(*) FILTER (WHERE delta_pooled <= 0), count(*) FILTER (WHERE delta_pooled >= 0)) + 1) / (count(delta_pooled) + 1)) AS p FROM b) SELECT valid, round(low, 6) AS low, round(high, 6) AS high, round(p, 9) AS p, CASE WHEN low > 0 OR high < 0 THEN 'EXCLUDES_ZERO' ELSE 'INCLUDES_ZERO' END AS status FROM z")
 def _(t):
-    b = A.cluster_bootstrap(cells(t), 200, 7)
-    side = F.least(F.count_if(F.col("delta_pooled") <= 0), F.count_if(F.col("delta_pooled") >= 0))
-    return b.agg(F.count("delta_pooled").alias("valid"), R(F.percentile("delta_pooled", 0.025)).alias("low"), R(F.percentile("delta_pooled", 0.975)).alias("high"), R(F.least(F.lit(1.0), 2 * (side + 1) / (F.count("delta_pooled") + 1)), 9).alias("p"))
+    b = V.bootstrap_test(cells(t), 200, 7, least_valid=100)
+    return b.select("valid", *[R(c).alias(c) for c in ("low", "high")], R("p", 9).alias("p"), "status")
 
 
 HEADS = PRED + ", h AS (SELECT model_head, avg(abs(pred_a - target)) AS a, avg(abs(pred_b - target)) AS b FROM p WHERE NOT is_censored GROUP BY 1)"
@@ -180,185 +199,190 @@ def head_errors(t: Tables):
 
 @query("d18_direction_counts", HEADS + " SELECT count(*) FILTER (WHERE b < a) AS better, count(*) FILTER (WHERE b > a) AS worse, count(*) FILTER (WHERE b = a) AS equal FROM h")
 def _(t):
-    return head_errors(t).agg(F.count_if(F.col("b") < F.col("a")).alias("better"), F.count_if(F.col("b") > F.col("a")).alias("worse"), F.count_if(F.col("b") == F.col("a")).alias("equal"))
+    return V.direction_counts(head_errors(t), "a", "b")
 
 
-@query("d22_similarity_summary", "SELECT round(avg(l_discount), 6) AS mean, max(l_discount) AS top, count(*) FILTER (WHERE l_discount >= 0.065) AS n_high, (SELECT l_discount FROM (SELECT l_discount, row_number() OVER (ORDER BY l_discount) - 1 AS i, count(*) OVER () AS n FROM lineitem) WHERE i = round_even(0.9 * (n - 1), 0)) AS p90 FROM lineitem")
+@query("d22_similarity_summary", "WITH d AS (SELECT l_extendedprice / 120000 AS s FROM lineitem), r AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS i, count(*) OVER () AS n FROM d) SELECT count(*) AS n, round(avg(s), 6) AS mean, round(max(s) FILTER (WHERE i = round_even(0.5 * (n - 1), 0)), 6) AS p50, round(max(s) FILTER (WHERE i = round_even(0.9 * (n - 1), 0)), 6) AS p90, round(max(s), 6) AS max, round(count(*) FILTER (WHERE s >= 0.65) / count(*), 6) AS share_ge_65, round(count(*) FILTER (WHERE s >= 0.80) / count(*), 6) AS share_ge_80 FROM r")
 def _(t):
-    d = t("lineitem").select("l_discount")
-    # nearest rank, half to even, from counts per value: no sort of all rows
-    per = d.groupBy("l_discount").agg(F.count("*").alias("k"))
-    w = Window.orderBy("l_discount")
-    ranked = per.withColumn("upto", F.sum("k").over(w)).crossJoin(F.broadcast(d.agg(F.count("*").alias("n"))))
-    p90 = ranked.where(F.col("upto") > F.bround(0.9 * (F.col("n") - 1), 0)).agg(F.min("l_discount").alias("p90"))
-    return d.agg(R(F.avg("l_discount")).alias("mean"), F.max("l_discount").alias("top"), F.count_if(F.col("l_discount") >= 0.065).alias("n_high")).crossJoin(p90)
+    return U.similarity_summary(t("lineitem").select((F.col("l_extendedprice") / 120000).alias("s")), "s").select("n", *[R(c).alias(c) for c in ("mean", "p50", "p90", "max", "share_ge_65", "share_ge_80")])
 
 
-@query("d23_chemical_units", "SELECT p_brand, count(*) AS n_rows, min(p_partkey) AS first_key, arg_min(p_name, p_partkey) FILTER (WHERE p_size > 10) AS name, count(DISTINCT p_type) AS n_heads FROM part GROUP BY p_brand")
+@query("d23_chemical_units", "SELECT p_brand, count(*) AS n_rows, arg_min(p_name, p_partkey) FILTER (WHERE p_size > 10) AS name, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS heads FROM part GROUP BY p_brand")
 def _(t):
-    name = F.min_by(F.when(F.col("p_size") > 10, F.col("p_name")), F.when(F.col("p_size") > 10, F.col("p_partkey")))
-    return t("part").groupBy("p_brand").agg(F.count("*").alias("n_rows"), F.min("p_partkey").alias("first_key"), name.alias("name"), F.countDistinct("p_type").alias("n_heads"))
+    records = t("part").withColumn("p_name", F.when(F.col("p_size") > 10, F.col("p_name")).otherwise(" "))
+    u = U.chemical_units(records, "p_brand", "p_partkey", ["p_name"], "p_type")
+    return u.select("p_brand", "n_rows", F.col("p_name").alias("name"), F.array_join("heads", ",").alias("heads"))
 
 
-@query("d24_group_summary", "SELECT p_type, count(*) AS n, array_to_string(list_sort(list(DISTINCT p_brand))[1:5], ',') AS top FROM part GROUP BY p_type")
+@query("d24_group_summary", "SELECT p_type, count(*) AS n_rows, count(DISTINCT p_partkey) AS n_members, count(DISTINCT p_size) AS n_scaffolds, array_to_string(list_sort(list(DISTINCT p_brand))[1:5], ',') AS top FROM part GROUP BY p_type")
 def _(t):
-    return t("part").groupBy("p_type").agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("p_brand")), 1, 5), ",").alias("top"))
+    units = t("part").withColumn("rows", F.lit(1))
+    g = U.group_summary(units, "p_type", "p_partkey", "rows", "p_size", "p_brand")
+    return g.select("p_type", "n_rows", "n_members", "n_scaffolds", F.array_join("top_names", ",").alias("top"))
 
 
 @query("d25_censoring_audit", "SELECT l_returnflag, l_linestatus, l_linenumber, l_discount > 0.05 AS high, count(*) AS n FROM lineitem GROUP BY ALL")
 def _(t):
-    return t("lineitem").groupBy("l_returnflag", "l_linestatus", "l_linenumber", (F.col("l_discount") > 0.05).alias("high")).agg(F.count("*").alias("n"))
+    return U.count_by(t("lineitem"), l_returnflag="l_returnflag", l_linestatus="l_linestatus", l_linenumber="l_linenumber", high=F.col("l_discount") > 0.05)
 
 
-@query("d26_bin_summary", "SELECT CASE WHEN l_extendedprice < 10000 THEN 'low' WHEN l_extendedprice < 50000 THEN 'mid' ELSE 'high' END AS bin, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2")
+@query("d26_bin_summary", "SELECT CASE WHEN l_extendedprice < 10000 THEN 'low' WHEN l_extendedprice < 50000 THEN 'mid' ELSE 'high' END AS bin, l_returnflag, count(*) AS n, count(*) FILTER (WHERE abs(l_extendedprice - 10000) <= 100 OR abs(l_extendedprice - 50000) <= 500) AS n_near_boundary FROM lineitem GROUP BY 1, 2")
 def _(t):
-    b = F.when(F.col("l_extendedprice") < 10000, "low").when(F.col("l_extendedprice") < 50000, "mid").otherwise("high")
-    return t("lineitem").groupBy(b.alias("bin"), "l_returnflag").agg(F.count("*").alias("n"))
+    price = F.col("l_extendedprice")
+    b = X.toxicity_bin(price, [("low", None, 10000.0), ("mid", 10000.0, 50000.0), ("high", 50000.0, None)])
+    return U.boundary_audit(t("lineitem"), price, [10000.0, 50000.0], 0.01, bin=b, l_returnflag="l_returnflag")
 
 
-@query("d27_perturbation", "SELECT l_orderkey, round(avg(l_discount), 9) AS mean, round(stddev_pop(l_discount), 9) AS sd FROM lineitem GROUP BY 1")
+@query("d27_perturbation", "SELECT l_orderkey, count(l_discount) AS n, round(avg(l_discount), 9) AS mean, round(stddev_pop(l_discount), 9) AS sd, round(avg(l_discount) - avg(l_tax), 9) + 0.0 AS error FROM lineitem GROUP BY 1")
 def _(t):
-    return t("lineitem").groupBy("l_orderkey").agg(R(F.avg("l_discount"), 9).alias("mean"), R(F.stddev_pop("l_discount"), 9).alias("sd"))
+    p = V.perturbation_summary(t("lineitem"), "l_orderkey", "l_discount", "l_tax")
+    return p.select("l_orderkey", "n", *[(R(c, 9) + 0.0).alias(c) for c in ("mean", "sd", "error")])
 
 
 @query("d28_species_performance", SC + f", f AS (SELECT *, bool_or(stable_record_id % 2 = 0) OVER (PARTITION BY canonical_parent) AS has_eval FROM s) SELECT canonical_parent, {MET} FROM f WHERE NOT has_eval OR stable_record_id % 2 = 0 GROUP BY 1")
 def _(t):
-    a = aligned_a(t)
-    has = a.groupBy("canonical_parent").agg(F.bool_or(F.col("stable_record_id") % 2 == 0).alias("has_eval"))
-    d = a.join(has, "canonical_parent").where(~F.col("has_eval") | (F.col("stable_record_id") % 2 == 0))
-    d = d.withColumn("prediction", F.when(F.col("scored"), F.col("prediction")))
-    return rounded(d.groupBy("canonical_parent").agg(*A.regression_metrics()), "canonical_parent")
+    a = aligned_a(t).withColumn("prediction", F.when(F.col("scored"), F.col("prediction")))
+    return rounded(V.preferred_metrics(a, ["canonical_parent"], F.col("stable_record_id") % 2 == 0), "canonical_parent")
 
 
 @query("d29_observed_vs_predicted", """WITH q AS (SELECT quantile_cont(value, 0.005) AS lo, quantile_cont(value, 0.995) AS hi FROM events), b AS (SELECT least(CAST(floor((value - lo) / ((hi - lo) / 28)) AS BIGINT) + 1, 28) AS bin, value FROM events, q WHERE value BETWEEN lo AND hi)
 SELECT bin, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.75), 6) AS q75 FROM b GROUP BY 1""")
 def _(t):
-    e = t("events").select("value")
-    q = e.agg(F.percentile("value", 0.005).alias("lo"), F.percentile("value", 0.995).alias("hi"))
-    d = e.crossJoin(F.broadcast(q)).where(F.col("value").between(F.col("lo"), F.col("hi")))
-    b = F.least(F.floor((F.col("value") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 28)) + 1, F.lit(28))
-    return d.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), R(F.avg("value")).alias("mean"), R(F.percentile("value", 0.25)).alias("q25"), R(F.percentile("value", 0.75)).alias("q75"))
+    b = V.binned_profile(t("events").select("value"), "value", "value")
+    return b.select("bin", "n", *[R(c).alias(c) for c in ("mean", "q25", "q75")])
 
 
-@query("d30_support_counts", "WITH x AS (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2) SELECT event_type, sum(n)::BIGINT AS by_task, count(*) AS n_species, max(n) AS max_per_species FROM x GROUP BY 1")
+@query("d30_support_counts", "WITH x AS (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2) SELECT event_type, user_id, sum(n) OVER (PARTITION BY event_type)::BIGINT AS by_task, sum(n) OVER (PARTITION BY user_id)::BIGINT AS by_species, n AS by_species_task, max(n) OVER (PARTITION BY event_type) AS max_species_task FROM x")
 def _(t):
-    x = t("events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
-    return x.groupBy("event_type").agg(F.sum("n").alias("by_task"), F.count("*").alias("n_species"), F.max("n").alias("max_per_species"))
+    s = B.support_counts(t("events"), ["event_type"], "user_id")
+    return s.select("event_type", "user_id", "by_task", "by_species", "by_species_task", "max_species_task")
+
 
+SUPPORT = """WITH e AS (SELECT event_id, event_type AS task, user_id AS u, user_id % 40 AS g, hour(ts) % 5 AS stage, round(value) AS level, value FROM events), q AS (SELECT * FROM e WHERE event_id % 10 = 0), r AS (SELECT * FROM e WHERE event_id % 10 <> 0),
+n AS (SELECT task, count(*) AS n, quantile_cont(level, 0.05) AS l5, quantile_cont(level, 0.95) AS l95, quantile_cont(value, 0.05) AS v5, quantile_cont(value, 0.95) AS v95 FROM r GROUP BY 1), m AS (SELECT max(n) AS most FROM n),
+x AS (SELECT q.*, n.n, ln(1 + n.n) / ln(1 + most) AS task_support, CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.task = q.task AND r.u = q.u) THEN 1.0 WHEN EXISTS (SELECT 1 FROM r WHERE r.task = q.task AND r.g = q.g) THEN 0.85 ELSE 0 END AS taxon_support,
+ ln(1 + (SELECT count(*) FROM r WHERE r.task = q.task AND r.stage = q.stage)) / ln(1 + n.n) AS stage_support, (SELECT count(*) FROM r WHERE r.task = q.task AND r.u = q.u AND r.stage = q.stage AND r.level = q.level AND r.value = q.value) AS same,
+ greatest(0, 1 - (SELECT min(abs(r.level - q.level)) FROM r WHERE r.task = q.task) / (l95 - l5)) AS e1,
+ greatest(0, 1 - (SELECT min(abs(ln(1 + r.value) - ln(1 + q.value))) FROM r WHERE r.task = q.task) / (ln(1 + v95) - ln(1 + v5))) AS e2 FROM q JOIN n USING (task), m),
+y AS (SELECT *, (e1 + e2) / 2 AS ex, ln(1 + same) / ln(1 + n) AS den FROM x)
+SELECT event_id, round(task_support, 6) AS task_support, round(taxon_support, 6) AS taxon_support, round(stage_support, 6) AS stage_support, round(ex, 6) AS experiment_support, round(den, 6) AS density_support,
+ round(exp((ln(greatest(task_support, 1e-9)) + ln(greatest(taxon_support, 1e-9)) + ln(greatest(stage_support, 1e-9)) + ln(greatest(ex, 1e-9)) + CASE WHEN den > 0 THEN ln(greatest(den, 1e-9)) ELSE 0 END) / CASE WHEN den > 0 THEN 5 ELSE 4 END), 6) AS overall FROM y"""
 
-@query("d31_support_score", "WITH x AS (SELECT user_id, count(*) AS n, min(abs(value - 50)) AS near FROM events GROUP BY 1), r AS (SELECT quantile_cont(value, 0.95) - quantile_cont(value, 0.05) AS span FROM events) SELECT user_id, round(exp((ln(least(1, ln(1 + n) / ln(101))) + ln(greatest(0.01, 1 - near / span))) / 2), 6) AS score FROM x, r")
+
+@query("d31_support_score", SUPPORT)
 def _(t):
-    e = t("events")
-    x = e.groupBy("user_id").agg(F.count("*").alias("n"), F.min(F.abs(F.col("value") - 50)).alias("near"))
-    span = e.agg((F.percentile("value", 0.95) - F.percentile("value", 0.05)).alias("span"))
-    amount = F.least(F.lit(1.0), F.log1p("n") / F.log(F.lit(101.0)))
-    close = F.greatest(F.lit(0.01), 1 - F.col("near") / F.col("span"))
-    return x.crossJoin(F.broadcast(span)).select("user_id", R(F.exp((F.log(amount) + F.log(close)) / 2)).alias("score"))
+    e = t("events").withColumns({"genus": F.col("user_id") % 40, "stage": F.hour("ts") % 5, "level": F.round("value")})
+    taxa = {"user_id": 1.0, "genus": 0.85}
+    s = B.support_scores(e.where("event_id % 10 = 0"), e.where("event_id % 10 <> 0"), "event_id", ["event_type"], taxa, "stage", {"level": False, "value": True})
+    return s.select("event_id", *[R(c).alias(c) for c in ("task_support", "taxon_support", "stage_support", "experiment_support", "density_support", "overall")])
 
 
 @query("d32_reference_median", OBS + " SELECT task_head, life_stage, round(quantile_cont(x, 0.5), 6) AS median FROM d GROUP BY 1, 2")
 def _(t):
-    return t.sql(OBSERVATIONS).groupBy("task_head", "life_stage").agg(R(F.percentile("x", 0.5)).alias("median"))
+    return B.reference_median(t.sql(OBSERVATIONS), ["task_head", "life_stage"], "x").select("task_head", "life_stage", R("median").alias("median"))
 
 
 @query("d33_numeric_stats", "WITH t AS (SELECT avg(l_quantity) AS m, CASE WHEN stddev_pop(l_quantity) > 1e-12 THEN stddev_pop(l_quantity) ELSE 1 END AS s FROM lineitem WHERE l_linenumber <= 4) SELECT l_orderkey, l_linenumber, round(greatest(-1, least(1, (l_quantity - m) / s)), 6) AS z, abs((l_quantity - m) / s) > 1 AS clipped FROM lineitem, t")
 def _(t):
-    x = t("lineitem")
-    sd = F.stddev_pop("l_quantity")
-    s = x.where("l_linenumber <= 4").agg(F.avg("l_quantity").alias("m"), F.when(sd > 1e-12, sd).otherwise(1.0).alias("s"))
-    z = (F.col("l_quantity") - F.col("m")) / F.col("s")
-    return x.crossJoin(F.broadcast(s)).select("l_orderkey", "l_linenumber", R(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), z))).alias("z"), (F.abs(z) > 1).alias("clipped"))
+    z = B.scale_numeric(t("lineitem"), F.col("l_linenumber") <= 4, ["l_quantity"], clip=1.0)
+    return z.select("l_orderkey", "l_linenumber", R("z_l_quantity").alias("z"), F.col("clipped_l_quantity").alias("clipped"))
 
 
-@query("d34_target_scaler", OBS + ", s AS (SELECT task_head, avg(x) AS m, stddev_pop(x) AS sd, count(*) AS n FROM d WHERE test_id % 3 <> 0 GROUP BY 1), g AS (SELECT avg(x) AS gm, stddev_pop(x) AS gs FROM d WHERE test_id % 3 <> 0) SELECT result_id, round((x - CASE WHEN n >= 20 THEN m ELSE gm END) / CASE WHEN n >= 20 THEN sd ELSE gs END, 6) AS scaled FROM d LEFT JOIN s USING (task_head), g")
+SCALES = [("per_task", "s1", "task_head"), ("per_target", "s2", "medium_domain"), ("per_task_target", "s3", "task_head, medium_domain"), ("per_adapter", "s4", "life_stage"), ("per_task_adapter", "s5", "task_head, life_stage")]
+
+
+@query("d34_target_scaler", OBS + ", f AS (SELECT * FROM d WHERE test_id % 3 <> 0 AND (pub_year IS NOT NULL OR life_stage <> 'A')), g AS (SELECT avg(x) AS m, stddev_pop(x) AS sd FROM f) SELECT d.result_id, round(d.x, 6) AS none, round(d.x, 6) AS identity, round((d.x - g.m) / g.sd, 6) AS global" + "".join(f", round((d.x - coalesce({a}.m, g.m)) / coalesce({a}.sd, g.sd), 6) AS {name}" for name, a, _ in SCALES) + ", round(d.x, 6) AS back FROM d CROSS JOIN g " + " ".join(f"LEFT JOIN (SELECT {k}, avg(x) AS m, CASE WHEN stddev_pop(x) > 1e-12 THEN stddev_pop(x) ELSE 1 END AS sd FROM f GROUP BY ALL) {a} USING ({k})" for _, a, k in SCALES))
 def _(t):
-    d = t.sql(OBSERVATIONS)
-    train = d.where("test_id % 3 <> 0")
-    own = train.groupBy("task_head").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("sd"), F.count("*").alias("n"))
-    whole = train.agg(F.avg("x").alias("gm"), F.stddev_pop("x").alias("gs"))
-    ok = F.coalesce(F.col("n") >= 20, F.lit(False))
-    j = d.join(own, "task_head", "left").crossJoin(F.broadcast(whole))
-    return j.select("result_id", R((F.col("x") - F.when(ok, F.col("m")).otherwise(F.col("gm"))) / F.when(ok, F.col("sd")).otherwise(F.col("gs"))).alias("scaled"))
+    d = t.sql(OBSERVATIONS).withColumn("adapter", F.col("life_stage"))
+    train, out = d.where("test_id % 3 <> 0"), d
+    for mode in B.MODES:
+        key = B.scale_key(mode, F.col("task_head"), F.col("medium_domain"), F.col("adapter"))
+        stats = B.fit_target_scaler(train.where("pub_year is not null or life_stage <> 'A'"), "x", key)
+        out = B.apply_target_scaler(out, stats, "x", key, mode, mode)
+        if mode == "per_task":
+            out = B.apply_target_scaler(out, stats, mode, key, mode, "back", inverse=True)
+    return out.select("result_id", *[R(m).alias(m) for m in B.MODES], R("back").alias("back"))
 
 
-@query("d35_category_maps", "WITH n AS (SELECT p_type, count(*) AS n FROM part WHERE p_partkey % 4 <> 0 GROUP BY 1), i AS (SELECT p_type, row_number() OVER (ORDER BY p_type) + 3 AS code FROM n WHERE n >= 2) SELECT p_partkey, coalesce(i.code, CASE WHEN n.n IS NULL THEN 2 ELSE 3 END)::BIGINT AS code FROM part LEFT JOIN n USING (p_type) LEFT JOIN i USING (p_type)")
+@query("d35_category_maps", """WITH d AS (SELECT p_partkey, CASE WHEN p_size % 9 <> 0 THEN p_name || '/' || (p_size % 4) END AS v, CASE WHEN p_size % 9 <> 0 THEN p_name || '/' || (p_size % 4) ELSE '<missing>' END AS w FROM part),
+n AS (SELECT v, count(*) AS n FROM d WHERE p_partkey % 4 <> 0 AND v IS NOT NULL GROUP BY 1), i AS (SELECT v, row_number() OVER (ORDER BY v) + 3 AS code FROM n WHERE n >= 5),
+k AS (SELECT w, count(*) AS n FROM d WHERE p_partkey % 4 <> 0 GROUP BY 1), j AS (SELECT w, row_number() OVER (ORDER BY n DESC, w) AS code FROM k WHERE n >= 5)
+SELECT p_partkey, coalesce(i.code, CASE WHEN d.v IS NULL THEN 1 WHEN n.n IS NULL THEN 2 ELSE 3 END)::BIGINT AS reserved, coalesce(j.code, 0)::BIGINT AS by_frequency FROM d LEFT JOIN n ON n.v = d.v LEFT JOIN i ON i.v = d.v LEFT JOIN j ON j.w = d.w""")
 def _(t):
-    n = t("part").where("p_partkey % 4 <> 0").groupBy("p_type").agg(F.count("*").alias("n"))
-    codes = n.where("n >= 2").withColumn("code", F.row_number().over(Window.orderBy("p_type")) + 3).select("p_type", "code")
-    j = t("part").join(n, "p_type", "left").join(codes, "p_type", "left")
-    return j.select("p_partkey", F.coalesce("code", F.when(F.col("n").isNull(), 2).otherwise(3)).cast("bigint").alias("code"))
+    p = t("part").withColumn("v", F.when(F.col("p_size") % 9 != 0, F.concat("p_name", F.lit("/"), F.col("p_size") % 4)))
+    train = F.col("p_partkey") % 4 != 0
+    p = B.category_codes(p, train, "v", "reserved", 5)
+    return B.category_codes(p, train, "v", "by_frequency", 5, "frequency").select("p_partkey", "reserved", "by_frequency")
 
 
-@query("d37_task_weights", "WITH n AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1), m AS (SELECT quantile_cont(n, 0.5) AS md FROM n) SELECT event_type, round(greatest(0.5, least(2, sqrt(md / n))), 9) AS weight FROM n, m")
+@query("d37_task_weights", "WITH n AS (SELECT l_suppkey AS head, count(*) AS n FROM lineitem GROUP BY 1), m AS (SELECT quantile_cont(n, 0.5) AS md FROM n) SELECT head, n, round(greatest(0.25, least(4, sqrt(md / n) * CASE WHEN head % 3 = 0 THEN 0.35 ELSE 1 END)), 9) AS weight FROM n, m")
 def _(t):
-    n = t("events").groupBy("event_type").agg(F.count("*").alias("n"))
-    return n.crossJoin(n.agg(F.percentile("n", 0.5).alias("md"))).select("event_type", R(F.greatest(F.lit(0.5), F.least(F.lit(2.0), F.sqrt(F.col("md") / F.col("n")))), 9).alias("weight"))
+    e = t("lineitem").select(F.col("l_suppkey").alias("head"), F.when(F.col("l_suppkey") % 3 == 0, "toxicity_aux").otherwise("main").alias("grp"))
+    return B.task_weights(e, "head", "grp", {"toxicity_aux": 0.35}).select("head", "n", R("weight", 9).alias("weight"))
 
 
-@query("d38_level_weights", "WITH n AS (SELECT l_linenumber, count(*) AS n FROM lineitem GROUP BY 1), w AS (SELECT *, pow(n, -0.5) AS w FROM n) SELECT l_linenumber, round(w * sum(n) OVER () / sum(w * n) OVER (), 6) AS weight FROM w")
+@query("d38_level_weights", "WITH n AS (SELECT l_linenumber, count(*) AS n FROM lineitem WHERE l_discount > 0.02 OR l_linenumber < 3 GROUP BY 1), w AS (SELECT *, pow(n, -0.5) AS w FROM n) SELECT l_linenumber, n, round(w * sum(n) OVER () / sum(w * n) OVER (), 6) AS weight FROM w")
 def _(t):
-    n = t("lineitem").groupBy("l_linenumber").agg(F.count("*").alias("n")).withColumn("w", F.pow("n", F.lit(-0.5)))
-    total = n.agg(F.sum("n").alias("tn"), F.sum(F.col("w") * F.col("n")).alias("tw"))
-    return n.crossJoin(total).select("l_linenumber", R(F.col("w") * F.col("tn") / F.col("tw")).alias("weight"))
+    w = B.level_weights(t("lineitem").where("l_discount > 0.02 or l_linenumber < 3"), "l_linenumber", 0.5, 0.1, 10.0)
+    return w.select("l_linenumber", "n", R("weight").alias("weight"))
 
 
-@query("d40_bin_sampling_weights", "WITH r AS (SELECT event_type, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1), b AS (SELECT event_id, event_type, least(CAST(floor((value - lo) / ((hi - lo) / 10)) AS BIGINT) + 1, 10) AS bin FROM events JOIN r USING (event_type)) SELECT event_id, bin, round(count(*) OVER (PARTITION BY event_type) / count(*) OVER (PARTITION BY event_type, bin) / 10, 9) AS weight FROM b")
+@query("d40_bin_sampling_weights", "WITH r AS (SELECT event_type, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1), b AS (SELECT event_id, event_type, least(CAST(floor((value - lo) / ((hi - lo) / 10)) AS BIGINT) + 1, 10) AS bin FROM events JOIN r USING (event_type)), c AS (SELECT event_type, bin, count(*) AS n FROM b GROUP BY 1, 2), k AS (SELECT event_type, count(*) AS occupied, sum(n) AS total FROM c GROUP BY 1) SELECT event_id, b.bin, round(total / (occupied * n), 6) AS weight FROM b JOIN c USING (event_type, bin) JOIN k USING (event_type)")
 def _(t):
-    e = t("events")
-    r = e.groupBy("event_type").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("nt"))
-    b = e.join(F.broadcast(r), "event_type").withColumn("bin", F.least(F.floor((F.col("value") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 10)) + 1, F.lit(10)))
-    per = b.groupBy("event_type", "bin").agg(F.count("*").alias("nb"))
-    return b.join(per, ["event_type", "bin"]).select("event_id", "bin", R(F.col("nt") / F.col("nb") / 10, 9).alias("weight"))
+    w = B.bin_sampling_weights(t("events"), "event_id", "event_type", "value", 10, 0.01, 100.0)
+    return w.select("event_id", "bin", R("weight").alias("weight"))
 
 
-@query("d41_shrinkage", "SELECT event_type, count(*) AS n, round(count(*) / (count(*) + 50), 9) AS shrinkage FROM events GROUP BY 1")
+@query("d41_shrinkage", "WITH n AS (SELECT event_type, count(*) AS n, event_type[1] AS family FROM events GROUP BY 1) SELECT event_type, n, family, sum(n) OVER (PARTITION BY family)::BIGINT AS n_family, round(n / (n + 50), 9) AS shrinkage FROM n")
 def _(t):
-    return t("events").groupBy("event_type").agg(F.count("*").alias("n")).withColumn("shrinkage", R(F.col("n") / (F.col("n") + 50), 9))
+    s = B.shrinkage(t("events").withColumn("family", F.substring("event_type", 1, 1)), "event_type", "family", 50.0)
+    return s.withColumn("shrinkage", R("shrinkage", 9))
 
 
 @query("d42_identity_hash", "SELECT l_partkey, sha256(to_json(list_sort(list(DISTINCT CAST(l_orderkey AS VARCHAR))))) AS identity_sha256 FROM lineitem GROUP BY 1")
 def _(t):
-    return t("lineitem").groupBy("l_partkey").agg(F.sha2(F.to_json(F.array_sort(F.collect_set(F.col("l_orderkey").cast("string")))), 256).alias("identity_sha256"))
+    return U.listed_hash(t("lineitem"), "l_partkey", "l_orderkey")
 
 
-@query("d43_unique_structures", "SELECT p_name, count(*) AS n FROM part GROUP BY p_name")
+@query("d43_unique_structures", "SELECT p_name AS structure, count(*) AS n, count(DISTINCT p_brand) AS n_sources FROM part WHERE p_size > 3 GROUP BY p_name")
 def _(t):
-    return t("part").groupBy("p_name").agg(F.count("*").alias("n"))
+    p = t("part").select(F.when(F.col("p_size") > 3, F.concat(F.lit(" "), "p_name", F.lit("  "))).otherwise(" ").alias("structure"), "p_brand")
+    return U.unique_structures(p, "structure", "p_brand")
 
 
-@query("d44_snapshot_validation", "SELECT count(*) AS n, count(DISTINCT event_id) AS n_unique, count(DISTINCT event_type) AS n_heads, count(*) FILTER (WHERE value IS NULL OR isnan(value) OR isinf(value)) AS n_not_finite FROM events")
+@query("d44_snapshot_validation", "SELECT CASE WHEN event_id % 4 = 0 THEN 'test' ELSE 'train' END AS part, count(*) AS n, count(DISTINCT event_id) AS n_unique, count(DISTINCT event_type) AS n_heads, count(*) FILTER (WHERE event_id % 50 = 0 OR value IS NULL) AS n_not_finite, count(DISTINCT event_id) AS n_ids FROM events GROUP BY 1")
 def _(t):
-    v = F.col("value")
-    return t("events").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("n_unique"), F.countDistinct("event_type").alias("n_heads"), F.count_if(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))).alias("n_not_finite"))
+    e = t("events").withColumns({"part": F.when(F.col("event_id") % 4 == 0, "test").otherwise("train"), "value": F.when(F.col("event_id") % 50 != 0, F.col("value"))})
+    return U.snapshot_validation(e, "event_id", "event_type", "value", "part").select("part", "n", "n_unique", "n_heads", "n_not_finite", "n_ids")
 
 
-@query("d45_frame_contract", "SELECT count(*) - count(DISTINCT event_id) AS n_repeated, count(*) FILTER (WHERE coalesce(event_type, '') = '') AS n_no_head, count(DISTINCT event_type) AS n_scales FROM events")
+@query("d45_frame_contract", "WITH x AS (SELECT count(*) - count(DISTINCT event_id % 900) AS a, count(*) FILTER (WHERE event_id % 40 = 0 OR coalesce(event_type, '') = '') AS b, count(DISTINCT event_type) - 1 AS c FROM events) SELECT unnest(['missing_columns', 'repeated_ids', 'empty_head', 'several_scale', 'several_route']) AS rule, unnest([0, a, b, c, 0]) AS n_violations FROM x")
 def _(t):
-    return t("events").agg((F.count("*") - F.countDistinct("event_id")).alias("n_repeated"), F.count_if(F.coalesce("event_type", F.lit("")) == "").alias("n_no_head"), F.countDistinct("event_type").alias("n_scales"))
+    e = t("events").withColumns({"head": F.when(F.col("event_id") % 40 == 0, " ").otherwise(F.col("event_type")), "record": F.col("event_id") % 900, "scale": F.col("event_type"), "route": F.lit("W00")})
+    return U.frame_contract(e, ["record", "head", "scale", "route", "value"], "record", "head", "scale", ["route"])
 
 
-@query("d46_row_exact_comparison", "SELECT count(*) AS n_differing FROM (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber = 1 EXCEPT ALL SELECT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber = 1 AND l_discount < 0.09)")
+@query("d46_row_exact_comparison", "SELECT 'left_only' AS side, count(*) AS n FROM (SELECT l_orderkey, l_partkey FROM lineitem EXCEPT ALL (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_discount < 0.09 UNION ALL SELECT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber = 2 AND l_quantity > 45)) UNION ALL SELECT 'right_only', count(*) FROM ((SELECT l_orderkey, l_partkey FROM lineitem WHERE l_discount < 0.09 UNION ALL SELECT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber = 2 AND l_quantity > 45) EXCEPT ALL SELECT l_orderkey, l_partkey FROM lineitem)")
 def _(t):
-    x = t("lineitem").where("l_linenumber = 1")
-    return x.select("l_orderkey", "l_partkey").exceptAll(x.where("l_discount < 0.09").select("l_orderkey", "l_partkey")).agg(F.count("*").alias("n_differing"))
+    x = t("lineitem")
+    other = x.where("l_discount < 0.09").unionByName(x.where("l_linenumber = 2 and l_quantity > 45"))
+    return U.row_differences(x, other, ["l_orderkey", "l_partkey"])
 
 
 @query("d47_validation_winner", HEADS + " SELECT CASE WHEN avg(a) <= avg(b) THEN 'pred_a' ELSE 'pred_b' END AS winner, round(least(avg(a), avg(b)), 6) AS macro_mae FROM h")
 def _(t):
-    m = head_errors(t).agg(F.avg("a").alias("a"), F.avg("b").alias("b"))
-    s = m.select(F.explode(F.array(F.struct(F.col("a").alias("m"), F.lit("pred_a").alias("model")), F.struct(F.col("b").alias("m"), F.lit("pred_b").alias("model")))).alias("x")).select("x.*")
-    return s.agg(F.min_by("model", F.struct("m", "model")).alias("winner"), R(F.min("m")).alias("macro_mae"))
+    return V.validation_winner(head_errors(t).select(F.col("a").alias("pred_a"), F.col("b").alias("pred_b")), ["pred_a", "pred_b"]).select("winner", R("macro_mae").alias("macro_mae"))
 
 
-@query("d48_conflict_flags", "SELECT l_partkey, CASE WHEN count(DISTINCT l_suppkey) > 1 AND max(l_discount) - min(l_discount) > 0.03 THEN 1 ELSE 0 END AS flag FROM lineitem GROUP BY 1")
+@query("d48_conflict_flags", "WITH g AS (SELECT l_partkey, count(DISTINCT l_suppkey) > 1 AND max(l_discount) - min(l_discount) > 0.03 AS f, max(l_discount) > 0.05 AS was FROM lineitem GROUP BY 1) SELECT l_partkey, CASE WHEN f THEN 1 ELSE 0 END AS new_flag, f <> was AS changed FROM g")
 def _(t):
-    return t("lineitem").groupBy("l_partkey").agg(((F.countDistinct("l_suppkey") > 1) & (F.max("l_discount") - F.min("l_discount") > 0.03)).cast("int").alias("flag"))
+    g = t("lineitem").groupBy("l_partkey").agg(F.countDistinct("l_suppkey").alias("n"), (F.max("l_discount") - F.min("l_discount")).alias("range"), (F.max("l_discount") > 0.05).cast("int").alias("flag"))
+    return U.conflict_flags(g, "n", "range", 0.03, "flag").select("l_partkey", "new_flag", "changed")
 
 
-@query("d49_task_filter", "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) >= 20 AND count(*) FILTER (WHERE l_linenumber <= 5) >= 15 AND count(*) FILTER (WHERE l_linenumber > 5) >= 3")
+@query("d49_task_filter", "SELECT l_suppkey, count(*) AS n, count(*) FILTER (WHERE l_linenumber <= 5) AS n_train, count(*) FILTER (WHERE l_linenumber > 5) AS n_eval FROM lineitem GROUP BY 1 HAVING count(*) >= 20 AND count(*) FILTER (WHERE l_linenumber <= 5) >= 15 AND count(*) FILTER (WHERE l_linenumber > 5) >= 3")
 def _(t):
-    g = t("lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_linenumber") <= 5).alias("tr"), F.count_if(F.col("l_linenumber") > 5).alias("ev"))
-    return g.where("n >= 20 and tr >= 15 and ev >= 3").select("l_suppkey", "n")
+    return B.task_filter(t("lineitem"), "l_suppkey", F.col("l_linenumber") <= 5, (20, 15, 3))
 
 
 # ---- windows ------------------------------------------------------------------------------
@@ -367,21 +391,18 @@ def _(t):
 @query("e02_group_rank", "SELECT p_brand, 'structure_group_' || lpad(CAST(row_number() OVER (ORDER BY count(*) DESC, p_brand) AS VARCHAR), 5, '0') AS group_key FROM part GROUP BY p_brand")
 def _(t):
     g = t("part").groupBy("p_brand").agg(F.count("*").alias("n"))
-    return g.select("p_brand", F.format_string("structure_group_%05d", F.row_number().over(Window.orderBy(F.desc("n"), "p_brand"))).alias("group_key"))
+    return range_rank(g, [F.col("n").desc(), F.col("p_brand").asc()]).select("p_brand", F.format_string("structure_group_%05d", F.col("rank") + 1).alias("group_key"))
 
 
-@query("e03_best_metric_row", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END, value DESC, event_id) = 1")
+@query("e03_best_metric_row", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3 = 0 DESC, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END, value DESC, event_id) = 1")
 def _(t):
     rank = F.when(F.col("event_type") == "view", 0).when(F.col("event_type") == "click", 1).otherwise(2)
-    return t("events").groupBy("user_id").agg(F.min_by("event_id", F.struct(rank.alias("r"), (-F.col("value")).alias("v"), "event_id")).alias("event_id"))
+    return V.best_metric_row(t("events"), "user_id", "event_id", rank, F.col("value"), F.col("event_id") % 3 == 0)
 
 
 @query("e05_internal_validation", "WITH r AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY sha256('11|' || event_id)) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_id, i <= greatest(1, least(n - 1, CAST(floor(n * 0.1) AS BIGINT))) AS is_valid FROM r")
 def _(t):
-    w = Window.partitionBy("event_type")
-    i = F.row_number().over(w.orderBy(F.sha2(F.concat_ws("|", F.lit("11"), "event_id"), 256)))
-    n = F.count("*").over(w)
-    return t("events").select("event_id", (i <= F.greatest(F.lit(1), F.least(n - 1, F.floor(n * 0.1)))).alias("is_valid"))
+    return B.internal_validation(t("events").select("event_id", "event_type"), "event_type", "event_id", 0.1, 11).select("event_id", "is_valid")
 
 
 PV = "SELECT c_custkey AS contrast, c_mktsegment AS family, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE (c_nationkey + 1) / 200.0 END AS p FROM customer"
@@ -400,52 +421,52 @@ def _(t):
 @query("e08_risk_coverage", SC + ", c AS (SELECT unnest([0.0, 20.0, 40.0, 60.0, 80.0]) AS cutoff) SELECT CAST(cutoff AS DOUBLE) AS cutoff, count(e) AS kept, round(avg(abs(e)), 6) AS mae FROM c LEFT JOIN s ON s.target >= cutoff GROUP BY 1")
 def _(t):
     a = aligned_a(t).where("scored").select("target", F.abs(F.col("prediction") - F.col("target")).alias("e"))
-    c = t.spark.range(5).select((F.col("id") * 20.0).alias("cutoff"))  # frozen cut-offs, a fixed list
-    return c.join(a, a["target"] >= c["cutoff"], "left").groupBy("cutoff").agg(F.count("e").alias("kept"), R(F.avg("e")).alias("mae"))
+    return V.risk_coverage(a, "target", "e", [0.0, 20.0, 40.0, 60.0, 80.0]).select("cutoff", "kept", R("mae").alias("mae"))
 
 
 @query("e09_scope_effect", SC + " SELECT model_head, count(e) FILTER (WHERE canonical_parent % 2 = 0) AS n_low, count(e) FILTER (WHERE canonical_parent % 2 = 1) AS n_high, round(CASE WHEN least(count(e) FILTER (WHERE canonical_parent % 2 = 0), count(e) FILTER (WHERE canonical_parent % 2 = 1)) >= 20 THEN avg(abs(e)) FILTER (WHERE canonical_parent % 2 = 0) - avg(abs(e)) FILTER (WHERE canonical_parent % 2 = 1) END, 6) AS effect FROM s GROUP BY 1")
 def _(t):
-    a, low = aligned_a(t).where("scored").withColumn("e", F.abs(F.col("prediction") - F.col("target"))), F.col("canonical_parent") % 2 == 0
-    g = a.groupBy("model_head").agg(F.count_if(low).alias("n_low"), F.count_if(~low).alias("n_high"), (F.avg(F.when(low, F.col("e"))) - F.avg(F.when(~low, F.col("e")))).alias("d"))
-    return g.select("model_head", "n_low", "n_high", R(F.when(F.least("n_low", "n_high") >= 20, F.col("d"))).alias("effect"))
+    a = aligned_a(t).where("scored").withColumn("e", F.abs(F.col("prediction") - F.col("target")))
+    return V.scope_effect(a, "model_head", F.col("canonical_parent") % 2 == 0, "e").select("model_head", "n_low", "n_high", R("effect").alias("effect"))
 
 
-@query("e10_stratified_metrics", SC + f", b AS (SELECT *, CASE WHEN target < 25 THEN 'q1' WHEN target < 50 THEN 'q2' WHEN target < 75 THEN 'q3' ELSE 'q4' END AS band FROM s) SELECT band, {MET} FROM b GROUP BY 1 HAVING count(e) > 0")
+@query("e10_stratified_metrics", SC + f""", k AS (SELECT *, count(*) OVER (PARTITION BY canonical_parent) AS ns FROM s WHERE e IS NOT NULL), q AS (SELECT quantile_cont(target, 0.25) AS a, quantile_cont(target, 0.5) AS b, quantile_cont(target, 0.75) AS c FROM k),
+b AS (SELECT 'toxicity_quartile' AS stratum, CASE WHEN target <= a THEN 'q1' WHEN target <= b THEN 'q2' WHEN target <= c THEN 'q3' ELSE 'q4' END AS band, y, e FROM k, q UNION ALL SELECT 'similarity', CASE WHEN target / 100 < 0.3 THEN 'low' WHEN target / 100 < 0.65 THEN 'middle' ELSE 'high' END, y, e FROM k
+UNION ALL SELECT 'species_support', CASE WHEN ns < 5 THEN 'few' WHEN ns < 12 THEN 'some' ELSE 'many' END, y, e FROM k) SELECT stratum, band, {MET} FROM b GROUP BY 1, 2""")
 def _(t):
-    v = F.col("target")
-    band = F.when(v < 25, "q1").when(v < 50, "q2").when(v < 75, "q3").otherwise("q4")
-    return rounded(aligned_a(t).where("scored").groupBy(band.alias("band")).agg(*A.regression_metrics()), "band")
+    a = aligned_a(t).where("scored")
+    species = a.groupBy("canonical_parent").agg(F.count("*").alias("n_species"))
+    d = materialize(a.join(species, "canonical_parent"), "strata")
+    strata = {
+        "toxicity_quartile": V.quartile_bands(d, "target"),
+        "similarity": V.bands(F.col("target") / 100, [(0.3, "low"), (0.65, "middle")], "high"),
+        "species_support": V.bands(F.col("n_species"), [(5, "few"), (12, "some")], "many"),
+    }
+    return rounded(V.stratified_metrics(d, strata), "stratum", "band")
 
 
-@query("e11_within_task_spearman", SC + ", r AS (SELECT model_head, rank() OVER (PARTITION BY model_head ORDER BY target) + (count(*) OVER (PARTITION BY model_head, target) - 1) / 2.0 AS a, rank() OVER (PARTITION BY model_head ORDER BY abs(e)) + (count(*) OVER (PARTITION BY model_head, abs(e)) - 1) / 2.0 AS b FROM s WHERE e IS NOT NULL) SELECT model_head, round(corr(a, b), 6) AS rho FROM r GROUP BY 1")
+@query("e11_within_task_spearman", SC + ", k AS (SELECT *, round(target) AS u FROM s WHERE e IS NOT NULL), r AS (SELECT model_head, rank() OVER (PARTITION BY model_head ORDER BY u) + (count(*) OVER (PARTITION BY model_head, u) - 1) / 2.0 AS a, rank() OVER (PARTITION BY model_head ORDER BY abs(e)) + (count(*) OVER (PARTITION BY model_head, abs(e)) - 1) / 2.0 AS b FROM k) SELECT model_head, count(*) AS n, round(corr(a, b), 6) AS rho FROM r GROUP BY 1")
 def _(t):
-    d = aligned_a(t).where("scored").select("model_head", F.col("target").alias("u"), F.abs(F.col("prediction") - F.col("target")).alias("v"))
-    avg_rank = lambda c: F.rank().over(Window.partitionBy("model_head").orderBy(c)) + (F.count("*").over(Window.partitionBy("model_head", c)) - 1) / 2.0
-    return d.select("model_head", avg_rank("u").alias("a"), avg_rank("v").alias("b")).groupBy("model_head").agg(R(F.corr("a", "b")).alias("rho"))
+    d = aligned_a(t).where("scored").select("model_head", F.round("target").alias("u"), F.abs(F.col("prediction") - F.col("target")).alias("v"))
+    return V.spearman_by_task(d, "model_head", "u", "v").select("model_head", "n", R("rho").alias("rho"))
 
 
-@query("e12_task_fraction", "WITH n AS (SELECT p_type, count(*) AS n FROM part GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, p_type) AS i, count(*) OVER () AS k FROM n) SELECT count(*) AS n_tasks, sum(n)::BIGINT AS n_rows FROM r WHERE i <= ceil(k * 0.25)")
+@query("e12_task_fraction", "WITH n AS (SELECT l_suppkey, count(*) AS n, count(DISTINCT l_partkey) AS clusters FROM lineitem GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, l_suppkey) AS i, count(*) OVER () AS k FROM n) SELECT count(*) AS n_tasks, sum(n)::BIGINT AS sum_n, sum(clusters)::BIGINT AS sum_clusters FROM r WHERE i <= ceil(k * 0.25)")
 def _(t):
-    n = t("part").groupBy("p_type").agg(F.count("*").alias("n"))
-    r = n.withColumn("i", F.row_number().over(Window.orderBy(F.desc("n"), "p_type"))).crossJoin(F.broadcast(n.agg(F.count("*").alias("k"))))
-    return r.where(F.col("i") <= F.ceil(F.col("k") * 0.25)).agg(F.count("*").alias("n_tasks"), F.sum("n").alias("n_rows"))
+    n = t("lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.countDistinct("l_partkey").alias("clusters"))
+    return V.task_fraction(n, "n", "l_suppkey", 0.25, ["n", "clusters"])
 
 
-@query("e13_seed_mean_sd", PRED + ", m AS (SELECT unnest([1, 2]) AS seed, unnest([abs(pred_a - target), abs(pred_b - target)]) AS e FROM p WHERE NOT is_censored), s AS (SELECT seed, avg(e) AS mae FROM m GROUP BY 1) SELECT round(avg(mae), 6) AS mean, round(stddev_samp(mae), 6) AS sd, count(mae) AS n FROM s")
+@query("e13_seed_mean_sd", PRED + ", m AS (SELECT model_head, unnest([1, 2]) AS seed, unnest([abs(pred_a - target), abs(pred_b - target)]) AS e FROM p WHERE NOT is_censored), s AS (SELECT model_head, seed, avg(e) AS mae FROM m GROUP BY 1, 2) SELECT model_head, count(mae) AS n, round(avg(mae), 6) AS mean, round(stddev_samp(mae), 6) AS sd FROM s GROUP BY 1")
 def _(t):
     p = t.sql(PREDICTIONS).where("not is_censored")
-    s = p.select(F.avg(F.abs(F.col("pred_a") - F.col("target"))).alias("a"), F.avg(F.abs(F.col("pred_b") - F.col("target"))).alias("b")).select(F.explode(F.array("a", "b")).alias("mae"))
-    return s.agg(R(F.avg("mae")).alias("mean"), R(F.stddev_samp("mae")).alias("sd"), F.count("mae").alias("n"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("seed"), F.abs(F.col(m) - F.col("target")).alias("e")) for i, m in ((1, "pred_a"), (2, "pred_b"))]))
+    s = V.seed_mean_sd(p.select("model_head", each.alias("x")).select("model_head", "x.*"), ["model_head"], "seed", "e")
+    return s.select("model_head", "n", R("mean").alias("mean"), R("sd").alias("sd"))
 
 
-@query("e15_sign_flip", CELLS + """, o AS (SELECT head, sum(s) AS obs, count(*) AS k FROM c GROUP BY 1), f AS (SELECT r.r AS rep, head, sum(CASE WHEN CAST(('0x' || substr(sha256('5|' || r.r || '|' || cluster), 1, 8)) AS UBIGINT)::BIGINT % 2 = 0 THEN s ELSE -s END) AS v FROM c, range(50) r(r) GROUP BY 1, 2)
-SELECT o.head, any_value(k) AS n_clusters, CASE WHEN any_value(k) > 1 THEN count(*) FILTER (WHERE abs(v) >= abs(obs) - 1e-9) END AS n_extreme FROM f JOIN o ON o.head = f.head GROUP BY o.head""")
+@query("e15_sign_flip", CELLS + """, o AS (SELECT head, sum(s) AS obs, count(*) AS k FROM c GROUP BY 1), f AS (SELECT r.r AS rep, head, sum(CASE WHEN CAST(('0x' || substr(sha256('5|' || r.r || '|' || cluster), 1, 8)) AS UBIGINT)::BIGINT % 2 = 0 THEN s ELSE -s END) AS v FROM c, range(50) r(r) GROUP BY 1, 2),
+g AS (SELECT o.head, any_value(k) AS n_clusters, CASE WHEN any_value(k) > 1 THEN count(*) FILTER (WHERE abs(v) >= abs(obs) - 1e-9) END AS n_extreme FROM f JOIN o ON o.head = f.head GROUP BY o.head) SELECT *, round((n_extreme + 1) / 51, 9) AS p FROM g""")
 def _(t):
-    c = cells(t)
-    obs = c.groupBy("head").agg(F.sum("s").alias("obs"), F.count("*").alias("k"))
-    flips = c.crossJoin(F.broadcast(t.spark.range(50).withColumnRenamed("id", "rep")))  # 50 replicates of the cells
-    sign = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit("5"), "rep", "cluster"), 256), 1, 8), 16, 10).cast("bigint") % 2
-    v = flips.groupBy("rep", "head").agg(F.sum(F.when(sign == 0, F.col("s")).otherwise(-F.col("s"))).alias("v"))
-    g = v.join(obs, "head").groupBy("head").agg(F.first("k").alias("n_clusters"), F.count_if(F.abs("v") >= F.abs("obs") - 1e-9).alias("x"))
-    return g.select("head", "n_clusters", F.when(F.col("n_clusters") > 1, F.col("x")).alias("n_extreme"))
+    g = V.sign_flip_test(cells(t), 50, 5)
+    return g.select("head", "n_clusters", "n_extreme", R("p", 9).alias("p"))
\ No newline at end of file

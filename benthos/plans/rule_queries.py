@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from benthos.functions import curation, evidence_rules as E, features, habitat, text_rules as T
+from benthos.plans import curation_inputs
 from benthos.plans.inputs import OBSERVATIONS, RESULTS
 from benthos.plans.registry import pick, query, values
 
@@ -60,10 +61,9 @@ def _(t):
     return over_results(t).select("result_id", F.round(hours, 6).alias("hours"), status.alias("status"))
 
 
-@query("b07_short_duration", f"""WITH r AS ({RESULTS}) SELECT result_id, round(ln(1 + duration * CASE lower(trim(duration_unit)) WHEN 'h' THEN 1.0 WHEN 'd' THEN 24.0 WHEN 'min' THEN 1.0 / 60 END), 9) AS log_hours FROM r""")
+@query("b07_short_duration", f"""WITH r AS ({RESULTS}), h AS (SELECT result_id, duration * CASE lower(trim(duration_unit)) WHEN 'h' THEN 1.0 WHEN 'd' THEN 24.0 WHEN 'min' THEN 1.0 / 60 END AS h FROM r) SELECT result_id, round(h, 9) AS hours, round(ln(1 + h), 9) AS log_hours FROM h""")
 def _(t):
-    hours = F.col("duration") * T.lookup(F.lower(F.trim("duration_unit")), features.SHORT_HOURS)
-    return over_results(t).select("result_id", F.round(F.log1p(hours), 9).alias("log_hours"))
+    return over_results(t).select("result_id", F.round(features.short_hours(F.col("duration"), F.col("duration_unit")), 9).alias("hours"), F.round(features.log_hours(F.col("duration"), F.col("duration_unit")), 9).alias("log_hours"))
 
 
 B08 = f"""WITH r AS ({RESULTS}), k AS (SELECT result_id, {NUM.format('number_text')} AS v, {UNIT1.format('raw_unit')} AS u FROM r)
@@ -243,20 +243,18 @@ def _(t):
 
 
 @query("b22_duration_bin", f"""WITH r AS ({RESULTS}), d AS (SELECT result_id, duration / (l_linenumber * l_linenumber * 2) AS h FROM r)
-SELECT result_id, CASE WHEN h >= 24 THEN round_even(h * 2, 0) / 2 WHEN h >= 1 THEN round(h, 1) ELSE round(h, 2) END AS bin, CASE WHEN h >= 24 THEN 'round_0.5h_ge_24h' WHEN h >= 1 THEN 'round_0.1h_1_to_24h' ELSE 'round_0.01h_lt_1h' END AS rule
-FROM d WHERE h >= 24 OR (h >= 1 AND abs(h * 10 - floor(h * 10) - 0.5) > 1e-6) OR (h < 1 AND abs(h * 100 - floor(h * 100) - 0.5) > 1e-6)""")
+SELECT result_id, CASE WHEN h >= 24 THEN round_even(h * 2, 0) / 2 WHEN h >= 1 THEN CAST(format('{{:.1f}}', h) AS DOUBLE) ELSE CAST(format('{{:.2f}}', h) AS DOUBLE) END AS bin, CASE WHEN h >= 24 THEN 'round_0.5h_ge_24h' WHEN h >= 1 THEN 'round_0.1h_1_to_24h' ELSE 'round_0.01h_lt_1h' END AS rule FROM d""")
 def _(t):
-    h = F.col("h")
     df = over_results(t).select("result_id", (F.col("duration") / (F.col("l_linenumber") * F.col("l_linenumber") * 2)).alias("h"))
-    away = lambda s: F.abs(h * s - F.floor(h * s) - 0.5) > 1e-6  # noqa: E731  decimal ties are left to the unit test
-    b, r = T.duration_bin(h)
-    return df.where((h >= 24) | ((h >= 1) & away(10)) | ((h < 1) & away(100))).select("result_id", b.alias("bin"), r.alias("rule"))
+    b, r = T.duration_bin(F.col("h"))
+    return df.select("result_id", b.alias("bin"), r.alias("rule"))
 
 
-@query("b33_interval", f"""WITH r AS ({RESULTS}) SELECT result_id, round(CASE WHEN coalesce(mean_op, '') IN ('>', '>=') THEN NULL ELSE -log10(raw_mean) END, 9) AS bound_lower, round(CASE WHEN coalesce(mean_op, '') IN ('<', '<=') THEN NULL ELSE -log10(raw_mean) END, 9) AS bound_upper FROM r WHERE mean_op IS NULL OR mean_op <> '~'""")
+@query("b33_interval", f"""WITH r AS ({RESULTS}) SELECT result_id, round(CASE WHEN coalesce(mean_op, '') IN ('>', '>=') THEN NULL ELSE -log10(raw_mean) END, 9) AS bound_lower, round(CASE WHEN coalesce(mean_op, '') IN ('<', '<=') THEN NULL ELSE -log10(raw_mean) END, 9) AS bound_upper FROM r""")
 def _(t):
-    lo, hi = E.concentration_interval(F.col("raw_mean"), F.col("mean_op"))
-    return over_results(t).where("mean_op is null or mean_op <> '~'").select("result_id", F.round(T.finite(lo), 9).alias("bound_lower"), F.round(T.finite(hi), 9).alias("bound_upper"))
+    # the cohort's ~ marks an approximate value, no inequality; other qualifiers are errors (see the tests)
+    lo, hi = E.concentration_interval(F.col("raw_mean"), F.nullif(F.col("mean_op"), F.lit("~")))
+    return over_results(t).select("result_id", F.round(T.finite(lo), 9).alias("bound_lower"), F.round(T.finite(hi), 9).alias("bound_upper"))
 
 
 @query("b36_interval_contract", f"""WITH r AS ({RESULTS}), c AS (SELECT result_id, mean_op IS NOT NULL AS cens, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE raw_mean END AS target, CASE WHEN l_linenumber % 2 = 0 THEN raw_min END AS lo, CASE WHEN l_linenumber % 5 > 1 THEN raw_mean END AS hi FROM r)
@@ -292,20 +290,16 @@ def _(t):
     return t("customer").select("c_custkey", T.hash_bin(F.col("c_name"), 64).alias("bin"))
 
 
-@query("b23_chemical_class", curation.CHEMICAL_SQL)
+@query("b23_chemical_class", curation_inputs.CHEMICAL_SQL)
 def _(t):
-    return curation.chemical_classes(t.sql(curation.CHEMICAL_INPUT)).select("p_partkey", "class_l1", "class_l2", "class_l3", "confidence", F.array_join("flags", ";").alias("flags"))
+    return curation.chemical_classes(t.sql(curation_inputs.CHEMICAL_INPUT)).select("p_partkey", "class_l1", "class_l2", "class_l3", "confidence", F.array_join("flags", ";").alias("flags"))
 
 
-@query("b26_species_class", curation.SPECIES_SQL)
+@query("b26_species_class", curation_inputs.SPECIES_SQL)
 def _(t):
-    return curation.species_classes(t.sql(curation.SPECIES_INPUT)).select("c_custkey", "group_l1", "group_l2", "group_l3", "confidence", "is_standard", "base_group")
+    return curation.species_classes(t.sql(curation_inputs.SPECIES_INPUT)).select("c_custkey", "group_l1", "group_l2", "group_l3", "confidence", "is_standard", "base_group")
 
 
-for _name, (_f, _sql) in features.QUERIES.items():
-    query(_name, _sql)(_f)
-
-
-@query("b27_habitat_taxonomy", habitat.SQL)
+@query("b27_habitat_taxonomy", curation_inputs.HABITAT_SQL)
 def _(t):
-    return habitat.habitat_by_taxonomy(t.sql(habitat.INPUT)).select("p_partkey", "habitat_rule", "habitat", "habitat_labels", "habitat_confidence", "habitat_status")
+    return habitat.habitat_by_taxonomy(t.sql(curation_inputs.HABITAT_INPUT)).select("p_partkey", "habitat_rule", "habitat", "habitat_labels", "habitat_confidence", "habitat_status")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from benthos.operators import audits as U
+from benthos.operators import domain as D
+from benthos.operators import evaluation as V
 from benthos.operators import models as M
 from benthos.operators import similarity as Y
 from benthos.operators import splits as P
 from benthos.plans.inputs import PREDICTIONS
 from benthos.plans.registry import Tables, query
+from benthos.sources import tables as S
 
 PARTS3 = ("train", "valid", "test")
 
@@ -36,15 +39,28 @@ def _(t):
     return P.k_folds(t("documents").select("doc_id", "source"), ["source"], 5, 19).select("doc_id", "fold")
 
 
-@query("h04_split_suite", f"""WITH a AS ({rank_sql('orders', 'o_orderkey', 1)}), g AS ({rank_sql('(SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS group_key FROM orders)', 'group_key', 2)})
-SELECT 'A' AS suite, {CUT} AS split_part, count(*) AS n FROM a GROUP BY 2 UNION ALL SELECT 'B', CASE WHEN r < floor(n * 0.8) THEN 'train' ELSE 'test' END, count(*) FROM a GROUP BY 2
-UNION ALL SELECT 'F', {CUT}, count(*) FROM orders JOIN g ON group_key = CAST(o_custkey AS VARCHAR) GROUP BY 2""")
+def _named(name: str, table: str, r: str, parts: dict[str, float]) -> str:
+    upto, cases = "0", ""
+    for part, share in list(parts.items())[:-1]:
+        upto += f" + floor(n * {share})"
+        cases += f" WHEN r < {upto} THEN '{part}'"
+    return f"SELECT '{name}' AS split_name, o_orderkey, CASE{cases} ELSE '{list(parts)[-1]}' END AS split_part FROM {r}"
+
+
+RANKED = f"({rank_sql('orders', 'o_orderkey', 1)})"
+GROUPED = f"(SELECT o_orderkey, r, n FROM orders JOIN ({rank_sql('(SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS group_key FROM orders)', 'group_key', 1)}) ON group_key = CAST(o_custkey AS VARCHAR))"
+FOLDED = f"(SELECT o_orderkey, r FROM orders JOIN ({rank_sql('(SELECT CAST(o_orderkey AS VARCHAR) AS group_key FROM orders)', 'group_key', 1)}) ON group_key = CAST(o_orderkey AS VARCHAR))"
+SUITE_SQL = " UNION ALL ".join(
+    _named(name, "orders", RANKED if kind == "random" else GROUPED, parts) if isinstance(parts, dict)
+    else f"SELECT '{name}_fold_' || (k + 1) AS split_name, o_orderkey, CASE WHEN r % {parts} = k THEN 'test' ELSE 'train' END AS split_part FROM {FOLDED if kind == 'random' else GROUPED}, range({parts}) f(k)"
+    for name, kind, parts in P.SUITE.values()
+)
+
+
+@query("h04_split_suite", "SELECT split_name, split_part, count(*) AS n, sum(o_orderkey)::BIGINT AS total FROM (" + SUITE_SQL + ") GROUP BY 1, 2")
 def _(t):
-    o = t("orders").select("o_orderkey", "o_custkey")
-    count = lambda d, n: d.groupBy("split_part").agg(F.count("*").alias("n")).select(F.lit(n).alias("suite"), "split_part", "n")
-    a = count(P.random_split(o, "o_orderkey", 1, (0.7, 0.1, 0.2), PARTS3), "A")
-    b = count(P.random_split(o, "o_orderkey", 1, (0.8, 0.2), ("train", "test")), "B")
-    return a.unionByName(b).unionByName(count(P.group_split(o, ["o_custkey"], 2, (0.7, 0.1, 0.2), PARTS3), "F"))
+    suite = P.split_suite(t("orders"), "o_orderkey", "o_custkey", 1, min_rows=100)
+    return suite.groupBy("split_name", "split_part").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("total"))
 
 
 @query("c19_inherited_parts", "WITH k AS (SELECT c_custkey, 'test' AS part FROM customer WHERE c_nationkey = 3) SELECT o_orderkey, coalesce(part, CASE WHEN u < 0.64 THEN 'train' WHEN u < 0.8 THEN 'valid' ELSE 'test' END) AS split_part FROM (SELECT o_orderkey, o_custkey, CAST(('0x' || substr(sha256('23|' || o_custkey), 1, 8)) AS UBIGINT) / 4294967296.0 AS u FROM orders) LEFT JOIN k ON c_custkey = o_custkey")
@@ -58,8 +74,8 @@ r(a, b) AS (SELECT DISTINCT l_orderkey, l_orderkey FROM lineitem UNION SELECT r.
 
 
 def closure(t: Tables):
-    rows = t("lineitem").groupBy("l_orderkey").agg(F.collect_set(F.concat_ws("/", "l_partkey", "l_suppkey", "l_quantity")).alias("ids"))
-    return P.closure_groups(rows, "l_orderkey", [], ["ids"])
+    rows = t("lineitem").select("l_orderkey", F.concat_ws("/", "l_partkey", "l_suppkey", "l_quantity").alias("id"))
+    return P.closure_groups(rows, "l_orderkey", ["id"], [])
 
 
 @query("h06_closure_groups", CLOSURE)
@@ -67,10 +83,11 @@ def _(t):
     return closure(t)
 
 
-@query("h07_boundary_keys", "SELECT l_orderkey, l_linenumber, sha256(to_json([CAST(l_partkey AS VARCHAR)])) AS s3, sha256(to_json([CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), l_returnflag])) AS s2, sha256(to_json([CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), l_returnflag, CAST(l_linenumber AS VARCHAR)])) AS s1 FROM lineitem")
+@query("h07_boundary_keys", "SELECT l_orderkey, l_linenumber, sha256(to_json([CAST(l_partkey AS VARCHAR)])) AS s3, sha256(to_json([CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), l_returnflag])) AS s2, sha256(to_json([CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), l_returnflag, CASE WHEN l_linenumber <> 3 THEN CAST(l_linenumber AS VARCHAR) ELSE '' END])) AS s1, sha256(to_json([CAST(l_partkey AS VARCHAR), CAST(to_json([CAST(l_orderkey AS VARCHAR)]) AS VARCHAR)])) AS source FROM lineitem")
 def _(t):
-    key = lambda *c: F.sha2(F.to_json(F.array(*[F.col(x).cast("string") for x in c])), 256)
-    return t("lineitem").select("l_orderkey", "l_linenumber", key("l_partkey").alias("s3"), key("l_partkey", "l_suppkey", "l_returnflag").alias("s2"), key("l_partkey", "l_suppkey", "l_returnflag", "l_linenumber").alias("s1"))
+    keys = {"s3": ["l_partkey"], "s2": ["l_partkey", "l_suppkey", "l_returnflag"], "s1": ["l_partkey", "l_suppkey", "l_returnflag", "time"], "source": ["l_partkey", "test_ids"]}
+    d = t("lineitem").withColumns({"time": F.when(F.col("l_linenumber") != 3, F.col("l_linenumber").cast("string")), "test_ids": F.to_json(F.array(F.col("l_orderkey").cast("string")))})
+    return P.boundary_keys(d, keys, single=("time",)).select("l_orderkey", "l_linenumber", *keys)
 
 
 def balanced(t: Tables):
@@ -86,26 +103,28 @@ def _(t):
 
 @query("h09_boundary_suite")
 def _(t):
-    """Closure groups, balanced parts per head, and the crossing audit, per part."""
-    rows = t("orders").select("o_orderkey", "o_custkey", F.lit("W00").alias("route"), F.col("o_orderstatus").alias("head"), F.array(F.concat(F.lit("t"), F.floor(F.col("o_orderkey") / 2))).alias("ids"))
-    g = rows.join(P.closure_groups(rows, "o_orderkey", [], ["ids"], scope="route"), "o_orderkey")
-    parts = P.balanced_assignment(g.groupBy("route", "group_id", "head").agg(F.count("*").cast("double").alias("n")), (0.64, 0.16, 0.20), 1)
-    done = g.join(parts, ["route", "group_id"])
-    return done.groupBy("split_part", "head").agg(F.count("*").alias("n"), F.countDistinct("group_id").alias("n_groups"))
+    """Groups under two boundaries, balanced parts per head, and their audit."""
+    o = t("orders").select("o_orderkey", F.floor(F.col("o_orderkey") / 2).alias("pair"), F.when(F.col("o_orderkey") % 3 == 0, "M00").otherwise("W00").alias("route"), F.col("o_orderpriority").alias("head"), F.array(F.concat(F.lit("t"), F.floor(F.col("o_orderkey") / 3))).alias("ids"))
+    _, audit = P.boundary_suite(o, "o_orderkey", "head", "route", {"S3": (["pair"], []), "source": (["pair"], ["ids"])}, (0.64, 0.16, 0.20), 1, {"train": 10, "valid": 2, "test": 3})
+    return audit
 
 
 @query("h10_holdout_greedy")
 def _(t):
-    groups = t("part").groupBy(F.col("p_brand").alias("group_id")).agg(F.count("*").cast("double").alias("n")).select(F.lit("all").alias("route"), "group_id", F.lit("all").alias("head"), "n")
-    return P.balanced_assignment(groups, (0.7, 0.1, 0.2), 3)
+    groups = t("lineitem").groupBy(F.col("l_partkey").alias("group_id")).agg(F.count("*").cast("double").alias("n"))
+    a = P.holdout_assignment(groups, 0.2, 3).withColumn("form", F.lit("holdout"))
+    b = P.fold_assignment(groups, 5, 3).withColumn("form", F.lit("folds"))
+    c = P.fraction_assignment(groups, {"train": 0.7, "valid": 0.1, "test": 0.2}, 3).withColumn("form", F.lit("fractions"))
+    return a.unionByName(b).unionByName(c)
 
 
 ASG = "SELECT o_orderkey, o_custkey, CASE o_orderkey % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'valid' ELSE 'train' END AS split_part FROM orders"
 
 
-@query("d20_leakage_audit", f"WITH a AS ({ASG}), g AS (SELECT o_custkey, count(DISTINCT split_part) AS p FROM a GROUP BY 1) SELECT count(*) AS n_ids, count(*) FILTER (WHERE p > 1) AS n_crossing FROM g")
+@query("d20_leakage_audit", f"WITH a AS ({ASG}), x AS (SELECT 'o_custkey' AS kind, CAST(o_custkey AS VARCHAR) AS id, split_part FROM a UNION ALL SELECT 'tests', CAST(o_custkey % 700 AS VARCHAR), split_part FROM a UNION ALL SELECT 'tests', 't' || o_orderkey, split_part FROM a), g AS (SELECT kind, id, count(DISTINCT split_part) AS p FROM x GROUP BY 1, 2) SELECT kind, count(*) AS n_ids, count(*) FILTER (WHERE p > 1) AS n_crossing FROM g GROUP BY 1")
 def _(t):
-    return P.crossing(t.sql(ASG), "o_custkey")
+    a = t.sql(ASG).withColumn("tests", F.array((F.col("o_custkey") % 700).cast("string"), F.concat(F.lit("t"), "o_orderkey")))
+    return U.leakage_audit(a, ["o_custkey"], ["tests"])
 
 
 @query("d19_support_counts", f"WITH a AS ({ASG}), g AS (SELECT o_custkey % 50 AS head, count(*) FILTER (WHERE split_part = 'train') AS n_train, count(*) FILTER (WHERE split_part = 'test') AS n_test FROM a GROUP BY 1) SELECT head, n_train, n_test, concat_ws(';', CASE WHEN n_train < 100 THEN 'train_below_100' END, CASE WHEN n_test < 60 THEN 'test_below_60' END) AS reasons, n_train >= 100 AND n_test >= 60 AS eligible FROM g")
@@ -115,9 +134,7 @@ def _(t):
 
 @query("d21_structure_overlap", f"WITH a AS ({ASG}), d AS (SELECT DISTINCT o_custkey, split_part FROM a) SELECT x.split_part AS left_part, y.split_part AS right_part, count(*) AS n_common FROM d x JOIN d y ON x.o_custkey = y.o_custkey AND x.split_part < y.split_part GROUP BY 1, 2")
 def _(t):
-    d = t.sql(ASG).select("o_custkey", "split_part").distinct()
-    y = d.withColumnRenamed("split_part", "right_part")
-    return d.withColumnRenamed("split_part", "left_part").join(y, "o_custkey").where("left_part < right_part").groupBy("left_part", "right_part").agg(F.count("*").alias("n_common"))
+    return U.structure_overlap(t.sql(ASG), "o_custkey")
 
 
 # ---- similarity ---------------------------------------------------------------------------
@@ -125,8 +142,11 @@ def _(t):
 BITS = "list_filter(range(0, 64), lambda i: embedding[i + 1] > 0)"
 
 
-def sign_bits(t: Tables):
-    return t("embeddings").select(F.col("vec_id").alias("id"), F.filter(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(F.col("embedding")[i] > 0, i)), lambda x: x.isNotNull()).alias("bits"))
+BITS20 = "list_filter(range(0, 20), lambda i: embedding[i + 1] > 0)"
+
+
+def sign_bits(t: Tables, width: int = 64):
+    return t("embeddings").select(F.col("vec_id").alias("id"), F.filter(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.when(F.col("embedding")[i] > 0, i)), lambda x: x.isNotNull()).alias("bits"))
 
 
 GRAM = "list_transform(range(1, length(s) - {0} + 2), lambda i: substr(s, i, {0}))"
@@ -138,49 +158,50 @@ def _(t):
     return b.select("p_partkey", F.aggregate(Y.pack(F.col("b"), 512), F.lit(0), lambda a, w: a + F.bit_count(w)).cast("bigint").alias("n_bits"), F.array_join(F.transform("b", lambda x: x.cast("string")), ",").alias("bits"))
 
 
-@query("c12_best_tanimoto", f"WITH b AS (SELECT vec_id AS id, {BITS} AS x FROM embeddings) SELECT q.id AS query_id, round(max(len(list_intersect(q.x, r.x)) / len(list_distinct(list_concat(q.x, r.x)))), 9) AS max_similarity FROM b q, b r WHERE q.id % 20 = 0 AND r.id % 20 <> 0 GROUP BY 1")
+@query("c12_best_tanimoto", f"WITH b AS (SELECT vec_id AS id, {BITS} AS x FROM embeddings) SELECT q.id AS query_id, round(max(len(list_intersect(q.x, r.x)) / len(list_distinct(list_concat(q.x, r.x)))), 9) AS max_similarity FROM b q, b r WHERE q.id % 20 = 0 AND r.id <> q.id GROUP BY 1")
 def _(t):
-    d = sign_bits(t).withColumn("words", Y.pack(F.col("bits"), 64))
-    q, r = d.where("id % 20 = 0").select(F.col("id").alias("query_id"), "words"), d.where("id % 20 <> 0").select("words")
-    return Y.best_tanimoto(q, r).select("query_id", F.round("max_similarity", 9).alias("max_similarity"))
+    d = sign_bits(t).select("id", Y.pack(F.col("bits"), 64).alias("words"))
+    q = d.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    return Y.best_other_tanimoto(q, d).select("query_id", F.round("max_similarity", 9).alias("max_similarity"))
 
 
-@query("c12_best_tanimoto_all", f"WITH b AS (SELECT vec_id AS id, {BITS} AS x FROM embeddings) SELECT q.id AS query_id, round(max(len(list_intersect(q.x, r.x)) / len(list_distinct(list_concat(q.x, r.x)))), 9) AS max_similarity FROM b q, b r WHERE q.id % 20 = 0 AND r.id <> q.id GROUP BY 1")
+@query("c12_best_tanimoto_all", f"""WITH b AS (SELECT vec_id AS id, {BITS20} AS x FROM embeddings), p AS (SELECT q.id AS query_id, q.x AS own, r.x AS ref, coalesce(len(list_intersect(q.x, r.x)) / nullif(len(list_distinct(list_concat(q.x, r.x))), 0), 0) AS s FROM b q, b r WHERE q.id % 20 = 0 AND r.id <> q.id),
+u AS (SELECT DISTINCT query_id, ref, s FROM p WHERE own <> ref), k AS (SELECT query_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC) AS i FROM u), m AS (SELECT query_id, max(s) AS o, avg(s) FILTER (WHERE i <= 5) AS t FROM k GROUP BY 1)
+SELECT p.query_id, round(max(s), 9) AS max_similarity, round(any_value(o), 9) AS other_similarity, round(any_value(t), 9) AS top_mean FROM p LEFT JOIN m USING (query_id) GROUP BY 1""")
 def _(t):
-    d = sign_bits(t).select("id", Y.pack(F.col("bits"), 64).alias("words"))
+    d = sign_bits(t, 20).select("id", Y.pack(F.col("bits"), 20).alias("words"))
     q = d.where("id % 20 = 0").withColumnRenamed("id", "query_id")
-    return Y.best_other_tanimoto(q, d).select("query_id", F.round("max_similarity", 9).alias("max_similarity"))
+    return Y.best_other_tanimoto(q, d).select("query_id", *[F.round(c, 9).alias(c) for c in ("max_similarity", "other_similarity", "top_mean")])
 
 
-@query("h11_similar_pairs", f"WITH b AS (SELECT vec_id AS id, {BITS} AS x FROM embeddings), p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.x, b.x)) / len(list_distinct(list_concat(a.x, b.x))) AS s FROM b a JOIN b b ON a.id < b.id) SELECT a, b, round(s, 9) AS similarity FROM p WHERE s >= 0.65 - 1e-12")
+@query("h11_similar_pairs", f"WITH b AS (SELECT vec_id AS id, {BITS20} AS x FROM embeddings), r AS (SELECT x, min(id) AS id FROM b WHERE len(x) > 0 GROUP BY 1), p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.x, b.x)) / len(list_distinct(list_concat(a.x, b.x))) AS s FROM r a JOIN r b ON a.id < b.id) SELECT a, b, round(s, 9) AS similarity FROM p WHERE s >= 0.65 - 1e-12 UNION ALL SELECT r.id, b.id, 1 FROM b JOIN r ON r.x = b.x AND b.id <> r.id")
 def _(t):
-    return Y.similar_pairs(sign_bits(t), 0.65).select("a", "b", F.round("similarity", 9).alias("similarity"))
+    return Y.similar_links(sign_bits(t, 20), 0.65).select("a", "b", F.round("similarity", 9).alias("similarity"))
 
 
 @query("h12_similarity_clusters")
 def _(t):
-    d = sign_bits(t)
-    return Y.butina_clusters(d, Y.similar_pairs(d, 0.65)).groupBy("centroid").agg(F.count("*").alias("n"))
+    """Scaffold-cluster job over part names as chemicals: groups with their holdout part and fold."""
+    p = t("part").withColumn("id", F.concat_ws("/", "p_name", F.col("p_size") % 6))
+    chemicals = p.groupBy("id").agg(F.min("p_name").alias("name"), F.min("p_size").alias("s")).select("id", Y.gram_bits(F.concat("name", F.lit("-"), F.col("s")), 256).alias("bits"), F.when(F.col("s") < 2, F.substring("name", -3, 3)).alias("scaffold"))
+    job = Y.scaffold_cluster_job(chemicals, p.select("id", F.col("p_partkey").alias("row_id")), 0.65, 0.2, 5, 7)
+    a = job["assignments"].groupBy("group_key", "split_part", "fold").agg(F.count("*").alias("n_rows"), F.countDistinct("id").alias("n_members"))
+    return a.crossJoin(job["overlap"].select("n_crossing"))  # one row
 
 
 @query("c14_standardized_distance", """WITH s AS (SELECT avg(p_size) AS m1, stddev_pop(p_size) AS s1, avg(p_retailprice) AS m2, stddev_pop(p_retailprice) AS s2 FROM part), z AS (SELECT p_partkey, (p_size - m1) / s1 AS u, (p_retailprice - m2) / s2 AS v FROM part, s)
-SELECT a.p_partkey, round(min(sqrt((a.u - b.u) * (a.u - b.u) + (a.v - b.v) * (a.v - b.v))), 6) AS distance FROM z a, z b WHERE a.p_partkey % 20 = 0 AND b.p_partkey % 20 <> 0 GROUP BY 1""")
+SELECT a.p_partkey, round(min(sqrt((a.u - b.u) * (a.u - b.u) + (a.v - b.v) * (a.v - b.v))), 6) AS distance FROM z a, z b WHERE a.p_partkey % 20 = 0 AND b.p_partkey <> a.p_partkey GROUP BY 1""")
 def _(t):
-    p = t("part")
-    s = p.agg(F.avg("p_size").alias("m1"), F.stddev_pop("p_size").alias("s1"), F.avg("p_retailprice").alias("m2"), F.stddev_pop("p_retailprice").alias("s2"))
-    z = p.crossJoin(F.broadcast(s)).select("p_partkey", ((F.col("p_size") - F.col("m1")) / F.col("s1")).alias("u"), ((F.col("p_retailprice") - F.col("m2")) / F.col("s2")).alias("v"))
-    a, b = z.where("p_partkey % 20 = 0"), z.where("p_partkey % 20 <> 0").select(F.col("u").alias("x"), F.col("v").alias("y")).distinct()
-    d = F.sqrt((F.col("u") - F.col("x")) * (F.col("u") - F.col("x")) + (F.col("v") - F.col("y")) * (F.col("v") - F.col("y")))
-    return a.crossJoin(b).groupBy("p_partkey").agg(F.round(F.min(d), 6).alias("distance"))  # a stated query set against all
+    z = Y.standardized(t("part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("u"), F.col("p_retailprice").alias("v")), ["u", "v"])
+    return Y.nearest_other(z.where("id % 20 = 0"), z, ["u", "v"]).select(F.col("id").alias("p_partkey"), F.round("distance", 6).alias("distance"))
 
 
-@query("c14_standardized_distance_all", """WITH s AS (SELECT avg(p_size) AS m1, stddev_pop(p_size) AS s1, avg(p_retailprice) AS m2, stddev_pop(p_retailprice) AS s2 FROM part), z AS (SELECT p_partkey, (p_size - m1) / s1 AS u, (p_retailprice - m2) / s2 AS v FROM part, s)
-SELECT a.p_partkey, round(min(sqrt((a.u - b.u) * (a.u - b.u) + (a.v - b.v) * (a.v - b.v))), 6) AS distance FROM z a, z b WHERE a.p_partkey % 20 = 0 AND b.p_partkey <> a.p_partkey GROUP BY 1""")
+@query("c14_standardized_distance_all", """WITH s AS (SELECT avg(p_size) AS m1, stddev_pop(p_size) AS s1, avg(p_retailprice) AS m2, stddev_pop(p_retailprice) AS s2, avg(length(p_name)) AS m3, stddev_pop(length(p_name)) AS s3 FROM part), z AS (SELECT p_partkey, (p_size - m1) / s1 AS u, (p_retailprice - m2) / s2 AS v, (length(p_name) - m3) / s3 AS w FROM part, s)
+SELECT a.p_partkey, round(min(sqrt((a.u - b.u) * (a.u - b.u) + (a.v - b.v) * (a.v - b.v) + (a.w - b.w) * (a.w - b.w))), 6) AS distance FROM z a, z b WHERE a.p_partkey % 20 = 0 AND b.p_partkey <> a.p_partkey GROUP BY 1""")
 def _(t):
-    p = t("part")
-    s = p.agg(F.avg("p_size").alias("m1"), F.stddev_pop("p_size").alias("s1"), F.avg("p_retailprice").alias("m2"), F.stddev_pop("p_retailprice").alias("s2"))
-    z = p.crossJoin(F.broadcast(s)).select(F.col("p_partkey").alias("id"), ((F.col("p_size") - F.col("m1")) / F.col("s1")).alias("u"), ((F.col("p_retailprice") - F.col("m2")) / F.col("s2")).alias("v"))
-    return Y.nearest_other(z.where("id % 20 = 0"), z).select(F.col("id").alias("p_partkey"), F.round("distance", 6).alias("distance"))
+    p = t("part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("u"), F.col("p_retailprice").alias("v"), F.length("p_name").cast("double").alias("w"))
+    z = Y.standardized(p, ["u", "v", "w"])
+    return Y.nearest_other(z.where("id % 20 = 0"), z, ["u", "v", "w"]).select(F.col("id").alias("p_partkey"), F.round("distance", 6).alias("distance"))
 
 
 # ---- modelling operators that stay --------------------------------------------------------
@@ -194,19 +215,26 @@ def _(t):
 
 @query("m03_leverage")
 def _(t):
-    d = t("embeddings").select(F.col("vec_id").alias("id"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(6)], (F.col("vec_id") % 4 != 0).alias("train"))
-    return M.leverage(d, [f"x{i}" for i in range(6)])
+    d = t("embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("double").alias("d0"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)], (F.col("vec_id") % 4 != 0).alias("train"))
+    return M.leverage(d, ["d0"], [f"x{i}" for i in range(64)], components=8)
 
 
 @query("m02_baseline_ensemble", f"WITH p AS ({PREDICTIONS}), m AS (SELECT stable_record_id, unnest([pred_a, pred_b]) AS v, target FROM p) SELECT stable_record_id, count(v) AS members, round(avg(v), 6) AS prediction, round(coalesce(stddev_samp(v), 0), 6) AS sd, round(avg(v) - any_value(target), 6) AS residual FROM m GROUP BY 1")
 def _(t):
-    m = t.sql(PREDICTIONS).select("stable_record_id", "target", F.explode(F.array("pred_a", "pred_b")).alias("v"))
-    return m.groupBy("stable_record_id").agg(F.count("v").alias("members"), F.round(F.avg("v"), 6).alias("prediction"), F.round(F.coalesce(F.stddev_samp("v"), F.lit(0.0)), 6).alias("sd"), F.round(F.avg("v") - F.first("target"), 6).alias("residual"))
+    p = t.sql(PREDICTIONS)
+    each = F.explode(F.array("pred_a", "pred_b")).alias("prediction")
+    m = V.member_ensemble(p.select("stable_record_id", each), "stable_record_id").join(p.select("stable_record_id", "target"), "stable_record_id")
+    return m.select("stable_record_id", "members", F.round("prediction", 6).alias("prediction"), F.round("sd", 6).alias("sd"), F.round(F.col("prediction") - F.col("target"), 6).alias("residual"))
 
 
-@query("m06_grouped_ensemble", f"WITH p AS ({PREDICTIONS}) SELECT stable_record_id, CASE WHEN pred_a IS NOT NULL AND pred_b IS NOT NULL THEN (pred_a + pred_b) / 2 END AS strict FROM p")
+@query("m06_grouped_ensemble", f"WITH p AS ({PREDICTIONS}), m AS (SELECT stable_record_id, unnest(CASE WHEN stable_record_id % 4 <> 0 THEN [pred_a, pred_b, pred_a + 1] ELSE [pred_a, pred_b] END) AS v FROM p), g AS (SELECT stable_record_id, count(v) AS members, avg(v) AS a FROM m GROUP BY 1) SELECT stable_record_id, members, round(a, 6) AS loose, round(CASE WHEN members = 3 THEN a END, 6) AS strict FROM g")
 def _(t):
-    return t.sql(PREDICTIONS).select("stable_record_id", ((F.col("pred_a") + F.col("pred_b")) / 2).alias("strict"))
+    p = t.sql(PREDICTIONS)
+    files = [S.write_table(p.select("stable_record_id", F.col(c).alias("prediction")), c) for c in ("pred_a", "pred_b")]
+    files.append(S.write_table(p.where("stable_record_id % 4 <> 0").select("stable_record_id", (F.col("pred_a") + 1).alias("prediction")), "pred_c"))
+    both = t.spark.read.parquet(*files)
+    loose, strict = V.member_ensemble(both, "stable_record_id"), V.member_ensemble(both, "stable_record_id", require=3)
+    return loose.select("stable_record_id", "members", F.round("prediction", 6).alias("loose")).join(strict.select("stable_record_id", F.round("prediction", 6).alias("strict")), "stable_record_id")
 
 
 @query("m08_interval_likelihood")
@@ -216,11 +244,11 @@ def _(t):
     return M.interval_likelihood(p.select("model_head", F.col("pred_a").alias("mu"), F.lit(1.5).alias("sigma"), lo.alias("lo"), F.col("target").alias("hi")))
 
 
-@query("m09_censored_hinge", f"WITH p AS ({PREDICTIONS}) SELECT model_head, round(avg(pow(greatest(0, CASE WHEN stable_record_id % 2 = 0 THEN target - pred_a ELSE pred_a - target END), 2)), 6) AS hinge FROM p WHERE is_censored AND pred_a IS NOT NULL GROUP BY 1")
+@query("m09_censored_hinge", f"WITH p AS ({PREDICTIONS}) SELECT model_head, count(*) AS n, round(avg(pow(greatest(0, CASE WHEN stable_record_id % 2 = 0 THEN target - pred_a ELSE pred_a - target END), 2)), 6) AS hinge FROM p WHERE is_censored AND pred_a IS NOT NULL GROUP BY 1")
 def _(t):
     p = t.sql(PREDICTIONS).where("is_censored and pred_a is not null")
-    short = F.when(F.col("stable_record_id") % 2 == 0, F.col("target") - F.col("pred_a")).otherwise(F.col("pred_a") - F.col("target"))
-    return p.groupBy("model_head").agg(F.round(F.avg(F.pow(F.greatest(F.lit(0.0), short), 2)), 6).alias("hinge"))
+    h = V.censored_hinge(p, "model_head", "pred_a", "target", F.col("stable_record_id") % 2 == 0)
+    return h.select("model_head", "n", F.round("hinge", 6).alias("hinge"))
 
 
 @query("slice_robust_targets", """WITH d AS (SELECT p_type, o_orderpriority, -log10(CASE l_linenumber % 3 WHEN 0 THEN l_extendedprice / 1000 WHEN 1 THEN l_extendedprice ELSE l_extendedprice * 1000 END / 1000 / p_retailprice) AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
@@ -239,11 +267,7 @@ def slice_query(t):
 
 @query("m04_applicability_domain")
 def _(t):
-    """Leverage and the taxonomic prefix as one report with a four-state label."""
-    from benthos.functions.features import domain_label
-    from benthos.operators.joins import prefix_similarity
-
-    c = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).withColumns({"id": F.col("c_custkey"), "train": F.col("c_custkey") % 4 != 0, "size": F.col("c_custkey") % 17 * 1.0})
-    h = M.leverage(c, ["c_acctbal", "size"])
-    p = prefix_similarity(c, c.where("train"), ["n_regionkey", "c_nationkey", "c_mktsegment"]).select("id", "max_prefix")
-    return h.join(p, "id").select("id", "h", "max_prefix", domain_label(~F.col("outside"), F.col("max_prefix") == 1).alias("label"))
+    """Leverage, seen flags, nearest training structure and taxonomic prefix of every twentieth customer, with a four-state label."""
+    c = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = c.withColumns({"id": F.col("c_custkey"), "train": F.col("c_custkey") % 4 != 0, "size": F.col("c_custkey") % 17 * 1.0, "bits": Y.gram_bits(F.concat_ws("/", "c_mktsegment", F.col("c_custkey") % 97), 256)})
+    return D.applicability_report(c, F.col("id") % 20 == 0, ["c_acctbal", "size"], "bits", 256, ["c_nationkey", "c_mktsegment"], ["n_regionkey", "c_nationkey", "c_mktsegment"], 0.5, 0.6)
\ No newline at end of file

@@ -19,6 +19,32 @@ def read_csv(spark, path: str, encoding: str = "UTF-8") -> DataFrame:
     return spark.read.option("header", True).option("encoding", encoding).option("ignoreLeadingWhiteSpace", False).csv(path)
 
 
+def probe_encoding(spark, path: str, candidates: tuple[str, ...] = ("utf-8", "gbk")) -> str:
+    """The first candidate that reads the first line of a text file (one line is read); a byte order mark is skipped."""
+    first = spark.read.option("encoding", "ISO-8859-1").option("sep", "\x01").option("quote", "").csv(path).take(1)
+    raw = first[0][0].encode("latin-1") if first else b""
+    for name in candidates:
+        try:
+            raw.decode(name)
+        except UnicodeDecodeError:
+            continue
+        return name
+    raise ValueError(f"{path}: none of {', '.join(candidates)} reads its first line")
+
+
+def read_dictionary(spark, path: str, key_columns: list[str]) -> DataFrame:
+    """A CSV dictionary in whatever encoding it has, with cas_key added."""
+    return dictionary(read_csv(spark, path, probe_encoding(spark, path)), key_columns)
+
+
+def read_table(spark, path: str, required: list[str] | None = None) -> DataFrame:
+    """A whole Parquet table; missing required columns are an error before anything runs."""
+    df = spark.read.parquet(path)
+    if gone := sorted(set(required or []) - set(df.columns)):
+        raise ValueError(f"{path}: missing columns: {', '.join(gone)}")
+    return df
+
+
 def round_trip_text(df: DataFrame, label: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, label)
     df.write.text(path)
@@ -38,6 +64,19 @@ def last_json_lines(lines: DataFrame, schema: str, key: str, order: str) -> Data
     return parsed.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(order, *rest)).alias("r")).select(key, "r.*")
 
 
+def read_json_cache(spark, path: str, schema: str, key: str) -> DataFrame:
+    """One row per key from files of JSON lines: broken lines are skipped, the last line wins (files in order of their names)."""
+    lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("__at"))
+    parsed = lines.select(F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"), "__at").where("r is not null and r._corrupt is null").select("r.*", "__at").drop("_corrupt")
+    rest = [c for c in parsed.columns if c not in (key, "__at")]
+    return parsed.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rest), "__at").alias("r")).select(key, "r.*")
+
+
+def require_coverage(states: DataFrame) -> DataFrame:
+    """The cached rows, if every required id is in order; else an error when it runs, with the id and its state."""
+    return states.withColumn("state", F.when(F.col("state") == "ok", F.col("state")).otherwise(F.raise_error(F.concat_ws(" ", F.lit("feature cache:"), F.col("id").cast("string"), F.col("state")))))
+
+
 def cache_coverage(required: DataFrame, cache: DataFrame, vector: str, width: int) -> DataFrame:
     """Required ids with their cached row and a state: ok, missing, wrong_width or not_finite."""
     bad = F.exists(vector, lambda x: F.isnan(x) | x.isNull())
@@ -59,6 +98,13 @@ def replace_splits(existing: DataFrame, new: DataFrame, label: str, by: str = "s
     return existing.sparkSession.read.parquet(path)
 
 
+def write_table(df: DataFrame, label: str) -> str:
+    """Written as Parquet to a new folder; its path."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return path
+
+
 def manifest(one_row: DataFrame, label: str) -> DataFrame:
     """A one-row table written as a JSON manifest and read back."""
     path = scratch_dir(one_row.sparkSession, label)
@@ -66,6 +112,14 @@ def manifest(one_row: DataFrame, label: str) -> DataFrame:
     return one_row.sparkSession.read.schema(one_row.schema).json(path)
 
 
+def batch_rows(df: DataFrame, defaults: dict[str, str], rules: dict) -> tuple[DataFrame, DataFrame]:
+    """Scoring input with defaults for blank texts, as (rows that keep all rules, rows that do not, with the rules' names as ``reasons``)."""
+    filled = with_defaults(df, defaults)
+    reasons = F.array_compact(F.array(*[F.when(~F.coalesce(rule, F.lit(False)), name) for name, rule in rules.items()]))
+    marked = filled.withColumn("reasons", reasons)
+    return marked.where(F.size("reasons") == 0).drop("reasons"), marked.where(F.size("reasons") > 0)
+
+
 def with_defaults(df: DataFrame, defaults: dict[str, str]) -> DataFrame:
     """Blank and missing texts get their default."""
     return df.withColumns({c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(v)) for c, v in defaults.items()})

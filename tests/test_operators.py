@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -12,6 +13,9 @@ from benthos.operators import joins as J
 from benthos.operators import models as M
 from benthos.operators import similarity as Y
 from benthos.operators import splits as P
+from benthos.operators import audits as U
+from benthos.operators import fitting as B
+from benthos.operators import ranks as R
 from benthos.operators.graph import connected_components
 
 
@@ -156,3 +160,262 @@ def test_gaussian_tails():
     assert far == pytest.approx(804.608442, abs=1e-4)
     mid = M.gaussian_nll(0 * one, one, 10 * one, 11 * one)[0]
     assert mid == pytest.approx(-math.log(0.5 * (math.erfc(10 / 2**0.5) - math.erfc(11 / 2**0.5))), rel=1e-9)
+
+
+# ---- ranks and quantiles ------------------------------------------------------------------
+
+
+def test_quantiles_by_counts_are_exact(spark):
+    rnd = random.Random(3)
+    rows = [(g, v) for g, k in (("a", 500), ("b", 7), (None, 40), ("same", 30)) for v in ([rnd.choice([rnd.gauss(0, 1), float(round(rnd.gauss(0, 1)))]) for _ in range(k)] if g != "same" else [2.5] * k)] + [("none", None), ("one", 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    p = {"q0": 0.0, "q1": 0.25, "q2": 0.5, "q9": 0.9, "q10": 1.0}
+    for cells in (1, 3, 1024):
+        got = {r.g: [r[c] for c in p] for r in R.counted_quantiles(df, ["g"], "v", p, F.count("*").alias("n"), cells=cells).collect()}
+        for g in {g for g, _ in rows}:
+            v = [x for h, x in rows if h == g and x is not None]
+            want = np.quantile(v, list(p.values())).tolist() if v else [None] * len(p)
+            assert got[g] == (pytest.approx(want) if v else want), (cells, g)
+    assert R.counted_quantiles(df, [], "v", {"m": 0.5}).first().m == pytest.approx(np.median([x for _, x in rows if x is not None]))
+    assert R.quantiles(df.where("false"), [], "v", {"m": 0.5}).first().m is None
+
+
+def test_ranks_within_groups_and_mean_ranks(spark, monkeypatch):
+    monkeypatch.setattr(R, "BUCKET_ROWS", 5)
+    d = spark.range(300).select("id", F.when(F.col("id") % 7 != 0, F.col("id") % 2).alias("g")).withColumn("k", P.hash_key(1, "id"))
+    got = R.global_rank(d, "k", ["g"]).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: r.k):
+        by.setdefault(r.g, []).append(r["rank"])
+    assert len(got) == 300 and all(v == list(range(len(v))) for v in by.values()) and len(by) == 3
+    assert R.global_rank(d.where("false"), "k").count() == 0
+    m = spark.createDataFrame([("a", 3.0), ("a", 1.0), ("a", 3.0), ("a", None), ("b", 9.0), (None, 1.0)], "g string, v double")
+    assert sorted(((r.g, r.v, r.m) for r in R.average_rank(m, "g", "v", "m").collect()), key=str) == sorted([("a", 3.0, 2.5), ("a", 1.0, 1.0), ("a", 3.0, 2.5), ("a", None, None), ("b", 9.0, 1.0), (None, 1.0, 1.0)], key=str)
+
+
+# ---- splits -------------------------------------------------------------------------------
+
+
+def profile_of(heads):
+    import hashlib
+    import json
+
+    return hashlib.sha256(json.dumps([{"head": h, "n": n} for h, n in heads], separators=(",", ":")).encode()).hexdigest()
+
+
+def test_balanced_assignment_is_the_sequential_rule(spark):
+    """One group at a time, in plain Python, gives every profile the same number of groups per part."""
+    rnd, fractions, rows = random.Random(6), (0.64, 0.16, 0.20), []
+    for g in range(260):
+        for h in rnd.sample(["h1", "h2", "h3"] if g % 2 else ["x1", "x2"], rnd.choice([1, 1, 2])):
+            rows.append(("W" if g % 5 else "M", g, h, float(rnd.choice([1, 1, 1, 2, 7]))))
+    got = {r.group_id: r.split_part for r in P.balanced_assignment(spark.createDataFrame(rows, "route string, group_id long, head string, n double"), fractions, 11).collect()}
+    for route in "WM":
+        own = {}
+        for r, g, h, n in rows:
+            if r == route:
+                own.setdefault(g, []).append((h, n))
+        own = {g: sorted(h) for g, h in own.items()}
+        totals = Counter()
+        for heads in own.values():
+            totals.update(dict(heads))
+        have, want = {h: [0.0] * 3 for h in totals}, Counter()
+        name = {g: profile_of(heads) for g, heads in own.items()}
+        for g in sorted(own, key=lambda g: (-sum(n for _, n in own[g]), P._sha(11, name[g]), g)):
+            def growth(p):
+                d = sum(n * (2 * (have[h][p] - totals[h] * fractions[p]) + n) / max(totals[h] * fractions[p], 1.0) for h, n in own[g])
+                return round(d, 9), P._sha(11, name[g], p)
+
+            best = min(range(3), key=growth)
+            for h, n in own[g]:
+                have[h][best] += n
+            want[name[g], P.PARTS[best]] += 1
+        assert Counter((name[g], got[g]) for g in own) == want
+    assert len(got) == 260
+
+
+def test_greedy_holdouts_and_folds(spark):
+    rnd = random.Random(2)
+    groups = [(f"g{i}", float(rnd.choice([1, 1, 2, 3, 9, 40]))) for i in range(150)]
+    df, total = spark.createDataFrame(groups, "group_id string, n double"), sum(n for _, n in groups)
+    sizes = sorted((n for _, n in groups), reverse=True)
+    test, want = 0.0, Counter()
+    for n in sizes:
+        if abs(test + n - 0.2 * total) <= abs(test - 0.2 * total):
+            test += n
+            want[n] += 1
+    got = P.holdout_assignment(df, 0.2, 5).collect()
+    assert Counter(r.n for r in got if r.split_part == "test") == want and len(got) == 150
+    folds, loads = Counter(), [0.0] * 4
+    for n in sizes:
+        i = min(range(4), key=lambda i: loads[i])
+        loads[i] += n
+    for r in P.fold_assignment(df, 4, 5).collect():
+        folds[r.split_part] += r.n
+    assert sorted(folds.values()) == sorted(loads)
+    fractions, have = {"train": 0.7, "valid": 0.1, "test": 0.2}, dict.fromkeys(["train", "valid", "test"], 0.0)
+    for n in sizes:
+        best = min(fractions, key=lambda p: (abs(have[p] + n - total * fractions[p]) / max(total * fractions[p], 1.0), have[p] / max(total * fractions[p], 1.0), p))
+        have[best] += n
+    made = Counter()
+    for r in P.fraction_assignment(df, fractions, 5).collect():
+        made[r.split_part] += r.n
+    assert dict(made) == have
+    assert P.holdout_assignment(spark.createDataFrame([("only", 5.0)], "group_id string, n double"), 0.2, 1).first().split_part == "test"
+    with pytest.raises(ValueError, match="sum to 1"):
+        P.fraction_assignment(df, {"a": 0.5, "b": 0.2}, 1)
+
+
+def test_equal_steps_are_the_greedy_choice():
+    rnd = random.Random(1)
+    for _ in range(200):
+        first, step, k = [rnd.uniform(-5, 5) for _ in range(3)], [rnd.uniform(0.1, 2) for _ in range(3)], rnd.randrange(60)
+        now, want = list(first), [0, 0, 0]
+        for _ in range(k):
+            p = min(range(3), key=lambda p: now[p])
+            want[p] += 1
+            now[p] += step[p]
+        assert P.deal_equal_steps(first, step, k, [0, 1, 2]) == want
+    assert sum(P.deal_equal_steps([0.0, 0.0, 0.0], [1.0, 1.0, 1.0], 10**9, [0, 1, 2])) == 10**9
+
+
+def test_boundary_keys_and_suite(spark):
+    rows = [("W00", str(i), f"p{i // 4}", "sp", "h", "50", str(i % 4), [f"i{i}"], [f"t{i // 8}"]) for i in range(40)]
+    for i, s in ((0, ["a", "b"]), (8, ["b", "c"]), (20, ["c"])):
+        rows[i] = (*rows[i][:7], s, rows[i][8])
+    df = spark.createDataFrame(rows, "route string, stable_record_id string, canonical_parent string, latin_name string, model_head string, effect string, time string, source_ids array<string>, test_ids array<string>")
+    keys = {"S3": ["canonical_parent"], "S1": ["canonical_parent", "latin_name", "model_head", "effect", "time"]}
+    k = P.boundary_keys(df, keys, single=("time",))
+    assert k.select("S3").distinct().count() == 10 and k.select("S1").distinct().count() == 40
+    several = df.withColumn("time", F.when(F.col("stable_record_id") == "0", '["0","1"]').otherwise(F.col("time")))
+    with pytest.raises(Exception, match="several values"):
+        P.boundary_keys(several, keys, single=("time",)).collect()
+    assert P.boundary_keys(several, {"S3": keys["S3"]}, single=("time",)).count() == 40
+    with pytest.raises(ValueError, match="label"):
+        P.boundary_keys(df, {"bad": ["target"]})
+    placed, audit = P.boundary_suite(k, "stable_record_id", "model_head", "route", {"S3": (["S3"], ["source_ids"]), "source": (["S3"], ["source_ids", "test_ids"])}, (0.64, 0.16, 0.20), 7, {"train": 1})
+    part = {(r.boundary, r.stable_record_id): (r.group_id, r.split_part) for r in placed.collect()}
+    assert part["S3", "0"] == part["S3", "8"] == part["S3", "20"] == part["S3", "23"] and len(part) == 80
+    assert part["source", "0"][0] == part["source", "4"][0] and {r.n_crossing for r in audit.collect()} == {0}
+    crossing = U.leakage_audit(df.withColumn("split_part", F.col("time")), ["canonical_parent"], ["test_ids"])
+    assert {r.kind: r.n_crossing for r in crossing.collect()} == {"canonical_parent": 10, "test_ids": 5}
+
+
+def test_suite_refuses_too_few_rows(spark):
+    d = spark.range(20).select("id", F.col("id").alias("g"))
+    with pytest.raises(ValueError, match="below the minimum"):
+        P.split_suite(d, "id", "g", 1, min_rows=21)
+    with pytest.raises(ValueError, match="unknown split"):
+        P.named_split(d, "nope", "id", 1, {"a": 1.0})
+    got = P.split_suite(d, "id", "g", 1, "D")
+    assert got.where("split_part = 'test'").groupBy("id").count().where("count <> 1").count() == 0 and got.count() == 100
+
+
+def test_scaffold_cluster_job(spark):
+    rnd = random.Random(3)
+    base = [set(rnd.sample(range(100), 30)) for _ in range(6)]
+    rows = [(f"c{i}", sorted(base[i % 6] ^ set(rnd.sample(range(100), i % 3))), "ring" if i in (0, 7) else None) for i in range(30)] + [("none", [], None)]
+    chemicals = spark.createDataFrame(rows, "id string, bits array<int>, scaffold string")
+    uses = spark.createDataFrame([(f"c{i % 30}", i) for i in range(90)] + [("none", 90)], "id string, row_id int")
+    job = Y.scaffold_cluster_job(chemicals, uses, 0.65, 0.2, 3, 5)
+    group = {r.id: r.group_key for r in job["assignments"].collect()}
+    assert group["c0"] == group["c7"] == group["c1"] == group["c6"] and len(set(group.values())) == 6
+    sizes = [r.n_rows for r in job["groups"].orderBy("group_key").collect()]
+    assert sizes == sorted(sizes, reverse=True) and job["overlap"].first().n_crossing == 0
+    assert job["assignments"].count() == 91 and job["similarity"].count() == 0  # no link crosses the holdout
+
+
+# ---- fitting ------------------------------------------------------------------------------
+
+
+def test_weights_keep_their_mean(spark):
+    rows = spark.createDataFrame([(i, "t" if i % 3 else "u", float(min(i % 37, 5)), 10.0 if i % 10 else 50.0) for i in range(300)], "id int, head string, v double, level double")
+    w = B.bin_sampling_weights(rows, "id", "head", "v", 6, 0.25, 3.0).collect()
+    for h in "tu":
+        own = [r.weight for r in w if r.head == h]
+        assert sum(own) == pytest.approx(len(own), abs=1e-6) and 0.25 <= min(own) and max(own) <= 3.0
+    levels = B.level_weights(rows, "level", 0.9, 0.5, 1.5).collect()
+    assert sum(r.n * r.weight for r in levels) == pytest.approx(300) and max(r.weight for r in levels) <= 1.5
+    assert B.clipped_to_mean([1.0, 9.0], [1, 1], 2.0, 3.0) == [2.0, 3.0]  # a mean of 1 is out of reach: clipped only
+
+
+def test_scaler_inverse_and_modes(spark):
+    d = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0), ("new", 7.0)], "task string, x double")
+    for mode in B.MODES:
+        key = B.scale_key(mode, F.col("task"), F.col("task"), F.col("task"))
+        stats = B.fit_target_scaler(d.where("task <> 'new'"), "x", key)
+        z = B.apply_target_scaler(d, stats, "x", key, mode, "z")
+        back = B.apply_target_scaler(z, stats, "z", key, mode, "back", inverse=True)
+        assert all(r.back == pytest.approx(r.x) for r in back.collect())
+    with pytest.raises(ValueError, match="unknown mode"):
+        B.scale_key("per_moon", F.col("a"), F.col("a"), F.col("a"))
+
+
+def test_encoder_drops_constants_and_hashes_many_levels(spark):
+    d = spark.createDataFrame([(i, float(i % 5), 1.0, f"n{i % 40}") for i in range(400)], "id int, a double, same double, c string")
+    x, names = B.tabular_encoding(d, F.lit(True), ["a", "same"], "c", "id", bins=8)
+    assert names[0] == "a" and "same" not in names and all(n.startswith("c#") for n in names[1:])
+    assert all(sum(r.features[1:]) <= 1 for r in x.collect())
+    masked, _ = B.tabular_encoding(d, F.lit(True), ["a", "same"], "c", "id", frozenset(["c"]))
+    assert all(len(r.features) == 1 for r in masked.collect())
+    assert B.ablation_masks({"numeric": ["a"], "fingerprint": ["v"]}, "no_fingerprint", ("b",)) == {"v", "b"}
+
+
+def test_leverage_with_components_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 7)) @ rng.normal(size=(7, 7))
+    train = np.arange(60) % 4 != 0
+    df = spark.createDataFrame([(i, bool(train[i]), *map(float, x[i])) for i in range(60)], "id int, train boolean, " + ", ".join(f"x{i} double" for i in range(7)))
+    got = {r.id: r.h for r in M.leverage(df, ["x0", "x1"], [f"x{i}" for i in range(2, 7)], components=3).collect()}
+    z = (x - x[train].mean(0)) / x[train].std(0)
+    _, _, v = np.linalg.svd(z[train][:, 2:], full_matrices=False)
+    d = np.column_stack([z[:, :2], z[:, 2:] @ v[:3].T])
+    core = np.linalg.pinv(d[train].T @ d[train])
+    want = np.einsum("ij,jk,ik->i", d, core, d)
+    assert all(got[i] == pytest.approx(want[i], rel=1e-6) for i in range(60))
+
+
+def test_tree_baselines(spark):
+    rng = np.random.default_rng(1)
+    rows = [(h, [float(a), float(b)], float(3 * a - b), "train" if i % 4 else "test") for h in ("h1", "h2") for i, (a, b) in enumerate(rng.uniform(0, 1, (120, 2)))] + [("few", [0.0, 0.0], 0.0, "train")]
+    df = spark.createDataFrame(rows, "head string, features array<double>, target double, split_part string")
+    got = {r.head: r for r in M.tree_baselines(df, "features", "elastic_net").collect()}
+    assert got["few"].status == "train_samples_lt_50" and got["h1"].n_test == 30 and got["h2"].rmse < 0.2
+
+
+def test_support_of_the_nearest_value(spark):
+    ref = spark.createDataFrame([("t", float(v)) for v in range(0, 101)] + [("u", 5.0)], "task string, v double")
+    req = spark.createDataFrame([(1, "t", 7.4), (2, "t", 190.0), (3, "u", 5.0), (4, "none", 1.0), (5, "t", None)], "id int, task string, v double")
+    got = {r.id: r.support for r in B.nearest_support(req, ref, "id", ["task"], "v").collect()}
+    assert got[1] == pytest.approx(1 - 0.4 / 90) and got[2] == pytest.approx(0.0) and got[3] is None and got[4] is None and got[5] is None
+
+
+# ---- sources ------------------------------------------------------------------------------
+
+
+def test_dictionaries_of_any_encoding(spark, tmp_path):
+    from benthos.sources import tables as S
+
+    for name, raw in (("bom", "\ufeffCAS,名\n12-3,x\n".encode()), ("utf", "CAS,名\n12-3,é\n".encode()), ("gbk", "CAS,名称\n12-3,水\n".encode("gbk"))):
+        path = tmp_path / f"{name}.csv"
+        path.write_bytes(raw)
+        assert S.probe_encoding(spark, f"file://{path}") == ("gbk" if name == "gbk" else "utf-8")
+        assert S.read_dictionary(spark, f"file://{path}", ["CAS"]).columns[0] == "CAS"
+    got = S.read_dictionary(spark, f"file://{tmp_path}/gbk.csv", ["CAS"]).first()
+    assert got.cas_key == "123" and got[1] == "水"
+
+
+def test_the_last_json_line_wins(spark, tmp_path):
+    from benthos.sources import tables as S
+
+    (tmp_path / "a.jsonl").write_text('{"k": 1, "v": "old"}\n{"k": 1, "v": \n{"k": 2, "v": "b"}\n{"k": 1, "v": "new"}\n')
+    got = {r.k: r.v for r in S.read_json_cache(spark, f"file://{tmp_path}", "k long, v string", "k").collect()}
+    assert got == {1: "new", 2: "b"}
+    states = S.cache_coverage(spark.createDataFrame([(1,), (2,)], "id long"), spark.createDataFrame([(1, [1.0, 2.0])], "id long, x array<double>"), "x", 2)
+    with pytest.raises(Exception, match="feature cache: 2 missing"):
+        S.require_coverage(states).collect()
+
+
+def test_components_settle_on_long_chains(spark):
+    chain = spark.range(3000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert connected_components(chain).select("component").distinct().collect()[0][0] == 0

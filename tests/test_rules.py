@@ -90,3 +90,29 @@ def test_ppm_follows_the_medium(spark):
 def test_condition_key(spark):
     df = spark.createDataFrame([(0, [2, 1, 2]), (1, [5]), (2, [])], "i int, v array<int>")
     assert run(df, features.condition_key(F.col("v"))) == ["[1,2]", "5", "UNKNOWN"]
+
+
+def test_binary_rounding_is_pythons(spark):
+    import random
+
+    rnd = random.Random(1)
+    values = [x / 20 for x in range(20, 480)] + [x / 200 for x in range(0, 200)] + [rnd.uniform(0, 30) for _ in range(500)] + [1.25, 2.675, 0.125, 0.375, 1.005, 0.045, 24.25]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", T.round_binary(F.col("v"), 1).alias("a"), T.round_binary(F.col("v"), 2).alias("b")).collect()
+    assert all((r.a, r.b) == (round(r.v, 1), round(r.v, 2)) for r in got)
+
+
+def test_unknown_qualifier_is_an_error(spark):
+    lo, hi = E.concentration_interval(F.col("v"), F.col("op"))
+    with pytest.raises(Exception):
+        spark.createDataFrame([(1.0, "~")], "v double, op string").select(lo, hi).collect()
+
+
+def test_medium_rules(spark):
+    from benthos.functions import features as X
+
+    rows = ["soil:plot", "fresh_water", "x/aquatic", "sedimentary", "", None, "brackwater", "air"]
+    part = X.medium_part(F.col("m"), ("aquatic",), ("soil", "sediment"), "valid")
+    got = [r[0] for r in spark.createDataFrame([(m,) for m in rows], "m string").select(part).collect()]
+    assert got == ["test", "train", "train", "test", "valid", "valid", "train", "valid"]
+    with pytest.raises(ValueError):
+        X.medium_part(F.col("m"), (), (), "nowhere")
