@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from benthos.functions.distinct import by_distinct
 from benthos.functions.text_rules import code, media_code, one_of, raw_unit_text
 
 # ---- exposure medium ----------------------------------------------------------------------
@@ -42,6 +43,15 @@ def exposure_medium(habitat: Column, media: Column, exposure: Column, target: Co
     )
 
 
+def with_exposure_medium(df: DataFrame, habitat: str = "habitat", media: str = "media_type", exposure: str = "exposure_type") -> DataFrame:
+    """Adds medium_domain, medium_domains and medium_conflict_flag; the rules run once per distinct combination."""
+    def rule(codes: DataFrame) -> DataFrame:
+        m = exposure_medium(F.col(habitat), F.col(media), F.col(exposure))
+        return codes.withColumn("__m", m).select(habitat, media, exposure, "__m.medium_domain", "__m.medium_domains", "__m.medium_conflict_flag")
+
+    return by_distinct(df, [habitat, media, exposure], rule)
+
+
 # ---- task heads ---------------------------------------------------------------------------
 
 # Code sets of effect families, in the order in which they are tried.
@@ -81,22 +91,26 @@ def effect_family(effect: Column, measurement: Column) -> tuple[Column, Column]:
 def with_task_head(df: DataFrame) -> DataFrame:
     """Adds task_head, task_group, task_family, effect_family, effect_level_x, task_status, task_excluded_reason.
 
-    Reads endpoint, effect, measurement, target_name and target_basis. Codes are normalised
-    into columns first, so each is computed once per row.
+    Reads endpoint, effect, measurement, target_name and target_basis; the rules run once per
+    distinct combination of their codes.
     """
     names = {"__endpoint": "endpoint", "__effect": "effect", "__measurement": "measurement", "__name": "target_name", "__basis": "target_basis"}
-    d = df.withColumns({k: code(F.col(c)) for k, c in names.items()})
-    family, group, level, reason = endpoint_class(F.col("__endpoint"))
-    effects, no_effect = effect_family(F.col("__effect"), F.col("__measurement"))
-    oral = (F.col("__name") == "NEG_LOG10_MG_KG_BW_DAY") | (F.col("__basis") == "MG/KG/DAY")
-    d = d.withColumns({"__f": family, "__g": group, "__x": level, "__r": reason, "__e": effects, "__n": no_effect, "__o": oral})
-    d = d.withColumn("__why", F.when(F.col("__o"), "excluded_oral_target").otherwise(F.coalesce("__r", "__n")))
-    ok, held = F.col("__why").isNull(), ~F.col("__o") & F.col("__r").isNull()
-    out = d.withColumns({
-        "task_head": F.when(ok, F.concat_ws("_", "__f", "__e")), "task_group": F.when(held, F.col("__g")), "task_family": F.when(held, F.col("__f")),
-        "effect_family": F.when(ok, F.col("__e")), "effect_level_x": F.when(held, F.col("__x")), "task_status": F.when(ok, "included").otherwise("excluded"), "task_excluded_reason": F.col("__why"),
-    })
-    return out.drop(*[c for c in out.columns if c.startswith("__")])
+
+    def rule(codes: DataFrame) -> DataFrame:
+        d = codes.withColumns({k: code(F.col(c)) for k, c in names.items()})
+        family, group, level, reason = endpoint_class(F.col("__endpoint"))
+        effects, no_effect = effect_family(F.col("__effect"), F.col("__measurement"))
+        oral = (F.col("__name") == "NEG_LOG10_MG_KG_BW_DAY") | (F.col("__basis") == "MG/KG/DAY")
+        d = d.withColumns({"__f": family, "__g": group, "__x": level, "__r": reason, "__e": effects, "__n": no_effect, "__o": oral})
+        d = d.withColumn("__why", F.when(F.col("__o"), "excluded_oral_target").otherwise(F.coalesce("__r", "__n")))
+        ok, held = F.col("__why").isNull(), ~F.col("__o") & F.col("__r").isNull()
+        out = d.withColumns({
+            "task_head": F.when(ok, F.concat_ws("_", "__f", "__e")), "task_group": F.when(held, F.col("__g")), "task_family": F.when(held, F.col("__f")),
+            "effect_family": F.when(ok, F.col("__e")), "effect_level_x": F.when(held, F.col("__x")), "task_status": F.when(ok, "included").otherwise("excluded"), "task_excluded_reason": F.col("__why"),
+        })
+        return out.drop(*[c for c in out.columns if c.startswith("__")])
+
+    return by_distinct(df, list(names.values()), rule)
 
 
 # ---- toxicity value and log target --------------------------------------------------------
@@ -137,12 +151,22 @@ TARGETS = [
 ]
 
 
-def log_target(tox: Column, family: Column, unit: Column, weight: Column, medium: Column) -> Column:
-    """struct(target_value, target_name, target_family, target_basis, target_status, excluded_reason)."""
+def target_rule(family: Column, unit: Column) -> Column:
+    """Number of the first target whose family or standard unit is the row's; null without one."""
     f, u = F.trim(F.coalesce(family, F.lit(""))), F.trim(F.coalesce(unit, F.lit("")))
     which = F.lit(None).cast("int")
     for i, row in reversed(list(enumerate(TARGETS))):
         which = F.when((f == row[0]) | (u == row[1]), i).otherwise(which)
+    return which
+
+
+def log_target(tox: Column, family: Column, unit: Column, weight: Column, medium: Column, rule: Column | None = None) -> Column:
+    """struct(target_value, target_name, target_family, target_basis, target_status, excluded_reason).
+
+    ``rule``: a column that holds target_rule(family, unit) already.
+    """
+    f, u = F.trim(F.coalesce(family, F.lit(""))), F.trim(F.coalesce(unit, F.lit("")))
+    which = target_rule(family, unit) if rule is None else rule
     value, no_weight = tox["value"], (which == 1) & F.coalesce(weight <= 0, F.lit(True))
     reason = tox["excluded_reason"]
     reason = F.coalesce(reason, F.when(value <= 0, "non_positive_toxicity_value").when(no_weight, "missing_or_invalid_molecular_weight_for_mg_l_to_mol_l").when(which.isNull(), F.concat(F.lit("unsupported_unit_family:"), F.when(f != "", f).when(u != "", u).otherwise("missing"))))
@@ -174,18 +198,20 @@ UNIT_RULES = [
     ("mass_per_experimental_unit_mg", "mg/experimental_unit", "low", "U_to_mg/eu", {1.0: ["mg/eu", "ai mg/eu"], 1000.0: ["g/eu", "ai g/eu"]}),
     ("percent", "%", "low", "U_kept_as_percent", {1.0: ["%", "ai %", "% v/v", "% w/v"]}),
 ]
-# Parts per million and per billion, read by the medium.
-PARTS = {"ppm": (1.0, ["ppm", "ppmw", "ai ppm", "ae ppm"]), "ppb": (0.001, ["ppb", "ai ppb", "ae ppb"])}
-CONTEXT_UNITS = [u for _, units in PARTS.values() for u in units]
+# Parts per million and per billion, read by the medium: units, factor, note in water and in solids.
+PARTS = [
+    (["ppm", "ppmw", "ai ppm", "ae ppm"], 1.0, "ppm_assumed_mg_per_l_for_aqueous_matrix", "ppm_assumed_mg_per_kg_for_solid_matrix"),
+    (["ppb", "ai ppb", "ae ppb"], 0.001, "ppb_assumed_ug_per_l_for_aqueous_matrix", "ppb_assumed_ug_per_kg_for_solid_matrix"),
+]
+CONTEXT_UNITS = [u for units, *_ in PARTS for u in units]
 
 
 def unit_rule_rows() -> list[tuple]:
     """(unit, place, family, standard unit, factor, confidence, note); place is * unless the medium decides."""
     rows = [(u, "*", family, std, factor, sure, note.replace("U", u, 1)) for family, std, sure, note, factors in UNIT_RULES for factor, units in factors.items() for u in units]
-    for name, (factor, units) in PARTS.items():
+    for units, factor, water, solid in PARTS:
         for u in units:
-            rows.append((u, "water", "water_mg_l", "mg/L", factor, "medium", f"{name}_assumed_{'mg' if name == 'ppm' else 'ug'}_per_l_for_aqueous_matrix"))
-            rows.append((u, "solid", "soil_mg_kg", "mg/kg", factor, "medium", f"{name}_assumed_{'mg' if name == 'ppm' else 'ug'}_per_kg_for_solid_matrix"))
+            rows += [(u, "water", "water_mg_l", "mg/L", factor, "medium", water), (u, "solid", "soil_mg_kg", "mg/kg", factor, "medium", solid)]
     return rows
 
 
@@ -199,16 +225,25 @@ def normalize_units(df: DataFrame) -> DataFrame:
     Reads std_mean/std_min/std_max, std_family, std_unit, raw_mean/raw_min/raw_max (doubles),
     raw_unit, mw and medium_domain. A standardized value wins unless the raw unit depends on
     the medium; otherwise the rule table, a broadcast of fixed size, is joined on the unit.
+    Unit texts are normalised once per distinct (raw_unit, medium_domain).
     """
-    raw = raw_unit_text(F.col("raw_unit"))
-    place = F.when(raw.isin(*CONTEXT_UNITS), F.when(F.col("medium_domain") == "aquatic", "water").when(F.col("medium_domain").isin("soil", "sediment", "terrestrial_nonsoil"), "solid").otherwise("none")).otherwise("*")
-    with_key = df.withColumns({"rule_unit": raw, "place": place})
-    joined = with_key.join(F.broadcast(unit_rules(df.sparkSession)), ["rule_unit", "place"], "left")
+    rules = unit_rules(df.sparkSession)
+
+    def rule(codes: DataFrame) -> DataFrame:
+        c = codes.withColumn("rule_unit", raw_unit_text(F.col("raw_unit"))).withColumn("__context", F.col("rule_unit").isin(*CONTEXT_UNITS))
+        side = F.when(F.col("medium_domain") == "aquatic", "water").when(F.col("medium_domain").isin("soil", "sediment", "terrestrial_nonsoil"), "solid").otherwise("none")
+        return c.withColumn("place", F.when(F.col("__context"), side).otherwise("*")).join(F.broadcast(rules), ["rule_unit", "place"], "left")  # a fixed table
+
+    joined = by_distinct(df, ["raw_unit", "medium_domain"], rule)
     fam = F.trim(F.coalesce("std_family", F.lit("")))
-    given = (fam != "") & (fam != "other") & ~raw.isin(*CONTEXT_UNITS) & (F.col("std_mean").isNotNull() | (F.col("std_min").isNotNull() & F.col("std_max").isNotNull()))
-    molar = (F.col("rule_unit") == "mmol/kg soil") & (F.col("mw") > 0)
+    joined = joined.withColumns({
+        "__given": (fam != "") & (fam != "other") & ~F.col("__context") & (F.col("std_mean").isNotNull() | (F.col("std_min").isNotNull() & F.col("std_max").isNotNull())),
+        "__molar": F.coalesce((F.col("rule_unit") == "mmol/kg soil") & (F.col("mw") > 0), F.lit(False)),
+    })
+    given, molar = F.col("__given"), F.col("__molar")
+    joined = joined.withColumn("__factor", F.when(molar, F.col("mw")).otherwise(F.col("factor")))
+    factor = F.col("__factor")
     family = F.when(given, fam).when(molar, "soil_mg_kg").otherwise(F.col("rule_family"))
-    factor = F.when(molar, F.col("mw")).otherwise(F.col("factor"))
     std = F.when(given, F.nullif(F.trim(F.coalesce("std_unit", F.lit(""))), F.lit(""))).when(molar, "mg/kg").otherwise(F.col("rule_std"))
     scaled = lambda s, r: F.when(given, F.col(s)).when(factor.isNotNull(), F.col(r) * factor).otherwise(F.col(r))
     reason = F.when(F.col("rule_unit") == "", "missing_raw_unit").otherwise("unsupported_raw_unit")
@@ -224,7 +259,7 @@ def normalize_units(df: DataFrame) -> DataFrame:
     })
     path = conversion_path(F.col("unit_family_v2"), F.col("standard_unit_v2"))
     path = F.when(F.col("unit_conversion_source") == "source_standardized", F.concat(F.lit("source_standardized:"), F.coalesce("standard_unit_v2", "unit_family_v2"))).otherwise(path)
-    return out.withColumn("conversion_path", path).drop("rule_unit", "place", "rule_family", "rule_std", "factor", "confidence", "note")
+    return out.withColumn("conversion_path", path).drop("rule_unit", "place", "rule_family", "rule_std", "factor", "confidence", "note", "__context", "__given", "__molar", "__factor")
 
 
 def conversion_path(family: Column, unit: Column) -> Column:

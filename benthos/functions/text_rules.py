@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from benthos.functions.distinct import by_distinct
+
 # Words that stand for a missing entry.
 MISSING_WORDS = ("", "nan", "none", "null", "na", "n/a")
 MISSING_NUMBERS = ("NR", "NC", "NA", "N/A", "NONE", "NULL")
@@ -112,6 +114,21 @@ def concentration(value: Column, unit: Column) -> tuple[Column, Column, Column,
     return F.when(known, number * factor), F.when(known, std), F.when(known, family).otherwise("other"), status
 
 
+def with_concentration(df: DataFrame, value: str, unit: str, name: str) -> DataFrame:
+    """Adds struct ``name`` (value, unit, family, status) as ``concentration`` gives them; units are read once per distinct text."""
+    def rule(codes: DataFrame) -> DataFrame:
+        c = codes.withColumn("__key", unit_text(F.col(unit)))
+        compact = F.replace("__key", F.lit(" "), F.lit(""))
+        return c.withColumns({f"__{n}": lookup(compact, {r[0]: r[i] for r in CONCENTRATION_ROWS}, kind) for n, i, kind in (("factor", 3, "double"), ("std", 1, "string"), ("family", 2, "string"))})
+
+    d = by_distinct(df, [unit], rule).withColumn("__number", lenient_number(F.col(value)))
+    number, factor = F.col("__number"), F.col("__factor")
+    known = number.isNotNull() & factor.isNotNull()
+    status = F.when(number.isNull(), "missing").when(F.col("__key") == "", "missing_unit").when(factor.isNull(), "unrecognized_unit").otherwise("standardized")
+    out = F.struct((number * factor).alias("value"), F.when(known, F.col("__std")).alias("unit"), F.when(known, F.col("__family")).otherwise("other").alias("family"), status.alias("status"))
+    return d.withColumn(name, out).drop("__key", "__factor", "__std", "__family", "__number")
+
+
 def publication_year(c: Column) -> Column:
     """First run of four digits between 1800 and 2100, also inside longer numbers."""
     t = F.trim(c)

@@ -32,8 +32,7 @@ l0 AS (SELECT *, CASE WHEN ru IN ('ul/l', 'nl/l', 'ai ul/l', 'ai nl/l') THEN 'vo
 
 def limits(t):
     u = E.normalize_units(unit_input(t)).withColumns({"target_name": F.lit("ptox_mol_l"), "target_basis": F.lit(None).cast("string")})
-    m = E.exposure_medium(F.col("habitat"), F.col("media_type"), F.col("exposure_type"))
-    return M.mean_limits(E.with_task_head(u).withColumn("medium_domains", m["medium_domains"]))
+    return M.mean_limits(E.with_task_head(u))
 
 
 @query("b34_mean_limits", LIMITS + " SELECT result_id, pending AS reason, round(CASE WHEN pending IS NULL AND mean_op LIKE '<%' THEN -log10(CASE WHEN family = 'water_mol_l' THEN mean_v2 ELSE mean_v2 / (1000 * mw) END) END, 9) AS bound_lower FROM l0")

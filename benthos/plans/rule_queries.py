@@ -123,10 +123,9 @@ def _(t):
 
 
 def unit_input(t):
-    m = E.exposure_medium(F.col("habitat"), F.col("media_type"), F.col("exposure_type"))
     some = F.col("l_linenumber") == 5
-    return over_results(t).join(t("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice").alias("mw")), "l_partkey").withColumns({
-        "medium_domain": m["medium_domain"], "std_mean": F.when(some, F.col("raw_mean") * 2), "std_min": F.lit(None).cast("double"), "std_max": F.lit(None).cast("double"),
+    return E.with_exposure_medium(over_results(t)).join(t("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice").alias("mw")), "l_partkey").withColumns({
+        "std_mean": F.when(some, F.col("raw_mean") * 2), "std_min": F.lit(None).cast("double"), "std_max": F.lit(None).cast("double"),
         "std_family": F.when(some, "water_mg_l").otherwise("other"), "std_unit": F.when(some, "mg/L"),
     })
 
@@ -196,7 +195,8 @@ SELECT result_id, CASE WHEN reason IS NULL THEN round(-log10(CASE WHEN i = 1 THE
 
 def with_target(t):
     u = tox_input(E.normalize_units(unit_input(t)))
-    return u.withColumn("target", E.log_target(F.col("tox"), F.col("unit_family_v2"), F.col("standard_unit_v2"), F.col("mw"), F.col("medium_domain")))
+    u = u.withColumn("__rule", E.target_rule(F.col("unit_family_v2"), F.col("standard_unit_v2")))
+    return u.withColumn("target", E.log_target(F.col("tox"), F.col("unit_family_v2"), F.col("standard_unit_v2"), F.col("mw"), F.col("medium_domain"), F.col("__rule")))
 
 
 @query("b16_log_target", B16)

@@ -255,13 +255,13 @@ def _(t):
 m AS (SELECT p_type, o_orderpriority, count(*) AS n, quantile_cont(x, 0.5) AS med, avg(x) AS mean FROM d GROUP BY 1, 2), q AS (SELECT p_type, o_orderpriority, quantile_cont(abs(x - med), 0.5) AS mad FROM d JOIN m USING (p_type, o_orderpriority) GROUP BY 1, 2)
 SELECT p_type, o_orderpriority, n, round(med, 6) AS median_target, round(mean, 6) AS mean_target, round(mad, 6) AS mad FROM m JOIN q USING (p_type, o_orderpriority)""")
 def slice_query(t):
-    from benthos.functions.text_rules import concentration
+    from benthos.functions.text_rules import with_concentration
     from benthos.operators.aggregates import robust_stats
 
     d = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
     unit = F.element_at(F.array(F.lit("ug/L"), F.lit("mg/L"), F.lit("g/L")), (F.col("l_linenumber") % 3 + 1).cast("int"))
-    v, _, _, _ = concentration(F.col("l_extendedprice").cast("string"), unit)
-    x = d.select("p_type", "o_orderpriority", (-F.log10(v / 1000 / F.col("p_retailprice"))).alias("x"))
+    d = with_concentration(d.select("p_type", "o_orderpriority", "p_retailprice", F.col("l_extendedprice").cast("string").alias("raw"), unit.alias("unit")), "raw", "unit", "c")
+    x = d.select("p_type", "o_orderpriority", (-F.log10(F.col("c.value") / 1000 / F.col("p_retailprice"))).alias("x"))
     return robust_stats(x, ["p_type", "o_orderpriority"], "x").select("p_type", "o_orderpriority", F.col("qc_n").alias("n"), F.round("qc_median", 6).alias("median_target"), F.round("qc_mean", 6).alias("mean_target"), F.round("qc_mad", 6).alias("mad"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,21 @@ def probe_encoding(spark, path: str, candidates: tuple[str, ...] = ("utf-8", "gb
 
 
 def read_dictionary(spark, path: str, key_columns: list[str]) -> DataFrame:
-    """A CSV dictionary in whatever encoding it has, with cas_key added."""
-    return dictionary(read_csv(spark, path, probe_encoding(spark, path)), key_columns)
+    """A CSV dictionary in whatever encoding it has, with cas_key added.
+
+    Spark's reader knows no GBK: such a file is read byte by character, and its texts are decoded
+    afterwards (no byte of a GBK character is a comma, a quote or a line feed).
+    """
+    name = probe_encoding(spark, path)
+    if name == "utf-8":
+        return dictionary(read_csv(spark, path), key_columns)
+
+    @F.pandas_udf("string")
+    def decoded(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: x.encode("latin-1").decode(name, "replace"), na_action="ignore")
+
+    raw = spark.read.option("header", True).option("encoding", "ISO-8859-1").option("escape", '"').csv(path)
+    return dictionary(raw.select(*[decoded(F.col(f"`{c}`")).alias(c.encode("latin-1").decode(name)) for c in raw.columns]), key_columns)
 
 
 def read_table(spark, path: str, required: list[str] | None = None) -> DataFrame:
