@@ -190,11 +190,13 @@ def _rare_shingle_pairs(docs: DataFrame, texts: DataFrame, spec: NearDedup) -> D
     length = (F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int")
     prefix = sorted_.select("doc_id", "label", "n", F.posexplode(F.slice("s", F.lit(1), length)).alias("at", "x")).select("doc_id", "label", "n", "at", "x.h")
     prefix = materialize(prefix, "near-prefixes")
-    big = prefix.select("h", F.col("doc_id").alias("p"), F.col("label").alias("lp"), F.col("n").alias("np"), F.col("at").alias("ap"))
-    small = prefix.where(F.col("at") < F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t)) - 1e-9) + 1).select("h", F.col("doc_id").alias("q"), F.col("label").alias("lq"), F.col("n").alias("nq"), F.col("at").alias("aq"))
+    # sizes of partners differ by the threshold at most: they lie in one band of sizes or in neighbouring ones
+    band = F.floor(F.log(F.col("n").cast("double")) / -np.log(t)).cast("int") if t < 1 else F.col("n")
+    big = prefix.select("h", band.alias("band"), F.col("doc_id").alias("p"), F.col("label").alias("lp"), F.col("n").alias("np"), F.col("at").alias("ap"))
+    small = prefix.where(F.col("at") < F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t)) - 1e-9) + 1).select("h", F.explode(F.array(band, band + 1)).alias("band"), F.col("doc_id").alias("q"), F.col("label").alias("lq"), F.col("n").alias("nq"), F.col("at").alias("aq"))
     need = (F.col("np") + F.col("nq")) * (t / (1 + t)) - 1e-9
     fits = (F.col("np") >= F.col("nq")) & (F.col("p") != F.col("q")) & (F.col("lp") != F.col("lq")) & (F.col("nq") >= F.col("np") * t - 1e-9) & (F.least(F.col("np") - F.col("ap"), F.col("nq") - F.col("aq")) >= need)
-    return big.join(small, "h").where(fits).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    return big.join(small, ["h", "band"]).where(fits).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, spec: NearDedup = NearDedup()) -> DataFrame:
@@ -208,39 +210,56 @@ def near_duplicates(docs: DataFrame, spec: NearDedup = NearDedup()) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sk = materialize(sketches(docs, spec), "near-sketches")
     named = sk.where("doc_id is not null and n_shingles > 0")
-    classes = named.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    copies = named.select("doc_id", "set_id").join(classes, "set_id").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    reps = materialize(named.join(classes, "set_id").where("doc_id = rep").groupBy("doc_id", "set_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("held").alias("held"), F.first("regs").alias("regs")), "near-reps")
+    total = named.count()
+    classes = materialize(named.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")), "near-classes")
+    seen = _hot_join(named.select("doc_id", "set_id"), classes.where("k > 1"), "set_id", total)
+    copies = materialize(seen.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"), "k"), "near-copies")
+    firsts = classes.select(F.col("rep").alias("doc_id"), "set_id")
+    reps = materialize(named.join(firsts, ["doc_id", "set_id"]).groupBy("doc_id", "set_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("held").alias("held"), F.first("regs").alias("regs")), "near-reps")
 
     bands, width = spec.banding
     rows = reps.select("doc_id", "regs", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band")).select("doc_id", F.xxhash64("band", F.substring("regs", F.col("band") * (2 * width) + 1, F.lit(2 * width))).alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub != last").select("bucket", "hub")
-    members = materialize(rows.join(shared, "bucket"), "near-buckets")
+    shared = materialize(rows.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last"), F.count("*").alias("k")).where("hub != last").select("bucket", "hub", "k"), "near-shared")
+    members = materialize(_hot_join(rows, shared, "bucket", bands * total), "near-buckets")
 
     texts = _texts_of(docs, members.select("doc_id").distinct())
     tested = materialize(members.where("doc_id != hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "near-pairs")
     links = materialize(_verify(_estimate(tested, reps, spec), texts, spec), "near-links")
     for last in (False, True):
         label = connected_components(links, "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
-        marked = materialize(members.select("bucket", "doc_id").join(label, "doc_id", "left").select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label")), "near-marked")
-        still = marked.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct(F.xxhash64("doc_id").alias("k"), F.col("doc_id").alias("hub"), "label")).alias("other")).where("x != y")
+        marked = materialize(members.select("bucket", "doc_id", "k").join(label, "doc_id", "left").select("bucket", "doc_id", "k", F.coalesce("label", "doc_id").alias("label")), "near-marked")
+        still = marked.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.first("k").alias("k"), F.min(F.struct(F.xxhash64("doc_id").alias("k"), F.col("doc_id").alias("hub"), "label")).alias("other")).where("x != y")
         if last:
             pairs = _rare_shingle_pairs(marked.join(still.select("bucket"), "bucket", "left_semi").select("doc_id", "label").distinct(), texts, spec)
         else:
-            hub = still.select("bucket", "other.hub", F.col("other.label").alias("hub_label"))
-            pairs = marked.join(hub, "bucket").where("label != hub_label").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
+            hub = still.select("bucket", "k", "other.hub", F.col("other.label").alias("hub_label"))
+            pairs = _hot_join(marked.drop("k"), hub, "bucket", bands * total).where("label != hub_label").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
         pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
         tested = tested.unionByName(pairs)
         links = links.unionByName(materialize(_verify(_estimate(pairs, reps, spec), texts, spec), "near-links"))
 
-    label = connected_components(links, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("label"))
+    label = materialize(connected_components(links, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("label")), "near-labels")
     # components of representatives, then of their copies; the smallest doc_id of a set is its representative
-    whole = copies.select(F.col("a").alias("doc_id"), F.col("b").alias("rep")).join(label, "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("component")).unionByName(label.select(F.col("rep").alias("doc_id"), F.col("label").alias("component")))
+    sized = label.join(classes.select("rep", "k"), "rep")
+    joined = _hot_join(copies.select(F.col("a").alias("doc_id"), F.col("b").alias("rep")), sized, "rep", total)
+    own = copies.select(F.col("a").alias("doc_id"), F.col("b").alias("component"))  # a set that is linked with no other
+    whole = joined.select("doc_id", F.col("label").alias("component")).unionByName(own).unionByName(label.select(F.col("rep").alias("doc_id"), F.col("label").alias("component")))
     whole = whole.groupBy("doc_id").agg(F.min("component").alias("component"))
     out = sk.select("doc_id", "n_shingles").join(whole, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _hot_join(rows: DataFrame, table: DataFrame, key: str, total: int, share: float = 0.001) -> DataFrame:
+    """Inner join with a table of one row per key and ``k``, how many rows have it; ``total`` rows at most.
+
+    Keys of more than ``share`` of all rows are fewer than 1 / share: their part of the table is
+    sent along, so that a hot key's rows stay where they are. All others are joined by shuffle.
+    """
+    hot = F.col("k") > max(1000, int(share * total))
+    few = F.broadcast(materialize(table.where(hot), "near-hot"))
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(table.where(~hot), key))
+
+
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Texts of the documents that share a bucket; the id list is sent along only if it is short."""
     ids = materialize(ids, "near-ids")
