@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from benthos.functions.text_rules import recency_weight
-from benthos.operators.ranks import global_rank, null_safe_join, quantiles
+from benthos.operators.ranks import global_rank, largest_group, null_safe_join, quantiles
 from benthos.operators.splits import hash_key
 from benthos.session import materialize
 
@@ -22,10 +22,11 @@ def strict_merge(rows: DataFrame, keys: list[str], value: str, ids: str) -> Data
 def robust_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Per group: n, median, median absolute deviation, mean, population deviation."""
     rows = materialize(rows.select(*keys, value), "robust")  # read three times below
-    first = quantiles(rows, keys, value, {"qc_median": 0.5}, F.count(value).alias("qc_n"), F.avg(value).alias("qc_mean"), F.stddev_pop(value).alias("qc_std"))
+    most = largest_group(rows, keys, value)
+    first = quantiles(rows, keys, value, {"qc_median": 0.5}, F.count(value).alias("qc_n"), F.avg(value).alias("qc_mean"), F.stddev_pop(value).alias("qc_std"), largest=most)
     first = materialize(first, "robust-median")
     off = null_safe_join(rows, first.select(*keys, "qc_median"), keys).withColumn("__off", F.abs(F.col(value) - F.col("qc_median")))
-    return null_safe_join(first, quantiles(off, keys, "__off", {"qc_mad": 0.5}), keys)
+    return null_safe_join(first, quantiles(off, keys, "__off", {"qc_mad": 0.5}, largest=most), keys)
 
 
 def robust_screen(rows: DataFrame, keys: list[str], value: str, min_n: int = 50, limit: float = 4.0, stats: DataFrame | None = None) -> DataFrame:

@@ -70,15 +70,21 @@ def average_rank(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
     return null_safe_join(df, ranked, [group, value])
 
 
-def quantiles(rows: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], *more: Column) -> DataFrame:
+def largest_group(rows: DataFrame, keys: list[str], value: str) -> int:
+    return rows.groupBy(*keys).agg(F.count(value).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], *more: Column, largest: int | None = None) -> DataFrame:
     """Per group: exact interpolated quantiles of ``value`` by name, and further aggregates.
 
     Groups of up to GROUP_ROWS rows are one aggregate each. If any group is larger, all go
     through counts instead: values are cut into equal-width cells between the group's ends, the
     counts tell which cells hold the wanted ranks, and only these cells' values are looked at,
-    counted per distinct value. A group without values has null quantiles.
+    counted per distinct value. A group without values has null quantiles. ``largest``: the size
+    of the largest group, if it is known already.
     """
-    largest = rows.groupBy(*keys).agg(F.count(value).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest is None:
+        largest = largest_group(rows, keys, value)
     if largest <= GROUP_ROWS:
         exact = [F.percentile(value, p).alias(name) for name, p in probabilities.items()]
         return rows.groupBy(*keys).agg(*exact, *more) if keys else rows.agg(*exact, *more)
