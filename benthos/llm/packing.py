@@ -16,6 +16,7 @@ import functools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from benthos.llm.text import Words, chunks, utf8
+from benthos.llm.text import CHUNK_BYTES, Words, chunks, utf8
 
 
 @dataclass(frozen=True)
@@ -80,13 +81,14 @@ class WordTokens:
     def _learn(self, words: list[bytes]) -> None:
         encode = self.tokenizer.encode_batch if self.with_starts else self.tokenizer.encode_batch_fast  # the latter leaves offsets out
         got = encode([w.decode() for w in words], add_special_tokens=False)
-        size = np.fromiter((len(e.ids) for e in got), np.int64, len(got))
+        made = [e.ids for e in got]
+        size = np.fromiter(map(len, made), np.int64, len(made))
         more, first = int(size.sum()), len(self.number)
         while self.used + more > len(self.ids):
             self.ids, self.starts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.ids, self.starts))
         while first + len(words) > len(self.at):
             self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
-        self.ids[self.used : self.used + more] = np.fromiter((i for e in got for i in e.ids), np.uint32, more)
+        self.ids[self.used : self.used + more] = np.fromiter(chain.from_iterable(made), np.uint32, more)
         if self.with_starts:
             self.starts[self.used : self.used + more] = np.fromiter((a for e in got for a, _ in e.offsets), np.int32, more)
         self.at[first : first + len(words)] = self.used + np.cumsum(size) - size
@@ -101,16 +103,18 @@ class WordTokens:
                 e = self.tokenizer.encode(data[a:z].tobytes().decode(), add_special_tokens=False)
                 yield np.array(e.ids, np.uint32), np.array([x for x, _ in e.offsets], np.int64) if self.with_starts else None
             return
-        for lo, hi in chunks(off):
+        for lo, hi in chunks(off, 4 * CHUNK_BYTES):
             w = Words(data, off[lo : hi + 1], lower=False)
             first, back = w.distinct()
             if len(self.number) > self.most:
                 self._clear()
             raw = w.bytes.tobytes()
             words = [raw[a:z] for a, z in zip(w.start[first].tolist(), w.end[first].tolist())]
-            if new := [x for x in words if x not in self.number]:
-                self._learn(new)
-            number = np.fromiter((self.number[x] for x in words), np.int64, len(words))[back]
+            number = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+            if len(new := np.flatnonzero(number < 0)):
+                number[new] = len(self.number) + np.arange(len(new))
+                self._learn([words[i] for i in new.tolist()])
+            number = number[back]
             at, size = self.at[number], self.size[number]
             total = np.concatenate(([0], np.cumsum(size)))
             take = np.repeat(at - total[:-1], size) + np.arange(total[-1])
@@ -143,52 +147,53 @@ class _Packer:
 
     def __init__(self, limits: Limits, base: int):
         self.limits, self.next_id = limits, base
-        self.per = 1 / np.array([limits.tokens, limits.segments, limits.loss_tokens], float) ** 2
+        self.per = [1 / x**2 for x in (limits.tokens, limits.segments, limits.loss_tokens)]
+        self.prompts = False  # whether any token so far bears no loss
         self.waiting: list[list] = []  # [doc_id, ids, start, loss before each token]
-        self.rest = np.zeros((0, 2), np.int64)  # of each: tokens, loss-bearing tokens
+        self.rest = np.zeros((2, 2 * limits.window + 2), np.int64)  # of each: tokens, loss-bearing tokens
         self.out: list[tuple] = []
         self._open()
 
     def _open(self) -> None:
-        self.left = np.array([self.limits.tokens, self.limits.segments, self.limits.loss_tokens], np.int64)
+        self.left = [self.limits.tokens, self.limits.segments, self.limits.loss_tokens]
         self.offset, self.placed = 0, []
 
-    def _demands(self, room: int) -> np.ndarray:
-        """What each waiting example could place now: tokens and loss-bearing tokens."""
-        n, loss = self.rest[:, 0], self.rest[:, 1]
+    def _demands(self, room: int) -> tuple[np.ndarray, np.ndarray]:
+        """What each waiting example could place now: tokens, and loss-bearing tokens among them."""
+        n, loss = self.rest[0, : len(self.waiting)], self.rest[1, : len(self.waiting)]
+        if not self.prompts:  # every token bears loss
+            fits = np.minimum(n, min(room, self.left[2]))
+            return fits, fits
         fits = np.minimum(n, room)
-        if (loss == n).all():  # every token bears loss
-            fits = np.minimum(fits, self.left[2])
-            return np.stack([fits, fits], axis=1)
-        out = np.stack([fits, np.minimum(loss, fits)], axis=1)
+        bears = np.minimum(loss, fits)
         for i in np.flatnonzero((fits < n) | (loss > self.left[2])).tolist():
             _, _, start, before = self.waiting[i]
             stop = min(start + int(fits[i]), int(np.searchsorted(before, before[start] + self.left[2], "right")) - 1)
-            out[i] = stop - start, before[stop] - before[start]
-        return out
+            fits[i], bears[i] = stop - start, before[stop] - before[start]
+        return fits, bears
 
     def _step(self, tokens: int) -> bool:
         """Place the example whose demand has the largest dot product with what is left; whether one fitted."""
-        demand = self._demands(min(tokens, int(self.left[0])))
-        gain = self.per[0] * self.left[0] * demand[:, 0] + self.per[1] * self.left[1] + self.per[2] * self.left[2] * demand[:, 1]
-        gain[demand[:, 0] <= 0] = -1
-        i = int(np.argmax(gain))
-        n, loss = demand[i].tolist()
+        fits, bears = self._demands(min(tokens, self.left[0]))
+        gain = fits * (self.per[0] * self.left[0]) + bears * (self.per[2] * self.left[2]) + self.per[1] * self.left[1]
+        i = int(np.argmax(np.where(fits > 0, gain, -1.0) if self.prompts else gain))
+        n, loss = int(fits[i]), int(bears[i])
         if n <= 0:
             return False
         doc, ids, start, before = self.waiting[i]
         self.placed.append((doc, ids[: start + n], start, before))
         self.offset += n
-        self.left -= (n, 1, loss)
-        self.rest[i] -= (n, loss)
+        self.left = [self.left[0] - n, self.left[1] - 1, self.left[2] - loss]
         if start + n == len(ids):
-            self.waiting[i] = self.waiting[-1]
-            self.rest[i] = self.rest[-1]
+            last = len(self.waiting) - 1
+            self.waiting[i] = self.waiting[last]
+            self.rest[:, i] = self.rest[:, last]
             self.waiting.pop()
-            self.rest = self.rest[:-1]
         else:
+            self.rest[0, i] -= n
+            self.rest[1, i] -= loss
             self.waiting[i][2] = start + n
-        if self.left[:2].min() <= 0 or (self.left[2] <= 0 and not len(self.waiting)):
+        if min(self.left[0], self.left[1]) <= 0 or self.left[2] <= 0 and not (self.prompts and self.waiting):
             self._close()
         return True
 
@@ -202,8 +207,12 @@ class _Packer:
         self._open()
 
     def add(self, doc: int | None, ids: np.ndarray, before: np.ndarray, start: int = 0) -> None:
+        n, loss = len(ids) - start, int(before[len(ids)] - before[start])
+        self.prompts = self.prompts or loss < n
+        if len(self.waiting) == self.rest.shape[1]:
+            self.rest = np.concatenate([self.rest, np.zeros_like(self.rest)], axis=1)
+        self.rest[:, len(self.waiting)] = n, loss
         self.waiting.append([doc, ids, start, before])
-        self.rest = np.concatenate([self.rest, [[len(ids) - start, before[len(ids)] - before[start]]]])
 
     def drain(self) -> None:
         """Place examples until the window has room again."""
@@ -218,7 +227,7 @@ class _Packer:
         for doc, ids, start, before in placed:
             self.add(doc, ids, before, start)
         while self.waiting:
-            rest = int(self.rest[:, 0].sum())
+            rest = int(self.rest[0, : len(self.waiting)].sum())
             goal = self.limits.tokens if rest >= self.limits.tokens else 1 << (rest.bit_length() - 1)
             now = self.next_id
             while self.next_id == now and self.offset < goal and self.waiting:

@@ -593,7 +593,7 @@ def test_dot_product_beats_largest_first():
     def sequences(largest_first):
         rnd, packer = random.Random(3), packing._Packer(packing.Limits(tokens=256, segments=16, loss_tokens=64, window=32), 0)
         if largest_first:
-            packer.per = np.array([1.0, 0.0, 0.0])
+            packer.per = [1.0, 0.0, 0.0]
         for i in range(600):
             n, share = rnd.randint(10, 120), rnd.choice([0.1, 0.2, 0.9, 0.0])
             k = int(n * (1 - share))
