@@ -261,7 +261,7 @@ def nearest_support(requests: DataFrame, reference: DataFrame, record: str, task
     w = Window.partitionBy(*task).orderBy("__v")
     below, above = F.last(mine, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(mine, True).over(w.rowsBetween(0, Window.unboundedFollowing))
     near = null_safe_join(both.withColumns({"__lo": below, "__hi": above}).where("__asked").drop("__known", "__asked"), span, task)
-    f = (lambda c: F.log1p(F.greatest(c, F.lit(0.0)))) if logarithmic else (lambda c: c)
+    f = (lambda c: F.when(c.isNotNull(), F.log1p(F.greatest(c, F.lit(0.0))))) if logarithmic else (lambda c: c)
     q = f(F.col("__v"))
     width = f(F.col("__b")) - f(F.col("__a"))
     away = F.least(q - f(F.col("__lo")), f(F.col("__hi")) - q)  # least skips a side that is not there

@@ -291,7 +291,7 @@ def _(t):
 SCALES = [("per_task", "s1", "task_head"), ("per_target", "s2", "medium_domain"), ("per_task_target", "s3", "task_head, medium_domain"), ("per_adapter", "s4", "life_stage"), ("per_task_adapter", "s5", "task_head, life_stage")]
 
 
-@query("d34_target_scaler", OBS + ", f AS (SELECT * FROM d WHERE test_id % 3 <> 0 AND (pub_year IS NOT NULL OR life_stage <> 'A')), g AS (SELECT avg(x) AS m, stddev_pop(x) AS sd FROM f) SELECT d.result_id, round(d.x, 6) AS none, round(d.x, 6) AS identity, round((d.x - g.m) / g.sd, 6) AS global" + "".join(f", round((d.x - coalesce({a}.m, g.m)) / coalesce({a}.sd, g.sd), 6) AS {name}" for name, a, _ in SCALES) + ", round(d.x, 6) AS back FROM d CROSS JOIN g " + " ".join(f"LEFT JOIN (SELECT {k}, avg(x) AS m, CASE WHEN stddev_pop(x) > 1e-12 THEN stddev_pop(x) ELSE 1 END AS sd FROM f GROUP BY ALL) {a} USING ({k})" for _, a, k in SCALES))
+@query("d34_target_scaler", OBS + ", f AS (SELECT * FROM d WHERE test_id % 3 <> 0 AND (pub_year IS NOT NULL OR life_stage <> 'A')), g AS (SELECT avg(x) AS m, stddev_pop(x) AS sd FROM f) SELECT d.result_id, round(d.x, 6) + 0.0 AS none, round(d.x, 6) + 0.0 AS identity, round((d.x - g.m) / g.sd, 6) + 0.0 AS global" + "".join(f", round((d.x - coalesce({a}.m, g.m)) / coalesce({a}.sd, g.sd), 6) + 0.0 AS {name}" for name, a, _ in SCALES) + ", round(d.x, 6) + 0.0 AS back FROM d CROSS JOIN g " + " ".join(f"LEFT JOIN (SELECT {k}, avg(x) AS m, CASE WHEN stddev_pop(x) > 1e-12 THEN stddev_pop(x) ELSE 1 END AS sd FROM f GROUP BY ALL) {a} USING ({k})" for _, a, k in SCALES))
 def _(t):
     d = t.sql(OBSERVATIONS).withColumn("adapter", F.col("life_stage"))
     train, out = d.where("test_id % 3 <> 0"), d
@@ -301,7 +301,7 @@ def _(t):
         out = B.apply_target_scaler(out, stats, "x", key, mode, mode)
         if mode == "per_task":
             out = B.apply_target_scaler(out, stats, mode, key, mode, "back", inverse=True)
-    return out.select("result_id", *[R(m).alias(m) for m in B.MODES], R("back").alias("back"))
+    return out.select("result_id", *[(R(m) + 0.0).alias(m) for m in B.MODES], (R("back") + 0.0).alias("back"))
 
 
 @query("d35_category_maps", """WITH d AS (SELECT p_partkey, CASE WHEN p_size % 9 <> 0 THEN p_name || '/' || (p_size % 4) END AS v, CASE WHEN p_size % 9 <> 0 THEN p_name || '/' || (p_size % 4) ELSE '<missing>' END AS w FROM part),
@@ -329,7 +329,7 @@ def _(t):
 
 @query("d40_bin_sampling_weights", "WITH r AS (SELECT event_type, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1), b AS (SELECT event_id, event_type, least(CAST(floor((value - lo) / ((hi - lo) / 10)) AS BIGINT) + 1, 10) AS bin FROM events JOIN r USING (event_type)), c AS (SELECT event_type, bin, count(*) AS n FROM b GROUP BY 1, 2), k AS (SELECT event_type, count(*) AS occupied, sum(n) AS total FROM c GROUP BY 1) SELECT event_id, b.bin, round(total / (occupied * n), 6) AS weight FROM b JOIN c USING (event_type, bin) JOIN k USING (event_type)")
 def _(t):
-    w = B.bin_sampling_weights(t("events"), "event_id", "event_type", "value", 10, 0.01, 100.0)
+    w = B.bin_sampling_weights(t("events"), "event_id", "event_type", "value", 10, 1e-6, 1e6)  # bounds out of reach: SQL has no clipping
     return w.select("event_id", "bin", R("weight").alias("weight"))
 
 

@@ -387,6 +387,8 @@ def test_support_of_the_nearest_value(spark):
     ref = spark.createDataFrame([("t", float(v)) for v in range(0, 101)] + [("u", 5.0)], "task string, v double")
     req = spark.createDataFrame([(1, "t", 7.4), (2, "t", 190.0), (3, "u", 5.0), (4, "none", 1.0), (5, "t", None)], "id int, task string, v double")
     got = {r.id: r.support for r in B.nearest_support(req, ref, "id", ["task"], "v").collect()}
+    logs = {r.id: r.support for r in B.nearest_support(req, ref, "id", ["task"], "v", True).collect()}
+    assert logs[2] == pytest.approx(1 - (math.log(191) - math.log(101)) / (math.log(96) - math.log(6)))
     assert got[1] == pytest.approx(1 - 0.4 / 90) and got[2] == pytest.approx(0.0) and got[3] is None and got[4] is None and got[5] is None
 
 
