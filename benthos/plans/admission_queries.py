@@ -54,8 +54,9 @@ def _(t):
 
 
 @query("d36_tabular_encoder", """WITH m AS (SELECT quantile_cont(p_size, 0.5) FILTER (WHERE p_size <= 40) AS md, count(*) AS n FROM part WHERE p_partkey % 4 <> 0), k AS (SELECT p_brand, count(*) AS k FROM part WHERE p_partkey % 4 <> 0 GROUP BY 1),
-l AS (SELECT p_brand, CASE WHEN k >= greatest(2, ceil(n * 0.01)) THEN p_brand ELSE '<rare>' END AS lv FROM k, m)
-SELECT p_partkey, round(CASE WHEN p_size > 40 THEN md ELSE p_size END, 6) AS filled, CASE WHEN lv IS NULL THEN '' ELSE 'p_brand=' || lv END AS level, 'name#' || (CAST(('0x' || substr(md5('s' || p_size), 1, 8)) AS UBIGINT) % 16) AS bin FROM part LEFT JOIN l USING (p_brand), m""")
+l AS (SELECT p_brand, CASE WHEN k >= greatest(2, ceil(n * 0.01)) THEN p_brand ELSE '<rare>' END AS lv FROM k, m),
+h AS (SELECT p_partkey, 'name#' || (CAST(('0x' || substr(md5('s' || p_size), 1, 8)) AS UBIGINT) % 16) AS hb FROM part)
+SELECT p_partkey, round(CASE WHEN p_size > 40 THEN md ELSE p_size END, 6) AS filled, CASE WHEN lv IS NULL THEN '' ELSE 'p_brand=' || lv END AS level, CASE WHEN hb IN (SELECT hb FROM h WHERE p_partkey % 4 <> 0) THEN hb ELSE '' END AS bin FROM h JOIN part USING (p_partkey) LEFT JOIN l USING (p_brand), m""")
 def _(t):
     # sizes above 40 stand for missing entries; brands are pooled below one in a hundred, sizes as names are hashed
     p = t("part").select("p_partkey", F.when(F.col("p_size") <= 40, F.col("p_size")).alias("p_size"), F.lit(3).alias("same"), "p_brand", F.concat(F.lit("s"), F.col("p_size")).alias("name"))
