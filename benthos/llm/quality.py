@@ -69,15 +69,15 @@ def features(data: np.ndarray, off: np.ndarray, spec: QualitySpec) -> Iterator[t
         yield ids, rows, w.rows
 
 
-def _counted(batch: pa.Array, spec: QualitySpec) -> tuple[list, list]:
-    """Distinct buckets and counts of each text."""
+def _counted(batch: pa.Array, spec: QualitySpec) -> tuple[list[bytes], list[bytes]]:
+    """Distinct buckets (32-bit) and counts (32-bit floats) of each text, as bytes."""
     keys, counts = [], []
     for ids, rows, n in features(*utf8(batch), spec):
         for i in range(n):
             own = np.concatenate([x[np.searchsorted(r, i) : np.searchsorted(r, i + 1)] for x, r in zip(ids, rows)])
             k, c = np.unique(own, return_counts=True)
-            keys.append(k.tolist())
-            counts.append(c.tolist())
+            keys.append(k.astype(np.int32).tobytes())
+            counts.append(c.astype(np.float32).tobytes())
     return keys, counts
 
 
@@ -99,10 +99,10 @@ def train(docs: DataFrame, labels: DataFrame, spec: QualitySpec = QualitySpec(),
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, counts = _counted(batch.column("text"), spec)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(keys, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["doc_id", "y", "keys", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "y", "keys", "counts"])
 
-    rows = texts.mapInArrow(run, "doc_id long, y int, keys array<int>, counts array<int>").toPandas().sort_values("doc_id", kind="stable")
-    return fit([np.asarray(k, np.int64) for k in rows["keys"]], [np.asarray(c, np.float64) for c in rows["counts"]], rows["y"].to_numpy(), share, spec)
+    rows = texts.mapInArrow(run, "doc_id long, y int, keys binary, counts binary").toPandas().sort_values("doc_id", kind="stable")
+    return fit([np.frombuffer(k, np.int32) for k in rows["keys"]], [np.frombuffer(c, np.float32) for c in rows["counts"]], rows["y"].to_numpy(), share, spec)
 
 
 def fit(keys: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, share: dict[int, int], spec: QualitySpec) -> QualityModel:
