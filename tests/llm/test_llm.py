@@ -402,6 +402,7 @@ def test_words_are_told_apart_where_hashes_are_not(monkeypatch):
     from benthos.llm import text as T
 
     monkeypatch.setattr(T.Words, "_hashes", lambda self: np.zeros(len(self.start), np.uint64))
+    monkeypatch.setattr(T.Words, "one_to_one", False)
     long = "x" * 200
     data, off = utf8(pa.array([f"a b a {long}y c", f"a b {long}z c a {long}y"]))
     w = Words(data, off)
