@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benthos.llm import chat, exact_dedup, fingerprints, html_text, language_model, licenses, near_dedup, packing, quality, sentencepiece_codec
+from benthos.llm import chat, exact_dedup, fingerprints, html_text, language_model, licenses, near_dedup, packing, periodic, quality, sentencepiece_codec
 from benthos.session import table
 
 
@@ -62,6 +62,13 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of all documents, after passages of one document in ten are made to repeat."""
+    docs = table(spark, sf_dir, "documents")
+    edited = docs.select("doc_id", periodic.repeat_passages(F.col("text"), F.col("doc_id")).alias("text"))
+    return periodic.run_digests(periodic.periodic_runs(edited, least=12))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_sentencepiece, op2_chat_format, op3_near_dedup, op4_exact_dedup, op5_quality, op6_language_model, op7_html_text, op8_packing, op9_license_scan, op10_fingerprint, pipeline]
+    found = [op1_sentencepiece, op2_chat_format, op3_near_dedup, op4_exact_dedup, op5_quality, op6_language_model, op7_html_text, op8_packing, op9_license_scan, op10_fingerprint, op11_periodic_runs, pipeline]
     return {f.__name__: f for f in found}
 
 
