@@ -70,9 +70,14 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.with_starts, self.most = Tokenizer.from_file(path), with_starts, most
-        self.by_word = splits_at_space(self.tokenizer)
+        self.by_word = self.whether_by_word()
         self._clear()
 
+    units = staticmethod(lambda data, off: Words(data, off, lower=False))
+
+    def whether_by_word(self) -> bool:
+        return splits_at_space(self.tokenizer)
+
     def _clear(self) -> None:
         self.number: dict[bytes, int] = {}
         self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
@@ -104,7 +109,7 @@ class WordTokens:
                 yield np.array(e.ids, np.uint32), np.array([x for x, _ in e.offsets], np.int64) if self.with_starts else None
             return
         for lo, hi in chunks(off):
-            w = Words(data, off[lo : hi + 1], lower=False)
+            w = self.units(data, off[lo : hi + 1])
             first, back = w.distinct()
             if len(self.number) > self.most:
                 self._clear()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benthos.llm import chat, exact_dedup, fingerprints, html_text, language_model, licenses, near_dedup, packing, periodic, quality, sentencepiece_codec
+from benthos.llm import best_fit, chat, exact_dedup, fingerprints, html_text, language_model, licenses, near_dedup, packing, periodic, quality, sentencepiece_codec
 from benthos.session import table
 
 
@@ -69,6 +69,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(periodic.periodic_runs(edited, least=12))
 
 
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.best_fit(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2, limit=1024)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_sentencepiece, op2_chat_format, op3_near_dedup, op4_exact_dedup, op5_quality, op6_language_model, op7_html_text, op8_packing, op9_license_scan, op10_fingerprint, op11_periodic_runs, pipeline]
+    found = [op1_sentencepiece, op2_chat_format, op3_near_dedup, op4_exact_dedup, op5_quality, op6_language_model, op7_html_text, op8_packing, op9_license_scan, op10_fingerprint, op11_periodic_runs, op12_best_fit, pipeline]
     return {f.__name__: f for f in found}
 
 

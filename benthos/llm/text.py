@@ -59,10 +59,21 @@ class Words:
     def __init__(self, data: np.ndarray, off: np.ndarray, lower: bool = True):
         b = data[off[0] : off[-1]]
         off = off - off[0]
-        n = len(b)
         b = _LOWER[b] if lower else b
         self.bytes, self.off, self.rows = b, off, len(off) - 1
-        space = _SPACE[b]
+        self.start, self.end = self._spans(self._breaks()[b], off)
+        self.row = np.searchsorted(off, self.start, "right") - 1
+        self._padded = np.concatenate([b, np.zeros(8, np.uint8)])
+        self.hash = self._hashes()
+
+    @staticmethod
+    def _breaks() -> np.ndarray:
+        """Which bytes lie in no word."""
+        return _SPACE
+
+    def _spans(self, space: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the words, none of which lies in two rows."""
+        n = len(space)
         first = np.zeros(n + 1, bool)
         first[off] = True
         before = np.empty(n, bool)
@@ -71,11 +82,7 @@ class Words:
         after = np.empty(n, bool)
         after[:-1] = space[1:]
         after[n - 1 :] = True
-        self.start = np.flatnonzero(~space & (before | first[:n]))
-        self.end = np.flatnonzero(~space & (after | first[1:])) + 1
-        self.row = np.searchsorted(off, self.start, "right") - 1
-        self._padded = np.concatenate([b, np.zeros(8, np.uint8)])
-        self.hash = self._hashes()
+        return np.flatnonzero(~space & (before | first[:n])), np.flatnonzero(~space & (after | first[1:])) + 1
 
     def _lane(self, at: np.ndarray, left: np.ndarray) -> np.ndarray:
         """Eight bytes from each position, those beyond ``left`` cleared."""
@@ -139,6 +146,28 @@ class Words:
         return np.searchsorted(self.row, np.arange(self.rows + 1))
 
 
+_WIDE_SPACE = [chr(c).encode() for c in range(0x80, 0x3001) if chr(c).isspace()]
+
+
+class SpacedWords(Words):
+    """Words together with the white space before them; white space at a row's end is one more.
+
+    Without a break where other white space than ASCII's comes before ASCII's, since the two
+    may belong together. The units of a row are its whole bytes.
+    """
+
+    def _spans(self, space: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        end = super()._spans(space, off)[1]
+        wide = np.zeros(len(end), bool)
+        for c in _WIDE_SPACE:
+            hit = end >= len(c)
+            for k, byte in enumerate(reversed(c), 1):
+                hit &= self.bytes[np.maximum(end - k, 0)] == byte
+            wide |= hit
+        end = np.union1d(end[~wide], off[1:][np.diff(off) > 0])
+        return np.concatenate(([0], end[:-1])) if len(end) else end, end
+
+
 def combine(acc: np.ndarray, h: np.ndarray) -> np.ndarray:
     return mix((acc ^ h) * _ODD + _KEY)
 
