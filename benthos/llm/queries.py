@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benthos.llm import best_fit, chat, exact_dedup, fingerprints, html_text, language_model, licenses, near_dedup, packing, periodic, quality, sentencepiece_codec
+from benthos.llm import best_fit, chat, exact_dedup, fingerprints, html_text, language_model, lexical, licenses, near_dedup, packing, periodic, quality, sentencepiece_codec
 from benthos.session import table
 
 
@@ -73,6 +73,10 @@ def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.best_fit(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2, limit=1024)
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=10)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_sentencepiece, op2_chat_format, op3_near_dedup, op4_exact_dedup, op5_quality, op6_language_model, op7_html_text, op8_packing, op9_license_scan, op10_fingerprint, op11_periodic_runs, op12_best_fit, pipeline]
+    found = [op1_sentencepiece, op2_chat_format, op3_near_dedup, op4_exact_dedup, op5_quality, op6_language_model, op7_html_text, op8_packing, op9_license_scan, op10_fingerprint, op11_periodic_runs, op12_best_fit, op13_lexical_search, pipeline]
     return {f.__name__: f for f in found}
 
 
@@ -128,6 +132,22 @@ SELECT doc_id, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION B
 FROM n WINDOW g AS (PARTITION BY norm ORDER BY size DESC, doc_id)"""
 
 
+OP13_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+a AS MATERIALIZED (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(ts)) AS BIGINT) AS total FROM d WHERE len(ts) > 0),
+q AS MATERIALIZED (
+  SELECT item_id, t, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY ALL),
+f AS MATERIALIZED (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS t FROM d) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, a GROUP BY t, docs),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // total)))) AS BIGINT) AS score
+  FROM q JOIN f USING (t) JOIN w USING (t), a GROUP BY item_id, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10"""
+
+
 def _license_sql() -> str:
     rows = ", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in licenses.TEMPLATES.items())
     words = r"list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
@@ -141,4 +161,4 @@ FROM d JOIN u ON d.x = u.x GROUP BY doc_id, template, n HAVING count(*) >= 0.8 *
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op3_near_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op9_license_scan": _license_sql()}
+    return {"op2_chat_format": OP2_SQL, "op3_near_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op9_license_scan": _license_sql(), "op13_lexical_search": OP13_SQL}
