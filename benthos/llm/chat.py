@@ -1,15 +1,15 @@
 """Chat formatting with loss masks found by rendering successive prefixes of a conversation.
 
-The template is a black box: a function of the turns so far. For each turn the prefix (of the
-conversation, or of a window of it where that is proved to add up) that ends with it is
-rendered and compared with the previous output. If that output is a prefix
-of the new one, the rest is the turn's span; if not, the template rewrote history, which is
-reported with the turn that caused it. The text's place in the span comes from two further
+The template is a black box: a function of the turns so far. For each turn the prefix of the
+conversation that ends with it is rendered and compared with the previous output. If that
+output is a prefix of the new one, the rest is the turn's span; if not, the template rewrote
+history, which is reported with the turn that caused it. The text's place in the span comes from two further
 renderings: the prefix with the turn's header left open, and the prefix with an empty text.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator
 
@@ -37,10 +37,20 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
+@functools.lru_cache(1024)
+def _header(role: str) -> str:
+    return f"{BEGIN}{OPEN}{escape(role)}{CLOSE}"
+
+
+@functools.lru_cache(8192)  # successive prefixes repeat their turns
+def _rendered(role: str, text: str) -> str:
+    return f"{_header(role)}{escape(text)}{END}\n"
+
+
 def default_template(turns: list[Turn], open_role: str | None = None) -> str:
     """``<s>[INST]role[/INST]text</s>`` and a line feed per turn; open_role appends a header."""
-    out = "".join(f"{BEGIN}{OPEN}{escape(r)}{CLOSE}{escape(t)}{END}\n" for r, t in turns)
-    return out if open_role is None else f"{out}{BEGIN}{OPEN}{escape(open_role)}{CLOSE}"
+    out = "".join([_rendered(r, t) for r, t in turns])
+    return out if open_role is None else out + _header(open_role)
 
 
 def parse_default(formatted: str) -> list[Turn]:
@@ -66,8 +76,15 @@ def _turn(turns: list[Turn], k: int, before: str, out: str, template: Template)
     return start, (start, len(out), at, max(at, min(len(out), at + size))), rewrote
 
 
-def prefix_spans(turns: list[Turn], template: Template) -> tuple[str, list[Span], list[int]]:
-    """As ``spans``, from all prefixes of the conversation: the square of its length in work."""
+def spans(turns: list[Turn], template: Template) -> tuple[str, list[Span], list[int]]:
+    """Full output; per turn (start, end, text start, text end); turns that rewrote history.
+
+    Every prefix is rendered, whatever the template and however long the conversation, and each
+    output is compared with the one before. A turn that rewrote what came before has its span
+    from the first changed character on, and earlier spans reach no further than that; nothing
+    is taken on trust, so a rewrite that a later turn undoes is reported as well, as two. The
+    characters rendered grow with the square of the conversation's length.
+    """
     before, found, rewrites = template([], None), [], []
     for k in range(len(turns)):
         out = template(turns[: k + 1], None)
@@ -80,39 +97,6 @@ def prefix_spans(turns: list[Turn], template: Template) -> tuple[str, list[Span]
     return before, found, rewrites
 
 
-def _window_spans(turns: list[Turn], template: Template, window: int) -> tuple[str, list[Span]] | None:
-    """Spans from prefixes of a sliding window of turns, if they add up to the whole output; else None."""
-    found, at = [], 0
-    whole = template(turns, None)
-    for k in range(len(turns)):
-        near = turns[max(0, k - window) : k + 1]
-        before, out = template(near[:-1], None), template(near, None)
-        _, span, rewrote = _turn(near, len(near) - 1, before, out, template)
-        at = span[0] if k <= window else at
-        step = out[len(before) :]
-        if rewrote or whole[at : at + len(step)] != step:
-            return None
-        found.append(tuple(x - len(before) + at for x in span))
-        at += len(step)
-    return (whole, found) if at == len(whole) else None
-
-
-def spans(turns: list[Turn], template: Template, window: int = 2) -> tuple[str, list[Span], list[int]]:
-    """Full output; per turn (start, end, text start, text end); turns that rewrote history.
-
-    The turns after the first ``window`` are rendered as prefixes of their last ``window``
-    turns first. If none of these rewrites what came before, and their increments, put one
-    after another, are the output of the whole conversation, they are its spans, for work in
-    proportion to its length. Otherwise every prefix is rendered: a turn that rewrote what came
-    before has its span from the first changed character on, and earlier spans reach no further
-    than that. What this takes on trust: a template that rewrites history at some length, and
-    undoes that before the end, without a trace in any window, goes unnoticed.
-    """
-    if len(turns) > 2 * window + 2 and (quick := _window_spans(turns, template, window)):
-        return *quick, []
-    return prefix_spans(turns, template)
-
-
 SCHEMA = "conv_id long, n_turns long, formatted string, roles array<string>, spans array<struct<start:long,stop:long,text_start:long,text_stop:long>>, rewrites array<long>"
 
 

@@ -158,7 +158,18 @@ def test_chat_template_that_rewrites_history():
     assert rewrites == [2, 3]
 
 
-def test_chat_windows_give_what_prefixes_give(spark):
+def brute_rewrites(turns, template):
+    made = [template(turns[:k], None) for k in range(len(turns) + 1)]
+    return [k for k in range(len(turns)) if made[k + 1][: len(made[k])] != made[k]]
+
+
+def summary(turns, open_role=None):
+    """A line in front while there are five to eight turns: written by the fifth, taken back by the ninth."""
+    front = "SUMMARY\n" if 5 <= len(turns) <= 8 else ""
+    return front + "".join(f"{r}:{t};" for r, t in turns) + (f"{open_role}:" if open_role is not None else "")
+
+
+def test_chat_rewrites_are_found_at_any_length():
     def numbered(turns, open_role=None):
         return "BOS" + "".join(f"{i}{r}:{t};" for i, (r, t) in enumerate(turns)) + (f"{len(turns)}{open_role}:" if open_role is not None else "")
 
@@ -171,12 +182,21 @@ def test_chat_windows_give_what_prefixes_give(spark):
     rnd = random.Random(1)
     for n in (0, 1, 3, 7, 30):
         turns = [(rnd.choice(["user", "assistant"]), rnd.choice(["", "</s>x", "a b", "\\"])) for _ in range(n)]
-        for template in (chat.default_template, numbered, last_marked, nine):
-            assert chat.spans(turns, template) == chat.prefix_spans(turns, template)
-    # a long conversation takes work in proportion to its turns
-    calls = []
-    chat.spans([("user", "x")] * 3000, lambda turns, role=None: calls.append(len(turns)) or chat.default_template(turns, role))
-    assert sum(calls) < 100_000
+        for template in (chat.default_template, numbered, last_marked, nine, summary):
+            out, found, rewrites = chat.spans(turns, template)
+            assert out == template(turns, None) and len(found) == n and rewrites == brute_rewrites(turns, template)
+            assert all(0 <= a <= x <= y <= z <= len(out) or a == z for a, z, x, y in found)
+    turns = [("u", str(i)) for i in range(10)]
+    out, found, rewrites = chat.spans(turns, summary)
+    assert rewrites == [4, 8] and [out[x:y] for _, _, x, y in found][9:] == ["9"]
+
+
+def test_chat_long_conversations(spark):
+    turns = [("user", f"x{i % 50}") for i in range(2000)]
+    out, found, rewrites = chat.spans(turns, chat.default_template)
+    assert not rewrites and [out[x:y] for _, _, x, y in found] == [t for _, t in turns]
+    late = lambda turns, role=None: chat.default_template(turns[1:] if len(turns) == 1500 else turns, role)
+    assert chat.spans(turns, late)[2] == [1499, 1500]
     rows = [(1, i, "user", "long " * 200_000 if i == 1 else "x") for i in range(40)]
     made = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
     assert made.n_turns == 40 and not made.rewrites and len(made.formatted) > 1_000_000
@@ -632,10 +652,58 @@ def test_license_scan(spark, empty):
                 want[i, name] = pytest.approx(c)
     assert got == want and (2, "gpl-3.0-notice") in want and (None, "mit-short") in want
     twice = docs_frame(spark, [(1, mit), (1, mit), (None, mit), (2, "x " * 100_000 + mit)])
+    # a name that the scan uses itself
+    assert licenses.scan_licenses(twice.withColumn("blocks", F.lit(1)), {"h": mit}).count() == 4
     assert [(r.doc_id, r.n_found == r.n_shingles) for r in licenses.scan_licenses(twice).orderBy("doc_id").collect()] == [(None, True), (1, True), (1, True), (2, True)]
     assert licenses.scan_licenses(empty).count() == 0 and licenses.scan_licenses(twice, {}).count() == 0
 
 
+def test_license_bands_are_minhash_values(spark):
+    known = {r.template: r for r in licenses.license_templates(spark).collect()}
+    assert len(known) == len(licenses.TEMPLATES) == 23
+    for r in known.values():
+        assert not set(r["keys"]) & set(r["shingles"])  # no band is a shingle
+        if len(r["shingles"]) >= licenses.LONG:
+            assert len(r["keys"]) > licenses.BANDS  # several windows, all bands of each
+    # the stated chance: windows with one shingle in eight replaced, and the bands of real windows
+    assert licenses.chance(7 / 9) >= 0.999 and licenses.chance(0.6) >= 0.97 and licenses.chance(0.1) < 0.08
+    rnd, hits, pairs = random.Random(9), 0, 4000
+    rows = []
+    for i in range(pairs):
+        w = [rnd.getrandbits(62) for _ in range(9)]
+        rows += [(i, 0, w[:8]), (i, 1, w[1:])]
+    h = spark.createDataFrame(rows, "id long, side int, h array<long>")
+    made = defaultdict(dict)
+    for r in h.select("id", "side", licenses.window_keys(F.col("h")).alias("k")).collect():
+        made[r.id][r.side] = set(r.k)
+        assert len(r.k) == licenses.BANDS
+    hits = sum(1 for x in made.values() if x[0] & x[1])
+    assert hits >= 0.997 * pairs
+    none = [(i, s, [rnd.getrandbits(62) for _ in range(8)]) for i in range(300) for s in (0, 1)]
+    keys = [set(r.k) for r in spark.createDataFrame(none, "id long, side int, h array<long>").select(licenses.window_keys(F.col("h")).alias("k")).collect()]
+    assert not any(a & b for a, b in zip(keys[::2], keys[1::2]))
+
+
+def test_license_texts_with_a_fifth_of_the_shingles_gone(spark):
+    rnd, rows, want = random.Random(13), [], set()
+    templates = {f"t{n}": " ".join(f"t{n}x{i}" for i in range(n + 4)) for n in (20, 27, 40, 90)}
+    norm = lambda s: s.split()
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for name, notice in templates.items():
+        w, k = norm(notice), 0
+        while k < 150:
+            v = list(w)
+            for _ in range(rnd.randint(1, max(1, len(w) // 20))):
+                at = rnd.randrange(len(v))
+                v[at : at + rnd.choice([0, 1, 1])] = ["edit"] * rnd.choice([0, 1, 1])
+            if len(grams(v) & grams(w)) >= 0.8 * len(grams(w)):
+                rows.append((len(rows), " ".join(["lead"] * rnd.randint(0, 7) + v + ["tail"] * 5)))
+                want.add((len(rows) - 1, name))
+                k += 1
+    got = {(r.doc_id, r.template) for r in licenses.scan_licenses(docs_frame(spark, rows), templates).collect()}
+    assert got == want
+
+
 # ---- 10 -----------------------------------------------------------------------------------
 
 
