@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from benthos.functions.text_rules import hash_share
+from benthos.operators.balance import jittered_assignment
 from benthos.operators.graph import connected_components
 from benthos.operators.ranks import global_rank, range_rank  # noqa: F401
 from benthos.session import materialize
@@ -278,9 +279,12 @@ def set_digest(rows: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sha2(F.concat_ws("|", F.count("*"), F.sum(h)), 256).alias("digest"))
 
 
-def boundary_suite(rows: DataFrame, record: str, head: str, scope: str, boundaries: dict[str, tuple[list[str], list[str]]], fractions: tuple[float, ...], seed: int, minima: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+def boundary_suite(rows: DataFrame, record: str, head: str, scope: str, boundaries: dict[str, tuple[list[str], list[str]]], fractions: tuple[float, ...], seed: int, minima: dict[str, int], attempts: int = 0) -> tuple[DataFrame, DataFrame]:
     """Parts under several boundaries, and their audit.
 
+    With ``attempts``, the best of so many jittered placements per boundary (its number is in
+    the audit as ``attempt``); without, one placement by size, and a null attempt.
+
     ``boundaries`` names for each the key columns and the id list columns that may not cross
     parts. First frame: (boundary, scope, record, group_id, head, split_part). Second, per boundary and
     part: rows, groups, ids that cross parts (an error when it runs, if any does), heads with
@@ -290,7 +294,11 @@ def boundary_suite(rows: DataFrame, record: str, head: str, scope: str, boundari
     for name, (keys, lists) in boundaries.items():
         groups = closure_groups(rows, record, keys, lists, scope=scope)
         g = rows.join(groups, record).withColumnRenamed(head, "head")
-        parts = balanced_assignment(g.groupBy(scope, "group_id", "head").agg(F.count("*").cast("double").alias("n")), fractions, seed, scope)
+        counted = g.groupBy(scope, "group_id", "head").agg(F.count("*").cast("double").alias("n"))
+        if attempts:
+            parts = jittered_assignment(counted, fractions, seed, scope, attempts=attempts)
+        else:
+            parts = balanced_assignment(counted, fractions, seed, scope).withColumn("attempt", F.lit(None).cast("int"))
         placed = materialize(g.join(parts, [scope, "group_id"]), "boundary")
         ids = [placed.select(scope, "split_part", F.concat(F.lit(f"{c}:"), F.col(c).cast("string")).alias("id")) for c in keys]
         ids += [placed.select(scope, "split_part", F.explode(c).alias("id")).withColumn("id", F.concat(F.lit(f"{c}:"), F.col("id").cast("string"))) for c in lists]
@@ -300,14 +308,14 @@ def boundary_suite(rows: DataFrame, record: str, head: str, scope: str, boundari
         across = every.withColumn("id", F.concat_ws("|", scope, "id"))
         n_cross = crossing(across, "id").select(F.when(F.col("n_crossing") > 0, F.raise_error(F.lit(f"{name}: ids cross parts"))).otherwise(F.col("n_crossing")).cast("long").alias("n_crossing"))
         supported = support(placed.withColumn("__h", F.concat_ws("|", scope, "head")), "__h", minima).agg(F.count_if("eligible").alias("n_heads_supported"))
-        audit = placed.groupBy("split_part").agg(F.count("*").alias("n"), F.countDistinct(scope, "group_id").alias("n_groups"), F.countDistinct(scope, "head").alias("n_heads"))
+        audit = placed.groupBy("split_part").agg(F.first("attempt").alias("attempt"), F.count("*").alias("n"), F.countDistinct(scope, "group_id").alias("n_groups"), F.countDistinct(scope, "head").alias("n_heads"))
         audit = audit.join(set_digest(placed, [scope, record], ["split_part"]).select("split_part", "digest"), "split_part").crossJoin(n_cross).crossJoin(supported)  # one row each
         placed, audit = (x.withColumn("boundary", F.lit(name)) for x in (placed.select(scope, record, "group_id", "head", "split_part"), audit))
         done, audits = (placed, audit) if done is None else (done.unionByName(placed), audits.unionByName(audit))
     return done, audits
 
 
-#: The experiment suite: code -> (name, kind, fractions or folds).
+# The experiment suite, code -> (name, kind, fractions or folds).
 SUITE = {
     "A": ("A_random_adapt_7_2_1", "random", {"train": 0.7, "finetune": 0.2, "test": 0.1}),
     "B": ("B_random_8_2", "random", {"train": 0.8, "test": 0.2}),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from benthos.operators import audits as U
+from benthos.operators import balance as B
 from benthos.operators import domain as D
 from benthos.operators import evaluation as V
 from benthos.operators import models as M
@@ -101,11 +102,19 @@ def _(t):
     return balanced(t)
 
 
+@query("h08_balanced_attempts")
+def _(t):
+    """Suppliers' rows per line status, placed in sixteen jittered attempts; the best one."""
+    rows = t("lineitem").withColumn("route", F.when(F.col("l_suppkey") % 3 == 0, "M00").otherwise("W00"))
+    groups = rows.groupBy("route", F.concat(F.col("l_suppkey"), F.lit("/"), F.col("l_linenumber")).alias("group_id"), F.col("l_linestatus").alias("head")).agg(F.count("*").cast("double").alias("n"))
+    return B.jittered_assignment(groups, (0.64, 0.16, 0.20), 20260914, attempts=16)
+
+
 @query("h09_boundary_suite")
 def _(t):
     """Groups under two boundaries, balanced parts per head, and their audit."""
     o = t("orders").select("o_orderkey", F.floor(F.col("o_orderkey") / 2).alias("pair"), F.when(F.col("o_orderkey") % 3 == 0, "M00").otherwise("W00").alias("route"), F.col("o_orderpriority").alias("head"), F.array(F.concat(F.lit("t"), F.floor(F.col("o_orderkey") / 3))).alias("ids"))
-    _, audit = P.boundary_suite(o, "o_orderkey", "head", "route", {"S3": (["pair"], []), "source": (["pair"], ["ids"])}, (0.64, 0.16, 0.20), 1, {"train": 10, "valid": 2, "test": 3})
+    _, audit = P.boundary_suite(o, "o_orderkey", "head", "route", {"S3": (["pair"], []), "source": (["pair"], ["ids"])}, (0.64, 0.16, 0.20), 1, {"train": 10, "valid": 2, "test": 3}, attempts=16)
     return audit
 
 
