@@ -72,58 +72,37 @@ def _shingled(rows: DataFrame, text: Column, *keep: str) -> DataFrame:
     return words.select(*keep, F.when(F.size("words") >= SHINGLE, grams).otherwise(F.array().cast("array<bigint>")).alias("h"))
 
 
-def _values(h: Column, functions: int) -> Column:
-    """The least hash of the shingles ``h`` under each of so many hash functions."""
-    return F.array(*[F.array_min(F.transform(h, lambda x: F.xxhash64(x, F.lit(i)))) for i in range(functions)])  # noqa: B023
+#: The bands of a window at a place: shingles in it, number of the band, first shingle, end.
+LONG_BANDS = [(WINDOW, b, 0, WINDOW) for b in range(BANDS)]
+PAIR_BANDS, SINGLE_BANDS = ([(n, 0, k, k + n) for k in range(STRIDE)] for n in (2, 1))
 
 
-def _band_keys(values: Column, bands: int) -> Column:
-    """A key per band of ROWS MinHash values; bands of windows of different sizes never meet."""
-    return F.array(*[F.xxhash64(F.lit(bands), F.lit(b), *[values[b * ROWS + r] for r in range(ROWS)]) for b in range(bands)])
+def banded(places: DataFrame, bands: list[tuple[int, int, int, int]]) -> DataFrame:
+    """Adds ``key`` for each band of each place: rows (h, at, ...), a place being a position in the shingles ``h``.
 
-
-def window_keys(h: Column) -> Column:
-    """The band keys of one long window, ``h`` its shingles."""
-    return _band_keys(_values(h, BANDS * ROWS), BANDS)
+    A band's key combines the least hashes of its window's shingles under ROWS hash functions.
+    A long window at a text's end may have fewer shingles; shorter windows are whole.
+    """
+    shingles = [f"s{k}" for k in range(WINDOW)]
+    places = places.select("*", F.size("h").alias("n"), *[F.get("h", F.col("at") + k).alias(s) for k, s in enumerate(shingles)])
+    each = F.inline(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("size", "band", "lo", "hi"), b)]) for b in bands]))
+    rows = places.select("*", each).where((F.col("size") == WINDOW) | (F.col("at") + F.col("hi") <= F.col("n")))
+    inside = lambda k: (F.col("lo") <= k) & (F.col("hi") > k) & F.col(f"s{k}").isNotNull()
+    values = [F.least(*[F.when(inside(k), F.xxhash64(s, F.col("band") * ROWS + r)) for k, s in enumerate(shingles)]) for r in range(ROWS)]
+    return rows.withColumn("key", F.xxhash64("size", "band", *values)).drop("n", *shingles, "band", "lo", "hi")
 
 
-def _short_keys(h: Column, size: int) -> Column:
-    """The one band of each window of one or two shingles: MinHash values under ROWS functions."""
-    at = F.sequence(F.lit(1), F.size(h) - (size - 1))
-    of = lambda i: F.xxhash64(F.lit(-size), *[F.array_min(F.transform(F.slice(h, i, size), lambda x: F.xxhash64(x, F.lit(r)))) for r in range(ROWS)])  # noqa: E731, B023
-    return F.when(F.size(h) >= size, F.transform(at, of)).otherwise(F.array().cast("array<bigint>"))
+def _places(rows: DataFrame, stride: int) -> DataFrame:
+    return rows.select("*", F.explode(F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") - 1, F.lit(stride)))).alias("at"))
 
 
 def license_templates(spark: SparkSession, templates: dict[str, str] | None = None) -> DataFrame:
     """(template, shingles, size, keys) of each template, a row per license text; size: shingles in a window."""
     rows = spark.createDataFrame(list((TEMPLATES if templates is None else templates).items()), "template string, notice string")
-    h = _shingled(rows, F.col("notice"), "template").select("template", "h", F.array_distinct("h").alias("shingles")).where(F.size("h") > 0)
-    size = F.when(F.size("h") >= LONG, WINDOW).when(F.size("h") > 2, 2).otherwise(1)
-    windows = F.transform(F.sequence(F.lit(1), F.size("h") - (WINDOW - 1)), lambda i: window_keys(F.slice("h", i, WINDOW)))
-    keys = F.when(F.col("size") == WINDOW, F.flatten(windows)).when(F.col("size") == 2, _short_keys(F.col("h"), 2)).otherwise(_short_keys(F.col("h"), 1))
-    return h.withColumn("size", size).select("template", "shingles", "size", F.array_distinct(keys).alias("keys"))
-
-
-def _retrieved(texts: DataFrame, known: list) -> DataFrame:
-    """Adds ``hits``: the template band keys that a text's windows have.
-
-    A long window is two blocks of STRIDE shingles: its MinHash values are the smaller of
-    theirs, so each shingle is hashed once per function. The last block may be short.
-    """
-    of = lambda size: sorted({k for t in known if t["size"] == size for k in t["keys"]})
-    hits = F.array().cast("array<bigint>")
-    blocks = F.array().cast("array<array<bigint>>")
-    if keys := of(WINDOW):
-        starts = F.sequence(F.lit(1), F.size("h"), F.lit(STRIDE))
-        blocks = F.when(F.size("h") > 0, F.transform(starts, lambda i: _values(F.slice("h", i, STRIDE), BANDS * ROWS))).otherwise(blocks)
-    texts = texts.withColumn("blocks", blocks)
-    if keys:
-        both = F.zip_with(F.slice("blocks", 1, F.greatest(F.size("blocks") - 1, F.lit(0))), F.slice("blocks", 2, F.greatest(F.size("blocks") - 1, F.lit(0))), lambda x, y: F.zip_with(x, y, lambda a, b: F.least(a, b)))
-        hits = F.concat(hits, F.flatten(F.transform(both, lambda v: F.filter(_band_keys(v, BANDS), lambda x: x.isin(keys)))))
-    for size in (1, 2):
-        if short := of(size):
-            hits = F.concat(hits, F.filter(_short_keys(F.col("h"), size), lambda x: x.isin(short)))  # noqa: B023
-    return texts.select("doc_id", "h", F.array_distinct(hits).alias("hits"))
+    rows = _shingled(rows, F.col("notice"), "template")
+    fits = F.when(F.size("h") >= LONG, WINDOW).when(F.size("h") > 2, 2).otherwise(1)
+    keys = banded(_places(rows, 1), [*LONG_BANDS, PAIR_BANDS[0], SINGLE_BANDS[0]]).where((F.col("size") == fits) & (F.col("at") + F.col("size") <= F.size("h")))
+    return keys.groupBy("template", "size").agg(F.array_distinct(F.first("h")).alias("shingles"), F.collect_set("key").alias("keys"))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
@@ -138,12 +117,15 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
         raise ValueError("the bands are set for a threshold of 0.8 and above")
     known = license_templates(docs.sparkSession, templates).collect()  # one row per template, a parameter
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = _shingled(docs, F.coalesce("text", F.lit("")), "doc_id")
-    longs = lambda x: F.array(*[F.lit(v) for v in x]).cast("array<bigint>")
     if not known:
         return docs.sparkSession.createDataFrame([], "doc_id long, template string, n_shingles long, n_found long, containment double")
+    sizes = {t["size"] for t in known}
+    bands = [b for n, own in ((WINDOW, LONG_BANDS), (2, PAIR_BANDS), (1, SINGLE_BANDS)) if n in sizes for b in own]
+    texts = _shingled(docs.withColumn("row", F.monotonically_increasing_id()), F.coalesce("text", F.lit("")), "row", "doc_id")
+    hits = banded(_places(texts, STRIDE), bands).where(F.col("key").isin(sorted({k for t in known for k in t["keys"]})))
+    longs = lambda x: F.array(*[F.lit(v) for v in x]).cast("array<bigint>")
     table = F.array(*[F.struct(F.lit(t["template"]).alias("template"), longs(t["shingles"]).alias("shingles"), longs(t["keys"]).alias("keys")) for t in known])
-    candidates = F.when(F.size("hits") > 0, F.filter(table, lambda t: F.arrays_overlap(t["keys"], F.col("hits"))))
-    pairs = _retrieved(texts, known).select("doc_id", "h", F.explode(candidates).alias("t"))
-    counted = pairs.select("doc_id", "t.template", F.size("t.shingles").cast("long").alias("n_shingles"), F.size(F.array_intersect("t.shingles", "h")).cast("long").alias("n_found"))
-    return counted.where(F.col("n_found") >= threshold * F.col("n_shingles") - 1e-9).withColumn("containment", F.col("n_found") / F.col("n_shingles"))
+    pairs = hits.select("row", "doc_id", "h", F.explode(F.filter(table, lambda t: F.array_contains(t["keys"], F.col("key")))).alias("t"))
+    counted = pairs.select("row", "doc_id", "t.template", F.size("t.shingles").cast("long").alias("n_shingles"), F.size(F.array_intersect("t.shingles", "h")).cast("long").alias("n_found"))
+    verified = counted.where(F.col("n_found") >= threshold * F.col("n_shingles") - 1e-9).dropDuplicates(["row", "template"])  # windows of one text
+    return verified.withColumn("containment", F.col("n_found") / F.col("n_shingles")).drop("row")

@@ -653,7 +653,7 @@ def test_license_scan(spark, empty):
     assert got == want and (2, "gpl-3.0-notice") in want and (None, "mit-short") in want
     twice = docs_frame(spark, [(1, mit), (1, mit), (None, mit), (2, "x " * 100_000 + mit)])
     # a name that the scan uses itself
-    assert licenses.scan_licenses(twice.withColumn("blocks", F.lit(1)), {"h": mit}).count() == 4
+    assert licenses.scan_licenses(twice.withColumns({"row": F.lit(1), "key": F.lit(2)}), {"h": mit}).count() == 4
     assert [(r.doc_id, r.n_found == r.n_shingles) for r in licenses.scan_licenses(twice).orderBy("doc_id").collect()] == [(None, True), (1, True), (1, True), (2, True)]
     assert licenses.scan_licenses(empty).count() == 0 and licenses.scan_licenses(twice, {}).count() == 0
 
@@ -667,21 +667,24 @@ def test_license_bands_are_minhash_values(spark):
             assert len(r["keys"]) > licenses.BANDS  # several windows, all bands of each
     # the stated chance: windows with one shingle in eight replaced, and the bands of real windows
     assert licenses.chance(7 / 9) >= 0.999 and licenses.chance(0.6) >= 0.97 and licenses.chance(0.1) < 0.08
-    rnd, hits, pairs = random.Random(9), 0, 4000
+    rnd, pairs = random.Random(9), 4000
+
+    def keys_of(rows):
+        h = spark.createDataFrame([(i, side, h, 0) for i, side, h in rows], "id long, side int, h array<long>, at int")
+        made = defaultdict(set)
+        for r in licenses.banded(h, licenses.LONG_BANDS).collect():
+            made[r.id, r.side].add(r.key)
+        return made
+
     rows = []
     for i in range(pairs):
         w = [rnd.getrandbits(62) for _ in range(9)]
         rows += [(i, 0, w[:8]), (i, 1, w[1:])]
-    h = spark.createDataFrame(rows, "id long, side int, h array<long>")
-    made = defaultdict(dict)
-    for r in h.select("id", "side", licenses.window_keys(F.col("h")).alias("k")).collect():
-        made[r.id][r.side] = set(r.k)
-        assert len(r.k) == licenses.BANDS
-    hits = sum(1 for x in made.values() if x[0] & x[1])
-    assert hits >= 0.997 * pairs
-    none = [(i, s, [rnd.getrandbits(62) for _ in range(8)]) for i in range(300) for s in (0, 1)]
-    keys = [set(r.k) for r in spark.createDataFrame(none, "id long, side int, h array<long>").select(licenses.window_keys(F.col("h")).alias("k")).collect()]
-    assert not any(a & b for a, b in zip(keys[::2], keys[1::2]))
+    made = keys_of(rows)
+    assert all(len(k) == licenses.BANDS for k in made.values())
+    assert sum(1 for i in range(pairs) if made[i, 0] & made[i, 1]) >= 0.997 * pairs
+    made = keys_of([(i, s, [rnd.getrandbits(62) for _ in range(8)]) for i in range(300) for s in (0, 1)])
+    assert not any(made[i, 0] & made[i, 1] for i in range(300))
 
 
 def test_license_texts_with_a_fifth_of_the_shingles_gone(spark):
