@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from benthos.operators import splits as P
 from benthos.operators.graph import connected_components
+from benthos.operators.nearest import nearest_sets, nearest_train
 from benthos.operators.ranks import range_rank
 from benthos.session import materialize
 
@@ -41,7 +42,13 @@ def shared(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x)
 
 
-def best_other_tanimoto(queries: DataFrame, references: DataFrame, top: int = 5) -> DataFrame:
+def unpack(words: Column) -> Column:
+    """The bit positions that are set in packed words."""
+    place = F.sequence(F.lit(0), 64 * F.size(words) - 1)
+    return F.when(F.size(words) > 0, F.filter(place, lambda i: F.getbit(F.get(words, F.floor(i / 64).cast("int")), i % 64) == 1)).otherwise(F.array().cast("array<int>"))
+
+
+def best_other_tanimoto(queries: DataFrame, references: DataFrame, top: int = 5, report: list | None = None) -> DataFrame:
     """(query_id, max_similarity, other_similarity, top_mean): a stated query set against all rows with other ids.
 
     queries (query_id, words), references (id, words); 0/0 counts as 0, and a query without any
@@ -49,19 +56,21 @@ def best_other_tanimoto(queries: DataFrame, references: DataFrame, top: int = 5)
     rows whose fingerprint is the query's own (the exact parent), and top_mean is the mean over
     the ``top`` most similar distinct fingerprints of these; both are null if there are none.
     References are reduced to distinct words with their smallest and largest id, which tell
-    whether a row equal to the query has another id. Per query, a task keeps its best few only.
+    whether a row equal to the query has another id; ``nearest_sets`` finds the best of them by
+    falling thresholds, and says in ``report`` how many pairs it looked at.
     """
-    r = references.groupBy(F.col("words").alias("ref")).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).withColumn("rn", popcount(F.col("ref")))
-    q = queries.select("words").distinct().withColumn("qn", popcount(F.col("words")))
-    both = q.crossJoin(r).where("words <> ref").withColumn("n", shared(F.col("words"), F.col("ref")))  # a stated query set
-    scored = both.select("words", (F.col("n") / (F.col("qn") + F.col("rn") - F.col("n"))).alias("s"))  # unequal words: no empty union
-    counted = scored.groupBy("words", "s").agg(F.count("*").alias("k"))  # few distinct values: quotients of bit counts
-    w = Window.partitionBy("words").orderBy(F.desc("s"))
-    best = counted.withColumn("upto", F.sum("k").over(w)).withColumn("take", F.greatest(F.lit(0), F.least("k", F.lit(top) - (F.col("upto") - F.col("k")))))
-    best = best.groupBy("words").agg(F.max("s").alias("other_similarity"), (F.sum(F.col("s") * F.col("take")) / F.sum("take")).alias("top_mean"))
-    own = queries.join(r.withColumnRenamed("ref", "words"), "words", "left").join(best, "words", "left")
-    equal = F.when((F.col("lo") != F.col("query_id")) | (F.col("hi") != F.col("query_id")), F.when(F.col("rn") > 0, 1.0).otherwise(0.0))
-    return own.select("query_id", F.greatest(equal, "other_similarity").alias("max_similarity"), "other_similarity", "top_mean").where("max_similarity is not null")
+    r = references.groupBy("words").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    r = materialize(r.select("words", "lo", "hi", unpack(F.col("words")).alias("bits")), "tanimoto")
+    q = materialize(queries.select("query_id", "words", unpack(F.col("words")).alias("bits")), "tanimoto")
+    n_refs = r.count()
+    sets = lambda df: df.where(F.size("bits") > 0).select(F.lit("").alias("scope"), "bits")
+    best = nearest_sets(sets(q), sets(r), top, scan=True, report=report).select("bits", "best")
+    own = q.join(r.select("words", "lo", "hi"), "words", "left").join(best, "bits", "left").withColumn("best", F.coalesce("best", F.array().cast("array<double>")))
+    n_other = F.lit(n_refs) - F.when(F.col("lo").isNotNull(), 1).otherwise(0)
+    other = F.when(n_other > 0, F.coalesce(F.get("best", F.lit(0)), F.lit(0.0)))
+    mean = F.when(n_other > 0, F.aggregate("best", F.lit(0.0), lambda a, x: a + x) / F.least(n_other, F.lit(top)))
+    equal = F.when((F.col("lo") != F.col("query_id")) | (F.col("hi") != F.col("query_id")), F.when(F.size("bits") > 0, 1.0).otherwise(0.0))
+    return own.select("query_id", F.greatest(equal, other).alias("max_similarity"), other.alias("other_similarity"), mean.alias("top_mean")).where("max_similarity is not null")
 
 
 def standardized(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -178,8 +187,8 @@ def scaffold_cluster_job(chemicals: DataFrame, rows: DataFrame, threshold: float
 
     groups: (group_id, group_key, n_rows, n_members), keys numbered from the largest group on;
     assignments: (row_id, id, group_key, split_part, fold); overlap: groups found in more than one
-    part or fold (0 expected); parts: rows, members and groups per part; similarity: each test
-    chemical's best similarity to a training one.
+    part or fold (0 expected); parts: rows, members and groups per part; similarity: the best
+    similarity to a training chemical of each test chemical that has a fingerprint (id, test_part, best).
     """
     label = materialize(structure_groups(chemicals, threshold), "groups")
     per = rows.groupBy("id").agg(F.count("*").alias("rows")).join(label, "id", "right")
@@ -193,9 +202,5 @@ def scaffold_cluster_job(chemicals: DataFrame, rows: DataFrame, threshold: float
     assignments = materialize(rows.join(label, "id").join(placed, "group_id").select("row_id", "id", "group_key", "split_part", "fold"), "assignments")
     crossing = assignments.groupBy("group_key").agg(F.countDistinct("split_part").alias("p"), F.countDistinct("fold").alias("f")).agg(F.count("*").alias("n_groups"), F.count_if((F.col("p") > 1) | (F.col("f") > 1)).alias("n_crossing"))
     parts = assignments.groupBy("split_part").agg(F.count("*").alias("n_rows"), F.countDistinct("id").alias("n_members"), F.countDistinct("group_key").alias("n_groups"))
-    part_of = assignments.select("id", "split_part").distinct()
-    fps = chemicals.join(part_of, "id").where(F.size("bits") > 0).select("id", "split_part", "bits")
-    met = similar_links(fps.select("id", "bits"), threshold)
-    sides = met.join(part_of.select(F.col("id").alias("a"), F.col("split_part").alias("x")), "a").join(part_of.select(F.col("id").alias("b"), F.col("split_part").alias("y")), "b").where("x <> y")
-    nearest = sides.groupBy(F.when(F.col("x") == "test", F.col("a")).otherwise(F.col("b")).alias("id")).agg(F.max("similarity").alias("best"))
+    nearest = nearest_train(chemicals, assignments.select(F.lit("holdout").alias("split_name"), "id", "split_part")).select("id", "test_part", F.col("max_similarity").alias("best"))
     return {"groups": groups, "assignments": assignments, "overlap": crossing, "parts": parts, "similarity": nearest}

@@ -9,6 +9,7 @@ from benthos.operators import balance as B
 from benthos.operators import domain as D
 from benthos.operators import evaluation as V
 from benthos.operators import models as M
+from benthos.operators import nearest as N
 from benthos.operators import similarity as Y
 from benthos.operators import splits as P
 from benthos.plans.inputs import PREDICTIONS
@@ -198,6 +199,31 @@ def _(t):
     return a.crossJoin(job["overlap"].select("n_crossing"))  # one row
 
 
+PART_SPLITS = "SELECT 'size' AS split_name, p_partkey AS id, CASE p_size % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'valid' ELSE 'train' END AS split_part FROM part UNION ALL SELECT 'key', p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'test' ELSE 'train' END FROM part"
+
+NEAREST_SQL = f"""WITH n AS (SELECT p_partkey AS id, lower(p_name) AS s FROM part), g AS (SELECT id, list_concat({GRAM.format(1)}, list_concat({GRAM.format(2)}, {GRAM.format(3)})) AS g FROM n), b AS (SELECT id, list_sort(list_distinct(list_transform(g, lambda x: CAST(CAST(('0x' || substr(md5(x), 1, 8)) AS UBIGINT) % 256 AS INTEGER)))) AS b FROM g),
+a AS ({PART_SPLITS}), p AS (SELECT DISTINCT split_name, split_part, id, b FROM a JOIN b USING (id) WHERE len(b) > 0), u AS (SELECT DISTINCT split_name, split_part, b FROM p),
+m AS (SELECT x.split_name, x.split_part, x.b, max(len(list_intersect(x.b, y.b)) / len(list_distinct(list_concat(x.b, y.b)))) AS s FROM u x JOIN u y ON x.split_name = y.split_name AND y.split_part = 'train' WHERE x.split_part <> 'train' GROUP BY ALL),
+r AS (SELECT split_name, split_part AS test_part, id, coalesce(s, 0) AS s FROM p LEFT JOIN m USING (split_name, split_part, b) WHERE split_part <> 'train')"""
+
+
+def _nearest(t: Tables):
+    parts = t("part").select(F.col("p_partkey").alias("id"), Y.gram_bits(F.lower("p_name"), 256).alias("bits"))
+    return N.nearest_train(parts, t.sql(PART_SPLITS))
+
+
+@query("h12_nearest_train", NEAREST_SQL + " SELECT split_name, test_part, id, round(s, 9) AS max_similarity FROM r")
+def _(t):
+    """Of every part that is not in train, in either split, the best similarity of its name to a training one."""
+    return _nearest(t).withColumn("max_similarity", F.round("max_similarity", 9))
+
+
+@query("h12_nearest_summary", NEAREST_SQL + ", i AS (SELECT *, row_number() OVER (PARTITION BY split_name, test_part ORDER BY s) - 1 AS i, count(*) OVER (PARTITION BY split_name, test_part) AS n FROM r) SELECT split_name, test_part, count(*) AS chemical_count, round(avg(s), 9) AS mean_max, round(max(s) FILTER (WHERE i = round_even(0.5 * (n - 1), 0)), 9) AS median_max, round(max(s) FILTER (WHERE i = round_even(0.9 * (n - 1), 0)), 9) AS p90_max, round(max(s), 9) AS max, round(count(*) FILTER (WHERE s >= 0.65) / count(*), 9) AS share_ge_065, round(count(*) FILTER (WHERE s >= 0.80) / count(*), 9) AS share_ge_080 FROM i GROUP BY 1, 2")
+def _(t):
+    names = ("mean_max", "median_max", "p90_max", "max", "share_ge_065", "share_ge_080")
+    return N.nearest_summary(_nearest(t)).withColumns({c: F.round(c, 9) for c in names})
+
+
 @query("c14_standardized_distance", """WITH s AS (SELECT avg(p_size) AS m1, stddev_pop(p_size) AS s1, avg(p_retailprice) AS m2, stddev_pop(p_retailprice) AS s2 FROM part), z AS (SELECT p_partkey, (p_size - m1) / s1 AS u, (p_retailprice - m2) / s2 AS v FROM part, s)
 SELECT a.p_partkey, round(min(sqrt((a.u - b.u) * (a.u - b.u) + (a.v - b.v) * (a.v - b.v))), 6) AS distance FROM z a, z b WHERE a.p_partkey % 20 = 0 AND b.p_partkey <> a.p_partkey GROUP BY 1""")
 def _(t):
