@@ -164,7 +164,11 @@ class SpacedWords(Words):
             for k, byte in enumerate(reversed(c), 1):
                 hit &= self.bytes[np.maximum(end - k, 0)] == byte
             wide |= hit
-        end = np.union1d(end[~wide], off[1:][np.diff(off) > 0])
+        cut = np.zeros(len(space) + 1, bool)
+        cut[end[~wide]] = True
+        cut[off[1:]] = True  # a row's end is a border, whatever it ends with
+        cut[0] = False
+        end = np.flatnonzero(cut)
         return np.concatenate(([0], end[:-1])) if len(end) else end, end
 
 
