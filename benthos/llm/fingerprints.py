@@ -208,6 +208,24 @@ def _across_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield _batch([_compared(doc, text, MerkleTree(text), following, MerkleTree(following))], SCHEMA)
 
 
+#: Parts that are numbered in one task.
+PARTS_AT_ONCE = 4096
+
+
+def _next_parts(parts: DataFrame) -> DataFrame:
+    """(part, next) of parts that are not empty, the first following the last; numbered in blocks, so no task sees all."""
+    blocks = parts.withColumn("block", F.floor(F.col("part") / PARTS_AT_ONCE))
+    sizes = blocks.groupBy("block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("block", before.alias("start"))  # a row per PARTS_AT_ONCE parts
+    inner = F.row_number().over(Window.partitionBy("block").orderBy("part"))
+    seated = blocks.join(starts, "block").select("part", (F.col("start") + inner - 1).alias("seat"))
+    total = seated.agg(F.max("seat").alias("last"))
+    wrapped = seated.crossJoin(F.broadcast(total))  # one row
+    after = seated.select(F.col("seat").alias("to"), F.col("part").alias("next"))
+    return wrapped.select("part", F.when(F.col("seat") < F.col("last"), F.col("seat") + 1).otherwise(0).alias("to")).join(after, "to").select("part", "next")
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprint of every row of (doc_id, text), of its edited text, and both likenesses.
 
@@ -230,9 +248,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     made = materialize(dealt.mapInArrow(_within_parts, _EDGES), "fingerprints")
 
     edges = made.where("edge is not null").select("part", "edge", "doc_id", "text")
-    parts = edges.where("edge = 1").select("part")  # a number per part
-    following = F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy()))
+    following = _next_parts(edges.where("edge = 1").select("part"))
     first = edges.where("edge = 1").select(F.col("part").alias("next"), F.col("text").alias("following"))
-    last = edges.where("edge = 2").select("part", "doc_id", "text").join(parts.select("part", following.alias("next")), "part").join(first, "next")
+    last = edges.where("edge = 2").select("part", "doc_id", "text").join(following, "part").join(first, "next")
     names = [f.split()[0] for f in SCHEMA.split(", ")]
     return made.where("edge is null").select(*names).unionByName(last.select("doc_id", "text", "following").mapInArrow(_across_parts, SCHEMA))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from benthos.llm.text import Words, chunks, combine, mix, utf8
+from benthos.session import materialize
 
 
 @dataclass(frozen=True)
@@ -84,12 +85,14 @@ def _counted(batch: pa.Array, spec: QualitySpec) -> tuple[list[bytes], list[byte
 def train(docs: DataFrame, labels: DataFrame, spec: QualitySpec = QualitySpec(), label: str = "quality") -> QualityModel:
     """Fit on at most ``spec.sample`` labelled documents of each class.
 
-    Labels other than 0 and 1 and rows with null ids are left out; a doc_id with several
+    Labels other than 0 and 1, rows with null ids and labels without a document are left out
+    before shares and samples are taken; a doc_id with several
     labels counts with the lowest, one that several rows share with the least of their texts.
     Without any labelled document all scores are 0.5. Class
     weights bring the sample back to the labels' own proportions.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.min("y").alias("y"))
+    known = materialize(known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi"), "quality-labels")
     share = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64("doc_id", F.lit(spec.seed))
     picked = known.where("y = 0").orderBy(order).limit(spec.sample).unionByName(known.where("y = 1").orderBy(order).limit(spec.sample))

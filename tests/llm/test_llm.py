@@ -328,11 +328,66 @@ def test_quality_learns_and_scores_all(spark):
     with unittest.mock.patch.object(quality, "fit", side_effect=lambda keys, *_: len(keys)):
         again = docs.where("doc_id < 4").crossJoin(spark.range(100).select(F.lit(1).alias("again")))
         assert quality.train(again, labels.where("doc_id < 4"), quality.QualitySpec(sample=2)) == 4
+    # labels without a document use up neither the sample nor the shares
+    lost = labels.unionByName(spark.createDataFrame([(10_000 + i, 1, 0) for i in range(2000)], labels.schema))
+    seen = []
+    with unittest.mock.patch.object(quality, "fit", side_effect=lambda keys, counts, y, share, spec: seen.append((sorted(y.tolist()), share))):
+        quality.train(docs, lost, quality.QualitySpec(sample=20))
+    assert seen == [([0] * 20 + [1] * 20, {0: 67, 1: 133})]
     assert quality.score(docs.where("false"), model).count() == 0 and quality.select_kept(docs.where("false"), model).count() == 0
     untaught = quality.train(docs, labels.where("false"), spec)
     assert {r.score for r in quality.score(docs, untaught).collect()} == {0.5}
 
 
+def slow_features(text, spec):
+    """Buckets of a text's words, word pairs and n-grams, one at a time, with the hashes of single units."""
+    from benthos.llm.text import combine, mix
+
+    import pyarrow as pa
+
+    one = lambda w: Words(*utf8(pa.array([w])), lower=False).hash[:1]
+    bucket = lambda h, n: int(mix(h + np.uint64(n))[0]) % 2**64 >> (64 - spec.buckets.bit_length() + 1)
+    out, words = [], WORD.findall(text or "")
+    for units, sizes in (([one(w) for w in words], range(1, spec.words + 1)), ([mix(np.array([ord(c) + 1], np.uint64)) for c in text or ""], spec.grams)):
+        for n in sizes:
+            for i in range(len(units) - n + 1):
+                h = units[i]
+                for u in units[i + 1 : i + n]:
+                    h = combine(h, u)
+                out.append(bucket(h, n))
+    return out
+
+
+def test_quality_scores_feature_by_feature(spark, texts):
+    spec = quality.QualitySpec(buckets=1 << 10, dim=3, sample=50, epochs=2)
+    rng = np.random.default_rng(4)
+    model = quality.QualityModel(rng.normal(size=(spec.buckets, 3)).astype(np.float32), rng.normal(size=(3, 2)).astype(np.float32), np.array([0.3, -0.1], np.float32), spec)
+    some = [(i, t if t is None or len(t) < 2000 else t[:500]) for i, t in texts]
+    got = {r.doc_id: r for r in quality.score(docs_frame(spark, some), model).collect()}
+    for i, t in some:
+        f = slow_features(t, spec)
+        mean = np.mean([model.vectors[b] for b in f], axis=0) if f else np.zeros(3)
+        z = mean @ model.weights + model.bias
+        p = np.exp(z - z.max())
+        assert got[i].score == pytest.approx(p[1] / p.sum(), abs=1e-5) and got[i].predicted == int(got[i].score >= 0.3)
+
+
+def test_quality_on_held_out_documents(spark):
+    """The area under the curve on documents whose labels were not seen."""
+    import os
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("needs the given tables")
+    from benthos.llm import queries
+
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    scored = [(r.score, labels[r.doc_id]) for r in queries.op5_quality(spark, sf).collect() if r.held_out and r.doc_id in labels]
+    good, bad = [s for s, y in scored if y == 1], [s for s, y in scored if y == 0]
+    assert len(good) > 20 and len(bad) > 5
+    assert sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad)) > 0.97
+
+
 # ---- 6 ------------------------------------------------------------------------------------
 
 
@@ -752,6 +807,7 @@ def test_fingerprints(spark, texts, docs, empty, monkeypatch):
     edge = [(-(2**63), "first"), (-(2**63) + 1, "x"), (2**53 + 1, "y"), (2**53 + 2, None), (2**63 - 2, "a b"), (2**63 - 1, "last")]
     assert sorted(told(fingerprints.fingerprints(docs_frame(spark, edge)))) == sorted(fingerprint_rows(edge))
     monkeypatch.setattr(fingerprints, "PART_BYTES", 300)
+    monkeypatch.setattr(fingerprints, "PARTS_AT_ONCE", 2)
     rows = docs_frame(spark, [(7, f"text {i % 9}") for i in range(60)] + [(None, "n"), (None, "n"), (None, None), (9, "z")])
     order = [(r.doc_id, r.text) for r in rows.withColumn("tie", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy(F.asc_nulls_first("doc_id"), "tie").collect()]
     assert sorted(told(fingerprints.fingerprints(rows)), key=str) == sorted(fingerprint_rows(order), key=str)
