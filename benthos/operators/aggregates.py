@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from benthos.functions.text_rules import recency_weight
-from benthos.operators.ranks import global_rank, largest_group, null_safe_join, quantiles
+from benthos.operators.ranks import deal_ranges, global_rank, largest_group, null_safe_join, quantiles, range_scan
 from benthos.operators.splits import hash_key
 from benthos.session import materialize
 
@@ -101,20 +101,25 @@ def rank_window(partition: list[str], *order: Column):
 
 
 def holm(p: DataFrame, family: list[str], value: str = "p") -> DataFrame:
-    """Adds p_holm: step-down over the whole family; what cannot be estimated counts as 1 and stays NULL."""
-    q = F.coalesce(F.col(value), F.lit(1.0))
-    w = Window.partitionBy(*family)
-    o = w.orderBy(q, F.col("contrast"))
-    step = F.least(F.lit(1.0), (F.count("*").over(w) - F.row_number().over(o) + 1) * q)
-    return p.withColumn("__s", step).withColumn("p_holm", F.when(F.col(value).isNotNull(), F.max("__s").over(o.rowsBetween(Window.unboundedPreceding, 0)))).drop("__s")
+    """Adds p_holm: step-down over the whole family; what cannot be estimated counts as 1 and stays NULL.
+
+    The running maximum goes over ranges of the order, so a family may be larger than a task.
+    """
+    order = [F.col("__q"), F.col("contrast")]
+    dealt = deal_ranges(p.withColumn("__q", F.coalesce(F.col(value).cast("double"), F.lit(1.0))), family, order)
+    ranked = range_scan(dealt, family, order, __rank=("sum", F.lit(1), "before"), __m=("sum", F.lit(1), "all"))
+    step = F.least(F.lit(1.0), (F.col("__m") - F.col("__rank") + 1) * F.col("__q"))
+    run = range_scan(ranked.withColumn("__s", step), family, order, __max=("max", F.col("__s"), "before"))
+    return run.withColumn("p_holm", F.when(F.col(value).isNotNull(), F.col("__max"))).select(*p.columns, "p_holm")
 
 
 def benjamini_hochberg(p: DataFrame, family: list[str], value: str = "p") -> DataFrame:
-    """Adds q_bh over the family's estimable contrasts."""
-    w = Window.partitionBy(*family, F.col(value).isNull())
-    o = w.orderBy(F.col(value), F.col("contrast"))
-    raw = F.col(value) * F.count("*").over(w) / F.row_number().over(o)
-    return p.withColumn("__r", raw).withColumn("q_bh", F.when(F.col(value).isNotNull(), F.least(F.lit(1.0), F.min("__r").over(o.rowsBetween(0, Window.unboundedFollowing))))).drop("__r")
+    """Adds q_bh over the family's estimable contrasts, by a running minimum over ranges of the order."""
+    order, group = [F.col(value), F.col("contrast")], [*family, "__none"]
+    dealt = deal_ranges(p.withColumn("__none", F.col(value).isNull()), group, order)
+    ranked = range_scan(dealt, group, order, __rank=("sum", F.lit(1), "before"), __m=("sum", F.lit(1), "all"))
+    run = range_scan(ranked.withColumn("__r", F.col(value) * F.col("__m") / F.col("__rank")), group, order, __min=("min", F.col("__r"), "after"))
+    return run.withColumn("q_bh", F.when(F.col(value).isNotNull(), F.least(F.lit(1.0), F.col("__min")))).select(*p.columns, "q_bh")
 
 
 def cluster_bootstrap(cells: DataFrame, replicates: int, seed: int) -> DataFrame:

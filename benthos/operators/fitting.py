@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from benthos.functions.text_rules import hash_bin
-from benthos.operators.ranks import global_rank, null_safe_join, quantiles, range_rank
+from benthos.operators.ranks import deal_ranges, global_rank, null_safe_join, quantiles, range_rank, range_scan
 from benthos.operators.splits import hash_key
 
 GLOBAL = "__global__"
@@ -250,17 +250,16 @@ def nearest_support(requests: DataFrame, reference: DataFrame, record: str, task
     """(record, support): 1 - distance to the task's nearest reference value, over its 5-95 % span; null without values or span.
 
     Each request value finds its neighbours among the task's distinct values by two running
-    maxima and minima, not by pairs.
+    maxima and minima over ranges of the order, not by pairs or one window per task.
     """
     v = F.col(value).cast("double")
     known = reference.where(v.isNotNull() & ~F.isnan(v)).select(*task, v.alias("__v"))
     span = quantiles(known, task, "__v", {"__a": 0.05, "__b": 0.95})
     asked = requests.where(v.isNotNull()).select(*task, v.alias("__v")).distinct().withColumn("__known", F.lit(False))
     both = known.distinct().withColumn("__known", F.lit(True)).unionByName(asked).groupBy(*task, "__v").agg(F.bool_or("__known").alias("__known"), F.bool_or(~F.col("__known")).alias("__asked"))
-    mine = F.when(F.col("__known"), F.col("__v"))
-    w = Window.partitionBy(*task).orderBy("__v")
-    below, above = F.last(mine, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(mine, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    near = null_safe_join(both.withColumns({"__lo": below, "__hi": above}).where("__asked").drop("__known", "__asked"), span, task)
+    mine, order = F.when(F.col("__known"), F.col("__v")), [F.col("__v")]
+    scanned = range_scan(deal_ranges(both, task, order), task, order, __lo=("max", mine, "before"), __hi=("min", mine, "after"))
+    near = null_safe_join(scanned.where("__asked").drop("__known", "__asked", "__range"), span, task)
     f = (lambda c: F.when(c.isNotNull(), F.log1p(F.greatest(c, F.lit(0.0))))) if logarithmic else (lambda c: c)
     q = f(F.col("__v"))
     width = f(F.col("__b")) - f(F.col("__a"))

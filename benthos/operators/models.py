@@ -61,31 +61,66 @@ def linear_baselines(rows: DataFrame, features: list[str], min_train: int = 50,
     return test.groupBy("head", "status").agg(F.count(e).alias("n_test"), F.round(F.avg(F.abs(e)), 4).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 4).alias("rmse"))
 
 
-def tree_baselines(rows: DataFrame, features: str, learner: str = "forest", min_train: int = 50, seed: int = 7) -> DataFrame:
-    """(head, status, n_test, mae, rmse): a random forest, boosted trees or an elastic net per eligible head.
+def elastic_net(moments: np.ndarray, alpha: float, l1_ratio: float, sweeps: int = 1000) -> np.ndarray:
+    """Intercept and coefficients from the moments of (1, x..., y): coordinate descent on scaled features.
 
-    ``features`` is an array column. Heads are fitted one after another, each on all executors;
-    their list is a table of heads.
+    Least squares over 2 n, plus alpha times the mixed penalty of the coefficients of features
+    that are scaled by their deviation (not centred), as for centred data with an intercept.
     """
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-
-    makers = {
-        "forest": lambda: RandomForestRegressor(featuresCol="x", labelCol="target", numTrees=50, maxDepth=8, seed=seed),
-        "boosting": lambda: GBTRegressor(featuresCol="x", labelCol="target", maxIter=40, maxDepth=4, seed=seed),
-        "elastic_net": lambda: LinearRegression(featuresCol="x", labelCol="target", regParam=0.01, elasticNetParam=0.5),
-    }
-    d = rows.select("head", "target", "split_part", array_to_vector(features).alias("x"))
-    counts = d.groupBy("head").agg(F.count_if(F.col("split_part") == "train").alias("n")).orderBy("head").collect()  # a row per head
-    out = rows.sparkSession.createDataFrame([(r["head"], f"train_samples_lt_{min_train}") for r in counts if r["n"] < min_train], f"head {dict(rows.dtypes)['head']}, status string")
-    out = out.select("head", "status", F.lit(0).cast("long").alias("n_test"), *[F.lit(None).cast("double").alias(c) for c in ("mae", "rmse")])
-    for r in counts:
-        if r["n"] >= min_train:
-            own = d.where(F.col("head") == r["head"])
-            e = F.col("prediction") - F.col("target")
-            scored = makers[learner]().fit(own.where("split_part = 'train'")).transform(own.where("split_part = 'test'"))
-            out = out.unionByName(scored.agg(F.count(e).alias("n_test"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse")).select(F.lit(r["head"]).alias("head"), F.lit("fitted").alias("status"), "n_test", "mae", "rmse"))
-    return out
+    n, p = moments[0, 0], len(moments) - 2
+    mean = moments[0, 1:] / n
+    cov = moments[1:, 1:] / n - np.outer(mean, mean)
+    sd = np.sqrt(np.maximum(np.diag(cov)[:p], 0))
+    live = sd > 1e-9 * np.maximum(1.0, np.abs(mean[:p]))
+    scale = np.where(live, sd, 1.0)
+    c, r = cov[:p, :p] / np.outer(scale, scale), cov[:p, p] / scale
+    w = np.zeros(p)
+    for _ in range(sweeps):
+        before = w.copy()
+        for j in np.flatnonzero(live):
+            rho = r[j] - c[j] @ w + c[j, j] * w[j]
+            w[j] = np.sign(rho) * max(abs(rho) - alpha * l1_ratio, 0.0) / (c[j, j] + alpha * (1 - l1_ratio))
+        if np.abs(w - before).max(initial=0) < 1e-10:
+            break
+    w = w / scale
+    return np.concatenate([[mean[p] - mean[:p] @ w], w])
+
+
+def elastic_baselines(rows: DataFrame, features: list[str], alpha: float = 0.001, l1_ratio: float = 0.5, minima: dict[str, int] | None = None) -> DataFrame:
+    """(head, status, n_train, n_test, mae, rmse, r2): an elastic net per head, or why it was skipped.
+
+    Heads are fitted on sums of products, one row per head, where these sums are; rows with a
+    missing value are left out. ``minima`` (total, train, eval) as for the trees.
+    """
+    minima = {"total": 0, "train": 1, "eval": 1} | (minima or {})
+    used = rows.select("head", "split_part", *[F.col(c).cast("double").alias(c) for c in [*features, "target"]]).na.drop(subset=[*features, "target"])
+    terms = [F.lit(1.0), *[F.col(c) for c in [*features, "target"]]]
+    pairs = [(i, j) for i in range(len(terms)) for j in range(i, len(terms))]
+    is_train, is_eval = F.col("split_part") == "train", F.col("split_part") == "test"
+    sums = used.groupBy("head").agg(F.count("*").alias("total"), F.count_if(is_train).alias("train"), F.count_if(is_eval).alias("eval"), F.array(*[F.coalesce(F.sum(F.when(is_train, terms[i] * terms[j])), F.lit(0.0)) for i, j in pairs]).alias("sums"))
+    reason = F.lit("fitted")
+    for what, least in reversed(minima.items()):
+        reason = F.when(F.col(what) < least, F.lit(f"{what}_samples_lt_{least}")).otherwise(reason)
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for status, s in zip(pdf["status"], pdf["sums"]):
+                m = np.zeros((len(terms),) * 2)
+                for (i, j), v in zip(pairs, s):
+                    m[i, j] = m[j, i] = v
+                out.append(elastic_net(m, alpha, l1_ratio).tolist() if status == "fitted" else None)
+            yield pdf.drop(columns="sums").assign(w=out)
+
+    kind = dict(rows.dtypes)["head"]
+    fitted = sums.withColumn("status", reason).mapInPandas(solve, f"head {kind}, total long, train long, eval long, status string, w array<double>")
+    pred = F.col("w")[0]
+    for i, c in enumerate(features):
+        pred = pred + F.col("w")[i + 1] * F.col(c)
+    scored = used.where(is_eval).join(fitted.where("status = 'fitted'").select("head", "w"), "head").select("head", F.col("target").alias("y"), (pred - F.col("target")).alias("e"))
+    spread = F.var_pop("y") * F.count("y")
+    per = scored.groupBy("head").agg(F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.when(spread > 1e-12, 1 - F.sum(F.col("e") * F.col("e")) / spread).alias("r2"))
+    return fitted.select("head", "status", F.col("train").alias("n_train"), F.col("eval").alias("n_test")).join(per, "head", "left")
 
 
 def leverage(rows: DataFrame, columns: list[str], fingerprint: list[str] | None = None, components: int = 8) -> DataFrame:

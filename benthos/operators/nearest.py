@@ -9,24 +9,31 @@ from pyspark.sql import functions as F
 
 from benthos.session import materialize
 
+#: A meeting on a bit costs far less than comparing two sets: from so many a pair on, all pairs are compared.
+MEETINGS_PER_PAIR = 8
 #: Similarities at which queries may be settled, one round each; then whatever shares a bit.
 THRESHOLDS = (0.9, 0.75, 0.6, 0.45, 0.3, 0.15)
 
 
+#: Bits that two similar sets must share among their rarest ones to be compared.
+COMMON = 6
+
+
 def _meets(side: DataFrame, threshold: float, name: str, near: bool) -> DataFrame:
-    """(scope, bit, band, name, n, at): the bits by which a set meets any partner of that similarity, rarest first.
+    """(scope, bit, band, name, n): the bits by which a set meets any partner of that similarity, rarest first.
 
-    A set of n bits shares one of its first n - ceil(t n) + 1 bits with each partner, and the
-    partner likewise; sizes differ by a factor of t at most, so by one band of sizes.
+    Two sets of similarity t share t n bits of a set of n, all but COMMON - 1 of which may lie
+    beyond its first n - ceil(t n) + COMMON bits; the first COMMON that they share lie in both
+    prefixes. Sizes differ by a factor of t at most, so by one band of sizes.
     """
     n = F.size("ranked")
     if threshold > 0:
         band = F.floor(F.log(n.cast("double")) / math.log(1 / threshold)).cast("int")
-        bits = F.slice("ranked", F.lit(1), (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))
+        bits = F.slice("ranked", F.lit(1), F.least(n, n - F.ceil(n * threshold - 1e-9) + COMMON).cast("int"))
     else:
         band, bits = F.lit(0), F.col("ranked")
     bands = F.explode(F.array(band - 1, band, band + 1)) if near and threshold > 0 else band
-    return side.select("scope", F.col("key").alias(name), n.alias(f"n{name}"), bands.alias("band"), F.posexplode(bits).alias(f"at{name}", "bit"))
+    return side.select("scope", F.col("key").alias(name), n.alias(f"n{name}"), bands.alias("band"), F.explode(bits).alias("bit"))
 
 
 def nearest_sets(queries: DataFrame, references: DataFrame, top: int = 1, scan: bool = False, report: list | None = None) -> DataFrame:
@@ -38,7 +45,7 @@ def nearest_sets(queries: DataFrame, references: DataFrame, top: int = 1, scan:
     round at threshold t finds every reference of similarity t or more, so queries that have
     ``top`` of them are settled; only the others go on to a lower one, and at last all that
     shares a bit is looked at. ``scan`` allows what is left of a stated query set to be
-    compared with all references at once where bits would bring more meetings than that.
+    compared with all references at once where bits would bring several meetings a pair.
     ``report`` receives (threshold, queries open, pairs compared) per round; a threshold of
     None is such a scan.
     """
@@ -65,16 +72,16 @@ def nearest_sets(queries: DataFrame, references: DataFrame, top: int = 1, scan:
             per = ["scope", "bit", "band"]
             meetings = left.groupBy(*per).agg(F.count("*").alias("x")).join(right.groupBy(*per).agg(F.count("*").alias("y")), per).agg(F.sum(F.col("x") * F.col("y"))).first()[0] or 0
             pairs = open_.groupBy("scope").agg(F.count("*").alias("x")).join(per_scope, "scope").agg(F.sum(F.col("x") * F.col("n_refs"))).first()[0] or 0
-            whole = None if meetings >= pairs else threshold
+            whole = None if meetings >= MEETINGS_PER_PAIR * pairs else threshold
         sides = [df.select("scope", F.col("key").alias(k), F.col("bits").alias(f"bits_{k}")) for df, k in ((open_, "a"), (refs, "b"))]
         if whole is None:
             compared = sides[0].join(sides[1], "scope").where("a <> b")  # a stated query set against all of its scope
         else:
-            met = left.join(right, ["scope", "bit", "band"]).where("a <> b")
-            if threshold > 0:
-                need = (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9
-                met = met.where((F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9) & (F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) >= need))
-            met = materialize(met.select("scope", "a", "b").distinct(), "nearest-met")
+            larger = F.greatest("na", "nb")
+            met = left.join(right, ["scope", "bit", "band"]).where("a <> b").where(F.least("na", "nb") >= larger * threshold - 1e-9)
+            met = met.groupBy("scope", "a", "b").agg(F.count("*").alias("k"), F.first(larger).alias("larger"))
+            met = met.where(F.col("k") >= F.least(F.lit(COMMON), F.ceil(F.col("larger") * threshold - 1e-9))).select("scope", "a", "b")
+            met = materialize(met, "nearest-met")
             compared = met.join(sides[0], ["scope", "a"]).join(sides[1], ["scope", "b"])
         both = F.size(F.array_intersect("bits_a", "bits_b"))
         s = both / (F.size("bits_a") + F.size("bits_b") - both)

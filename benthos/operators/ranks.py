@@ -46,8 +46,7 @@ def range_rank(df: DataFrame, order: list[Column], parts: int | None = None) ->
     when they are drawn again; sizes of ranges are summed up to offsets, and ranks are taken
     inside ranges. Only rows that are equal in the whole order must share a range.
     """
-    k = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialize(df.repartitionByRange(k, *order).withColumn("__p", F.spark_partition_id()), "ranges")
+    dealt = deal_ranges(df, [], order, parts).withColumnRenamed("__range", "__p")
     sizes = dealt.groupBy("__p").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("__p", F.coalesce(before, F.lit(0)).alias("__o"))  # one row per range
@@ -55,6 +54,36 @@ def range_rank(df: DataFrame, order: list[Column], parts: int | None = None) ->
     return dealt.join(offsets, "__p").withColumn("rank", F.col("__o") + inner - 1).drop("__p", "__o")
 
 
+def deal_ranges(df: DataFrame, group: list[str], order: list[Column], parts: int | None = None) -> DataFrame:
+    """The rows in ranges of (group, order), numbered in ``__range`` and written; one range per BUCKET_ROWS rows.
+
+    A group that holds most rows is dealt over many ranges; only rows that are equal in group
+    and order must share one.
+    """
+    k = parts or max(1, math.ceil(df.count() / BUCKET_ROWS))
+    return materialize(df.repartitionByRange(k, *group, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+
+
+def range_scan(dealt: DataFrame, group: list[str], order: list[Column], **scans: tuple[str, Column, str]) -> DataFrame:
+    """Adds running values within each group (null is one) to rows from ``deal_ranges``.
+
+    name=(kind, value, side): kind sum, max or min; side before (up to the row, itself included),
+    after (from the row on) or all. Values run within each range, and what other ranges of the
+    group contribute comes from a table of one row per group and range; null values are skipped.
+    """
+    folds = {"sum": F.sum, "max": F.max, "min": F.min}
+    both = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": F.greatest, "min": F.least}
+    here = Window.partitionBy(*group, "__range").orderBy(*order)
+    there = Window.partitionBy(*group).orderBy("__range")
+    first, end = Window.unboundedPreceding, Window.unboundedFollowing
+    rows = {"before": (here.rowsBetween(first, 0), there.rowsBetween(first, -1)), "after": (here.rowsBetween(0, end), there.rowsBetween(1, end))}
+    per = dealt.groupBy(*group, "__range").agg(*[folds[k](v).alias(f"__{n}") for n, (k, v, _) in scans.items()])
+    carried = [(folds[k](f"__{n}").over(Window.partitionBy(*group)) if side == "all" else folds[k](f"__{n}").over(rows[side][1])).alias(f"__{n}") for n, (k, _, side) in scans.items()]
+    met = null_safe_join(dealt, per.select(*group, "__range", *carried), [*group, "__range"])
+    own = {n: F.col(f"__{n}") if side == "all" else both[k](F.col(f"__{n}"), folds[k](v).over(rows[side][0])) for n, (k, v, side) in scans.items()}
+    return met.withColumns(own).drop(*[f"__{n}" for n in scans])
+
+
 def average_rank(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
     """Adds ``name``: the rank from 1 of ``value`` in its group, ties sharing their mean rank; null for null values.
 

@@ -12,6 +12,7 @@ from benthos.operators import models as M
 from benthos.operators import nearest as N
 from benthos.operators import similarity as Y
 from benthos.operators import splits as P
+from benthos.operators import trees as R
 from benthos.plans.inputs import PREDICTIONS
 from benthos.plans.registry import Tables, query
 from benthos.sources import tables as S
@@ -248,6 +249,21 @@ def _(t):
     return M.linear_baselines(rows, ["l_quantity", "l_discount", "l_tax"])
 
 
+@query("m01_learners")
+def _(t):
+    """A forest, boosted trees and an elastic net per return flag and line status, each with its skip reasons."""
+    rows = t("lineitem").select(F.concat("l_returnflag", "l_linestatus", F.when(F.col("l_quantity") > 49, "+").otherwise("")).alias("head"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("record"), F.col("l_extendedprice").alias("target"), F.when(F.col("l_orderkey") % 5 == 0, "test").otherwise("train").alias("split_part"), *[F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_discount", "l_tax")])
+    rows = rows.withColumn("features", F.array("l_quantity", "l_discount", "l_tax"))
+    minima, out = {"total": 30, "train": 20, "eval": 5}, None
+    learners = {"forest": R.TreeSpec(trees=8, depth=4, bins=16), "boosting": R.TreeSpec(trees=5, depth=3, bins=16, boosting=True, rate=0.3)}
+    reports = {name: R.tree_baselines(rows, "features", spec, minima) for name, spec in learners.items()}
+    reports["elastic_net"] = M.elastic_baselines(rows, ["l_quantity", "l_discount", "l_tax"], minima=minima)
+    for name, report in reports.items():
+        report = report.select(F.lit(name).alias("learner"), "head", "status", "n_train", "n_test", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "r2")])
+        out = report if out is None else out.unionByName(report)
+    return out
+
+
 @query("m03_leverage")
 def _(t):
     d = t("embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("double").alias("d0"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)], (F.col("vec_id") % 4 != 0).alias("train"))

@@ -322,7 +322,11 @@ def test_scaffold_cluster_job(spark):
     assert group["c0"] == group["c7"] == group["c1"] == group["c6"] and len(set(group.values())) == 6
     sizes = [r.n_rows for r in job["groups"].orderBy("group_key").collect()]
     assert sizes == sorted(sizes, reverse=True) and job["overlap"].first().n_crossing == 0
-    assert job["assignments"].count() == 91 and job["similarity"].count() == 0  # no link crosses the holdout
+    assert job["assignments"].count() == 91
+    part, bits = {r.id: r.split_part for r in job["assignments"].collect()}, {i: set(b) for i, b, _ in rows}
+    best = lambda i: max(len(bits[i] & bits[j]) / len(bits[i] | bits[j]) for j, p in part.items() if p == "train" and bits[j])
+    # every test chemical with a fingerprint has a row, copies and low similarities too
+    assert {r.id: r.best for r in job["similarity"].collect()} == {i: pytest.approx(best(i)) for i, p in part.items() if p == "test" and bits[i]}
 
 
 # ---- fitting ------------------------------------------------------------------------------
@@ -375,12 +379,26 @@ def test_leverage_with_components_against_numpy(spark):
     assert all(got[i] == pytest.approx(want[i], rel=1e-6) for i in range(60))
 
 
-def test_tree_baselines(spark):
-    rng = np.random.default_rng(1)
-    rows = [(h, [float(a), float(b)], float(3 * a - b), "train" if i % 4 else "test") for h in ("h1", "h2") for i, (a, b) in enumerate(rng.uniform(0, 1, (120, 2)))] + [("few", [0.0, 0.0], 0.0, "train")]
-    df = spark.createDataFrame(rows, "head string, features array<double>, target double, split_part string")
-    got = {r.head: r for r in M.tree_baselines(df, "features", "elastic_net").collect()}
-    assert got["few"].status == "train_samples_lt_50" and got["h1"].n_test == 30 and got["h2"].rmse < 0.2
+def test_elastic_net_per_head(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 3)) * [1.0, 5.0, 0.1]
+    y = 2 + x @ [1.5, 0.0, -3.0] + rng.normal(size=300) * 0.1
+    rows = [(["a", "b"][i % 2], "test" if i % 4 == 3 else "train", *map(float, x[i]), float(y[i])) for i in range(300)] + [("few", "train", 1.0, 1.0, 1.0, 1.0), ("a", "train", None, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "head string, split_part string, u double, v double, w double, target double")
+    got = {r["head"]: r for r in M.elastic_baselines(df, ["u", "v", "w"], alpha=0.01, minima={"train": 5}).collect()}
+    assert got["few"].status == "train_samples_lt_5" and got["few"].n_train == 1 and got["few"].mae is None
+    assert got["a"].r2 > 0.98 and got["b"].rmse < 0.3 and got["a"].n_test + got["b"].n_test == 75
+    own = np.array([r[2:] for r in rows if r[0] == "a" and r[1] == "train" and r[2] is not None])
+    m = np.column_stack([np.ones(len(own)), own])
+    w = M.elastic_net(m.T @ m, 0.01, 0.5)
+    scale = own[:, :3].std(axis=0)
+
+    def loss(w):  # the stated objective, which no small step lowers
+        e = own[:, 3] - w[0] - own[:, :3] @ w[1:]
+        z = w[1:] * scale
+        return (e @ e) / (2 * len(own)) + 0.01 * (0.5 * np.abs(z).sum() + 0.25 * (z @ z))
+
+    assert all(loss(w) <= loss(w + d) + 1e-12 for d in rng.normal(size=(300, 4)) * 1e-3)
 
 
 def test_support_of_the_nearest_value(spark):
