@@ -151,12 +151,16 @@ def parse(html: str) -> Node:
                     path[-1].children.append(Node("br"))
                     continue
                 wall = frozenset(["table"]) if tag not in ("table", "body", "html") else frozenset()
+                found = False
                 for i in range(len(path) - 1, 0, -1) if opened[tag] else ():
                     if path[i].tag == tag:
+                        found = True
                         cut(i)
                         break
                     if path[i].tag in wall or path[i].inner:
                         break
+                if tag == "p" and not found and (not path[-1].kind or path[-1].inner):  # the end of a paragraph that is not open is an empty one
+                    path[-1].children.append(Node("p", unseen=path[-1].unseen))
                 continue
             if path[-1].kind and not path[-1].inner and (tag in OUTER or tag == "font" and re.search(r"\b(?:color|face|size)\s*=", attributes, re.I)):
                 while path[-1].kind and not path[-1].inner:

@@ -597,6 +597,12 @@ def test_html_depth_and_nulls(spark):
     assert html_text.extract_pages(df.where("false")).count() == 0
 
 
+def test_html_end_of_a_paragraph_that_is_not_open():
+    assert html_text.extract("<p>a<div>b</p>c") == "a\n\nb\n\nc"
+    assert html_text.extract("a</p>b") == "a\n\nb" and html_text.extract("<p>a</p>b") == "a\n\nb"
+    assert html_text.extract("<p>a<p>b</p></p>c") == "a\n\nb\n\nc"
+
+
 # ---- 8 ------------------------------------------------------------------------------------
 
 
