@@ -95,7 +95,8 @@ def elastic_baselines(rows: DataFrame, features: list[str], alpha: float = 0.001
     minima = {"total": 0, "train": 1, "eval": 1} | (minima or {})
     used = rows.select("head", "split_part", *[F.col(c).cast("double").alias(c) for c in [*features, "target"]]).na.drop(subset=[*features, "target"])
     terms = [F.lit(1.0), *[F.col(c) for c in [*features, "target"]]]
-    pairs = [(i, j) for i in range(len(terms)) for j in range(i, len(terms))]
+    width = len(terms)
+    pairs = [(i, j) for i in range(width) for j in range(i, width)]
     is_train, is_eval = F.col("split_part") == "train", F.col("split_part") == "test"
     sums = used.groupBy("head").agg(F.count("*").alias("total"), F.count_if(is_train).alias("train"), F.count_if(is_eval).alias("eval"), F.array(*[F.coalesce(F.sum(F.when(is_train, terms[i] * terms[j])), F.lit(0.0)) for i, j in pairs]).alias("sums"))
     reason = F.lit("fitted")
@@ -106,7 +107,7 @@ def elastic_baselines(rows: DataFrame, features: list[str], alpha: float = 0.001
         for pdf in batches:
             out = []
             for status, s in zip(pdf["status"], pdf["sums"]):
-                m = np.zeros((len(terms),) * 2)
+                m = np.zeros((width, width))
                 for (i, j), v in zip(pairs, s):
                     m[i, j] = m[j, i] = v
                 out.append(elastic_net(m, alpha, l1_ratio).tolist() if status == "fitted" else None)
