@@ -11,21 +11,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _gram(rows: DataFrame, columns: list[str]) -> np.ndarray:
-    """Sums of products of (1, columns...) over all rows; each task sends one matrix, entry by entry."""
+#: Rows of a moment matrix that travel together.
+GRAM_ROWS = 64
+
+
+def _gram(rows: DataFrame, x: str, width: int) -> np.ndarray:
+    """Sums of products of (1, x...) over all rows whose array ``x`` has no missing value.
+
+    Each task sends its matrix as blocks of GRAM_ROWS rows of doubles, which are added up block
+    by block; the driver holds the whole one, 8 bytes a cell (34 MB for 2,048 columns).
+    """
+    width += 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(columns) + 1,) * 2)
+        total = np.zeros((width, width))
         for pdf in batches:
-            x = np.column_stack([np.ones(len(pdf)), pdf.to_numpy(float)])
+            x = np.column_stack([np.ones(len(pdf)), np.stack(pdf["x"].to_numpy())]) if len(pdf) else np.zeros((0, width))
             total += x.T @ x
-        i, j = np.indices(total.shape)
-        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s": total.ravel()})
+        yield pd.DataFrame([(i, total[i : i + GRAM_ROWS].tobytes()) for i in range(0, width, GRAM_ROWS)], columns=["i", "block"])
 
-    cells = rows.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop().mapInPandas(run, "i int, j int, s double")
-    out = np.zeros((len(columns) + 1,) * 2)
-    for r in cells.groupBy("i", "j").agg(F.sum("s").alias("s")).collect():  # columns squared
-        out[r["i"], r["j"]] = r["s"]
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(int(pdf["i"].iloc[0]), sum(np.frombuffer(b) for b in pdf["block"]).tobytes())], columns=["i", "block"])
+
+    usable = rows.select(F.col(x).alias("x")).where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v)))
+    cells = usable.mapInPandas(run, "i int, block binary").groupBy("i").applyInPandas(add, "i int, block binary")
+    out = np.zeros((width, width))
+    for r in cells.toPandas().itertuples():
+        block = np.frombuffer(r.block).reshape(-1, width)
+        out[r.i : r.i + len(block)] = block
     return out
 
 
@@ -111,51 +124,55 @@ def elastic_baselines(rows: DataFrame, features: list[str], alpha: float = 0.001
                 for (i, j), v in zip(pairs, s):
                     m[i, j] = m[j, i] = v
                 out.append(elastic_net(m, alpha, l1_ratio).tolist() if status == "fitted" else None)
-            yield pdf.drop(columns="sums").assign(w=out)
+            yield pdf.drop(columns="sums").assign(__w=out)
 
     kind = dict(rows.dtypes)["head"]
-    fitted = sums.withColumn("status", reason).mapInPandas(solve, f"head {kind}, total long, train long, eval long, status string, w array<double>")
-    pred = F.col("w")[0]
+    fitted = sums.withColumn("status", reason).mapInPandas(solve, f"head {kind}, total long, train long, eval long, status string, __w array<double>")
+    pred = F.col("__w")[0]
     for i, c in enumerate(features):
-        pred = pred + F.col("w")[i + 1] * F.col(c)
-    scored = used.where(is_eval).join(fitted.where("status = 'fitted'").select("head", "w"), "head").select("head", F.col("target").alias("y"), (pred - F.col("target")).alias("e"))
-    spread = F.var_pop("y") * F.count("y")
-    per = scored.groupBy("head").agg(F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.when(spread > 1e-12, 1 - F.sum(F.col("e") * F.col("e")) / spread).alias("r2"))
+        pred = pred + F.col("__w")[i + 1] * F.col(c)
+    scored = used.where(is_eval).join(fitted.where("status = 'fitted'").select("head", "__w"), "head").select("head", F.col("target").alias("__y"), (pred - F.col("target")).alias("__e"))
+    spread = F.var_pop("__y") * F.count("__y")
+    per = scored.groupBy("head").agg(F.avg(F.abs("__e")).alias("mae"), F.sqrt(F.avg(F.col("__e") * F.col("__e"))).alias("rmse"), F.when(spread > 1e-12, 1 - F.sum(F.col("__e") * F.col("__e")) / spread).alias("r2"))
     return fitted.select("head", "status", F.col("train").alias("n_train"), F.col("eval").alias("n_test")).join(per, "head", "left")
 
 
-def leverage(rows: DataFrame, columns: list[str], fingerprint: list[str] | None = None, components: int = 8) -> DataFrame:
+def leverage(rows: DataFrame, columns: list[str], fingerprint: list[str] | str | None = None, components: int = 8, width: int = 0) -> DataFrame:
     """(id, h, cutoff, outside): x' (X'X)^+ x on standardized columns, X from the training rows, cutoff 3p/n.
 
-    ``fingerprint`` columns are standardized and replaced by their first principal components over
-    the training rows. Moments are summed over tasks; matrices as wide as the columns are
-    solved on the driver, and rows are scored where they are. A row with a missing value has
-    no leverage (null).
+    ``fingerprint``, a list of columns or the name of an array column of ``width`` numbers, is
+    standardized and replaced by its first principal components over the training rows. Moments
+    are summed over tasks; the driver solves matrices as wide as the columns (some 200 MB in all
+    for 2,048), and rows are scored where they are against a matrix of width times components.
+    A row with a missing value has no leverage (null).
     """
-    fingerprint = fingerprint or []
-    used = [*columns, *fingerprint]
-    m = _gram(rows.where("train"), used)
-    n, k = m[0, 0], len(columns)
+    bits = F.col(fingerprint).cast("array<double>") if isinstance(fingerprint, str) else F.array(*[F.col(c).cast("double") for c in fingerprint or []]).cast("array<double>")
+    width, k = width if isinstance(fingerprint, str) else len(fingerprint or []), len(columns)
+    own = F.array(*[F.col(c).cast("double") for c in columns]).cast("array<double>")
+    data = rows.select("id", "train", F.concat(own, bits).alias("x"))
+    used = k + width
+    m = _gram(data.where("train"), "x", used)
+    n = m[0, 0]
     mean = m[0, 1:] / max(n, 1)
     cov = m[1:, 1:] / max(n, 1) - np.outer(mean, mean)
     sd = np.where(np.diag(cov) > 1e-12, np.sqrt(np.maximum(np.diag(cov), 0)), 1.0)
     corr = cov / np.outer(sd, sd)
-    turn = np.zeros((len(used), k + (min(components, len(fingerprint)))))
+    turn = np.zeros((used, k + min(components, width)))
     turn[:k, :k] = np.eye(k)
-    if fingerprint:
+    if width:
         _, vectors = np.linalg.eigh(corr[k:, k:])
         turn[k:, k:] = vectors[:, ::-1][:, : turn.shape[1] - k]
     p = turn.shape[1]
-    inverse = np.linalg.pinv(turn.T @ corr @ turn * max(n, 1), hermitian=True, rcond=1e-10)
-    core, cutoff = turn @ inverse @ turn.T, 3.0 * p / max(n, 1)
+    values, axes = np.linalg.eigh(np.linalg.pinv(turn.T @ corr @ turn * max(n, 1), hermitian=True, rcond=1e-10))
+    half, cutoff = (turn @ axes) * np.sqrt(np.maximum(values, 0)), 3.0 * p / max(n, 1)  # h = |z half|^2
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            z = (pdf[used].to_numpy(float) - mean) / sd
-            h = np.einsum("ij,jk,ik->i", z, core, z)
+            x = np.array([[np.nan] * used if v is None else v for v in pdf["x"]], float).reshape(len(pdf), used)
+            h = (((x - mean) / sd @ half) ** 2).sum(axis=1)
             yield pd.DataFrame({"id": pdf["id"], "h": np.round(h, 9), "cutoff": round(cutoff, 9), "outside": h > cutoff})
 
-    out = rows.select("id", *[F.col(c).cast("double").alias(c) for c in used]).mapInPandas(score, f"id {dict(rows.dtypes)['id']}, h double, cutoff double, outside boolean")
+    out = data.select("id", "x").mapInPandas(score, f"id {dict(rows.dtypes)['id']}, h double, cutoff double, outside boolean")
     return out.withColumn("h", F.when(~F.isnan("h"), F.col("h")))
 
 

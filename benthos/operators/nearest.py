@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from benthos.session import materialize
@@ -130,3 +133,97 @@ def nearest_summary(nearest: DataFrame) -> DataFrame:
     pick = lambda q: F.min(F.when(F.col("upto") > at(q), F.col("s")))
     share = lambda t: F.sum(F.when(F.col("s") >= t, F.col("k")).otherwise(0)) / F.sum("k")
     return ranked.groupBy(*keys).agg(F.sum("k").alias("chemical_count"), (F.sum(F.col("s") * F.col("k")) / F.sum("k")).alias("mean_max"), pick(0.5).alias("median_max"), pick(0.9).alias("p90_max"), F.max("s").alias("max"), share(0.65).alias("share_ge_065"), share(0.80).alias("share_ge_080"))
+
+
+#: Points that a cell of the k-d partition is sized for, points that its borders are drawn from, and cells at most.
+CELL_POINTS, SAMPLE_POINTS, MOST_CELLS = 2000, 50_000, 1 << 14
+
+
+def _kd_cells(sample: np.ndarray, cells: int) -> tuple[list, int]:
+    """(nested splits, number of cells): halved at the median of the widest side until there are so many cells."""
+    numbers = iter(range(cells))
+
+    def cut(points: np.ndarray, want: int):
+        if want > 1 and len(points) > 1:
+            side = int(np.argmax(np.ptp(points, axis=0)))
+            at = float(np.median(points[:, side]))
+            low = points[:, side] <= at
+            if low.any() and not low.all():
+                return side, at, cut(points[low], want - want // 2), cut(points[~low], want // 2)
+        return next(numbers)
+
+    return cut(sample, cells), next(numbers, cells)
+
+
+def _cell_of(points: np.ndarray, tree) -> np.ndarray:
+    out, waiting = np.zeros(len(points), np.int64), [(tree, np.arange(len(points)))]
+    while waiting:
+        node, own = waiting.pop()
+        if isinstance(node, int):
+            out[own] = node
+        else:
+            side, at, below, above = node
+            low = points[own, side] <= at
+            waiting += [(below, own[low]), (above, own[~low])]
+    return out
+
+
+def nearest_points(queries: DataFrame, references: DataFrame, columns: list[str], report: list | None = None) -> DataFrame:
+    """(id, distance): Euclidean distance over ``columns`` to the nearest row with another id, exactly.
+
+    A query (id and columns) without any other row, or with a missing value, is left out, and so
+    are references with one. References are reduced to distinct points with their smallest and
+    largest id, and dealt to the cells of a k-d partition, whose borders come from a bounded
+    sample; only the cells' sizes depend on it. A query looks into its own cell first, and
+    then into those other cells whose box (exact, of the points in them) is closer than the
+    best found. ``report`` receives the pairs looked at in both rounds.
+    """
+    use = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]
+    xs = [f"x{i}" for i in range(len(columns))]
+    usable = F.lit(True)
+    for c in xs:
+        usable = usable & F.col(c).isNotNull() & ~F.isnan(c)
+    kind = dict(references.dtypes)["id"]
+    refs = references.select("id", *use).where(usable).groupBy(*xs).agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    refs = materialize(refs, "nearest-points")
+    n = refs.count()
+    sample = refs.orderBy(F.xxhash64(*xs)).select(*xs).limit(SAMPLE_POINTS).toPandas().to_numpy(float)  # bounded
+    tree, _ = _kd_cells(sample, max(1, min(MOST_CELLS, n // CELL_POINTS, max(1, len(sample) // 4)))) if n else (0, 1)
+
+    @F.pandas_udf("long")
+    def cell(points: pd.DataFrame) -> pd.Series:
+        return pd.Series(_cell_of(points.to_numpy(float), tree))
+
+    refs = materialize(refs.withColumn("cell", cell(F.struct(*xs))), "nearest-cells")
+    asked = materialize(queries.select("id", *use).where(usable).withColumn("own", cell(F.struct(*xs))), "nearest-asked")
+    boxes = refs.groupBy("cell").agg(*[f(x).alias(f"{f.__name__}_{x}") for x in xs for f in (F.min, F.max)]).orderBy("cell").toPandas()  # a row per cell
+    low, high = (boxes[[f"{f}_{x}" for x in xs]].to_numpy(float) for f in ("min", "max"))
+    names = boxes["cell"].to_numpy(np.int64)
+
+    def found(pairs: DataFrame) -> DataFrame:
+        d = F.lit(0.0)
+        for x in xs:
+            d = d + (F.col(x) - F.col(f"r{x}")) ** 2
+        return pairs.where((F.col("lo") != F.col("id")) | (F.col("hi") != F.col("id"))).groupBy("id", *xs).agg(F.min(d).alias("best"))
+
+    points = refs.select(F.col("cell").alias("own"), *[F.col(x).alias(f"r{x}") for x in xs], "lo", "hi")
+    first = asked.join(points, "own")
+    begun = materialize(asked.join(found(first), ["id", *xs], "left"), "nearest-begun")
+
+    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at : at + 256]
+                q, best = part[xs].to_numpy(float), part["best"].fillna(np.inf).to_numpy(float)
+                away = np.zeros((len(part), len(names)))
+                for i in range(len(xs)):
+                    away += np.maximum(0, np.maximum(low[:, i] - q[:, i : i + 1], q[:, i : i + 1] - high[:, i])) ** 2
+                r, c = np.nonzero((away < best[:, None]) & (names != part["own"].to_numpy()[:, None]))
+                yield part.iloc[r][["id", *xs]].assign(own=names[c])
+
+    more = begun.mapInPandas(visits, ", ".join([f"id {kind}", *[f"{x} double" for x in xs], "own long"])) if len(names) else begun.select("id", *xs, "own").limit(0)
+    second = more.join(points, "own")
+    if report is not None:
+        report += [first.count(), second.count()]
+    both = begun.select("id", "best").unionByName(found(second).select("id", "best"))
+    return both.groupBy("id").agg(F.sqrt(F.min("best")).alias("distance")).where("distance is not null")

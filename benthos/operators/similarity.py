@@ -80,20 +80,6 @@ def standardized(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.crossJoin(F.broadcast(s)).withColumns({c: (F.col(c) - F.col(f"__m_{c}")) / F.col(f"__s_{c}") for c in columns}).drop(*s.columns)  # one row
 
 
-def nearest_other(queries: DataFrame, references: DataFrame, columns: tuple[str, ...] = ("u", "v")) -> DataFrame:
-    """(id, distance): Euclidean distance over ``columns`` to the nearest row with another id.
-
-    A query without any other row is left out. References are reduced to distinct points with
-    their smallest and largest id, as above.
-    """
-    r = references.groupBy(*[F.col(c).alias(f"__{c}") for c in columns]).agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    other = (F.col("lo") != F.col("id")) | (F.col("hi") != F.col("id"))
-    d = F.lit(0.0)
-    for c in columns:
-        d = d + (F.col(c) - F.col(f"__{c}")) * (F.col(c) - F.col(f"__{c}"))
-    return queries.crossJoin(r).where(other).groupBy("id").agg(F.min(F.sqrt(d)).alias("distance"))
-
-
 def similar_links(fps: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity), a < b: pairs of (id, bits) with Tanimoto at the threshold or above.
 

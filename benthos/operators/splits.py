@@ -57,6 +57,46 @@ def inherit_parts(rows: DataFrame, known: DataFrame, group: str, seed: int) -> D
     return rows.join(known.select(group, F.col("split_part").alias("__known")), group, "left").withColumn("split_part", F.coalesce("__known", rule)).drop("__known")
 
 
+def shared_keys(rows: DataFrame, record: str, keys: list[str], lists: list[str], scope: str | None = None) -> DataFrame:
+    """(r, x): each record with a hash of every key and listed id that may join it to others, its scope in it."""
+    scoped = [F.col(scope).cast("string")] if scope else []
+    shared = [rows.select(F.col(record).alias("r"), F.sha2(F.to_json(F.array(F.lit(f"k{i}"), *scoped, F.col(k).cast("string"))), 256).alias("x")).where(F.col(k).isNotNull()) for i, k in enumerate(keys)]
+    shared += [rows.select(F.col(record).alias("r"), *[x.alias("__s") for x in scoped], F.explode(c).alias("v")).where("v is not null").select("r", F.sha2(F.to_json(F.array(F.lit(f"l{i}"), *([F.col("__s")] if scoped else []), F.col("v").cast("string"))), 256).alias("x")) for i, c in enumerate(lists)]
+    out = shared[0]
+    for x in shared[1:]:
+        out = out.unionByName(x)
+    return out.where("r is not null")
+
+
+def grow_groups(known_keys: DataFrame, new_keys: DataFrame, records: DataFrame, parts: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Closure groups after rows were added, from what the new rows touch.
+
+    ``known_keys`` (x, group_id): the shared keys of earlier rows with their groups; ``new_keys``
+    (r, x) from ``shared_keys``, ``records`` (r): the new rows; ``parts`` (group_id, part): where
+    groups were put. Groups are named by their smallest record, so a group is a record as well,
+    and the new rows, the groups they touch and nothing else make up the graph. Results:
+    labels (r, group_id) of the new rows; renamed (old_id, group_id): touched groups that get
+    another name, all others stay as they are and need not be written; keys (x, group_id): what is
+    to be added to ``known_keys`` after renaming; joined (group_id, old_ids, parts): new groups
+    made of several known ones that lie in different parts, which rules out keeping both.
+    """
+    new_keys = materialize(new_keys.select("r", "x").distinct(), "grow-keys")
+    touched = materialize(new_keys.join(known_keys.select("x", "group_id").distinct(), "x").select("r", "group_id").distinct(), "grow-touched")
+    least = new_keys.groupBy("x").agg(F.min("r").alias("first"), F.max("r").alias("last")).where("first != last")
+    stars = new_keys.join(least, "x").where("r != first").select(F.col("r").alias("src"), F.col("first").alias("dst"))
+    edges = touched.select(F.col("r").alias("src"), F.col("group_id").alias("dst")).unionByName(stars)
+    label = materialize(connected_components(edges), "grow-labels")
+    labels = materialize(records.select("r").distinct().join(label.withColumnRenamed("node", "r"), "r", "left").select("r", F.coalesce("component", "r").alias("group_id")), "grow-records")
+    old = touched.select(F.col("group_id").alias("old_id")).distinct().join(label.withColumnRenamed("node", "old_id"), "old_id").select("old_id", F.col("component").alias("group_id"))
+    old = materialize(old, "grow-old")
+    out = {"labels": labels, "renamed": old.where("old_id <> group_id"), "keys": new_keys.join(labels, "r").select("x", "group_id").distinct()}
+    if parts is not None:
+        placed = old.join(parts.select(F.col("group_id").alias("old_id"), "part"), "old_id")
+        met = placed.groupBy("group_id").agg(F.array_sort(F.collect_set("old_id")).alias("old_ids"), F.array_sort(F.collect_set("part")).alias("parts"))
+        out["joined"] = met.where(F.size("parts") > 1)
+    return out
+
+
 def closure_groups(rows: DataFrame, record: str, keys: list[str], lists: list[str], scope: str | None = None) -> DataFrame:
     """(record, group_id): rows that share a key or a listed id, directly or through others, are one group.
 
@@ -64,14 +104,7 @@ def closure_groups(rows: DataFrame, record: str, keys: list[str], lists: list[st
     these links are the groups, named by their smallest record. With a ``scope`` column, such as
     the route, rows of different scopes are never joined; records are unique over all scopes.
     """
-    # records by their own order; what they share by hash, with the scope in it
-    scoped = [F.col(scope).cast("string")] if scope else []
-    shared = [rows.select(F.col(record).alias("r"), F.sha2(F.to_json(F.array(F.lit(f"k{i}"), *scoped, F.col(k).cast("string"))), 256).alias("x")).where(F.col(k).isNotNull()) for i, k in enumerate(keys)]
-    shared += [rows.select(F.col(record).alias("r"), *[x.alias("__s") for x in scoped], F.explode(c).alias("v")).where("v is not null").select("r", F.sha2(F.to_json(F.array(F.lit(f"l{i}"), *([F.col("__s")] if scoped else []), F.col("v").cast("string"))), 256).alias("x")) for i, c in enumerate(lists)]
-    all_shared = shared[0]
-    for x in shared[1:]:
-        all_shared = all_shared.unionByName(x)
-    all_shared = materialize(all_shared.where("r is not null"), "closure")
+    all_shared = materialize(shared_keys(rows, record, keys, lists, scope), "closure")
     # an id that many records share is a star around its smallest record: no pairs, no nodes for ids
     least = all_shared.groupBy("x").agg(F.min("r").alias("first"), F.max("r").alias("last")).where("first != last")
     edges = all_shared.join(least, "x").where("r != first").select(F.col("r").alias("src"), F.col("first").alias("dst"))

@@ -10,6 +10,7 @@ from benthos.operators import aggregates as A
 from benthos.operators import audits as U
 from benthos.operators import evaluation as V
 from benthos.operators import fitting as B
+from benthos.operators import resampling as RS
 from benthos.operators.ranks import range_rank
 from benthos.session import materialize
 from benthos.plans.inputs import OBSERVATIONS, PREDICTIONS
@@ -469,4 +470,19 @@ def _(t):
 g AS (SELECT o.head, any_value(k) AS n_clusters, CASE WHEN any_value(k) > 1 THEN count(*) FILTER (WHERE abs(v) >= abs(obs) - 1e-9) END AS n_extreme FROM f JOIN o ON o.head = f.head GROUP BY o.head) SELECT *, round((n_extreme + 1) / 51, 9) AS p FROM g""")
 def _(t):
     g = V.sign_flip_test(cells(t), 50, 5)
-    return g.select("head", "n_clusters", "n_extreme", R("p", 9).alias("p"))
\ No newline at end of file
+    return g.select("head", "n_clusters", "n_extreme", R("p", 9).alias("p"))
+
+
+SIGN = "1 - 2 * ((CAST(('0x' || substr(sha256('5|' || (r.r // 256) || '|' || cluster), 1 + (r.r % 256) // 4, 1)) AS INTEGER) >> (3 - r.r % 4)) & 1)"
+
+
+@query("e15_sign_flip_vectors", CELLS + f""", o AS (SELECT head, sum(s) AS obs, count(*) AS k FROM c GROUP BY 1), f AS (SELECT r.r AS rep, head, sum(s * ({SIGN})) AS v FROM c, range(300) r(r) GROUP BY 1, 2),
+g AS (SELECT o.head, any_value(k) AS n_clusters, CASE WHEN any_value(k) > 1 THEN count(*) FILTER (WHERE abs(v) >= abs(obs) - 1e-9) END AS n_extreme FROM f JOIN o ON o.head = f.head GROUP BY o.head) SELECT *, round((n_extreme + 1) / 301, 9) AS p FROM g""")
+def _(t):
+    return RS.sign_flip_vectors(cells(t), 300, 5).withColumn("p", R("p", 9))
+
+
+@query("d17_split_bootstrap")
+def _(t):
+    """Two thousand replicates, whose draws are made where the clusters are."""
+    return RS.split_bootstrap(cells(t), 2000, 7)

@@ -229,7 +229,7 @@ def _(t):
 SELECT a.p_partkey, round(min(sqrt((a.u - b.u) * (a.u - b.u) + (a.v - b.v) * (a.v - b.v))), 6) AS distance FROM z a, z b WHERE a.p_partkey % 20 = 0 AND b.p_partkey <> a.p_partkey GROUP BY 1""")
 def _(t):
     z = Y.standardized(t("part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("u"), F.col("p_retailprice").alias("v")), ["u", "v"])
-    return Y.nearest_other(z.where("id % 20 = 0"), z, ["u", "v"]).select(F.col("id").alias("p_partkey"), F.round("distance", 6).alias("distance"))
+    return N.nearest_points(z.where("id % 20 = 0"), z, ["u", "v"]).select(F.col("id").alias("p_partkey"), F.round("distance", 6).alias("distance"))
 
 
 @query("c14_standardized_distance_all", """WITH s AS (SELECT avg(p_size) AS m1, stddev_pop(p_size) AS s1, avg(p_retailprice) AS m2, stddev_pop(p_retailprice) AS s2, avg(length(p_name)) AS m3, stddev_pop(length(p_name)) AS s3 FROM part), z AS (SELECT p_partkey, (p_size - m1) / s1 AS u, (p_retailprice - m2) / s2 AS v, (length(p_name) - m3) / s3 AS w FROM part, s)
@@ -237,7 +237,7 @@ SELECT a.p_partkey, round(min(sqrt((a.u - b.u) * (a.u - b.u) + (a.v - b.v) * (a.
 def _(t):
     p = t("part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("u"), F.col("p_retailprice").alias("v"), F.length("p_name").cast("double").alias("w"))
     z = Y.standardized(p, ["u", "v", "w"])
-    return Y.nearest_other(z.where("id % 20 = 0"), z, ["u", "v", "w"]).select(F.col("id").alias("p_partkey"), F.round("distance", 6).alias("distance"))
+    return N.nearest_points(z.where("id % 20 = 0"), z, ["u", "v", "w"]).select(F.col("id").alias("p_partkey"), F.round("distance", 6).alias("distance"))
 
 
 # ---- modelling operators that stay --------------------------------------------------------
@@ -254,7 +254,7 @@ def _(t):
     """A forest, boosted trees and an elastic net per return flag and line status, each with its skip reasons."""
     rows = t("lineitem").select(F.concat("l_returnflag", "l_linestatus", F.when(F.col("l_quantity") > 49, "+").otherwise("")).alias("head"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("record"), F.col("l_extendedprice").alias("target"), F.when(F.col("l_orderkey") % 5 == 0, "test").otherwise("train").alias("split_part"), *[F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_discount", "l_tax")])
     rows = rows.withColumn("features", F.array("l_quantity", "l_discount", "l_tax"))
-    minima, out = {"total": 30, "train": 20, "eval": 5}, None
+    minima, out = {"total": 30, "train": 150, "eval": 5}, None
     learners = {"forest": R.TreeSpec(trees=8, depth=4, bins=16), "boosting": R.TreeSpec(trees=5, depth=3, bins=16, boosting=True, rate=0.3)}
     reports = {name: R.tree_baselines(rows, "features", spec, minima) for name, spec in learners.items()}
     reports["elastic_net"] = M.elastic_baselines(rows, ["l_quantity", "l_discount", "l_tax"], minima=minima)

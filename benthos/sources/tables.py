@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from benthos.sources.versioned import VersionedTable, spread_by_bytes
 from benthos.session import scratch_dir
 
 
@@ -98,18 +99,22 @@ def cache_coverage(required: DataFrame, cache: DataFrame, vector: str, width: in
 
 
 def write_partitions(df: DataFrame, by: list[str], label: str) -> DataFrame:
-    """One set of files per combination of ``by``, read back with partition columns."""
+    """As many files per combination of ``by`` as its bytes ask for, read back with partition columns."""
     path = scratch_dir(df.sparkSession, label)
-    df.repartition(*by, F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.partitionBy(*by).parquet(path)
+    spread_by_bytes(df, by).write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
 def replace_splits(existing: DataFrame, new: DataFrame, label: str, by: str = "split_name") -> DataFrame:
-    """Rows of ``new`` take the place of all existing rows with the same split name; others stay."""
-    path = scratch_dir(existing.sparkSession, label)
-    existing.write.partitionBy(by).parquet(path)
-    new.write.partitionBy(by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    return existing.sparkSession.read.parquet(path)
+    """Rows of ``new`` take the place of all existing rows with the same split name; others stay.
+
+    A versioned table of its own: version 1 the existing rows, version 2 with the new ones, which
+    touches no other split's files. Tables that last are kept as ``VersionedTable``.
+    """
+    table = VersionedTable(existing.sparkSession, scratch_dir(existing.sparkSession, label), by)
+    table.replace(existing)
+    table.replace(new.select(*existing.columns))
+    return table.read()
 
 
 def write_table(df: DataFrame, label: str) -> str:

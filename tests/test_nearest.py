@@ -55,3 +55,21 @@ def test_empty_and_equal_fingerprints(spark):
     got = {r.query_id: tuple(r)[1:] for r in Y.best_other_tanimoto(d.where("id % 20 = 0").withColumnRenamed("id", "query_id"), d).collect()}
     assert got == {0: (0.0, 0.0, 0.0), 40: (0.0, 0.0, 0.0), 20: (1.0, 0.0, 0.0), 60: (0.0, 0.0, 0.0)}
     assert Y.best_other_tanimoto(d.where("false").withColumnRenamed("id", "query_id"), d).count() == 0
+
+
+def test_nearest_points_by_cells(spark, monkeypatch):
+    monkeypatch.setattr(N, "CELL_POINTS", 20)
+    rnd = random.Random(8)
+    points = [(i, rnd.gauss(0, 1), rnd.choice([0.0, 1.0, 5.0]), rnd.random() ** 4) for i in range(900)]
+    points += [(900, 0.5, 1.0, 0.5), (920, 0.5, 1.0, 0.5), (940, 99.0, 99.0, 99.0), (960, None, 1.0, 1.0), (980, float("nan"), 0.0, 0.0)]
+    df = spark.createDataFrame(points, "id int, a double, b double, c double")
+    report = []
+    got = {r.id: r.distance for r in N.nearest_points(df.where("id % 20 = 0"), df, ["a", "b", "c"], report).collect()}
+    whole = [p for p in points if p[1] is not None and p[1] == p[1]]
+    want = {p[0]: min(sum((x - y) ** 2 for x, y in zip(p[1:], q[1:])) ** 0.5 for q in whole if q[0] != p[0]) for p in whole if p[0] % 20 == 0}
+    assert got == {i: pytest.approx(d) for i, d in want.items()} and got[900] == 0.0 and 960 not in got
+    assert sum(report) < 0.25 * len(want) * len(whole)
+    lone = df.where("id = 20")
+    assert N.nearest_points(lone, lone, ["a", "b"]).count() == 0 and N.nearest_points(lone, df.where("false"), ["a"]).count() == 0
+    same = spark.createDataFrame([(i, 1.0) for i in range(300)], "id int, a double")
+    assert {r.distance for r in N.nearest_points(same, same, ["a"]).collect()} == {0.0}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from benthos.operators import aggregates as A
 from benthos.operators import joins as J
 from benthos.operators import models as M
+from benthos.operators import nearest as N
 from benthos.operators import similarity as Y
 from benthos.operators import splits as P
 from benthos.operators import audits as U
@@ -106,7 +107,7 @@ def test_search_against_all_other_rows(spark):
     assert got == {20: 1.0, 40: 1.0, 60: 0.5, 80: 0.0}  # equal rows with ids divisible by 20 are found
     assert Y.best_other_tanimoto(q.where("query_id = 20"), d.where("id = 20")).count() == 0
     p = spark.createDataFrame([(20, 0.0, 0.0), (40, 0.0, 0.0), (60, 3.0, 4.0), (1, 9.0, 4.0)], "id long, u double, v double")
-    assert {r.id: r.distance for r in Y.nearest_other(p.where("id % 20 = 0"), p).collect()} == {20: 0.0, 40: 0.0, 60: 5.0}
+    assert {r.id: r.distance for r in N.nearest_points(p.where("id % 20 = 0"), p, ["u", "v"]).collect()} == {20: 0.0, 40: 0.0, 60: 5.0}
 
 
 def test_butina_against_sequential(spark):
@@ -379,15 +380,31 @@ def test_leverage_with_components_against_numpy(spark):
     assert all(got[i] == pytest.approx(want[i], rel=1e-6) for i in range(60))
 
 
+def test_leverage_of_wide_fingerprints(spark):
+    rng = np.random.default_rng(11)
+    bits = (rng.uniform(size=(120, 2048)) < 0.2).astype(float)
+    bits[:, 5] = 0  # constant
+    train = np.arange(120) % 4 > 0
+    df = spark.createDataFrame([(i, float(i % 7), bool(train[i]), bits[i].tolist()) for i in range(120)], "id int, d double, train boolean, bits array<double>")
+    got = {r.id: r.h for r in M.leverage(df, ["d"], "bits", components=5, width=2048).collect()}
+    x = np.column_stack([np.arange(120) % 7, bits])
+    sd = x[train].std(0)
+    z = (x - x[train].mean(0)) / np.where(sd > 1e-6, sd, 1.0)
+    _, _, v = np.linalg.svd(z[train][:, 1:], full_matrices=False)
+    d = np.column_stack([z[:, :1], z[:, 1:] @ v[:5].T])
+    want = np.einsum("ij,jk,ik->i", d, np.linalg.pinv(d[train].T @ d[train]), d)
+    assert all(got[i] == pytest.approx(want[i], rel=1e-6, abs=1e-8) for i in range(120))
+
+
 def test_elastic_net_per_head(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 3)) * [1.0, 5.0, 0.1]
     y = 2 + x @ [1.5, 0.0, -3.0] + rng.normal(size=300) * 0.1
-    rows = [(["a", "b"][i % 2], "test" if i % 4 == 3 else "train", *map(float, x[i]), float(y[i])) for i in range(300)] + [("few", "train", 1.0, 1.0, 1.0, 1.0), ("a", "train", None, 1.0, 1.0, 1.0)]
+    rows = [(["a", "b"][i % 2], "test" if i % 3 == 0 else "train", *map(float, x[i]), float(y[i])) for i in range(300)] + [("few", "train", 1.0, 1.0, 1.0, 1.0), ("a", "train", None, 1.0, 1.0, 1.0)]
     df = spark.createDataFrame(rows, "head string, split_part string, u double, v double, w double, target double")
     got = {r["head"]: r for r in M.elastic_baselines(df, ["u", "v", "w"], alpha=0.01, minima={"train": 5}).collect()}
     assert got["few"].status == "train_samples_lt_5" and got["few"].n_train == 1 and got["few"].mae is None
-    assert got["a"].r2 > 0.98 and got["b"].rmse < 0.3 and got["a"].n_test + got["b"].n_test == 75
+    assert got["a"].r2 > 0.98 and got["b"].rmse < 0.3 and got["a"].n_test + got["b"].n_test == 100
     own = np.array([r[2:] for r in rows if r[0] == "a" and r[1] == "train" and r[2] is not None])
     m = np.column_stack([np.ones(len(own)), own])
     w = M.elastic_net(m.T @ m, 0.01, 0.5)
