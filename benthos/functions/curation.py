@@ -19,7 +19,7 @@ CHEMICALS = [
     (r"\bsolvent|voc|benzene|toluene|xylene|styrene|acetone|methanol|ethanol|hexane\b", None, "organic", "solvent_voc", "volatile_organic", 0.74),
     (r"\bdye|azo dye|methylene blue|crystal violet|malachite green|rhodamine\b", None, "organic", "dye", "industrial_dye", 0.74),
 ]
-METALS = "arsenic cadmium lead mercury chromium copper nickel zinc selenium".split()
+METALS = ("arsenic", "cadmium", "lead", "mercury", "chromium", "copper", "nickel", "zinc", "selenium")
 
 
 def structure_flags(smiles: Column, text: Column) -> Column:
@@ -76,17 +76,17 @@ def chemical_classes(df: DataFrame) -> DataFrame:
 
 # Classes and groups of taxa, in the order tried: (classes, group, l1, l2, level-3 column, confidence).
 TAXA = [
-    ("actinopterygii chondrichthyes", "fish", "vertebrate", "fish", "class", 0.95),
-    ("amphibia", "amphibians", "vertebrate", "amphibian", "order", 0.95),
-    ("aves", "birds", "vertebrate", "bird", "order", 0.95),
-    ("mammalia", "mammals", "vertebrate", "mammal", "order", 0.95),
-    ("reptilia", "reptiles", "vertebrate", "reptile", "order", 0.95),
-    ("branchiopoda malacostraca maxillopoda ostracoda copepoda", "crustaceans", "invertebrate", "crustacean", "class", 0.95),
-    ("bivalvia gastropoda cephalopoda polyplacophora", "molluscs", "invertebrate", "mollusk", "class", 0.95),
-    ("insecta", "insects/spiders", "invertebrate", "insect", "order", 0.92),
-    ("arachnida", "-", "invertebrate", "arachnid", "order", 0.92),
-    ("clitellata polychaeta secernentea chromadorea", "worms", "invertebrate", "worm", "class", 0.92),
-    ("chlorophyceae bacillariophyceae cyanophyceae trebouxiophyceae ulvophyceae", "algae", "algae_cyanobacteria", "algae", "class", 0.92),
+    (("actinopterygii", "chondrichthyes"), "fish", "vertebrate", "fish", "class", 0.95),
+    (("amphibia",), "amphibians", "vertebrate", "amphibian", "order", 0.95),
+    (("aves",), "birds", "vertebrate", "bird", "order", 0.95),
+    (("mammalia",), "mammals", "vertebrate", "mammal", "order", 0.95),
+    (("reptilia",), "reptiles", "vertebrate", "reptile", "order", 0.95),
+    (("branchiopoda", "malacostraca", "maxillopoda", "ostracoda", "copepoda"), "crustaceans", "invertebrate", "crustacean", "class", 0.95),
+    (("bivalvia", "gastropoda", "cephalopoda", "polyplacophora"), "molluscs", "invertebrate", "mollusk", "class", 0.95),
+    (("insecta",), "insects/spiders", "invertebrate", "insect", "order", 0.92),
+    (("arachnida",), "-", "invertebrate", "arachnid", "order", 0.92),
+    (("clitellata", "polychaeta", "secernentea", "chromadorea"), "worms", "invertebrate", "worm", "class", 0.92),
+    (("chlorophyceae", "bacillariophyceae", "cyanophyceae", "trebouxiophyceae", "ulvophyceae"), "algae", "algae_cyanobacteria", "algae", "class", 0.92),
 ]
 TAGS = ("standard test species", "u.s. invasive species", "u.s. threatened and endangered species")
 
@@ -107,7 +107,7 @@ def species_classes(df: DataFrame) -> DataFrame:
     plant = (low["kingdom"] == "plantae") | low["class"].isin("magnoliopsida", "liliopsida") | g.contains("flowers")
     which = F.when(plant, 100).when((low["kingdom"] == "fungi") | (g == "fungi"), 101).otherwise(which)
     for i, (classes, name, *_) in reversed(list(enumerate(TAXA))):
-        which = F.when(low["class"].isin(*classes.split()) | (g == name), i).otherwise(which)
+        which = F.when(low["class"].isin(*classes) | (g == name), i).otherwise(which)
     d = df.withColumns({"__w": which, "base_group": group})
     of = lambda j: F.get(F.array(*[F.lit(r[j]) for r in TAXA]), F.when(F.col("__w") < 100, F.col("__w")))
     water_plant = low["tax_order"].contains("alismatales") | low["family"].contains("lemnaceae")

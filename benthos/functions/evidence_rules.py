@@ -56,11 +56,21 @@ def with_exposure_medium(df: DataFrame, habitat: str = "habitat", media: str = "
 
 # Code sets of effect families, in the order in which they are tried.
 EFFECTS = {
-    "Mortality": "MOR MORT SURV", "Growth": "GRO WGHT LGTH GGRO BMAS HGHT GAIN SIZE VGOR MMTE", "Reproduction": "REP GERM PROG FCND GREP FERZ",
-    "Population": "POP ABND PGRT GPOP CNTL COVR CHLA DVRS DMTR DBMS", "Immobilization": "ITX IMBL", "Development": "DVP EMRG HTCH DVLP DFRM STGE ABNM",
-    "Behavior": "BEH SWIM LOCO EQUL PHTR AVO CHEM", "Morphology": "MPH SMIX", "Physiology": "PHY PSYN PSII HTRT HRM CEL",
-    "Biochemical": "ENZ BCM CTLS SODA GSTR ACHE GLPX MLDH PRCO GLTH", "GeneticDamage": "GEN DAMG GEXP ERAM", "Injury": "INJ HIS GINJ",
-    "Feeding": "FDB FDNG FCNS", "Molting": "MLT MULT", "Accumulation": "ACC RSDE GACC",
+    "Mortality": ("MOR", "MORT", "SURV"),
+    "Growth": ("GRO", "WGHT", "LGTH", "GGRO", "BMAS", "HGHT", "GAIN", "SIZE", "VGOR", "MMTE"),
+    "Reproduction": ("REP", "GERM", "PROG", "FCND", "GREP", "FERZ"),
+    "Population": ("POP", "ABND", "PGRT", "GPOP", "CNTL", "COVR", "CHLA", "DVRS", "DMTR", "DBMS"),
+    "Immobilization": ("ITX", "IMBL"),
+    "Development": ("DVP", "EMRG", "HTCH", "DVLP", "DFRM", "STGE", "ABNM"),
+    "Behavior": ("BEH", "SWIM", "LOCO", "EQUL", "PHTR", "AVO", "CHEM"),
+    "Morphology": ("MPH", "SMIX"),
+    "Physiology": ("PHY", "PSYN", "PSII", "HTRT", "HRM", "CEL"),
+    "Biochemical": ("ENZ", "BCM", "CTLS", "SODA", "GSTR", "ACHE", "GLPX", "MLDH", "PRCO", "GLTH"),
+    "GeneticDamage": ("GEN", "DAMG", "GEXP", "ERAM"),
+    "Injury": ("INJ", "HIS", "GINJ"),
+    "Feeding": ("FDB", "FDNG", "FCNS"),
+    "Molting": ("MLT", "MULT"),
+    "Accumulation": ("ACC", "RSDE", "GACC"),
 }
 DOSE_RESPONSE = r"^(EC|LC|IC|AC|ED|LD|BMD|BMC)([0-9]+(\.[0-9]+)?)$"
 
@@ -77,7 +87,7 @@ def endpoint_class(endpoint: Column) -> tuple[Column, Column, Column, Column]:
     return family, group, F.when(family.isNotNull(), level), reason
 
 
-EFFECT_RANKS = {c: i for i, codes in enumerate(EFFECTS.values()) for c in codes.split()}
+EFFECT_RANKS = {c: i for i, codes in enumerate(EFFECTS.values()) for c in codes}
 
 
 def effect_family(effect: Column, measurement: Column) -> tuple[Column, Column]:

@@ -28,7 +28,7 @@ _CLASSES = ["Actinopterygii", "Amphibia", None, "Insecta", "Bivalvia", "Cyanophy
 _GROUPS = ["Fish;Standard Test Species", "Flowers, Trees", "U.S. Invasive Species", None, "Fungi", "Worms; x", "Algae", "Birds"]
 _ORDERS = ["Alismatales", None, "Passeriformes"]
 SPECIES_INPUT = f"SELECT c_custkey, {pick('c_custkey', ['Animalia', 'Plantae', None, 'Fungi', 'Animalia'])} AS kingdom, {pick('c_custkey', _CLASSES)} AS class, {pick('c_custkey', _ORDERS)} AS tax_order, CASE WHEN c_custkey % 4 = 0 THEN 'Lemnaceae' END AS family, {pick('c_custkey * 3 + c_nationkey', _GROUPS)} AS ecotox_group FROM customer"
-_TW = "CASE " + " ".join(f"WHEN cl IN ({', '.join(repr(x) for x in r[0].split())}) OR g = '{r[1]}' THEN {i}" for i, r in enumerate(curation.TAXA)) + " WHEN k = 'plantae' OR cl IN ('magnoliopsida', 'liliopsida') OR g LIKE '%flowers%' THEN 100 WHEN k = 'fungi' OR g = 'fungi' THEN 101 END"
+_TW = "CASE " + " ".join(f"WHEN cl IN ({', '.join(repr(x) for x in r[0])}) OR g = '{r[1]}' THEN {i}" for i, r in enumerate(curation.TAXA)) + " WHEN k = 'plantae' OR cl IN ('magnoliopsida', 'liliopsida') OR g LIKE '%flowers%' THEN 100 WHEN k = 'fungi' OR g = 'fungi' THEN 101 END"
 _TO = lambda j, other: "CASE w " + " ".join(f"WHEN {i} THEN {r[j]!r}" for i, r in enumerate(curation.TAXA)) + f" {other} END"
 SPECIES_SQL = f"""WITH i AS ({SPECIES_INPUT}),
 a AS (SELECT c_custkey, lower(coalesce(kingdom, '')) AS k, lower(coalesce(class, '')) AS cl, lower(coalesce(tax_order, '')) AS od, lower(coalesce(family, '')) AS fm, coalesce(ecotox_group, '') AS eg, list_filter(list_transform(string_split(coalesce(ecotox_group, ''), ';'), lambda x: trim(x)), lambda x: x <> '') AS ps FROM i),

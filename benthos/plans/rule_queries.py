@@ -215,7 +215,7 @@ e2 AS (SELECT *, CASE WHEN ec = '' THEN 'missing_endpoint' WHEN ec LIKE 'NR%' TH
   WHEN pre IS NULL AND ec NOT IN ('NOEC', 'NOEL', 'LOEC', 'LOEL', 'MATC') THEN 'unsupported_endpoint:' || ec END AS ereason,
  CASE WHEN ec IN ('NOEC', 'NOEL') THEN 'NOEC' WHEN ec IN ('LOEC', 'LOEL') THEN 'LOEC' WHEN ec = 'MATC' THEN 'MATC' WHEN pre IN ('EC', 'LC') THEN 'ECx' WHEN pre IS NOT NULL THEN pre || 'x' END AS fam0 FROM e1),
 e3 AS (SELECT *, CASE WHEN ereason IS NULL THEN fam0 END AS tf, CASE WHEN ereason IS NULL THEN CASE WHEN fam0 IN ('ECx', 'NOEC', 'LOEC') THEN 'main_toxicity' ELSE 'toxicity_aux' END END AS tg, CASE WHEN ereason IS NULL THEN lvl END AS tl0 FROM e2)"""
-EFFECT_CASE = " ".join(f"WHEN ef IN ({', '.join(repr(c) for c in codes.split())}) OR me IN ({', '.join(repr(c) for c in codes.split())}) THEN '{name}'" for name, codes in E.EFFECTS.items())
+EFFECT_CASE = " ".join(f"WHEN ef IN ({', '.join(repr(c) for c in codes)}) OR me IN ({', '.join(repr(c) for c in codes)}) THEN '{name}'" for name, codes in E.EFFECTS.items())
 EFFECT = f"""f0 AS (SELECT *, {CODE.format('effect')} AS ef, {CODE.format('measurement')} AS me FROM e3),
 f1 AS (SELECT *, CASE {EFFECT_CASE} END AS effect_family FROM f0),
 f2 AS (SELECT *, CASE WHEN ef = '' AND me = '' THEN 'missing_effect_and_measurement' WHEN effect_family IS NULL THEN 'unsupported_effect_family' END AS freason FROM f1)"""

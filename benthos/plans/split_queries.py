@@ -86,6 +86,19 @@ def _(t):
     return closure(t)
 
 
+@query("h06_grown_groups", CLOSURE)
+def _(t):
+    """The closure groups of all rows, grown from those of four fifths of the orders by what the other rows touch."""
+    rows = t("lineitem").select("l_orderkey", F.concat_ws("/", "l_partkey", "l_suppkey", "l_quantity").alias("id"))
+    late = F.col("l_orderkey") % 5 == 0
+    old = P.closure_groups(rows.where(~late), "l_orderkey", ["id"], [])
+    keys = P.shared_keys(rows.where(~late), "l_orderkey", ["id"], []).join(old.withColumnRenamed("l_orderkey", "r"), "r").select("x", "group_id").distinct()
+    grown = P.grow_groups(keys, P.shared_keys(rows.where(late), "l_orderkey", ["id"], []), rows.where(late).select(F.col("l_orderkey").alias("r")))
+    renamed = grown["renamed"].select(F.col("old_id").alias("group_id"), F.col("group_id").alias("now"))
+    kept = old.join(renamed, "group_id", "left").select("l_orderkey", F.coalesce("now", "group_id").alias("group_id"))
+    return kept.unionByName(grown["labels"].select(F.col("r").alias("l_orderkey"), "group_id"))
+
+
 @query("h07_boundary_keys", "SELECT l_orderkey, l_linenumber, sha256(to_json([CAST(l_partkey AS VARCHAR)])) AS s3, sha256(to_json([CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), l_returnflag])) AS s2, sha256(to_json([CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), l_returnflag, CASE WHEN l_linenumber <> 3 THEN CAST(l_linenumber AS VARCHAR) ELSE '' END])) AS s1, sha256(to_json([CAST(l_partkey AS VARCHAR), CAST(to_json([CAST(l_orderkey AS VARCHAR)]) AS VARCHAR)])) AS source FROM lineitem")
 def _(t):
     keys = {"s3": ["l_partkey"], "s2": ["l_partkey", "l_suppkey", "l_returnflag"], "s1": ["l_partkey", "l_suppkey", "l_returnflag", "time"], "source": ["l_partkey", "test_ids"]}
