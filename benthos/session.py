@@ -26,6 +26,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_MADE: list[str] = []
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this driver has made so far; their number.
+
+    To be called when results that were derived from them are written: what has not been read
+    from them yet cannot be read afterwards.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new path inside the folder that all executors share.
 
@@ -40,7 +57,8 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="spark-benthos-")
             spark.conf.set("spark.benthos.scratch", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -456,3 +456,14 @@ def test_the_last_json_line_wins(spark, tmp_path):
 def test_components_settle_on_long_chains(spark):
     chain = spark.range(3000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     assert connected_components(chain).select("component").distinct().collect()[0][0] == 0
+
+
+def test_intermediate_tables_are_dropped_by_call(spark):
+    import os
+
+    from benthos.session import drop_scratch, materialize
+
+    drop_scratch(spark)
+    kept = [materialize(spark.range(5), "drop-me") for _ in range(2)]
+    paths = [d.inputFiles()[0].removeprefix("file://") for d in kept]
+    assert all(map(os.path.exists, paths)) and drop_scratch(spark) == 2 and not any(map(os.path.exists, paths)) and drop_scratch(spark) == 0
