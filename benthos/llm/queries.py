@@ -132,6 +132,36 @@ SELECT doc_id, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION B
 FROM n WINDOW g AS (PARTITION BY norm ORDER BY size DESC, doc_id)"""
 
 
+OP11_SQL = r"""
+WITH w0 AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, CAST(doc_id AS VARCHAR) AS name FROM documents),
+h AS MATERIALIZED (
+  SELECT doc_id, ws, CAST(len(ws) AS BIGINT) AS n, xor(4294967295, list_reduce(
+    list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(range(1, length(name) + 1), lambda i: [CAST(ord(substr(name, CAST(i AS INTEGER), 1)) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, x: xor(xor(a, x) >> 1, (xor(a, x) & 1) * 3988292384))) AS h FROM w0),
+p AS MATERIALIZED (SELECT *, CASE WHEN n > 0 THEN (h // 10) % n END AS a FROM h),
+w AS MATERIALIZED (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(n), lambda i: ws[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END + 1]) ELSE ws END AS ws FROM p),
+g AS MATERIALIZED (
+  SELECT doc_id, i, array_to_string(ws[i + 1 : i + 6], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(n - 5)) AS i FROM w WHERE n >= 12)),
+m AS MATERIALIZED (SELECT x.doc_id, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.gram = y.gram AND x.i < y.i),
+s AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m),
+c AS MATERIALIZED (
+  SELECT doc_id, min(i) AS start, count(*) + 5 + q AS length, q AS period FROM s GROUP BY doc_id, q, island
+  HAVING count(*) + 5 + q >= greatest(12, 2 * q)),
+r AS MATERIALIZED (
+  SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.doc_id = c.doc_id AND d.period < c.period AND c.period % d.period = 0
+    AND d.start <= c.start AND d.start + d.length >= c.start + c.length)),
+o AS (
+  SELECT doc_id, count(*) AS n_runs, list(struct_pack(s := start + period, e := start + length)) AS gone,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS told,
+    first(struct_pack(s := start, l := length, p := period) ORDER BY length DESC, start, period) AS best FROM r GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.p AS period, 1000 * best.l // best.p AS exponent_milli,
+  sha256(coalesce(told, '')) AS runs_sha256,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_transform(list_filter(range(n), lambda i: len(list_filter(gone, lambda x: i >= x.s AND i < x.e)) = 0), lambda i: ws[i + 1]) END, ' ')) AS collapsed_sha256
+FROM w LEFT JOIN o ON o.doc_id = w.doc_id"""
+
 OP13_SQL = r"""
 WITH d AS MATERIALIZED (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
@@ -161,4 +191,4 @@ FROM d JOIN u ON d.x = u.x GROUP BY doc_id, template, n HAVING count(*) >= 0.8 *
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op3_near_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op9_license_scan": _license_sql(), "op13_lexical_search": OP13_SQL}
+    return {"op2_chat_format": OP2_SQL, "op3_near_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op9_license_scan": _license_sql(), "op11_periodic_runs": OP11_SQL, "op13_lexical_search": OP13_SQL}
