@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from benthos.llm.text import chunks, mix, shared_shingles, shingle_sets, utf8
+from benthos.llm.text import chunks, mix, releasing, shared_shingles, shingle_sets, utf8
 from benthos.operators.graph import connected_components
 from benthos.session import materialize
 
@@ -123,7 +123,7 @@ def sketches(docs: DataFrame, spec: NearDedup) -> DataFrame:
                 regs.append(r.tobytes() if len(s) else b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(held, pa.int32()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "set_id", "held", "regs"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, held int, regs binary")
+    return docs.mapInArrow(releasing(run), "doc_id long, n_shingles long, set_id binary, held int, regs binary")
 
 
 def _estimate(pairs: DataFrame, reps: DataFrame, spec: NearDedup) -> DataFrame:
@@ -145,7 +145,7 @@ def _estimate(pairs: DataFrame, reps: DataFrame, spec: NearDedup) -> DataFrame:
                 keep = corrected_jaccard(ra, rb, na, nb, spec) >= t - slack
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(releasing(run), "a long, b long")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, spec: NearDedup) -> DataFrame:
@@ -163,7 +163,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, spec: NearDedup) -> DataFrame:
                 keep = (union > 0) & (100 * shared >= spec.threshold * union)
                 yield batch.slice(lo, hi - lo).select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(releasing(run), "a long, b long")
 
 
 def _rare_shingle_pairs(docs: DataFrame, texts: DataFrame, spec: NearDedup) -> DataFrame:
@@ -183,7 +183,7 @@ def _rare_shingle_pairs(docs: DataFrame, texts: DataFrame, spec: NearDedup) -> D
                 n = len(s)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, ids[i])), pa.array(np.full(n, labels[i])), pa.array(np.full(n, n, np.int32)), pa.array(s.view(np.int64))], names=["doc_id", "label", "n", "h"])
 
-    rows = docs.join(texts, "doc_id").select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label long, n int, h long")
+    rows = docs.join(texts, "doc_id").select("doc_id", "label", "text").mapInArrow(releasing(run), "doc_id long, label long, n int, h long")
     rows = materialize(rows, "near-shingles")
     counted = rows.join(rows.groupBy("h").agg(F.count("*").alias("df")), "h")
     sorted_ = counted.groupBy("doc_id", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))

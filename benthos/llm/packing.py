@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from benthos.llm.text import Words, chunks, utf8
+from benthos.llm.text import Words, chunks, releasing, utf8
 
 
 @dataclass(frozen=True)
@@ -292,4 +292,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, limits: Limits = Limi
         packer.finish()
         yield flush()
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(releasing(run), SCHEMA)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from benthos.llm.text import Words, chunks, combine, mix, utf8
+from benthos.llm.text import Words, chunks, combine, mix, release_memory, releasing, utf8
 from benthos.session import materialize
 
 
@@ -104,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, spec: QualitySpec = QualitySpec(),
             keys, counts = _counted(batch.column("text"), spec)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "y", "keys", "counts"])
 
-    rows = texts.mapInArrow(run, "doc_id long, y int, keys binary, counts binary").toPandas().sort_values("doc_id", kind="stable")
+    rows = texts.mapInArrow(releasing(run), "doc_id long, y int, keys binary, counts binary").toPandas().sort_values("doc_id", kind="stable")
     return fit([np.frombuffer(k, np.int32) for k in rows["keys"]], [np.frombuffer(c, np.float32) for c in rows["counts"]], rows["y"].to_numpy(), share, spec)
 
 
@@ -164,7 +164,7 @@ def score(docs: DataFrame, model: QualityModel, keep: float = 0.3) -> DataFrame:
             s = _scores(batch.column(1), logit, bias, spec)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= keep).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.mapInArrow(releasing(run), "doc_id long, score double, predicted int")
 
 
 def select_kept(docs: DataFrame, model: QualityModel, keep: float = 0.3) -> DataFrame:
@@ -177,6 +177,8 @@ def select_kept(docs: DataFrame, model: QualityModel, keep: float = 0.3) -> Data
 
     @F.pandas_udf("boolean")
     def passes(texts: pd.Series) -> pd.Series:
-        return pd.Series(_scores(pa.array(texts, pa.string(), from_pandas=True), shipped.value, bias, spec) >= keep)
+        kept = pd.Series(_scores(pa.array(texts, pa.string(), from_pandas=True), shipped.value, bias, spec) >= keep)
+        release_memory()
+        return kept
 
     return docs.where(passes(F.coalesce(F.col("text").cast("string"), F.lit(""))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -21,6 +21,29 @@ _LOWER[65:91] += 32
 CHUNK_BYTES = 1 << 20
 
 
+def release_memory() -> None:
+    """Give memory that was freed back to the system, where the C library and Arrow's pool can."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, a function over batches, after which memory is given back.
+
+    Workers live on for later tasks and stages and would else keep what their largest batch took.
+    """
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release_memory()
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on uint64 arrays."""
     x = (x ^ (x >> np.uint64(30))) * _C1
