@@ -97,10 +97,9 @@ def _split(cells: DataFrame, spec: TreeSpec) -> DataFrame:
     return best.select(*node, F.col("s.feature").alias("feature"), F.col("s.bin").alias("bin"), F.col("s.low").alias("low"), F.col("s.high").alias("high"))
 
 
-def _with_models(binned: DataFrame, splits: DataFrame | None, function, schema: str) -> DataFrame:
+def _with_models(binned: DataFrame, chunks: DataFrame, splits: DataFrame | None, function, schema: str) -> DataFrame:
     """``function(key, rows, splits)`` per head and chunk, the head's splits sent to each of its chunks."""
     kind = dict(binned.dtypes)["head"]
-    chunks = materialize(binned.select("head", "chunk").distinct(), "tree-chunks")
     if splits is None:
         splits = binned.sparkSession.createDataFrame([], f"head {kind}, {SPLITS}")
     sent = splits.join(chunks, "head")
@@ -130,6 +129,7 @@ def grow(binned: DataFrame, spec: TreeSpec) -> DataFrame | None:
     chosen in one aggregate. The number of Spark jobs depends on depth and rounds only.
     """
     train = materialize(binned.where("split_part = 'train'"), "tree-rows")
+    chunks = materialize(train.select("head", "chunk").distinct(), "tree-chunks")
     kind, splits = dict(binned.dtypes)["head"], None
     rounds = [[m] for m in range(spec.trees)] if spec.boosting else [list(range(spec.trees))]
     for trees in rounds:
@@ -154,7 +154,7 @@ def grow(binned: DataFrame, spec: TreeSpec) -> DataFrame | None:
                 found.insert(0, "head", key[0])
                 return found
 
-            made = _with_models(train, splits, cells, f"head {kind}, tree int, node int, feature int, bin int, w double, wy double")
+            made = _with_models(train, chunks, splits, cells, f"head {kind}, tree int, node int, feature int, bin int, w double, wy double")
             more = materialize(_split(made, spec), "tree-splits")
             splits = more if splits is None else splits.unionByName(more)
         splits = materialize(splits, "tree-splits") if splits is not None else None
@@ -188,7 +188,8 @@ def tree_baselines(rows: DataFrame, features: str, spec: TreeSpec, minima: dict[
         bins = np.stack(rows["bins"].to_numpy()).astype(int)
         return pd.DataFrame({"head": key[0], "y": rows["y"], "p": _predicted(rows, bins, own, spec, spec.trees)})
 
-    scored = _with_models(binned.where("split_part = 'test'"), splits, score, f"head {kind}, y double, p double")
+    chunks = materialize(binned.select("head", "chunk").distinct(), "tree-chunks")
+    scored = _with_models(binned.where("split_part = 'test'"), chunks, splits, score, f"head {kind}, y double, p double")
     e, spread = F.col("p") - F.col("y"), F.var_pop("y") * F.count("y")
     per = scored.groupBy("head").agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.when(spread > 1e-12, 1 - F.sum(e * e) / spread).alias("r2"))
     return counts.join(per, "head", "left").select("head", "status", F.col("train").alias("n_train"), F.col("eval").alias("n_test"), "mae", "rmse", "r2")
