@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from benthos.llm.text import Words, chunks, combine, mix, utf8
+from benthos.llm.text import Words, chunks, combine, mix, release_memory, releasing, utf8
 from benthos.session import materialize
 
 END, START = mix(np.array([0xE0D], np.uint64))[0], mix(np.array([0x57A27], np.uint64))[0]
@@ -141,10 +141,12 @@ def count_tokens(docs: DataFrame, train: Column, spec: LmSpec = LmSpec()) -> tup
         sums = [int(count.sum()), int(held.sum()), int((count > 0).sum())]
         for name, x in zip(("tokens", "held_tokens", "types"), sums):
             out[name] = [x] + [0] * (len(out) - 1)  # once per range
+        del asked, distinct, back, count, held
+        release_memory()
         return out
 
     # dealt by number, so that tasks stay small however large the shuffle is
-    pieces = docs.mapInArrow(keys, KEYS).repartition(2 * ranges, "kind", "bucket")
+    pieces = docs.mapInArrow(releasing(keys), KEYS).repartition(2 * ranges, "kind", "bucket")
     totals = materialize(pieces.groupBy("kind", "bucket").applyInPandas(total, COUNTS), "lm-totals")
     n, n_held, v = totals.where("kind = 0").agg(F.sum("tokens"), F.sum("held_tokens"), F.sum("types")).first()
 
@@ -162,9 +164,11 @@ def count_tokens(docs: DataFrame, train: Column, spec: LmSpec = LmSpec()) -> tup
         of = {(k, c): np.concatenate([_expand(b, np.uint64) for b in g[c]]) for k, g in got.groupby("kind") for c in ("counts", "held")}
         _, back = np.unique(_bigrams(words[at], np.cumsum(sizes)), return_inverse=True)
         made = [_squeeze(of[kind, c][where]) for c in ("counts", "held") for kind, where in ((0, at), (1, back))]
+        del words, at, of, back
+        release_memory()
         return pd.DataFrame([(row["block"], row["doc_ids"], row["uses"], row["sizes"], *made)], columns=[f.split()[0] for f in TOKENS.split(", ")])
 
-    placed = docs.mapInArrow(sequences, SEQS).groupBy("block").cogroup(totals.select("kind", "bucket", "block", "check", "counts", "held").groupBy("block")).applyInPandas(place, TOKENS)
+    placed = docs.mapInArrow(releasing(sequences), SEQS).groupBy("block").cogroup(totals.select("kind", "bucket", "block", "check", "counts", "held").groupBy("block")).applyInPandas(place, TOKENS)
     return materialize(placed, "lm-tokens"), int(n or 0), int(n_held or 0), int(v or 0)
 
 
@@ -219,7 +223,7 @@ def held_out_histogram(tokens: DataFrame, n_kept: int) -> DataFrame:
                 sums = [np.bincount(back, x, len(cell)) for x in (None, p2, p1)]
                 yield _to_arrow([((c >> 16), (c >> 8) & 255, c & 255, int(k), float(a), float(b)) for c, k, a, b in zip(cell.tolist(), *sums)], "bucket int, n2 int, n1 int, tokens long, p2 double, p1 double")
 
-    got = tokens.mapInArrow(run, "bucket int, n2 int, n1 int, tokens long, p2 double, p1 double")
+    got = tokens.mapInArrow(releasing(run), "bucket int, n2 int, n1 int, tokens long, p2 double, p1 double")
     return got.groupBy("bucket", "n2", "n1").agg(F.sum("tokens").alias("tokens"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1"))
 
 
@@ -276,4 +280,4 @@ def language_model_scores(docs: DataFrame, train: Column, spec: LmSpec = LmSpec(
                 cols = [uses == 0, sizes, add((word > 0).astype(np.int64)), np.full(len(sizes), n), base, add(np.log10(p))]
                 yield pa.RecordBatch.from_arrays([_ids_in(row["doc_ids"]), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=[f.split()[0] for f in SCORES.split(", ")])
 
-    return tokens.mapInArrow(run, SCORES)
+    return tokens.mapInArrow(releasing(run), SCORES)
