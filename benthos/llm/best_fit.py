@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from benthos.llm.packing import WordTokens
-from benthos.llm.text import SpacedWords, utf8
+from benthos.llm.text import SpacedWords, releasing, utf8
 from benthos.session import materialize
 
 
@@ -159,8 +159,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int) -> Data
                     start, stop = stop, stop + limit
             cols = list(zip(*rows)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int32() if n == "piece" else pa.int64()) for c, n in zip(cols, names)], names=names)
+        tokens.shrink()
 
-    return docs.mapInArrow(run, PIECES)
+    return docs.mapInArrow(releasing(run), PIECES)
 
 
 def best_fit(docs: DataFrame, tokenizer: str, end_id: int = 2, limit: int = 1024) -> DataFrame:

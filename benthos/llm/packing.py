@@ -59,8 +59,8 @@ class WordTokens:
 
     Where the tokenizer drops white space before it splits, the ids of a text are those of its
     white-space-separated words in order, and each distinct word is encoded once; words are
-    told apart by their bytes. The cache is emptied when it holds ``most`` words. Other
-    tokenizers encode whole texts.
+    told apart by their bytes. When the cache holds ``most`` words, and at a task's end, only
+    those that came in more than one chunk of texts stay. Other tokenizers encode whole texts.
     """
 
     def __init__(self, path: str, with_starts: bool = False, most: int = 1_000_000):
@@ -82,6 +82,23 @@ class WordTokens:
         self.number: dict[bytes, int] = {}
         self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.ids, self.starts, self.used = np.zeros(1 << 20, np.uint32), np.zeros(1 << 20, np.int32), 0
+        self.chunks = np.zeros(1 << 16, np.int32)  # in how many each word came
+
+    def shrink(self) -> None:
+        """Keep the words that came in several chunks; if they alone are half of ``most``, none."""
+        words = list(self.number)  # in the order of their numbers
+        keep = np.flatnonzero(self.chunks[: len(words)] > 1)
+        at, size, ids, starts = self.at[keep], self.size[keep], self.ids, self.starts
+        self._clear()
+        if len(keep) > self.most // 2:
+            return
+        self.used = int(size.sum())
+        first = np.cumsum(size) - size
+        take = np.repeat(at - first, size) + np.arange(self.used)
+        room = lambda x, n: np.concatenate([x, np.zeros(max(0, n - len(x)), x.dtype)])
+        self.ids, self.starts = room(ids[take], 1 << 20), room(starts[take], 1 << 20)
+        self.at, self.size, self.chunks = room(first, 1 << 16), room(size, 1 << 16), room(np.ones(len(keep), np.int32), 1 << 16)
+        self.number = {words[i]: n for n, i in enumerate(keep.tolist())}
 
     def _learn(self, words: list[bytes]) -> None:
         encode = self.tokenizer.encode_batch if self.with_starts else self.tokenizer.encode_batch_fast  # the latter leaves offsets out
@@ -92,7 +109,7 @@ class WordTokens:
         while self.used + more > len(self.ids):
             self.ids, self.starts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.ids, self.starts))
         while first + len(words) > len(self.at):
-            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+            self.at, self.size, self.chunks = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.chunks))
         self.ids[self.used : self.used + more] = np.fromiter(chain.from_iterable(made), np.uint32, more)
         if self.with_starts:
             self.starts[self.used : self.used + more] = np.fromiter((a for e in got for a, _ in e.offsets), np.int32, more)
@@ -112,13 +129,14 @@ class WordTokens:
             w = self.units(data, off[lo : hi + 1])
             first, back = w.distinct()
             if len(self.number) > self.most:
-                self._clear()
+                self.shrink()
             raw = w.bytes.tobytes()
             words = [raw[a:z] for a, z in zip(w.start[first].tolist(), w.end[first].tolist())]
             number = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
             if len(new := np.flatnonzero(number < 0)):
                 number[new] = len(self.number) + np.arange(len(new))
                 self._learn([words[i] for i in new.tolist()])
+            self.chunks[number] += 1
             number = number[back]
             at, size = self.at[number], self.size[number]
             total = np.concatenate(([0], np.cumsum(size)))
@@ -291,5 +309,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, limits: Limits = Limi
                     yield flush()
         packer.finish()
         yield flush()
+        tokens.shrink()
 
     return docs.mapInArrow(releasing(run), SCHEMA)

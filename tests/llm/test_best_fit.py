@@ -91,6 +91,18 @@ def test_ids_are_those_of_whole_texts():
     texts = ODD + ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 12))) for _ in range(3000)]
     got = [ids.tolist() for ids, _ in tokens.encode(*utf8(pa.array(texts)))]
     assert got == [tokens.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    # a cache that overflows keeps what comes again, and changes no id
+    small = best_fit.SpacedTokens(tokenizer_path("byte_bpe_50k.json"), most=40)
+    for part in (texts[:700], texts[300:900], texts[:50]):
+        assert [ids.tolist() for ids, _ in small.encode(*utf8(pa.array(part)))] == [small.tokenizer.encode(t, add_special_tokens=False).ids for t in part]
+        small.shrink()
+        assert len(small.number) <= 20 and small.used == small.size[: len(small.number)].sum()
+    big = best_fit.SpacedTokens(tokenizer_path("byte_bpe_50k.json"))
+    for _ in range(2):
+        for _ in range(2):
+            assert [ids.tolist() for ids, _ in big.encode(*utf8(pa.array(texts)))] == got
+        big.shrink()
+    assert big.number and [ids.tolist() for ids, _ in big.encode(*utf8(pa.array(texts[:99])))] == got[:99]
     # a tokenizer whose spaces are dropped encodes whole texts here
     other = best_fit.SpacedTokens(tokenizer_path("word_bpe_49k.json"))
     assert not other.by_word and [x.tolist() for x, _ in other.encode(*utf8(pa.array(ODD)))] == [other.tokenizer.encode(t, add_special_tokens=False).ids for t in ODD]
