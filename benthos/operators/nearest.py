@@ -7,13 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from benthos.session import materialize
 
-#: A meeting on a bit costs far less than comparing two sets: from so many a pair on, all pairs are compared.
-MEETINGS_PER_PAIR = 8
+#: A meeting on a bit is a shuffled row, a pair of packed sets in a block some nanoseconds: from so many meetings a
+#: pair on, all pairs are compared in blocks. So many meetings in all are cheap in any case.
+MEETINGS_PER_PAIR, FREE_MEETINGS = 1 / 32, 1_000_000
+#: Sets of a block at least, blocks that it takes to make them larger, and sets of a block that meet another block at once.
+BLOCK_SETS, MANY_BLOCKS, TILE_SETS = 4096, 256, 64
 #: Similarities at which queries may be settled, one round each; then whatever shares a bit.
 THRESHOLDS = (0.9, 0.75, 0.6, 0.45, 0.3, 0.15)
 
@@ -39,6 +43,115 @@ def _meets(side: DataFrame, threshold: float, name: str, near: bool) -> DataFram
     return side.select("scope", F.col("key").alias(name), n.alias(f"n{name}"), bands.alias("band"), F.explode(bits).alias("bit"))
 
 
+def costly(meetings: int, pairs: int) -> bool:
+    """Whether pairs are better compared in blocks than by the bits on which they meet."""
+    return meetings > FREE_MEETINGS and meetings >= MEETINGS_PER_PAIR * pairs
+
+
+def set_blocks(sets: DataFrame, label: str, width: int, n: int) -> DataFrame:
+    """(scope, block, label, words): distinct sets (scope, ``label``, bits) as blocks of packed bits, dealt by hash, ``n`` in all."""
+    blocks = max(1, math.ceil(n / max(BLOCK_SETS, n // MANY_BLOCKS)))
+    wide = -(-width // 64) * 64
+    kinds = dict(sets.dtypes)
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        dense = np.zeros((len(pdf), wide), np.uint8)
+        dense[np.repeat(np.arange(len(pdf)), [len(b) for b in pdf["bits"]]), np.concatenate(pdf["bits"].to_list())] = 1
+        return pd.DataFrame({"scope": pdf["scope"].iloc[:1], "block": pdf["block"].iloc[:1], label: [pdf[label].to_list()], "words": [np.packbits(dense, axis=1, bitorder="little").tobytes()]})
+
+    dealt = sets.select("scope", label, "bits", F.pmod(F.xxhash64("scope", "bits"), F.lit(blocks)).cast("int").alias("block"))
+    return materialize(dealt.groupBy("scope", "block").applyInPandas(packed, f"scope {kinds['scope']}, block int, {label} array<{kinds[label]}>, words binary"), "set-blocks")
+
+
+def unpacked(words: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The packed sets of a block, a row each, and their sizes."""
+    x = np.frombuffer(words, np.uint64).reshape(n, -1)
+    return x, np.bitwise_count(x).sum(axis=1, dtype=np.int32)
+
+
+def shared_counts(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many bits each set of x shares with each set of y."""
+    out = np.bitwise_count(x[:, None, 0] & y[None, :, 0])
+    if x.shape[1] > 3:
+        out = out.astype(np.int32)
+    for w in range(1, x.shape[1]):
+        out += np.bitwise_count(x[:, None, w] & y[None, :, w])
+    return out
+
+
+def best_in_blocks(queries: DataFrame, references: DataFrame, top: int) -> DataFrame:
+    """(scope, a, s): of each query set (scope, a, bits) the ``top`` best similarities to other sets of each block of references.
+
+    Each row of the joined blocks is one task's piece of work: a block of queries and one of
+    references, packed, some 100 KB; all pairs are compared, and none is a row.
+    """
+    width = queries.select("bits").unionByName(references.select("bits")).agg(F.max(F.array_max("bits"))).first()[0]
+    if width is None:
+        return queries.select("scope", "a", F.lit(0.0).alias("s")).limit(0)
+    left = set_blocks(queries, "a", width + 1, queries.count())
+    right = set_blocks(references.select("scope", F.lit(0).cast("tinyint").alias("b"), "bits"), "b", width + 1, references.count())
+    work = left.join(right.select("scope", "b", F.col("words").alias("others")), "scope")
+    work = work.repartition(max(1, left.count() * right.count()))
+    kinds = dict(queries.dtypes)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                x, nx = unpacked(r["words"], len(r["a"]))
+                y, ny = unpacked(r["others"], len(r["b"]))
+                best = np.zeros((len(x), min(top, len(y))))
+                for at in range(0, len(x), TILE_SETS):
+                    both = shared_counts(x[at : at + TILE_SETS], y).astype(np.int32)
+                    s = both / (nx[at : at + TILE_SETS, None] + ny[None, :] - both)
+                    s[s == 1.0] = 0.0  # the set itself
+                    best[at : at + TILE_SETS] = np.partition(s, s.shape[1] - best.shape[1], axis=1)[:, s.shape[1] - best.shape[1] :]
+                row, col = np.nonzero(best)
+                keys = pa.array(r["a"], batch.schema.field("a").type.value_type).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array([r["scope"]] * len(row), batch.schema.field("scope").type), keys, pa.array(best[row, col])], ["scope", "a", "s"])
+
+    return work.select("scope", "a", "words", "b", "others").mapInArrow(compare, f"scope {kinds['scope']}, a {kinds['a']}, s double")
+
+
+def links_in_blocks(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity), a < b: all pairs of distinct sets (id, bits) of that similarity, every block compared with every other."""
+    width = sets.agg(F.max(F.array_max("bits"))).first()[0]
+    n = sets.count()
+    blocks = set_blocks(sets.select(F.lit("").alias("scope"), "id", "bits"), "id", width + 1, n).drop("scope")
+    other = blocks.select(F.col("block").alias("block2"), F.col("id").alias("id2"), F.col("words").alias("words2"))
+    k = blocks.count()
+    work = blocks.join(other, F.col("block") <= F.col("block2")).repartition(max(1, k * (k + 1) // 2))
+    kind = dict(sets.dtypes)["id"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of_id = batch.schema.field("id").type.value_type
+            for r in batch.to_pylist():
+                x, nx = unpacked(r["words"], len(r["id"]))
+                y, ny = unpacked(r["words2"], len(r["id2"]))
+                ids, others = np.array(r["id"]), np.array(r["id2"])
+                same = r["block"] == r["block2"]
+                need = np.ceil((np.arange(nx.max() + ny.max() + 1)) * (threshold / (1 + threshold)) - 1e-9)
+                need = need.astype(np.uint8 if x.shape[1] <= 3 else np.int32)
+                out, held = [], 0
+                for at in range(0, len(x), TILE_SETS):
+                    own = nx[at : at + TILE_SETS]
+                    both = shared_counts(x[at : at + TILE_SETS], y)
+                    level, place = np.unique(own, return_inverse=True)
+                    row, col = np.nonzero(both >= need[level[:, None] + ny[None, :]][place])
+                    met = both[row, col].astype(np.int32)
+                    s = met / (own[row] + ny[col] - met)
+                    a, b = ids[at + row], others[col]
+                    keep = (s >= threshold - 1e-12) & ((a < b) if same else (a != b))
+                    out.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], s[keep]))
+                    held += int(keep.sum())
+                    if held >= 50_000 or at + TILE_SETS >= len(x):
+                        a, b, s = (np.concatenate(c) for c in zip(*out))
+                        yield pa.RecordBatch.from_arrays([pa.array(a, of_id), pa.array(b, of_id), pa.array(s, pa.float64())], ["a", "b", "similarity"])
+                        out, held = [], 0
+
+    return work.select("block", "id", "words", "block2", "id2", "words2").mapInArrow(compare, f"a {kind}, b {kind}, similarity double")
+
+
 def nearest_sets(queries: DataFrame, references: DataFrame, top: int = 1, scan: bool = False, report: list | None = None) -> DataFrame:
     """(scope, bits, best): for each distinct query set its ``top`` most similar other reference sets, as similarities.
 
@@ -48,7 +161,7 @@ def nearest_sets(queries: DataFrame, references: DataFrame, top: int = 1, scan:
     round at threshold t finds every reference of similarity t or more, so queries that have
     ``top`` of them are settled; only the others go on to a lower one, and at last all that
     shares a bit is looked at. ``scan`` allows what is left of a stated query set to be
-    compared with all references at once where bits would bring several meetings a pair.
+    compared with all references, block by block, where meetings on bits would cost more.
     ``report`` receives (threshold, queries open, pairs compared) per round; a threshold of
     None is such a scan.
     """
@@ -75,10 +188,10 @@ def nearest_sets(queries: DataFrame, references: DataFrame, top: int = 1, scan:
             per = ["scope", "bit", "band"]
             meetings = left.groupBy(*per).agg(F.count("*").alias("x")).join(right.groupBy(*per).agg(F.count("*").alias("y")), per).agg(F.sum(F.col("x") * F.col("y"))).first()[0] or 0
             pairs = open_.groupBy("scope").agg(F.count("*").alias("x")).join(per_scope, "scope").agg(F.sum(F.col("x") * F.col("n_refs"))).first()[0] or 0
-            whole = None if meetings >= MEETINGS_PER_PAIR * pairs else threshold
+            whole = None if costly(meetings, pairs) else threshold
         sides = [df.select("scope", F.col("key").alias(k), F.col("bits").alias(f"bits_{k}")) for df, k in ((open_, "a"), (refs, "b"))]
         if whole is None:
-            compared = sides[0].join(sides[1], "scope").where("a <> b")  # a stated query set against all of its scope
+            found = materialize(best_in_blocks(sides[0].withColumnRenamed("bits_a", "bits"), sides[1].withColumnRenamed("bits_b", "bits"), top), "nearest-blocks")
         else:
             larger = F.greatest("na", "nb")
             met = left.join(right, ["scope", "bit", "band"]).where("a <> b").where(F.least("na", "nb") >= larger * threshold - 1e-9)
@@ -86,13 +199,13 @@ def nearest_sets(queries: DataFrame, references: DataFrame, top: int = 1, scan:
             met = met.where(F.col("k") >= F.least(F.lit(COMMON), F.ceil(F.col("larger") * threshold - 1e-9))).select("scope", "a", "b")
             met = materialize(met, "nearest-met")
             compared = met.join(sides[0], ["scope", "a"]).join(sides[1], ["scope", "b"])
-        both = F.size(F.array_intersect("bits_a", "bits_b"))
-        s = both / (F.size("bits_a") + F.size("bits_b") - both)
-        found = compared.select("scope", "a", s.alias("s")).where((F.col("s") >= (threshold if whole is not None else 0.0) - 1e-12) & (F.col("s") > 0))
+            both = F.size(F.array_intersect("bits_a", "bits_b"))
+            s = both / (F.size("bits_a") + F.size("bits_b") - both)
+            found = compared.select("scope", "a", s.alias("s")).where((F.col("s") >= threshold - 1e-12) & (F.col("s") > 0))
         found = found.groupBy("scope", F.col("a").alias("key")).agg(best.alias("best"))
         now = materialize(open_.join(found, ["scope", "key"], "left").withColumn("best", F.coalesce("best", F.array().cast("array<double>"))), "nearest-found")
         if report is not None:
-            report.append((whole, n_open, compared.count()))
+            report.append((whole, n_open, pairs if whole is None else met.count()))
         done = F.lit(True) if whole is None or threshold == 0 else F.size("best") >= top
         part = now.where(done).select("scope", "bits", "best")
         settled = part if settled is None else settled.unionByName(part)

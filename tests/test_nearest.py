@@ -73,3 +73,23 @@ def test_nearest_points_by_cells(spark, monkeypatch):
     assert N.nearest_points(lone, lone, ["a", "b"]).count() == 0 and N.nearest_points(lone, df.where("false"), ["a"]).count() == 0
     same = spark.createDataFrame([(i, 1.0) for i in range(300)], "id int, a double")
     assert {r.distance for r in N.nearest_points(same, same, ["a"]).collect()} == {0.0}
+
+
+def dense_prints(n, width):
+    rnd = random.Random(11)
+    return {i: sorted(x for x in range(width) if rnd.random() < 0.5) for i in range(n)}
+
+
+def test_dense_prints_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_SETS", 100)
+    monkeypatch.setattr(N, "FREE_MEETINGS", 0)
+    bits = dense_prints(600, 70) | {600: [], 620: [1], 640: [1]}
+    packed = spark.createDataFrame(list(bits.items()), "id int, bits array<int>").select("id", Y.pack(F.col("bits"), 70).alias("words"))
+    report = []
+    got = {r.query_id: (r.max_similarity, r.top_mean) for r in Y.best_other_tanimoto(packed.where("id % 20 = 0").withColumnRenamed("id", "query_id"), packed, 5, report).collect()}
+    assert report[0][0] is None and len(report) == 1  # no round that meets on bits
+    sets = {i: set(b) for i, b in bits.items()}
+    for q in range(0, 600, 20):
+        best = sorted((tanimoto(sets[q], x) for i, x in sets.items() if i != q), reverse=True)
+        assert got[q] == (pytest.approx(best[0]), pytest.approx(sum(best[:5]) / 5))
+    assert got[600] == (0.0, 0.0) and got[620][0] == got[640][0] == 1.0
