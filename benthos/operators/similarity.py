@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from benthos.operators import splits as P
 from benthos.operators.graph import connected_components
-from benthos.operators.nearest import nearest_sets, nearest_train
+from benthos.operators.nearest import costly, links_in_blocks, nearest_sets, nearest_train
 from benthos.operators.ranks import range_rank
 from benthos.session import materialize
 
@@ -88,7 +88,8 @@ def similar_links(fps: DataFrame, threshold: float) -> DataFrame:
     is wide). Exact prefix filter: with t the threshold, a set of n bits shares one of its first
     n - ceil(t n) + 1 bits with any partner, and so does the partner. Pairs meet on such a bit
     and a band of sizes only, must have enough bits from there on for the overlap that the
-    threshold asks for, and are confirmed on all bits.
+    threshold asks for, and are confirmed on all bits. Where bits are so common that such
+    meetings cost more than comparing blocks of packed sets does, all pairs are compared so.
     """
     fps = fps.select("id", F.array_sort("bits").alias("bits")).where(F.size("bits") > 0)
     classes = materialize(fps.groupBy("bits").agg(F.min("id").alias("id"), F.count("*").alias("k")), "fingerprints")
@@ -106,6 +107,10 @@ def similar_links(fps: DataFrame, threshold: float) -> DataFrame:
     left = keys.select("bit", "band", F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"))
     near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
     right = keys.select("bit", near.alias("band"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"))
+    per = ["bit", "band"]
+    meetings = left.groupBy(*per).agg(F.count("*").alias("x")).join(right.groupBy(*per).agg(F.count("*").alias("y")), per).agg(F.sum(F.col("x") * F.col("y"))).first()[0] or 0
+    if costly(meetings, classes.count() ** 2):
+        return links_in_blocks(classes.select("id", "bits"), threshold).unionByName(copies)
     need = (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9
     fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
     met = left.join(right, ["bit", "band"]).where(fits).select("a", "b").distinct()
@@ -133,7 +138,8 @@ def butina_clusters(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     within two steps can be picked at once with all others that are, so a round picks many; a
     round always picks the largest of all, so the rounds end.
     """
-    edges = materialize(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "butina")
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
+    edges = materialize(pairs.select(both).select("e.a", "e.b"), "butina")
     linked = materialize(edges.select(F.col("a").alias("id")).distinct(), "butina")
     # a node without neighbours is its own cluster, whatever happens around it
     done = nodes.select("id").join(linked, "id", "left_anti").select("id", F.col("id").alias("centroid"))

@@ -93,3 +93,18 @@ def test_dense_prints_are_compared_in_blocks(spark, monkeypatch):
         best = sorted((tanimoto(sets[q], x) for i, x in sets.items() if i != q), reverse=True)
         assert got[q] == (pytest.approx(best[0]), pytest.approx(sum(best[:5]) / 5))
     assert got[600] == (0.0, 0.0) and got[620][0] == got[640][0] == 1.0
+
+
+def test_links_of_dense_prints_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_SETS", 100)
+    monkeypatch.setattr(N, "FREE_MEETINGS", 0)
+    bits = dense_prints(300, 20) | {301: [], 302: [3], 303: [3]}
+    df = spark.createDataFrame(list(bits.items()), "id long, bits array<int>")
+    got = {(r.a, r.b): r.similarity for r in Y.similar_links(df, 0.65).collect()}
+    first = {}
+    for i, b in sorted(bits.items()):
+        if b:
+            first.setdefault(tuple(b), i)
+    reps = [(i, set(b)) for b, i in first.items()]
+    want = {(i, j): tanimoto(x, y) for i, x in reps for j, y in reps if i < j and tanimoto(x, y) >= 0.65 - 1e-12}
+    assert got == want | {(first[tuple(b)], i): 1.0 for i, b in bits.items() if b and first[tuple(b)] != i}
