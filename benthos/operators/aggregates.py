@@ -23,10 +23,10 @@ def robust_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Per group: n, median, median absolute deviation, mean, population deviation."""
     rows = materialize(rows.select(*keys, value), "robust")  # read three times below
     most = largest_group(rows, keys, value)
-    first = quantiles(rows, keys, value, {"qc_median": 0.5}, F.count(value).alias("qc_n"), F.avg(value).alias("qc_mean"), F.stddev_pop(value).alias("qc_std"), largest=most)
+    first = quantiles(rows, keys, value, {"qc_median": 0.5}, F.count(value).alias("qc_n"), F.avg(value).alias("qc_mean"), F.stddev_pop(value).alias("qc_std"), largest=most, written=True)
     first = materialize(first, "robust-median")
     off = null_safe_join(rows, first.select(*keys, "qc_median"), keys).withColumn("__off", F.abs(F.col(value) - F.col("qc_median")))
-    return null_safe_join(first, quantiles(off, keys, "__off", {"qc_mad": 0.5}, largest=most), keys)
+    return null_safe_join(first, quantiles(off, keys, "__off", {"qc_mad": 0.5}, largest=most, written=True), keys)
 
 
 def robust_screen(rows: DataFrame, keys: list[str], value: str, min_n: int = 50, limit: float = 4.0, stats: DataFrame | None = None) -> DataFrame:
@@ -53,7 +53,7 @@ def recency_weights(rows: DataFrame, keys: list[str], year: str) -> DataFrame:
 def reference_merge(rows: DataFrame, keys: list[str], value: str, reference: str, test: str, conflict_above: float = 0.3) -> DataFrame:
     """Two levels: median per (reference, test), then weighted mean, deviation, range and conflict flag per key."""
     rows = materialize(rows.select(*keys, value, reference, test, "reference_weight"), "merge")  # read three times below
-    raw = quantiles(rows, keys, value, {"unweighted_median": 0.5}, F.count(value).alias("n_rows"), F.countDistinct(reference).alias("n_references"), F.countDistinct(test).alias("n_tests"))
+    raw = quantiles(rows, keys, value, {"unweighted_median": 0.5}, F.count(value).alias("n_rows"), F.countDistinct(reference).alias("n_references"), F.countDistinct(test).alias("n_tests"), written=True)
     unit_keys = [*keys, reference, test]
     units = rows.groupBy(*unit_keys).agg(F.percentile(value, 0.5).alias("u"), F.avg("reference_weight").alias("w"))
     total, plain = F.sum("w"), F.avg("u")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from benthos.functions.text_rules import hash_bin
 from benthos.operators.ranks import deal_ranges, global_rank, null_safe_join, quantiles, range_rank, range_scan
 from benthos.operators.splits import hash_key
+from benthos.session import materialize
 
 GLOBAL = "__global__"
 MODES = ("none", "identity", "global", "per_task", "per_target", "per_task_target", "per_adapter", "per_task_adapter")
@@ -227,7 +228,8 @@ def task_filter(rows: DataFrame, head: str, train: Column, minima: tuple[int, in
 
 def reference_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, n, median): what a request with these keys is told."""
-    return quantiles(rows, keys, value, {"median": 0.5}, F.count(value).alias("n"))
+    rows = materialize(rows.select(*keys, value), "reference")  # read several times
+    return quantiles(rows, keys, value, {"median": 0.5}, F.count(value).alias("n"), written=True)
 
 
 def support_counts(reference: DataFrame, task: list[str], species: str) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from benthos.session import materialize
 
-#: Rows that one rank bucket is sized for, and rows of a group up to which one aggregate holds its values.
-BUCKET_ROWS, GROUP_ROWS = 50_000, 1_000_000
+#: Rows that one rank bucket is sized for, and rows of a group up to which one aggregate holds its values (some 100
+#: bytes each, of many groups in one task).
+BUCKET_ROWS, GROUP_ROWS = 50_000, 100_000
 
 
 def null_safe_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -103,42 +104,78 @@ def largest_group(rows: DataFrame, keys: list[str], value: str) -> int:
     return rows.groupBy(*keys).agg(F.count(value).alias("n")).agg(F.max("n")).first()[0] or 0
 
 
-def quantiles(rows: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], *more: Column, largest: int | None = None) -> DataFrame:
+def quantiles(rows: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], *more: Column, largest: int | None = None, written: bool = False) -> DataFrame:
     """Per group: exact interpolated quantiles of ``value`` by name, and further aggregates.
 
     Groups of up to GROUP_ROWS rows are one aggregate each. If any group is larger, all go
-    through counts instead: values are cut into equal-width cells between the group's ends, the
-    counts tell which cells hold the wanted ranks, and only these cells' values are looked at,
-    counted per distinct value. A group without values has null quantiles. ``largest``: the size
-    of the largest group, if it is known already.
+    through counts instead (see ``counted_quantiles``). A group without values has null
+    quantiles. ``largest``: the size of the largest group, if it is known already; ``written``:
+    the rows are read from a table, not made anew each time.
     """
+    slim = rows if written else materialize(rows.select(*keys, value), "quantile-rows")
     if largest is None:
-        largest = largest_group(rows, keys, value)
+        largest = largest_group(slim, keys, value)
+    rows = rows if more else slim
     if largest <= GROUP_ROWS:
         exact = [F.percentile(value, p).alias(name) for name, p in probabilities.items()]
         return rows.groupBy(*keys).agg(*exact, *more) if keys else rows.agg(*exact, *more)
-    return counted_quantiles(rows, keys, value, probabilities, *more, cells=max(1024, largest // BUCKET_ROWS))
+    return counted_quantiles(rows, keys, value, probabilities, *more, scan=slim)
 
 
-def counted_quantiles(rows: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], *more: Column, cells: int = 1024) -> DataFrame:
-    """``quantiles`` by counts per cell, whatever the size of the groups."""
-    ends = rows.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.count(value).alias("__n"), *more)
+def counted_quantiles(rows: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], *more: Column, cells: int = 1024, few: int | None = None, scan: DataFrame | None = None) -> DataFrame:
+    """``quantiles`` by counts per cell, whatever the size of the groups.
+
+    The stretch between a group's ends is cut into equal-width cells; the counts tell which
+    cells hold the wanted ranks, and each of these, between the ends of its own values, is cut
+    in the next round. Once a stretch holds one value or ``few`` rows, its distinct values are
+    counted. Only counts are shuffled before that, and no aggregate holds more than cells.
+    ``scan``: the same rows from a table, for what reads them several times.
+    """
+    scan = rows if scan is None else scan
+    few = BUCKET_ROWS if few is None else few
     x = F.col(value)
-    cell = F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor((x - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * cells), F.lit(cells - 1))).otherwise(0)
-    counts = null_safe_join(rows.where(x.isNotNull()), ends.select(*keys, "__lo", "__hi", "__n"), keys).groupBy(*keys, "__n", cell.alias("__c"), value).agg(F.count("*").alias("__k"))
-    counts = materialize(counts, "quantiles")
-    sizes = counts.groupBy(*keys, "__n", "__c").agg(F.sum("__k").alias("__s"))
-    upto = F.sum("__s").over(Window.partitionBy(*keys).orderBy("__c"))
-    named = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, p in probabilities.items()])
-    wanted = sizes.withColumn("__u", upto).withColumn("__q", F.explode(named))
+    finite = F.when(~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")), x)
+    ends = [F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.min(finite).alias("__a"), F.max(finite).alias("__b")]
+    groups = materialize(rows.groupBy(*keys).agg(*ends, F.count(value).alias("__n"), *more), "quantile-groups")
+    named = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, p in probabilities.items()]))
     at = F.col("__q.p") * (F.col("__n") - 1)
-    ranks = F.array(F.struct(F.floor(at).alias("r"), (1 - (at - F.floor(at))).alias("w")), F.struct(F.ceil(at).alias("r"), (at - F.floor(at)).alias("w")))
-    wanted = wanted.withColumn("__r", F.explode(ranks)).where("__r.r < __u and __r.r >= __u - __s")
-    wanted = wanted.select(*keys, "__c", F.col("__q.name").alias("__name"), (F.col("__r.r") - (F.col("__u") - F.col("__s"))).alias("__at"), F.col("__r.w").alias("__w"))
-    inside = F.sum("__k").over(Window.partitionBy(*keys, "__c").orderBy(value))
-    needed = null_safe_join(counts, wanted.select(*keys, "__c").distinct().withColumn("__need", F.lit(True)), [*keys, "__c"]).where("__need")
-    values = needed.withColumn("__v", inside)
-    found = null_safe_join(wanted, values.select(*keys, "__c", value, "__v", "__k"), [*keys, "__c"]).where("__at < __v and __at >= __v - __k")
-    parts = found.groupBy(*keys).agg(*[F.sum(F.when((F.col("__name") == n) & (F.col("__w") > 0), F.col(value) * F.col("__w"))).alias(n) for n in probabilities])
-    out = null_safe_join(ends, parts, keys) if keys else ends.crossJoin(parts)  # one row by one row
-    return out.drop("__lo", "__hi", "__n")
+    ranks = F.explode(F.array(F.struct(F.floor(at).alias("r"), (1 - (at - F.floor(at))).alias("w")), F.struct(F.ceil(at).alias("r"), (at - F.floor(at)).alias("w"))))
+    stretch = [*keys, "__lo", "__hi", "__a", "__b", "__n"]
+    # of each wanted rank: the stretch of values that it lies in, and its place there
+    wanted = groups.where("__n > 0").withColumn("__q", named).withColumn("__r", ranks).where("__r.w > 0")
+    wanted = materialize(wanted.select(*stretch, F.col("__q.name").alias("__name"), F.col("__r.r").alias("__at"), F.col("__r.w").alias("__w")), "quantile-ranks")
+
+    def inside(stretches: DataFrame) -> DataFrame:
+        """Each row with the stretches of its group that it lies in."""
+        on = (x >= F.col("__lo")) & (x <= F.col("__hi"))
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+        return scan.select(*keys, value).join(stretches.withColumnsRenamed({k: f"__k_{k}" for k in keys}), on).drop(*[f"__k_{k}" for k in keys])
+
+    share = (x / 2 - F.col("__a") / 2) / (F.col("__b") / 2 - F.col("__a") / 2)
+    cell = F.when(x < F.coalesce("__a", x), -1).when(F.col("__a").isNull() | (x > F.col("__b")), F.when(F.isnan(x), cells + 1).when(x < 0, -1).otherwise(cells)).when(F.col("__b") > F.col("__a"), F.least(F.floor(F.coalesce(share, F.lit(0.0)) * cells), F.lit(cells - 1))).otherwise(0)
+    left = None
+    while True:
+        wide = (F.col("__n") > few) & (F.col("__lo") < F.col("__hi"))
+        now = wanted.where(wide).agg(F.count("*"), F.sum("__n")).first()
+        if not now[0] or now == left:  # nothing is wide, or nothing can be cut further
+            break
+        left = now
+        spots = wanted.where(wide).select(*stretch).distinct()
+        counts = inside(spots).groupBy(*keys, F.col("__lo").alias("__from"), F.col("__hi").alias("__to"), cell.alias("__c")).agg(*ends, F.count("*").alias("__n"))
+        upto = F.sum("__n").over(Window.partitionBy(*keys, "__from", "__to").orderBy("__c"))
+        counts = counts.withColumn("__u", upto)
+        of = wanted.where(wide).select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__lo").alias("__l"), F.col("__hi").alias("__h"), "__name", "__at", "__w")
+        on = (F.col("__from") == F.col("__l")) & (F.col("__to") == F.col("__h")) & (F.col("__at") < F.col("__u")) & (F.col("__at") >= F.col("__u") - F.col("__n"))
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+        cut = counts.join(of, on).select(*stretch, "__name", (F.col("__at") - (F.col("__u") - F.col("__n"))).alias("__at"), "__w")
+        wanted = materialize(wanted.where(~wide).unionByName(cut), "quantile-ranks")
+    one = wanted.where("__lo = __hi").select(*keys, "__name", "__w", F.col("__lo").alias("__v"))
+    open_ = wanted.where("__lo < __hi")
+    counts = inside(open_.select(*keys, "__lo", "__hi").distinct()).groupBy(*keys, "__lo", "__hi", value).agg(F.count("*").alias("__k"))
+    counts = counts.withColumn("__u", F.sum("__k").over(Window.partitionBy(*keys, "__lo", "__hi").orderBy(value)))
+    found = null_safe_join(open_, counts.select(*keys, "__lo", "__hi", value, "__u", "__k"), [*keys, "__lo", "__hi"]).where("__at < __u and __at >= __u - __k")
+    parts = one.unionByName(found.select(*keys, "__name", "__w", x.alias("__v"))).groupBy(*keys).agg(*[F.sum(F.when(F.col("__name") == n, F.col("__v") * F.col("__w"))).alias(n) for n in probabilities])
+    out = null_safe_join(groups, parts, keys) if keys else groups.crossJoin(parts)  # one row by one row
+    return out.drop("__lo", "__hi", "__a", "__b", "__n")

@@ -181,6 +181,17 @@ def test_quantiles_by_counts_are_exact(spark):
     assert R.quantiles(df.where("false"), [], "v", {"m": 0.5}).first().m is None
 
 
+def test_counted_quantiles_cut_cells_again(spark):
+    rnd = random.Random(5)
+    odd = [float("inf"), float("-inf"), float("nan"), 1e308, -1e308]
+    rows = [("tight", 1 + rnd.random() * 1e-9) for _ in range(900)] + [("tight", 1e9)] + [("ties", 7.0)] * 900 + [("ties", float(i)) for i in range(20)] + [("odd", rnd.gauss(0, 1)) for _ in range(200)] + [("odd", x) for x in odd]
+    df = spark.createDataFrame(rows, "g string, v double")
+    p = {"q1": 0.25, "q2": 0.5, "q9": 0.9}
+    got = {r.g: [r[c] for c in p] for r in R.counted_quantiles(df, ["g"], "v", p, cells=8, few=10).collect()}
+    exact = {r.g: [r[c] for c in p] for r in df.groupBy("g").agg(*[F.percentile("v", q).alias(n) for n, q in p.items()]).collect()}
+    assert got == {g: pytest.approx(v, rel=1e-15) for g, v in exact.items()}
+
+
 def test_ranks_within_groups_and_mean_ranks(spark, monkeypatch):
     monkeypatch.setattr(R, "BUCKET_ROWS", 5)
     d = spark.range(300).select("id", F.when(F.col("id") % 7 != 0, F.col("id") % 2).alias("g")).withColumn("k", P.hash_key(1, "id"))
