@@ -114,19 +114,42 @@ def concentration(value: Column, unit: Column) -> tuple[Column, Column, Column,
     return F.when(known, number * factor), F.when(known, std), F.when(known, family).otherwise("other"), status
 
 
-def with_concentration(df: DataFrame, value: str, unit: str, name: str) -> DataFrame:
-    """Adds struct ``name`` (value, unit, family, status) as ``concentration`` gives them; units are read once per distinct text."""
+def as_number(df: DataFrame, value: str) -> Column:
+    """``lenient_number`` of a column; a double is what its own text says, and is not written out for that."""
+    return finite(F.col(value)) if dict(df.dtypes)[value] == "double" else lenient_number(F.col(value))
+
+
+def with_concentrations(df: DataFrame, values: dict[str, str], unit: str) -> DataFrame:
+    """Adds a struct (value, unit, family, status) per name -> column of values, as ``concentration`` gives them; units are read once per distinct text."""
     def rule(codes: DataFrame) -> DataFrame:
         c = codes.withColumn("__key", unit_text(F.col(unit)))
         compact = F.replace("__key", F.lit(" "), F.lit(""))
         return c.withColumns({f"__{n}": lookup(compact, {r[0]: r[i] for r in CONCENTRATION_ROWS}, kind) for n, i, kind in (("factor", 3, "double"), ("std", 1, "string"), ("family", 2, "string"))})
 
-    d = by_distinct(df, [unit], rule).withColumn("__number", lenient_number(F.col(value)))
-    number, factor = F.col("__number"), F.col("__factor")
-    known = number.isNotNull() & factor.isNotNull()
-    status = F.when(number.isNull(), "missing").when(F.col("__key") == "", "missing_unit").when(factor.isNull(), "unrecognized_unit").otherwise("standardized")
-    out = F.struct((number * factor).alias("value"), F.when(known, F.col("__std")).alias("unit"), F.when(known, F.col("__family")).otherwise("other").alias("family"), status.alias("status"))
-    return d.withColumn(name, out).drop("__key", "__factor", "__std", "__family", "__number")
+    d = by_distinct(df, [unit], rule).withColumns({f"__number_{name}": as_number(df, value) for name, value in values.items()})
+    factor, out = F.col("__factor"), {}
+    for name in values:
+        number = F.col(f"__number_{name}")
+        known = number.isNotNull() & factor.isNotNull()
+        status = F.when(number.isNull(), "missing").when(F.col("__key") == "", "missing_unit").when(factor.isNull(), "unrecognized_unit").otherwise("standardized")
+        out[name] = F.struct((number * factor).alias("value"), F.when(known, F.col("__std")).alias("unit"), F.when(known, F.col("__family")).otherwise("other").alias("family"), status.alias("status"))
+    return d.withColumns(out).drop("__key", "__factor", "__std", "__family", *[f"__number_{name}" for name in values])
+
+
+def with_concentration(df: DataFrame, value: str, unit: str, name: str) -> DataFrame:
+    return with_concentrations(df, {name: value}, unit)
+
+
+def with_durations(df: DataFrame, value: str, unit: str, scales: dict[str, float] | None = None, digits: int = 6) -> DataFrame:
+    """Adds a struct (hours, status) per name -> factor of the value, hours rounded; worked out once per distinct value and unit."""
+    def rule(codes: DataFrame) -> DataFrame:
+        out = {}
+        for name, scale in (scales or {"duration_h": None}).items():
+            hours, status = duration_hours(F.col(value) if scale is None else (F.col(value) * scale).cast("string"), F.col(unit))
+            out[name] = F.struct(F.round(hours, digits).alias("hours"), status.alias("status"))
+        return codes.withColumns(out)
+
+    return by_distinct(df, [value, unit], rule)
 
 
 def publication_year(c: Column) -> Column:

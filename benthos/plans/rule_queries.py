@@ -57,8 +57,8 @@ FROM k LEFT JOIN (VALUES {HOUR_ROWS}) h(u, f) ON h.u = k.u"""
 
 @query("b06_duration_hours", B06)
 def _(t):
-    hours, status = T.duration_hours(F.col("number_text"), F.col("duration_unit"))
-    return over_results(t).select("result_id", F.round(hours, 6).alias("hours"), status.alias("status"))
+    d = T.with_durations(over_results(t).select("result_id", "number_text", "duration_unit"), "number_text", "duration_unit")
+    return d.select("result_id", "duration_h.hours", "duration_h.status")
 
 
 @query("b07_short_duration", f"""WITH r AS ({RESULTS}), h AS (SELECT result_id, duration * CASE lower(trim(duration_unit)) WHEN 'h' THEN 1.0 WHEN 'd' THEN 24.0 WHEN 'min' THEN 1.0 / 60 END AS h FROM r) SELECT result_id, round(h, 9) AS hours, round(ln(1 + h), 9) AS log_hours FROM h""")
@@ -74,8 +74,8 @@ FROM k LEFT JOIN (VALUES {CONC_ROWS}) c(u, std, fam, f) ON c.u = replace(k.u, '
 
 @query("b08_concentration", B08)
 def _(t):
-    v, u, f, s = T.concentration(F.col("number_text"), F.col("raw_unit"))
-    return over_results(t).select("result_id", v.alias("value"), u.alias("unit"), f.alias("family"), s.alias("status"))
+    d = T.with_concentration(over_results(t).select("result_id", "number_text", "raw_unit"), "number_text", "raw_unit", "c")
+    return d.select("result_id", "c.value", "c.unit", "c.family", "c.status")
 
 
 B09 = f"""WITH r AS ({RESULTS}), k AS (SELECT result_id, raw_mean, raw_min, raw_max, replace({UNIT1.format('raw_unit')}, ' ', '') AS u FROM r)
@@ -86,12 +86,13 @@ FROM k LEFT JOIN (VALUES {CONC_ROWS}) c(u, std, fam, f) ON c.u = k.u"""
 
 @query("b09_result_standardization", B09)
 def _(t):
-    cols = {n: T.concentration(F.col(f"raw_{n}").cast("string"), F.col("raw_unit")) for n in ("mean", "min", "max")}
-    families = [c[2] for c in cols.values()]
+    names = ("mean", "min", "max")
+    d = T.with_concentrations(over_results(t).select("result_id", "raw_unit", *[f"raw_{n}" for n in names]), {n: f"raw_{n}" for n in names}, "raw_unit")
+    families = [F.col(f"{n}.family") for n in names]
     family = F.coalesce(*[F.when(f != "other", f) for f in families], F.lit("other"))
-    ok = F.array(*[c[3] for c in cols.values()])
+    ok = F.array(*[F.col(f"{n}.status") for n in names])
     status = F.when(F.array_contains(ok, "standardized"), "standardized").otherwise(F.array_min(F.filter(ok, lambda s: s != "missing")))
-    return over_results(t).select("result_id", *[c[0].alias(f"{n}_std") for n, c in cols.items()], family.alias("family"), F.coalesce(*[c[1] for c in cols.values()]).alias("unit"), status.alias("status"))
+    return d.select("result_id", *[F.col(f"{n}.value").alias(f"{n}_std") for n in names], family.alias("family"), F.coalesce(*[F.col(f"{n}.unit") for n in names]).alias("unit"), status.alias("status"))
 
 
 B10 = f"""WITH r AS ({RESULTS}), k AS (SELECT result_id, duration AS d, {UNIT1.format('duration_unit')} AS u FROM r)
@@ -101,8 +102,9 @@ FROM k LEFT JOIN (VALUES {HOUR_ROWS}) h(u, f) ON h.u = k.u"""
 
 @query("b10_test_durations", B10)
 def _(t):
-    each = {n: T.duration_hours((F.col("duration") * s).cast("string"), F.col("duration_unit")) for n, s in (("mean", 1.0), ("min", 0.5), ("max", 2.0))}
-    return over_results(t).select("result_id", *[F.round(h, 6).alias(f"{n}_h") for n, (h, _) in each.items()], F.coalesce(*[F.nullif(s, F.lit("missing")) for _, s in each.values()], F.lit("missing")).alias("status"))
+    scales = {"mean": 1.0, "min": 0.5, "max": 2.0}
+    d = T.with_durations(over_results(t).select("result_id", "duration", "duration_unit"), "duration", "duration_unit", scales)
+    return d.select("result_id", *[F.col(f"{n}.hours").alias(f"{n}_h") for n in scales], F.coalesce(*[F.nullif(F.col(f"{n}.status"), F.lit("missing")) for n in scales], F.lit("missing")).alias("status"))
 
 
 MEDIUM = f"""m0 AS (SELECT *, replace(lower(trim(coalesce(habitat, ''))), '_', '-') AS h, regexp_replace(upper(trim(coalesce(media_type, ''))), '[/*]+$', '') AS m, regexp_replace(upper(trim(coalesce(exposure_type, ''))), '[/*]+$', '') AS e FROM r),
