@@ -322,9 +322,10 @@ def slice_query(t):
     from benthos.functions.text_rules import with_concentration
     from benthos.operators.aggregates import robust_stats
 
-    d = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    # what depends on a line alone is read before the joins
     unit = F.element_at(F.array(F.lit("ug/L"), F.lit("mg/L"), F.lit("g/L")), (F.col("l_linenumber") % 3 + 1).cast("int"))
-    d = with_concentration(d.select("p_type", "o_orderpriority", "p_retailprice", F.col("l_extendedprice").cast("string").alias("raw"), unit.alias("unit")), "raw", "unit", "c")
+    lines = with_concentration(t("lineitem").select("l_orderkey", "l_partkey", F.col("l_extendedprice").alias("raw"), unit.alias("unit")), "raw", "unit", "c")
+    d = lines.select("l_orderkey", "l_partkey", "c").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
     x = d.select("p_type", "o_orderpriority", (-F.log10(F.col("c.value") / 1000 / F.col("p_retailprice"))).alias("x"))
     return robust_stats(x, ["p_type", "o_orderpriority"], "x").select("p_type", "o_orderpriority", F.col("qc_n").alias("n"), F.round("qc_median", 6).alias("median_target"), F.round("qc_mean", 6).alias("mean_target"), F.round("qc_mad", 6).alias("mad"))
 
