@@ -103,17 +103,20 @@ def tabular_encoding(rows: DataFrame, train: Column, numbers: list[str], categor
     levels = counts.select(category, F.when(F.col("__k") >= F.greatest(F.lit(2), F.ceil(F.lit(n * 0.01))), F.col(category).cast("string")).otherwise("<rare>").alias("__level"))
     names = [r[0] for r in levels.select("__level").distinct().orderBy("__level").limit(most_levels + 1).collect()]
     d = rows.join(levels, category, "left")
-    values = {c: F.coalesce(F.col(c).cast("double"), F.lit(float(fill[c] or 0.0))) for c in numbers}
+    plain = [F.coalesce(F.col(c).cast("double"), F.lit(float(fill[c] or 0.0))) for c in numbers]
     if len(names) <= most_levels:
-        hot = {f"{category}={x}": F.coalesce((F.col("__level") == x).cast("double"), F.lit(0.0)) for x in names}
+        hot, columns = F.array_position(F.array(*map(F.lit, names)).cast("array<string>"), F.col("__level")) - 1, [f"{category}={x}" for x in names]
     else:
-        hot = {f"{category}#{i}": F.coalesce((hash_bin(F.col(category).cast("string"), bins) == i).cast("double"), F.lit(0.0)) for i in range(bins)}
-    values |= hot
-    values = {k: F.lit(0.0) if k in masked or category in masked and k in hot else v for k, v in values.items()}
-    wide = d.select(key, train.alias("__train"), *[v.alias(f"f{i}") for i, v in enumerate(values.values())])
+        hot, columns = hash_bin(F.col(category).cast("string"), bins), [f"{category}#{i}" for i in range(bins)]
+    # written with one column for all levels, so that rules are run once a row, not once a column
+    slim = materialize(d.select(key, train.alias("__train"), hot.alias("__hot"), *[x.alias(f"n{i}") for i, x in enumerate(plain)]), "tabular")
+    values = {c: F.col(f"n{i}") for i, c in enumerate(numbers)} | {c: F.coalesce((F.col("__hot") == i).cast("double"), F.lit(0.0)) for i, c in enumerate(columns)}
+    values = {k: F.lit(0.0) if k in masked or category in masked and k in columns else v for k, v in values.items()}
+    wide = slim.select(key, "__train", *[v.alias(f"f{i}") for i, v in enumerate(values.values())])
     ends = wide.where("__train").agg(*[(F.min(f"f{i}") < F.max(f"f{i}")).alias(f"f{i}") for i in range(len(values))]).first()
     kept = [i for i in range(len(values)) if ends[i]]
-    return wide.select(key, F.array(*[F.col(f"f{i}") for i in kept]).cast("array<double>").alias("features")), [list(values)[i] for i in kept]
+    out = wide.select(key, F.array(*[F.col(f"f{i}") for i in kept]).cast("array<double>").alias("features"))
+    return materialize(out, "tabular-features"), [list(values)[i] for i in kept]  # read entry by entry
 
 
 def task_weights(train: DataFrame, head: str, group: str, bases: dict[str, float], exponent: float = 0.5, low: float = 0.25, high: float = 4.0, manual: dict[str, float] | None = None) -> DataFrame:

@@ -377,6 +377,14 @@ def test_encoder_drops_constants_and_hashes_many_levels(spark):
     assert B.ablation_masks({"numeric": ["a"], "fingerprint": ["v"]}, "no_fingerprint", ("b",)) == {"v", "b"}
 
 
+def test_encoder_hashes_a_level_once(spark):
+    d = spark.createDataFrame([(i, f"n{i % 40}") for i in range(400)], "id int, c string")
+    x, names = B.tabular_encoding(d, F.lit(True), [], "c", "id", bins=8)
+    shown = x.select("id", F.transform(F.sequence(F.lit(1), F.lit(len(names))), lambda i: F.element_at("features", i)).alias("f"))
+    assert "md5" not in shown._jdf.queryExecution().optimizedPlan().toString()  # entries are read, not computed for each reader
+    assert all(sum(r.f) <= 1 for r in shown.collect())
+
+
 def test_leverage_with_components_against_numpy(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(60, 7)) @ rng.normal(size=(7, 7))
