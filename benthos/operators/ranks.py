@@ -71,18 +71,24 @@ def range_scan(dealt: DataFrame, group: list[str], order: list[Column], **scans:
     name=(kind, value, side): kind sum, max or min; side before (up to the row, itself included),
     after (from the row on) or all. Values run within each range, and what other ranges of the
     group contribute comes from a table of one row per group and range; null values are skipped.
+    Spark computes a frame that ends with the partition anew for every row, so what runs from the
+    end runs over the rows' numbers in falling order.
     """
     folds = {"sum": F.sum, "max": F.max, "min": F.min}
     both = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": F.greatest, "min": F.least}
     here = Window.partitionBy(*group, "__range").orderBy(*order)
     there = Window.partitionBy(*group).orderBy("__range")
-    first, end = Window.unboundedPreceding, Window.unboundedFollowing
-    rows = {"before": (here.rowsBetween(first, 0), there.rowsBetween(first, -1)), "after": (here.rowsBetween(0, end), there.rowsBetween(1, end))}
+    first = Window.unboundedPreceding
+    falling = Window.partitionBy(*group, "__range").orderBy(F.col("__nth").desc()).rowsBetween(first, 0)
+    back = Window.partitionBy(*group).orderBy(F.col("__range").desc())
+    rows = {"before": (here.rowsBetween(first, 0), there.rowsBetween(first, -1)), "after": (falling, back.rowsBetween(first, -1))}
     per = dealt.groupBy(*group, "__range").agg(*[folds[k](v).alias(f"__{n}") for n, (k, v, _) in scans.items()])
     carried = [(folds[k](f"__{n}").over(Window.partitionBy(*group)) if side == "all" else folds[k](f"__{n}").over(rows[side][1])).alias(f"__{n}") for n, (k, _, side) in scans.items()]
     met = null_safe_join(dealt, per.select(*group, "__range", *carried), [*group, "__range"])
+    if any(side == "after" for _, _, side in scans.values()):
+        met = met.withColumn("__nth", F.row_number().over(here))
     own = {n: F.col(f"__{n}") if side == "all" else both[k](F.col(f"__{n}"), folds[k](v).over(rows[side][0])) for n, (k, v, side) in scans.items()}
-    return met.withColumns(own).drop(*[f"__{n}" for n in scans])
+    return met.withColumns(own).drop("__nth", *[f"__{n}" for n in scans])
 
 
 def average_rank(df: DataFrame, group: str, value: str, name: str) -> DataFrame:

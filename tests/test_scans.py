@@ -63,3 +63,14 @@ def test_nearest_support_of_one_large_task(spark):
         else:
             lo, hi = np.percentile(own, [5, 95])
             assert got[i] == pytest.approx(min(1.0, max(0.0, 1 - min(abs(v - x) for x in own) / (hi - lo))))
+
+
+def test_scan_from_the_end_takes_no_frame_that_ends_with_the_partition(spark):
+    rows = [("a" if i % 3 else None, (i * 37) % 101, i) for i in range(300)]
+    dealt = ranks.deal_ranges(spark.createDataFrame(rows, "g string, v int, i int"), ["g"], [F.col("v"), F.col("i")], parts=5)
+    got = ranks.range_scan(dealt, ["g"], [F.col("v"), F.col("i")], low=("min", F.col("i"), "after"), n=("sum", F.lit(1), "before"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedfollowing" not in plan  # quadratic in the rows of a range
+    for r in got.collect():
+        own = sorted((v, i) for g, v, i in rows if g == r.g)
+        assert r.low == min(i for v, i in own if (v, i) >= (r.v, r.i)) and r.n == sum(x <= (r.v, r.i) for x in own)
