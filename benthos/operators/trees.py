@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,13 +73,68 @@ def _binned(rows: DataFrame, spec: TreeSpec) -> DataFrame:
     edges = edges.select("head", "f", F.array_sort(F.array_distinct(F.array(*probabilities))).alias("e"))
     edges = edges.groupBy("head").agg(F.map_from_entries(F.collect_list(F.struct("f", "e"))).alias("edges"))
     sizes = rows.groupBy("head").agg(F.avg(F.when(F.col("split_part") == "train", F.col("y"))).alias("base"), F.count("*").alias("__n"))
-    met = rows.join(sizes, "head").join(edges, "head", "left")  # a row per head
+    heads = materialize(sizes.join(edges, "head", "left"), "tree-edges")  # a row per head
+    met = rows.join(heads, "head")
     # a missing value goes to the lowest bin
     bin_of = F.transform("features", lambda x, i: F.coalesce(F.size(F.filter(F.element_at("edges", i), lambda e: e < x)), F.lit(0)))
     chunk = F.pmod(F.xxhash64("rid"), F.ceil(F.col("__n") / spec.chunk_rows)).cast("int")
     return met.select("head", "rid", "y", "split_part", F.transform(bin_of, lambda b: F.greatest(b, F.lit(0))).alias("bins"), "base", chunk.alias("chunk"))
 
 
+#: Rows that a task adds up at once.
+PACK_ROWS = 200_000
+
+
+def _alike(train: DataFrame, spec: TreeSpec) -> DataFrame:
+    """(head, bins, base, n, y, w, wy): a head's training rows with the same bins as one.
+
+    n counts them and y is the sum of theirs, which is all that least squares asks for; w and wy
+    are the same under each tree's weights (empty for boosting).
+    """
+    kind = dict(train.dtypes)["head"]
+    trees = range(0 if spec.boosting else spec.trees)
+
+    def added(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        lists = rows["bins"].combine_chunks()
+        lengths = np.diff(lists.offsets.to_numpy())
+        bins = np.full((len(rows), int(lengths.max())), -1)  # heads may differ in width
+        bins[np.arange(bins.shape[1]) < lengths[:, None]] = lists.flatten().to_numpy()
+        head = rows["head"].combine_chunks().dictionary_encode().indices.to_numpy()
+        cell = pd.DataFrame(bins).assign(head=head).groupby([*range(bins.shape[1]), "head"], sort=False).ngroup().to_numpy()
+        first = np.unique(cell, return_index=True)[1]
+        y, rid = rows["y"].to_numpy(), rows["rid"].to_numpy()
+        total = lambda x: np.bincount(cell, x, len(first))
+        w, wy = np.zeros((len(first), len(trees))), np.zeros((len(first), len(trees)))
+        for m in trees:
+            drawn = bootstrap_weights(rid, m, spec.seed)
+            w[:, m], wy[:, m] = total(drawn), total(drawn * y)
+        own = rows.select(["head", "bins", "base"]).take(pa.array(first)).combine_chunks()
+        columns = [*[c.combine_chunks() for c in own.columns], pa.array(total(None).astype(float)), pa.array(total(y)), pa.array(list(w), pa.list_(pa.float64())), pa.array(list(wy), pa.list_(pa.float64()))]
+        return pa.RecordBatch.from_arrays(columns, ["head", "bins", "base", "n", "y", "w", "wy"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held, n = [*held, batch], n + len(batch)
+            if n >= PACK_ROWS:
+                yield added(held)
+                held, n = [], 0
+        if n:
+            yield added(held)
+
+    parts = train.select("head", "rid", "y", "bins", "base").mapInArrow(packed, f"head {kind}, bins array<int>, base double, n double, y double, w array<double>, wy array<double>")
+    sums = lambda c: F.array(*[F.sum(F.get(c, F.lit(m))) for m in trees]).cast("array<double>").alias(c)
+    return parts.groupBy("head", "bins").agg(F.min("base").alias("base"), F.sum("n").alias("n"), F.sum("y").alias("y"), sums("w"), sums("wy"))
+
+
+def _chunked(cells: DataFrame, spec: TreeSpec) -> DataFrame:
+    """Distinct bins of each head, dealt into chunks of ``chunk_rows``."""
+    cells = materialize(cells, "tree-cells")
+    sizes = materialize(cells.groupBy("head").agg(F.count("*").alias("__n")), "tree-sizes")
+    return cells.join(sizes, "head").withColumn("chunk", F.pmod(F.xxhash64("bins"), F.ceil(F.col("__n") / spec.chunk_rows)).cast("int")).drop("__n")
+
+
 SPLITS = "tree int, node int, feature int, bin int, low double, high double"
 
 
@@ -126,9 +183,12 @@ def grow(binned: DataFrame, spec: TreeSpec) -> DataFrame | None:
     A forest grows all trees of all heads together, a level at a time; boosting a tree of each
     head at a time. A task sees a chunk of a head's training rows and that head's splits, walks
     the trees, and sends sums per node, feature and bin; these are added up and the best splits
-    chosen in one aggregate. The number of Spark jobs depends on depth and rounds only.
+    chosen in one aggregate. The number of Spark jobs depends on depth and rounds only. Rows with
+    the same bins go as one wherever their sums, of each tree, are no more than the rows.
     """
-    train = materialize(binned.where("split_part = 'train'"), "tree-rows")
+    train = binned.where("split_part = 'train'")
+    packed = spec.boosting or train.select("head", "bins").distinct().count() * spec.trees <= train.count()
+    train = materialize(_chunked(_alike(train, spec), spec) if packed else train, "tree-rows")
     chunks = materialize(train.select("head", "chunk").distinct(), "tree-chunks")
     kind, splits = dict(binned.dtypes)["head"], None
     rounds = [[m] for m in range(spec.trees)] if spec.boosting else [list(range(spec.trees))]
@@ -139,15 +199,21 @@ def grow(binned: DataFrame, spec: TreeSpec) -> DataFrame | None:
                 out = []
                 if len(rows):
                     bins, y = np.stack(rows["bins"].to_numpy()).astype(int), rows["y"].to_numpy(float)
-                    left = y - _predicted(rows, bins, own, spec, trees[0]) if spec.boosting else y  # noqa: B023
                     by = dict(list(own.groupby("tree")))
                     for m in trees:  # noqa: B023
                         node = walk(bins, by.get(m, own.iloc[:0]), 0.0, spec.depth)[0]
-                        w = np.ones(len(y)) if spec.boosting else bootstrap_weights(rows["rid"].to_numpy(), m, spec.seed)
+                        if spec.boosting:
+                            w = rows["n"].to_numpy(float)
+                            wy = y - w * _predicted(rows, bins, own, spec, trees[0])  # noqa: B023
+                        elif packed:
+                            w, wy = (np.array([x[m] for x in rows[c]], float) for c in ("w", "wy"))
+                        else:
+                            w = bootstrap_weights(rows["rid"].to_numpy(), m, spec.seed)
+                            wy = w * y
                         at = np.flatnonzero((node >> level == 1) & (w > 0))  # noqa: B023
                         for f in range(bins.shape[1]):
                             cell, back = np.unique(node[at] * spec.bins + bins[at, f], return_inverse=True)
-                            sums = [np.bincount(back, x, len(cell)) for x in (w[at], (w * left)[at])]
+                            sums = [np.bincount(back, x, len(cell)) for x in (w[at], wy[at])]
                             out.append(np.stack([np.full(len(cell), m), cell // spec.bins, np.full(len(cell), f), cell % spec.bins, *sums], axis=1))
                 found = pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 6)), columns=["tree", "node", "feature", "bin", "w", "wy"])
                 found = found.astype({c: np.int32 for c in ("tree", "node", "feature", "bin")})
@@ -184,12 +250,16 @@ def tree_baselines(rows: DataFrame, features: str, spec: TreeSpec, minima: dict[
 
     def score(key: tuple, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
-            return pd.DataFrame({"head": [], "y": [], "p": []})
+            return pd.DataFrame({"head": [], "bins": [], "p": []})
         bins = np.stack(rows["bins"].to_numpy()).astype(int)
-        return pd.DataFrame({"head": key[0], "y": rows["y"], "p": _predicted(rows, bins, own, spec, spec.trees)})
-
-    chunks = materialize(binned.select("head", "chunk").distinct(), "tree-chunks")
-    scored = _with_models(binned.where("split_part = 'test'"), chunks, splits, score, f"head {kind}, y double, p double")
+        return pd.DataFrame({"head": key[0], "bins": rows["bins"], "p": _predicted(rows, bins, own, spec, spec.trees)})
+
+    # equal bins have equal predictions
+    test = binned.where("split_part = 'test'").select("head", "bins", "y", "base")
+    asked = materialize(_chunked(test.groupBy("head", "bins").agg(F.min("base").alias("base")), spec), "tree-asked")
+    chunks = materialize(asked.select("head", "chunk").distinct(), "tree-chunks")
+    known = _with_models(asked, chunks, splits, score, f"head {kind}, bins array<int>, p double")
+    scored = test.join(materialize(known, "tree-predictions"), ["head", "bins"])
     e, spread = F.col("p") - F.col("y"), F.var_pop("y") * F.count("y")
     per = scored.groupBy("head").agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.when(spread > 1e-12, 1 - F.sum(e * e) / spread).alias("r2"))
     return counts.join(per, "head", "left").select("head", "status", F.col("train").alias("n_train"), F.col("eval").alias("n_test"), "mae", "rmse", "r2")

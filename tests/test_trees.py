@@ -83,3 +83,26 @@ def test_report_and_skip_reasons(spark, rows):
     assert got["flat"].mae == pytest.approx(0) and got["flat"].r2 is None
     jobs = spark.sparkContext.statusTracker()
     assert T.tree_baselines(rows.where("false"), "features", spec).count() == 0 and jobs is not None
+
+
+@pytest.mark.parametrize("boosting", [False, True])
+def test_rows_with_equal_bins_go_as_one(spark, boosting):
+    rnd = random.Random(9)
+    data = [("ab"[i % 2], i, round(rnd.uniform(0, 5) + i % 3, 3), "test" if i % 5 == 0 else "train", [float(i % 3), float(rnd.randrange(2))]) for i in range(900)]
+    rows = spark.createDataFrame(data + [("c", 1000 + i, float(i % 2), "train", [float(i % 2)]) for i in range(40)], "head string, rid long, y double, split_part string, features array<double>")
+    spec = T.TreeSpec(trees=2, depth=2, bins=4, boosting=boosting, rate=0.5)
+    binned = T._binned(rows, spec)
+    train = binned.where("split_part = 'train'")
+    cells = T._alike(train, spec).toPandas()
+    assert len(cells) == train.select("head", "bins").distinct().count() <= 14 and cells["n"].sum() == train.count()
+    splits = T.grow(binned, spec).toPandas()
+    for head, own in train.toPandas().groupby("head"):
+        bins, y = np.stack(own["bins"].to_numpy()), own["y"].to_numpy()
+        left = y - y.mean() if boosting else y
+        for m in range(spec.trees):
+            tree = grown(bins, left, np.ones(len(y)) if boosting else T.bootstrap_weights(own["rid"].to_numpy(), m, spec.seed), spec)
+            got = splits[(splits["head"] == head) & (splits["tree"] == m)]
+            assert {r.node: (r.feature, r.bin) for r in got.itertuples()} == {n: t[:2] for n, t in tree.items()}
+            for r in got.itertuples():
+                assert (r.low, r.high) == pytest.approx(tree[r.node][2:], abs=1e-9)
+            left = left - spec.rate * np.array([value(x, tree, 0.0) for x in bins]) if boosting else left
