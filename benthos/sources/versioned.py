@@ -11,26 +11,39 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from benthos.session import materialize
+
 #: Bytes of rows that a file is sized for.
 FILE_BYTES = 128 << 20
+#: Ranges of hashes in which files are numbered.
+RANGES = 1024
 
 
 def spread_by_bytes(df: DataFrame, by: list[str], file_bytes: int | None = None) -> DataFrame:
     """The rows dealt so that each combination of ``by`` gets as many files as its bytes ask for.
 
     Bytes are those of the rows as JSON, counted per combination; rows are dealt by a number of
-    their own, so equal rows spread as well.
+    their own, so equal rows spread as well. Files are numbered over all combinations and a
+    task gets one of them, so no task holds more than a file's rows. The table of sizes, a
+    row per combination, is written before it is joined, so a short one moves no rows.
     """
     size = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
     keyed = df.withColumn("__by", F.to_json(F.struct(*by)))
-    sizes = keyed.groupBy("__by").agg(F.sum(size).alias("bytes")).withColumn("files", F.ceil(F.col("bytes") / (file_bytes or FILE_BYTES)))
-    seat = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("files"))
+    sizes = materialize(keyed.groupBy("__by").agg(F.sum(size).alias("bytes")).withColumn("files", F.ceil(F.col("bytes") / (file_bytes or FILE_BYTES))), "file-sizes")
+    # files before each combination: numbers run within ranges of hashes, whose sums run over a row each
+    ranged = sizes.withColumn("__range", F.pmod(F.xxhash64("__by"), F.lit(RANGES)))
+    upto = F.sum("files").over(Window.partitionBy("__range").orderBy("__by").rowsBetween(Window.unboundedPreceding, -1))
+    per = ranged.groupBy("__range").agg(F.sum("files").alias("n"))
+    before = F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranged.withColumn("__in", F.coalesce(upto, F.lit(0))).join(per.select("__range", F.coalesce(before, F.lit(0)).alias("__before")), "__range")
+    starts = materialize(starts.select("__by", "files", (F.col("__in") + F.col("__before")).alias("first")), "file-starts")
     total = max(1, int(sizes.agg(F.sum("files")).first()[0] or 1))
-    return keyed.join(sizes.select("__by", "files"), "__by").withColumn("__seat", seat).repartition(total, "__by", "__seat").select(*df.columns)
+    seat = F.col("first") + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("files"))
+    return keyed.join(starts, "__by").withColumn("__seat", seat.cast("int")).repartitionById(total, "__seat").select(*df.columns)
 
 
 class VersionedTable:
