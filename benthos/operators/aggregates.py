@@ -19,9 +19,9 @@ def strict_merge(rows: DataFrame, keys: list[str], value: str, ids: str) -> Data
     )  # the id list is the result asked for: as long as the rows that are equal in all keys
 
 
-def robust_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Per group: n, median, median absolute deviation, mean, population deviation."""
-    rows = materialize(rows.select(*keys, value), "robust")  # read three times below
+def robust_stats(rows: DataFrame, keys: list[str], value: str, written: bool = False) -> DataFrame:
+    """Per group: n, median, median absolute deviation, mean, population deviation. ``written``: the rows are read from a table."""
+    rows = rows.select(*keys, value) if written else materialize(rows.select(*keys, value), "robust")  # read several times below
     most = largest_group(rows, keys, value)
     first = quantiles(rows, keys, value, {"qc_median": 0.5}, F.count(value).alias("qc_n"), F.avg(value).alias("qc_mean"), F.stddev_pop(value).alias("qc_std"), largest=most, written=True)
     first = materialize(first, "robust-median")
@@ -36,7 +36,10 @@ def robust_screen(rows: DataFrame, keys: list[str], value: str, min_n: int = 50,
     Rows beyond the limit are excluded in groups of ``min_n`` or more; smaller groups are
     left for audit. ``stats`` may come from other rows, such as the training part.
     """
-    d = null_safe_join(rows, stats if stats is not None else robust_stats(rows, keys, value), keys)
+    if stats is None:
+        rows = materialize(rows, "screen")  # read by the statistics and below
+        stats = robust_stats(rows, keys, value, written=True)
+    d = null_safe_join(rows, materialize(stats, "screen-stats"), keys)  # a row per group, of known size
     x = F.col(value)
     z = F.when(F.col("qc_mad") > 1e-12, 0.6745 * (x - F.col("qc_median")) / F.col("qc_mad")).when(F.col("qc_std") > 1e-12, (x - F.col("qc_mean")) / F.col("qc_std")).otherwise(0.0)
     d = d.withColumn("robust_z", z)
@@ -45,8 +48,11 @@ def robust_screen(rows: DataFrame, keys: list[str], value: str, min_n: int = 50,
 
 
 def recency_weights(rows: DataFrame, keys: list[str], year: str) -> DataFrame:
-    """Adds reference_weight: by age against the latest year of the group, over all rows given."""
-    latest = rows.groupBy(*keys).agg(F.max(year).alias("__latest"))
+    """Adds reference_weight: by age against the latest year of the group, over all rows given.
+
+    The latest years, a row per group, are written before they are joined, so a short table moves no rows.
+    """
+    latest = materialize(rows.groupBy(*keys).agg(F.max(year).alias("__latest")), "latest")
     return null_safe_join(rows, latest, keys).withColumn("reference_weight", recency_weight(F.col(year), F.col("__latest"))).drop("__latest")
 
 

@@ -51,26 +51,26 @@ z AS (SELECT a.*, CASE WHEN mad > 1e-12 THEN 0.6745 * (x - med) / mad WHEN sd >
 s AS (SELECT *, CASE WHEN n >= 50 AND abs(z) > 1.5 THEN 'excluded' ELSE 'included' END AS status FROM z)"""
 
 
-def screened(t: Tables):
-    return A.robust_screen(t.sql(OBSERVATIONS), KEYS, "x", min_n=50, limit=1.5)
+def screened(t: Tables, *columns: str):
+    return A.robust_screen(t.sql(OBSERVATIONS).select(*KEYS, "x", *columns), KEYS, "x", min_n=50, limit=1.5)
 
 
 @query("d05_robust_z", Z + " SELECT result_id, round(z, 6) AS robust_z, status, CASE WHEN status = 'excluded' THEN 'robust_z_gt_1.5' WHEN n < 50 THEN 'small_group_manual_audit' END AS reason FROM s")
 def _(t):
-    return screened(t).select("result_id", R("robust_z").alias("robust_z"), F.col("qc_status").alias("status"), F.col("qc_reason").alias("reason"))
+    return screened(t, "result_id").select("result_id", R("robust_z").alias("robust_z"), F.col("qc_status").alias("status"), F.col("qc_reason").alias("reason"))
 
 
 W = ", w AS (SELECT *, max(pub_year) OVER (PARTITION BY task_head, medium_domain, life_stage) AS latest FROM s), v AS (SELECT *, CASE WHEN pub_year IS NULL THEN 0.3 ELSE greatest(0.3, least(1.0, pow(0.8, greatest(0, latest - pub_year) / 5.0))) END AS wt FROM w)"
 MERGE = [*KEYS, "life_stage"]
 
 
-def weighted(t: Tables):
-    return A.recency_weights(screened(t), MERGE, "pub_year")
+def weighted(t: Tables, *columns: str):
+    return A.recency_weights(screened(t, "life_stage", "pub_year", *columns), MERGE, "pub_year")
 
 
 @query("d06_recency_weights", Z + W + " SELECT result_id, round(wt, 9) AS reference_weight FROM v")
 def _(t):
-    return weighted(t).select("result_id", R("reference_weight", 9).alias("reference_weight"))
+    return weighted(t, "result_id").select("result_id", R("reference_weight", 9).alias("reference_weight"))
 
 
 @query("d07_reference_merge", Z + W + """, i AS (SELECT * FROM v WHERE status = 'included'), raw AS (SELECT task_head, medium_domain, life_stage, count(*) AS n_rows, quantile_cont(x, 0.5) AS um, count(DISTINCT reference_number) AS nr FROM i GROUP BY 1, 2, 3),
@@ -78,15 +78,15 @@ u AS (SELECT task_head, medium_domain, life_stage, reference_number, test_id, qu
 mm AS (SELECT task_head, medium_domain, life_stage, sum(w * u) / sum(w) AS wm, max(u) - min(u) AS rg, sum(w) AS ws, count(*) AS nu FROM u GROUP BY 1, 2, 3)
 SELECT task_head, medium_domain, life_stage, round(wm, 6) AS weighted_mean, round(um, 6) AS unweighted_median, round(rg, 6) AS value_range, n_rows, nu AS n_units, CASE WHEN nr > 1 AND rg > 0.3 THEN 1 ELSE 0 END AS conflict_flag FROM mm JOIN raw USING (task_head, medium_domain, life_stage)""")
 def _(t):
-    m = A.reference_merge(weighted(t).where("qc_status = 'included'"), MERGE, "x", "reference_number", "test_id")
+    m = A.reference_merge(weighted(t, "reference_number", "test_id").where("qc_status = 'included'"), MERGE, "x", "reference_number", "test_id")
     return m.select(*MERGE, R("weighted_mean").alias("weighted_mean"), R("unweighted_median").alias("unweighted_median"), R("value_range").alias("value_range"), "n_rows", "n_units", "conflict_flag")
 
 
 @query("d08_train_only_qc", Z.replace("FROM d GROUP BY 1, 2)", "FROM d WHERE test_id % 5 <> 0 GROUP BY 1, 2)").replace("FROM a GROUP BY 1, 2)", "FROM a WHERE test_id % 5 <> 0 GROUP BY 1, 2)") + " SELECT CASE WHEN test_id % 5 <> 0 THEN 'train' ELSE 'eval' END AS part, count(*) AS n FROM s WHERE test_id % 5 = 0 OR status = 'included' GROUP BY 1")
 def _(t):
-    d = t.sql(OBSERVATIONS)
+    d = materialize(t.sql(OBSERVATIONS).select(*KEYS, "x", "test_id"), "observations")
     train, rest = d.where("test_id % 5 <> 0"), d.where("test_id % 5 = 0")
-    kept = A.robust_screen(train, KEYS, "x", 50, 1.5, A.robust_stats(train, KEYS, "x")).where("qc_status = 'included'")
+    kept = A.robust_screen(train, KEYS, "x", 50, 1.5, A.robust_stats(train, KEYS, "x", written=True)).where("qc_status = 'included'")
     return kept.select(F.lit("train").alias("part")).unionByName(rest.select(F.lit("eval").alias("part"))).groupBy("part").agg(F.count("*").alias("n"))
 
 

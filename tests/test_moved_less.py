@@ -18,3 +18,22 @@ def test_a_task_holds_the_rows_of_one_file(spark):
     assert sum(n for n, _ in held) == 12_000 and max(n for n, _ in held) < 2 * 12_000 / files
     assert sorted(map(str, dealt.collect())) == sorted(map(str, df.collect()))
     assert spread_by_bytes(df.where("false"), ["k"]).count() == 0
+
+
+def test_screened_rows_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    rnd = random.Random(3)
+    data = [("ab"[i % 2] if i % 9 else None, float(rnd.gauss(0, 1)), rnd.choice([None, 1990, 2001]), i) for i in range(400)]
+    schema = "k string, x double, y int, id int"
+    source = spark.createDataFrame(data, schema)
+    plain = A.robust_screen(source, ["k"], "x", 50, 1.5, A.robust_stats(source, ["k"], "x"))
+    want = A.recency_weights(plain, ["k"], "y").collect()
+    got = A.recency_weights(A.robust_screen(source.mapInPandas(count, schema), ["k"], "x", 50, 1.5), ["k"], "y").collect()
+    assert made.value == 400
+    assert sorted(map(str, got)) == sorted(map(str, want)) and {r.qc_status for r in got} == {"excluded", "included"}
