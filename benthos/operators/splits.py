@@ -58,10 +58,14 @@ def inherit_parts(rows: DataFrame, known: DataFrame, group: str, seed: int) -> D
 
 
 def shared_keys(rows: DataFrame, record: str, keys: list[str], lists: list[str], scope: str | None = None) -> DataFrame:
-    """(r, x): each record with a hash of every key and listed id that may join it to others, its scope in it."""
+    """(r, x): each record with a hash of every key and listed id that may join it to others, its scope in it.
+
+    x is the first half of a SHA-256, 16 bytes, as it is shuffled and written several times.
+    """
+    digest = lambda *c: F.unhex(F.substring(F.sha2(F.to_json(F.array(*c)), 256), 1, 32))
     scoped = [F.col(scope).cast("string")] if scope else []
-    shared = [rows.select(F.col(record).alias("r"), F.sha2(F.to_json(F.array(F.lit(f"k{i}"), *scoped, F.col(k).cast("string"))), 256).alias("x")).where(F.col(k).isNotNull()) for i, k in enumerate(keys)]
-    shared += [rows.select(F.col(record).alias("r"), *[x.alias("__s") for x in scoped], F.explode(c).alias("v")).where("v is not null").select("r", F.sha2(F.to_json(F.array(F.lit(f"l{i}"), *([F.col("__s")] if scoped else []), F.col("v").cast("string"))), 256).alias("x")) for i, c in enumerate(lists)]
+    shared = [rows.select(F.col(record).alias("r"), digest(F.lit(f"k{i}"), *scoped, F.col(k).cast("string")).alias("x")).where(F.col(k).isNotNull()) for i, k in enumerate(keys)]
+    shared += [rows.select(F.col(record).alias("r"), *[x.alias("__s") for x in scoped], F.explode(c).alias("v")).where("v is not null").select("r", digest(F.lit(f"l{i}"), *([F.col("__s")] if scoped else []), F.col("v").cast("string")).alias("x")) for i, c in enumerate(lists)]
     out = shared[0]
     for x in shared[1:]:
         out = out.unionByName(x)

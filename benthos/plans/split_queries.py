@@ -15,6 +15,7 @@ from benthos.operators import splits as P
 from benthos.operators import trees as R
 from benthos.plans.inputs import PREDICTIONS
 from benthos.plans.registry import Tables, query
+from benthos.session import materialize
 from benthos.sources import tables as S
 
 PARTS3 = ("train", "valid", "test")
@@ -91,9 +92,12 @@ def _(t):
     """The closure groups of all rows, grown from those of four fifths of the orders by what the other rows touch."""
     rows = t("lineitem").select("l_orderkey", F.concat_ws("/", "l_partkey", "l_suppkey", "l_quantity").alias("id"))
     late = F.col("l_orderkey") % 5 == 0
-    old = P.closure_groups(rows.where(~late), "l_orderkey", ["id"], [])
-    keys = P.shared_keys(rows.where(~late), "l_orderkey", ["id"], []).join(old.withColumnRenamed("l_orderkey", "r"), "r").select("x", "group_id").distinct()
-    grown = P.grow_groups(keys, P.shared_keys(rows.where(late), "l_orderkey", ["id"], []), rows.where(late).select(F.col("l_orderkey").alias("r")))
+    old = materialize(P.closure_groups(rows.where(~late), "l_orderkey", ["id"], []), "old-groups")
+    fresh = P.shared_keys(rows.where(late), "l_orderkey", ["id"], [])
+    # only keys that the other rows hold can be touched
+    held = P.shared_keys(rows.where(~late), "l_orderkey", ["id"], []).join(fresh.select("x").distinct(), "x", "left_semi")
+    keys = held.join(old.withColumnRenamed("l_orderkey", "r"), "r").select("x", "group_id").distinct()
+    grown = P.grow_groups(keys, fresh, rows.where(late).select(F.col("l_orderkey").alias("r")))
     renamed = grown["renamed"].select(F.col("old_id").alias("group_id"), F.col("group_id").alias("now"))
     kept = old.join(renamed, "group_id", "left").select("l_orderkey", F.coalesce("now", "group_id").alias("group_id"))
     return kept.unionByName(grown["labels"].select(F.col("r").alias("l_orderkey"), "group_id"))

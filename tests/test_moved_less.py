@@ -37,3 +37,9 @@ def test_screened_rows_are_made_once(spark):
     got = A.recency_weights(A.robust_screen(source.mapInPandas(count, schema), ["k"], "x", 50, 1.5), ["k"], "y").collect()
     assert made.value == 400
     assert sorted(map(str, got)) == sorted(map(str, want)) and {r.qc_status for r in got} == {"excluded", "included"}
+
+
+def test_shared_keys_are_short(spark):
+    rows = spark.createDataFrame([(1, "a", ["t"]), (2, "a", ["u"]), (3, "b", ["t", "t"]), (4, None, [])], "r int, k string, l array<string>")
+    x = P.shared_keys(rows, "r", ["k"], ["l"])
+    assert x.select(F.octet_length("x")).distinct().collect()[0][0] == 16 and x.select("x").distinct().count() == 4 and x.count() == 7
