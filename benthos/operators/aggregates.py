@@ -59,7 +59,9 @@ def recency_weights(rows: DataFrame, keys: list[str], year: str) -> DataFrame:
 def reference_merge(rows: DataFrame, keys: list[str], value: str, reference: str, test: str, conflict_above: float = 0.3) -> DataFrame:
     """Two levels: median per (reference, test), then weighted mean, deviation, range and conflict flag per key."""
     rows = materialize(rows.select(*keys, value, reference, test, "reference_weight"), "merge")  # read three times below
-    raw = quantiles(rows, keys, value, {"unweighted_median": 0.5}, F.count(value).alias("n_rows"), F.countDistinct(reference).alias("n_references"), F.countDistinct(test).alias("n_tests"), written=True)
+    raw = quantiles(rows, keys, value, {"unweighted_median": 0.5}, F.count(value).alias("n_rows"), written=True)
+    # apart, so that what is not asked for is not counted
+    raw = null_safe_join(raw, rows.groupBy(*keys).agg(F.countDistinct(reference).alias("n_references"), F.countDistinct(test).alias("n_tests")), keys)
     unit_keys = [*keys, reference, test]
     units = rows.groupBy(*unit_keys).agg(F.percentile(value, 0.5).alias("u"), F.avg("reference_weight").alias("w"))
     total, plain = F.sum("w"), F.avg("u")

@@ -43,3 +43,12 @@ def test_shared_keys_are_short(spark):
     rows = spark.createDataFrame([(1, "a", ["t"]), (2, "a", ["u"]), (3, "b", ["t", "t"]), (4, None, [])], "r int, k string, l array<string>")
     x = P.shared_keys(rows, "r", ["k"], ["l"])
     assert x.select(F.octet_length("x")).distinct().collect()[0][0] == 16 and x.select("x").distinct().count() == 4 and x.count() == 7
+
+
+def test_counts_that_are_not_asked_for_are_not_made(spark):
+    rnd = random.Random(4)
+    data = [(rnd.choice("ab"), rnd.gauss(0, 1), rnd.choice([None, 1, 2, 3]), rnd.randrange(9), rnd.uniform(0.3, 1)) for _ in range(200)]
+    m = A.reference_merge(spark.createDataFrame(data, "k string, x double, ref int, test int, reference_weight double"), ["k"], "x", "ref", "test")
+    assert {(r.k, r.n_references, r.n_tests, r.n_rows) for r in m.collect()} == {(k, 3, len({d[3] for d in data if d[0] == k}), sum(d[0] == k for d in data)) for k in "ab"}
+    # two distinct counts would send every row twice
+    assert "Expand" not in m.select("k", "n_references", "conflict_flag")._jdf.queryExecution().optimizedPlan().toString()
