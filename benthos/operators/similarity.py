@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from benthos.functions.distinct import by_distinct
 from benthos.operators import splits as P
 from benthos.operators.graph import connected_components
 from benthos.operators.nearest import costly, links_in_blocks, nearest_sets, nearest_train
@@ -34,6 +35,23 @@ def gram_bits(text: Column, width: int, longest: int = 3) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.array_distinct(grams), lambda g: (F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("bigint") % width).cast("int"))))
 
 
+#: Texts that a task of ``with_gram_bits`` is sized for.
+GRAM_TEXTS = 2000
+
+
+def with_gram_bits(df: DataFrame, text: str, name: str, width: int, longest: int = 3) -> DataFrame:
+    """Adds ``name``: the gram_bits of column ``text``, once per distinct text; as many tasks as there are texts for.
+
+    Short texts make small files, so tasks that follow their bytes would be few and long.
+    """
+    def rule(texts: DataFrame) -> DataFrame:
+        texts = materialize(texts, "gram-texts")
+        dealt = texts.repartition(max(1, math.ceil(texts.count() / GRAM_TEXTS)))
+        return dealt.withColumn(name, gram_bits(F.col(text), width, longest))
+
+    return by_distinct(df, [text], rule)
+
+
 def popcount(words: Column) -> Column:
     return F.aggregate(words, F.lit(0), lambda a, w: a + F.bit_count(w))
 

@@ -182,7 +182,7 @@ GRAM = "list_transform(range(1, length(s) - {0} + 2), lambda i: substr(s, i, {0}
 
 @query("b53_gram_fingerprint", f"WITH n AS (SELECT p_partkey, lower(p_name) AS s FROM part), g AS (SELECT p_partkey, list_concat({GRAM.format(1)}, list_concat({GRAM.format(2)}, {GRAM.format(3)})) AS g FROM n), b AS (SELECT p_partkey, list_sort(list_distinct(list_transform(g, lambda x: CAST(CAST(('0x' || substr(md5(x), 1, 8)) AS UBIGINT) % 512 AS INTEGER)))) AS b FROM g) SELECT p_partkey, len(b) AS n_bits, array_to_string(b, ',') AS bits FROM b")
 def _(t):
-    b = t("part").select("p_partkey", Y.gram_bits(F.lower("p_name"), 512).alias("b"))
+    b = Y.with_gram_bits(t("part").select("p_partkey", F.lower("p_name").alias("name")), "name", "b", 512).select("p_partkey", "b")
     return b.select("p_partkey", F.aggregate(Y.pack(F.col("b"), 512), F.lit(0), lambda a, w: a + F.bit_count(w)).cast("bigint").alias("n_bits"), F.array_join(F.transform("b", lambda x: x.cast("string")), ",").alias("bits"))
 
 
@@ -226,7 +226,8 @@ r AS (SELECT split_name, split_part AS test_part, id, coalesce(s, 0) AS s FROM p
 
 
 def _nearest(t: Tables):
-    parts = t("part").select(F.col("p_partkey").alias("id"), Y.gram_bits(F.lower("p_name"), 256).alias("bits"))
+    names = t("part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("name"))
+    parts = Y.with_gram_bits(names, "name", "bits", 256).select("id", "bits")
     return N.nearest_train(parts, t.sql(PART_SPLITS))
 
 

@@ -4,7 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from benthos.functions import evidence_rules as E
+from benthos.functions.distinct import by_distinct
 from benthos.operators import aggregates as A
+from benthos.operators import similarity as Y
 from benthos.operators import splits as P
 from benthos.sources.versioned import spread_by_bytes
 
@@ -52,3 +55,28 @@ def test_counts_that_are_not_asked_for_are_not_made(spark):
     assert {(r.k, r.n_references, r.n_tests, r.n_rows) for r in m.collect()} == {(k, 3, len({d[3] for d in data if d[0] == k}), sum(d[0] == k for d in data)) for k in "ab"}
     # two distinct counts would send every row twice
     assert "Expand" not in m.select("k", "n_references", "conflict_flag")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_grams_are_dealt_by_texts_not_bytes(spark, monkeypatch):
+    monkeypatch.setattr(Y, "GRAM_TEXTS", 10)
+    names = ["", None, "a", "lead", "Lead", "x y"] + [f"name {i % 60}" for i in range(200)]
+    d = spark.createDataFrame(list(enumerate(names)), "id int, name string")
+    want = d.select("id", "name", Y.gram_bits(F.col("name"), 64).alias("bits"))
+    seen = []
+    monkeypatch.setattr(Y, "by_distinct", lambda df, columns, rule: by_distinct(df, columns, lambda texts: seen.append(rule(texts)) or seen[-1]))
+    got = Y.with_gram_bits(d, "name", "bits", 64)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert seen[0].count() == 66 and seen[0].rdd.getNumPartitions() == 7
+
+
+def test_targets_by_distinct_texts_are_the_plain_ones(spark):
+    rnd = random.Random(6)
+    number = lambda: rnd.choice([None, float("nan"), 0.0, -1.5, 2.5, 1e-30, 7e9, float("inf")])
+    op = lambda: rnd.choice([None, "", "<", " >= ", "~", "x"])
+    data = [(i, number(), number(), number(), op(), op(), op(), rnd.choice([None, "", "water_mg_l", "soil_mg_kg", "odd"]), rnd.choice([None, "mg/L", "g/ha", "?"]), number(), rnd.choice([None, " ", "soil"])) for i in range(3000)]
+    d = spark.createDataFrame(data, "id int, a double, b double, c double, p string, q string, r string, f string, u string, w double, m string")
+    col = [F.col(x) for x in "abcpqrfuwm"]
+    want = d.select("id", E.log_target(E.toxicity_value(*col[:6]), *col[6:]).alias("target"))
+    got = E.with_log_target(d, col[:3], col[3:6], *col[6:])
+    assert got.columns == [*d.columns, "target"]
+    assert sorted(map(str, got.select("id", "target").collect())) == sorted(map(str, want.collect()))
