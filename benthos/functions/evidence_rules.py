@@ -191,6 +191,29 @@ def log_target(tox: Column, family: Column, unit: Column, weight: Column, medium
     )
 
 
+def with_log_target(df: DataFrame, numbers: list[Column], ops: list[Column], family: Column, unit: Column, weight: Column, medium: Column) -> DataFrame:
+    """Adds target: the log_target of the toxicity_value of mean, low and high (``numbers``) and their operators (``ops``).
+
+    All but the number depends on texts, on which numbers there are and on signs, and is read once
+    per distinct combination of these, with stand-ins for the numbers.
+    """
+    mean, low, high = numbers
+    value = F.when(mean.isNotNull(), mean).when(low.isNotNull() & high.isNotNull(), (low + high) / 2)
+    state = {f"__has{i}": c.isNotNull() for i, c in enumerate(numbers)} | {f"__op{i}": c for i, c in enumerate(ops)}
+    state |= {"__positive": F.coalesce(~(value <= 0), F.lit(True)), "__weighed": ~F.coalesce(weight <= 0, F.lit(True)), "__family": family, "__unit": unit, "__medium": medium}
+
+    def rule(codes: DataFrame) -> DataFrame:
+        x = F.when(F.col("__positive"), 1.0).otherwise(-1.0)
+        tox = toxicity_value(*[F.when(F.col(f"__has{i}"), x) for i in range(3)], *[F.col(f"__op{i}") for i in range(3)])
+        c = codes.withColumns({"__tox": tox, "__which": target_rule(F.col("__family"), F.col("__unit"))})
+        made = log_target(F.col("__tox"), F.col("__family"), F.col("__unit"), F.when(F.col("__weighed"), 1.0).otherwise(-1.0), F.col("__medium"), F.col("__which"))
+        return c.withColumn("target", made).drop("__tox")
+
+    out = by_distinct(df.withColumns(state), list(state), rule)
+    number = -F.log10(F.when(F.col("__which") == 1, value / 1000 / weight).otherwise(value))
+    return out.withColumn("target", F.col("target").withField("target_value", F.when(F.col("target.target_status") == "included", number))).drop("__which", *state)
+
+
 # ---- full unit rules ----------------------------------------------------------------------
 
 # Raw unit and factor, by family, standard unit, confidence and note (U: the unit).

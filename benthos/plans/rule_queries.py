@@ -8,6 +8,7 @@ from benthos.functions import curation, evidence_rules as E, features, habitat,
 from benthos.plans import curation_inputs
 from benthos.plans.inputs import OBSERVATIONS, RESULTS
 from benthos.plans.registry import pick, query, values
+from benthos.session import materialize
 
 KEY = ["result_id"]
 HOUR_ROWS = values([(u, float(h)) for u, h in T.HOURS.items()])
@@ -177,9 +178,15 @@ t1 AS (SELECT *, CASE WHEN tm IS NOT NULL THEN tm WHEN tl IS NOT NULL THEN (tl +
  CASE WHEN tm IS NOT NULL THEN CASE WHEN mean_op = '<' THEN 'censored_toxicity_value' END WHEN tl IS NOT NULL THEN CASE WHEN max_op = '>' THEN 'censored_min_or_max_toxicity_value' END ELSE 'missing_mean_and_invalid_min_max_midpoint' END AS tox_reason FROM t0)"""
 
 
+def tox_parts():
+    """Mean, low and high, and their operators."""
+    numbers = [F.when(F.col("l_linenumber") != 2, F.col("raw_mean")), F.when(F.col("l_linenumber") != 3, F.col("raw_min")), F.col("raw_max")]
+    return numbers, [F.col("mean_op"), F.lit(None).cast("string"), F.col("max_op")]
+
+
 def tox_input(df):
-    mean, low = F.when(F.col("l_linenumber") != 2, F.col("raw_mean")), F.when(F.col("l_linenumber") != 3, F.col("raw_min"))
-    return df.withColumn("tox", E.toxicity_value(mean, low, F.col("raw_max"), F.col("mean_op"), F.lit(None).cast("string"), F.col("max_op")))
+    numbers, ops = tox_parts()
+    return df.withColumn("tox", E.toxicity_value(*numbers, *ops))
 
 
 @query("b15_toxicity_value", f"WITH r AS ({RESULTS}), {TOX} SELECT result_id, tox AS value, source, quality, tm IS NULL AND tl IS NOT NULL AS imputed, tox_reason AS reason FROM t1")
@@ -196,9 +203,10 @@ SELECT result_id, CASE WHEN reason IS NULL THEN round(-log10(CASE WHEN i = 1 THE
 
 
 def with_target(t):
-    u = tox_input(E.normalize_units(unit_input(t)))
-    u = u.withColumn("__rule", E.target_rule(F.col("unit_family_v2"), F.col("standard_unit_v2")))
-    return u.withColumn("target", E.log_target(F.col("tox"), F.col("unit_family_v2"), F.col("standard_unit_v2"), F.col("mw"), F.col("medium_domain"), F.col("__rule")))
+    # written in between: one stage for all of these rules is more code than the virtual machine compiles
+    rows = materialize(unit_input(t).select("result_id", "l_linenumber", *[f"{a}_{b}" for a in ("raw", "std") for b in ("mean", "min", "max", "unit")], "std_family", "mean_op", "max_op", "mw", "medium_domain"), "unit-rows")
+    units = E.normalize_units(rows).select("result_id", "l_linenumber", "raw_mean", "raw_min", "raw_max", "mean_op", "max_op", "mw", "medium_domain", "unit_family_v2", "standard_unit_v2")
+    return E.with_log_target(materialize(units, "unit-families"), *tox_parts(), F.col("unit_family_v2"), F.col("standard_unit_v2"), F.col("mw"), F.col("medium_domain"))
 
 
 @query("b16_log_target", B16)
