@@ -183,5 +183,5 @@ def counted_quantiles(rows: DataFrame, keys: list[str], value: str, probabilitie
     counts = counts.withColumn("__u", F.sum("__k").over(Window.partitionBy(*keys, "__lo", "__hi").orderBy(value)))
     found = null_safe_join(open_, counts.select(*keys, "__lo", "__hi", value, "__u", "__k"), [*keys, "__lo", "__hi"]).where("__at < __u and __at >= __u - __k")
     parts = one.unionByName(found.select(*keys, "__name", "__w", x.alias("__v"))).groupBy(*keys).agg(*[F.sum(F.when(F.col("__name") == n, F.col("__v") * F.col("__w"))).alias(n) for n in probabilities])
-    out = null_safe_join(groups, parts, keys) if keys else groups.crossJoin(parts)  # one row by one row
-    return out.drop("__lo", "__hi", "__a", "__b", "__n")
+    groups = groups.drop("__lo", "__hi", "__a", "__b", "__n")  # before the join, as quantiles may have these names
+    return null_safe_join(groups, parts, keys) if keys else groups.crossJoin(parts)  # one row by one row

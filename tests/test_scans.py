@@ -65,6 +65,24 @@ def test_nearest_support_of_one_large_task(spark):
             assert got[i] == pytest.approx(min(1.0, max(0.0, 1 - min(abs(v - x) for x in own) / (hi - lo))))
 
 
+def test_nearest_support_of_a_task_whose_quantiles_go_by_counts(spark, monkeypatch):
+    rnd = random.Random(4)
+    reference = [("t" if i % 10 else "u", float(rnd.randint(0, 300))) for i in range(600)]
+    requests = [(i, rnd.choice(["t", "u"]), rnd.uniform(-20, 320)) for i in range(100)]
+    frames = spark.createDataFrame(requests, "id int, task string, v double"), spark.createDataFrame(reference, "task string, v double")
+    want = {r.id: r.support for r in fitting.nearest_support(*frames, "id", ["task"], "v").collect()}
+    monkeypatch.setattr(ranks, "GROUP_ROWS", 100)
+    got = {r.id: r.support for r in fitting.nearest_support(*frames, "id", ["task"], "v").collect()}
+    assert got == {i: pytest.approx(x) for i, x in want.items()} and len(got) == 100
+
+
+@pytest.mark.parametrize("keys", [["g"], []])
+def test_counted_quantiles_may_have_any_name(spark, keys):
+    df = spark.createDataFrame([("a", float(i)) for i in range(101)], "g string, v double")
+    got = ranks.counted_quantiles(df, keys, "v", {"__a": 0.05, "__b": 0.95, "__n": 0.5, "__lo": 0.1, "__hi": 0.9}, few=10).first()
+    assert [got["__a"], got["__b"], got["__n"], got["__lo"], got["__hi"]] == pytest.approx([5, 95, 50, 10, 90])
+
+
 def test_scan_from_the_end_takes_no_frame_that_ends_with_the_partition(spark):
     rows = [("a" if i % 3 else None, (i * 37) % 101, i) for i in range(300)]
     dealt = ranks.deal_ranges(spark.createDataFrame(rows, "g string, v int, i int"), ["g"], [F.col("v"), F.col("i")], parts=5)
